@@ -1,0 +1,5 @@
+"""Registry of the engine's queries and their SQL oracles."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
+FLAGSHIP = "search_lexical"

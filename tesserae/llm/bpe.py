@@ -14,10 +14,12 @@ text become those tokens, as the library does. Words of any length are encoded w
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,7 +34,7 @@ BLOCK = 1 << 21
 #: Chunks and words that a task remembers. Beyond it the memory starts anew; results don't depend on it.
 REMEMBERED = 600_000
 #: Unicode white space, which the vocabulary's normaliser turns into separators; str.split() also splits at the last four.
-_SPACES = regex.compile(r"[\x09-\x0D\x20\x85\xA0  -     　]+")
+_SPACES = regex.compile("[\x09-\x0D\x20\x85\xA0  -     　]+")
 _EXTRA = regex.compile(r"[\x1C-\x1F]")
 NONE = np.iinfo(np.int64).max
 
@@ -133,14 +135,26 @@ class Encoder:
         return text.split()
 
     def _learn(self, found: set[str]) -> None:
-        """Adds new chunks to the memory."""
-        parts = {c: self.v.pattern.findall(c) for c in found}
-        new = list({w for ws in parts.values() for w in ws}.difference(self.words))
+        """Adds new chunks to the memory. Most are letters with at most one mark behind, which needs no pattern."""
+        bare, marked, rest = [], [], []
+        for c in found:
+            if c.isalpha():
+                bare.append(c)
+            elif c[-1] in ",.!?" and c[:-1].isalpha():
+                marked.append(c)
+            else:
+                rest.append(c)
+        parts = list(map(self.v.pattern.findall, rest))
+        new = set(bare)
+        new.update([c[:-1] for c in marked], [c[-1] for c in marked], chain.from_iterable(parts))
+        new = list(new.difference(self.words))
         if new:
             self.words.update(zip(new, self.encode_words([w.encode("utf-8", "replace") for w in new])))
-        get = self.words.__getitem__
-        for c, ws in parts.items():
-            self.chunks[c] = get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws))
+        words = self.words
+        self.chunks.update([(c, words[c]) for c in bare])
+        self.chunks.update([(c, words[c[:-1]] + words[c[-1]]) for c in marked])
+        get = words.__getitem__
+        self.chunks.update([(c, b"".join(map(get, ws))) for c, ws in zip(rest, parts)])
 
     def _block(self, texts: list[str]) -> Iterator[bytes]:
         if len(self.chunks) > REMEMBERED:
@@ -167,6 +181,7 @@ class Encoder:
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
+        gc.disable()  # millions of strings and no cycles: collections would only walk them again and again
         block, size = [], 0
         for t in texts:
             block.append(t)
@@ -176,6 +191,7 @@ class Encoder:
                 block, size = [], 0
         if block:
             yield from self._block(block)
+        gc.enable()
 
 
 _open: dict[str, Encoder] = {}

@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import quality, simhash
+from tesserae.llm import bpe, quality, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """Where a public tokenizer's file lies; every executor has the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents labelled as good and not toxic."""
     return table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
@@ -27,9 +34,14 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op4_simhash": op4_simhash,
+    "op10_bpe": op10_bpe,
 }
 
 #: Their rows depend on hashes, models or files that SQL can't express; tests/llm holds the brute-force versions.

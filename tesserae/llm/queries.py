@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import bpe, quality, simhash
+from tesserae.llm import bpe, mixing, quality, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,14 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken, plan = mixing.mix(table(spark, sf_dir, "documents"), F.array("source"))
+    sources = spark.createDataFrame([(s, int(plan.sizes[s]), float(t)) for s, t in plan.targets.items()], "source string, source_size long, target double")
+    rows = taken.select("doc_id", "size", F.get("sources", F.lit(0)).alias("_source"), "taken")
+    found = rows.join(F.broadcast(sources), F.col("_source").eqNullSafe(F.col("source")))  # one row a source; their number is checked
+    return found.select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -41,6 +49,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op4_simhash": op4_simhash,
+    "op5_mixing": op5_mixing,
     "op10_bpe": op10_bpe,
 }
 

@@ -3,19 +3,19 @@
 A document's unigrams and bigrams are hashed into a fixed number of buckets. Two multinomials over the
 buckets are estimated: the target, from trusted documents, and the raw corpus, from all documents. The
 score is the sum of log(target / raw) over the document's n-grams, divided by their number plus a
-constant that pulls very short texts towards 0. A document is kept if the base rules pass and the
-score reaches the threshold. Everything here is DataFrame expressions; the only data on the driver is one
+constant that pulls short texts towards 0. A document is kept if the base rules pass and the score
+reaches the threshold, which trusted documents outside the target have set. Everything here is DataFrame expressions; the only data on the driver is one
 weight for each bucket.
 
 Defined results: a null text is an empty text (0 words, base_failed, not kept). A null doc_id gives a row as
 any other. Repeated rows are judged one by one, with equal results. Without trusted documents, or with
-an empty corpus, every weight is 0, so the score is 0.
+an empty corpus, every weight is 0, so every score is 0 and only the base rules reject.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,25 +80,30 @@ def repeated_words(h: Column) -> Column:
     return let(windows, lambda v: F.when(F.size(F.array_distinct(v)) == F.size(v), F.lit(0)).otherwise(covered(v)))
 
 
-def fit(docs: DataFrame, trusted: DataFrame, buckets: int = 10_000, max_trusted: int = 50_000, smoothing: float = 1.0, shrink: float = 8.0, threshold: float = -0.04) -> QualityModel:
-    """Bucket weights from docs(doc_id, text) and trusted(doc_id).
+def fit(docs: DataFrame, trusted: DataFrame, buckets: int = 10_000, max_trusted: int = 50_000, smoothing: float = 1.0, shrink: float = 60.0, low: float = 0.01, spread: float = 2.0, least: int = 20) -> QualityModel:
+    """Bucket weights and threshold from docs(doc_id, text) and trusted(doc_id).
 
-    max_trusted bounds the trusted documents that define the target (those of smallest hash are taken, so that
-    a rerun takes the same); the raw multinomial covers every document.
+    max_trusted bounds the trusted documents (those of smallest hash are taken, so that a rerun takes the same); the
+    raw multinomial covers every document. Half of the trusted documents define the target. The other half, scored as any
+    document that the target has not seen, sets the threshold: spread times as far below their median as their
+    quantile low is. With under least such documents nothing is rejected by score.
     """
     ids = trusted.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)
-    ids = F.broadcast(ids.withColumn("_trusted", F.lit(1)))
+    ids = F.broadcast(ids.select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).alias("_seen")))
     rows = docs.select("doc_id", text_of(docs).alias("_text")).join(ids, "doc_id", "left")
-    grams = rows.select(F.coalesce("_trusted", F.lit(0)).alias("t"), F.explode(gram_buckets(words(F.col("_text")), buckets)).alias("b"))
+    grams = rows.select(F.coalesce(F.col("_seen").cast("int"), F.lit(0)).alias("t"), F.explode(gram_buckets(words(F.col("_text")), buckets)).alias("b"))
     counts = grams.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target")).collect()  # one row a bucket
     raw, target = [smoothing] * buckets, [smoothing] * buckets
     for r in counts:
         raw[r["b"]] += r["raw"]
         target[r["b"]] += r["target"]
     if sum(target) == smoothing * buckets:
-        return QualityModel((0.0,) * buckets, threshold, shrink)
+        return QualityModel((0.0,) * buckets, -math.inf, shrink)
     shift = math.log(sum(raw) / sum(target))
-    return QualityModel(tuple(math.log(t / r) + shift for t, r in zip(target, raw)), threshold, shrink)
+    model = QualityModel(tuple(math.log(t / r) + shift for t, r in zip(target, raw)), -math.inf, shrink)
+    held = judge(rows.where("not _seen").select("doc_id", "_text"), model, "_text").where("not _q.base_failed").select("_q.score")
+    n, mid, bottom = held.agg(F.count(F.lit(1)), F.percentile("score", 0.5), F.percentile("score", low)).first()
+    return replace(model, threshold=mid - spread * (mid - bottom)) if n >= least else model
 
 
 def judge(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame:

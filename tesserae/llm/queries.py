@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import bpe, mixing, pii, quality, simhash
+from tesserae.llm import bpe, mixing, orc_tokens, pii, quality, simhash
+from tesserae.llm.common import scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +47,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op9_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "orc")
+    orc_tokens.write(table(spark, sf_dir, "documents"), path, vocabulary())
+    return orc_tokens.digests(spark, path)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -55,6 +62,7 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
+    "op9_orc": op9_orc,
     "op10_bpe": op10_bpe,
 }
 

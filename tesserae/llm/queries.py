@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import bpe, mixing, orc_tokens, pii, quality, simhash
+from tesserae.llm import bpe, mixing, orc_tokens, pii, quality, simhash, tiff
 from tesserae.llm.common import scratch
 
 
@@ -35,6 +35,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op3_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_pii": op2_pii,
+    "op3_tiff": op3_tiff,
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
     "op9_orc": op9_orc,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import bpe, mixing, orc_tokens, pii, quality, simhash, tiff
+from tesserae.llm import bpe, mixing, orc_tokens, pii, quality, simhash, tiff, warc
 from tesserae.llm.common import scratch
 
 
@@ -51,6 +51,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.page_rows(warc.read(spark, folder))
+
+
 def op9_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "orc")
     orc_tokens.write(table(spark, sf_dir, "documents"), path, vocabulary())
@@ -67,6 +73,7 @@ QUERIES = {
     "op3_tiff": op3_tiff,
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
+    "op8_warc": op8_warc,
     "op9_orc": op9_orc,
     "op10_bpe": op10_bpe,
 }

@@ -114,14 +114,29 @@ class Vocabulary:
         return b" ".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
+class _Memo(dict):
+    """A dictionary that makes what it lacks."""
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        self[key] = value = self.make(key)
+        return value
+
+
 class Encoder:
-    """Encodes texts with a vocabulary; encode_words turns distinct words into ids, the rest is memory of what was seen."""
+    """Encodes texts with a vocabulary and remembers the ids of words and chunks.
+
+    New words of a block are encoded together, by merge rounds; or one by one by encode_word, where that is given.
+    """
 
-    def __init__(self, vocabulary: Vocabulary, encode_words: Callable[[list[bytes]], list[bytes]] | None = None) -> None:
+    def __init__(self, vocabulary: Vocabulary, encode_word: Callable[[bytes], bytes] | None = None) -> None:
         self.v = vocabulary
-        self.encode_words = encode_words or vocabulary.merge
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.together = encode_word is None
+        self.chunks: dict[str, bytes] = {} if self.together else _Memo(self._chunk)
+        self.words: dict[str, bytes] = {} if self.together else _Memo(lambda w: encode_word(w.encode("utf-8", "replace")))
         self.marks = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")")
         self.fixed = {t: np.array([i], "<u4").tobytes() for t, i in vocabulary.special.items()}
 
@@ -134,6 +149,11 @@ class Encoder:
             return [c for c in _SPACES.split(text) if c]
         return text.split()
 
+    def _chunk(self, c: str) -> bytes:
+        if c.isalpha():
+            return self.words[c]
+        return b"".join(map(self.words.__getitem__, self.v.pattern.findall(c)))
+
     def _learn(self, found: set[str]) -> None:
         """Adds new chunks to the memory. Most are letters with at most one mark behind, which needs no pattern."""
         bare, marked, rest = [], [], []
@@ -149,7 +169,7 @@ class Encoder:
         new.update([c[:-1] for c in marked], [c[-1] for c in marked], chain.from_iterable(parts))
         new = list(new.difference(self.words))
         if new:
-            self.words.update(zip(new, self.encode_words([w.encode("utf-8", "replace") for w in new])))
+            self.words.update(zip(new, self.v.merge([w.encode("utf-8", "replace") for w in new])))
         words = self.words
         self.chunks.update([(c, words[c]) for c in bare])
         self.chunks.update([(c, words[c[:-1]] + words[c[-1]]) for c in marked])
@@ -165,11 +185,12 @@ class Encoder:
         for t in texts:
             if "<|" in t and (pieces := self.marks.split(t))[1:]:
                 cut.append([[p] if p in self.fixed else self._cut(p) for p in pieces])
-                for p, c in zip(pieces, cut[-1]):
+                for p, c in zip(pieces, cut[-1]) if self.together else ():
                     missing.update([] if p in self.fixed else set(c).difference(self.chunks))
             else:
                 cut.append(c := self._cut(t))
-                missing.update(set(c).difference(self.chunks))
+                if self.together:
+                    missing.update(set(c).difference(self.chunks))
         if missing:
             self._learn(missing)
         get = self.chunks.__getitem__

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,11 +39,10 @@ def library_encoder(path: str) -> Encoder:
     model = Tokenizer.from_file(path).model
     letters = dict(enumerate(byte_letters()))
 
-    def encode_words(words: list[bytes]) -> list[bytes]:
-        found = (model.tokenize(w.decode("latin-1").translate(letters)) for w in words)
-        return [np.array([t.id for t in ts], "<u4").tobytes() for ts in found]
+    def encode_word(word: bytes) -> bytes:
+        return array("I", [t.id for t in model.tokenize(word.decode("latin-1").translate(letters))]).tobytes()  # 4 bytes each
 
-    return Encoder(Vocabulary(path), encode_words)
+    return Encoder(Vocabulary(path), encode_word)
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, end: int = END, text: str = "text") -> None:

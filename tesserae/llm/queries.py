@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import bpe, mixing, orc_tokens, pii, quality, sharding, simhash, tiff, warc
+from tesserae.llm import bpe, mixing, orc_tokens, pii, quality, sharding, simhash, tiff, urls, warc
 from tesserae.llm.common import scratch
 
 
@@ -51,6 +51,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages, urls.fit(urls.seeded_labels(pages)))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign(table(spark, sf_dir, "documents")).drop("key")
     return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
@@ -78,6 +83,7 @@ QUERIES = {
     "op3_tiff": op3_tiff,
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
+    "op6_urls": op6_urls,
     "op7_sharding": op7_sharding,
     "op8_warc": op8_warc,
     "op9_orc": op9_orc,

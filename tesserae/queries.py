@@ -1,5 +1,449 @@
-"""Registry of the engine's queries and their SQL oracles."""
+"""Registry of the engine's queries over the memory view and the tables, each with a SQL oracle where SQL can express it."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tesserae.functions import scoring as S
+from tesserae.functions import text as X
+from tesserae.functions.redact import redacted
+from tesserae.operators import canonical, chunks, facts, ingest, lexical, maintenance, search, tools, trees
+from tesserae.plans.scope import Scope, active, in_scope
+from tesserae.sources import logs
+from tesserae.streaming import turns
+from tesserae.views import ACTIVE_SQL, MEMORIES_SQL, NOW, QUERY, QUERY_VECTOR, memories, table
+
+FLAGSHIP = "search_lexical"
+EVERYWHERE = [Scope("global"), Scope("project", "*"), Scope("session", "*")]
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-FLAGSHIP = "search_lexical"
+
+
+def query(sql: str | None = None):
+    """Registers a query under its name, with its oracle."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def over_memories(rest: str) -> str:
+    return f"WITH RECURSIVE {MEMORIES_SQL} {rest}"
+
+
+# --- scopes and rows -----------------------------------------------------------------------------------------------
+
+
+@query(over_memories(f"SELECT id, scope_type, scope_id FROM memories WHERE {ACTIVE_SQL}"))
+def active_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memories(spark, sf_dir).where(active(NOW)).select("id", "scope_type", "scope_id")
+
+
+@query(over_memories("SELECT id, scope_type, scope_id FROM memories WHERE scope_type = 'global' OR (scope_type = 'project' AND scope_id = sha256('p1')) OR (scope_type = 'session' AND scope_id = 's2')"))
+def scope_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import hashlib
+
+    scopes = [Scope("global"), Scope("project", hashlib.sha256(b"p1").hexdigest()), Scope("session", "s2")]
+    return memories(spark, sf_dir).where(in_scope(scopes)).select("id", "scope_type", "scope_id")
+
+
+@query("SELECT sha256(text) AS content_hash, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1")
+def content_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.groupBy(X.content_hash(F.col("text")).alias("content_hash")).agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"))
+
+
+@query(over_memories("""SELECT id, CASE WHEN length(flat) <= 140 THEN flat ELSE substr(flat, 1, 139) || '…' END AS snippet, ceil(length(content) / 4)::BIGINT + 20 AS tokens
+  FROM (SELECT id, content, trim(regexp_replace(content, '\\s+', ' ', 'g')) AS flat FROM memories)""".replace("\\\\", "\\")))
+def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memories(spark, sf_dir).select("id", X.snippet(F.col("content")).alias("snippet"), X.token_estimate(F.col("content")).alias("tokens"))
+
+
+# --- retrieval -----------------------------------------------------------------------------------------------------
+
+TOKENS_SQL = r"""tok AS (SELECT id, scope_type, list_filter(regexp_split_to_array(translate(lower(content), 'äçèéêíñóöüáàâåãëìîïòôõùúûý', 'aceeeinoouaaaaaeiiiooouuuy'), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ts
+    FROM memories WHERE deleted_at IS NULL),
+  freq AS (SELECT id, len(ts) AS d, q.term, len(list_filter(ts, lambda x: x = q.term)) AS tf FROM tok, (SELECT unnest(['remember', 'the', 'deadline', 'thereforce']) AS term) q),
+  stat AS (SELECT count(*) AS n, avg(len(ts)) AS l FROM tok),
+  dfs AS (SELECT term, count(*) FILTER (tf > 0) AS df FROM freq GROUP BY term),
+  bm AS (SELECT id, -sum(greatest(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END, 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * d / l))) AS bm25
+    FROM freq JOIN dfs USING (term), stat GROUP BY id HAVING sum(tf) > 0)"""
+TOP_SQL = f"top AS (SELECT id, bm25 FROM bm JOIN memories USING (id) WHERE {ACTIVE_SQL} ORDER BY round(bm25, 9), id LIMIT 100)"
+VECTOR_SQL = "[" + ", ".join(map(repr, QUERY_VECTOR)) + "]::DOUBLE[]"
+COSINE_SQL = f"""CASE WHEN list_dot_product(embedding, embedding) > 0 THEN greatest(0.0, least(1.0,
+    (list_dot_product(embedding, {VECTOR_SQL}) / (sqrt(list_dot_product(embedding, embedding)) * sqrt(list_dot_product({VECTOR_SQL}, {VECTOR_SQL}))) + 1) / 2)) ELSE 0.0 END"""
+NEAR_SQL = f"""near AS (SELECT id, {COSINE_SQL} AS semantic FROM (SELECT * FROM memories WHERE {ACTIVE_SQL} AND embedding IS NOT NULL ORDER BY updated_at DESC, id LIMIT 1000) ORDER BY round(semantic, 9) DESC, id LIMIT 100)"""
+NOISY_SQL = """(scope_type = 'global' AND canonical_key IS NULL AND NOT list_contains(tags, 'canonical') AND NOT list_contains(tags, 'user-preference')
+    AND (captured OR list_has_any(tags, ['captured', 'transcript', 'turn-log']) OR (list_contains(tags, 'import') AND list_has_any(tags, ['chatgpt-export', 'codex-session', 'claude-session']))))"""
+RECENCY_SQL = "exp(-greatest(0, epoch_us(TIMESTAMP '2024-03-01') - epoch_us(updated_at)) / 86400e6 / 30.0)"
+BOOST_SQL = "CASE scope_type WHEN 'global' THEN 0.03 WHEN 'project' THEN 0.05 ELSE 0.08 END"
+
+
+def ranking_sql(found: str, base: str, limit: int = 20) -> str:
+    return f"""scored AS (SELECT m.id, m.updated_at, {NOISY_SQL} AND lex = 0 AS backfill,
+      greatest(0.0, least(1.0, greatest(0.0, least(1.0, {base} + {BOOST_SQL})) - CASE WHEN NOT {NOISY_SQL} THEN 0 WHEN lex > 0 THEN 0.08 ELSE 0.18 END)) AS score
+      FROM ({found}) f JOIN memories m ON m.id = f.id WHERE {ACTIVE_SQL}),
+    ordered AS (SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY backfill, round(score, 9) DESC, updated_at DESC, id)::INT AS rank, count(*) OVER () AS total FROM scored)
+    SELECT id, score, rank, total FROM ordered WHERE rank <= {limit}"""
+
+
+def shown(found: DataFrame) -> DataFrame:
+    return found.select("id", F.round("score", 6).alias("score"), "rank", "total")
+
+
+@query(over_memories(f", {TOKENS_SQL}, {TOP_SQL}, {ranking_sql('SELECT id, 1.0 AS lex FROM top', f'0.75 * lex + 0.15 * importance + 0.1 * {RECENCY_SQL}')}"))
+def search_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(search.search(memories(spark, sf_dir), QUERY, EVERYWHERE, NOW))
+
+
+@query(over_memories(f", {TOKENS_SQL} SELECT id, round(bm25, 6) AS bm25 FROM bm"))
+def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = memories(spark, sf_dir).where("deleted_at is null")
+    return lexical.scored(rows, QUERY).select("id", F.round("bm25", 6).alias("bm25"))
+
+
+@query(over_memories(f", {NEAR_SQL} SELECT id, round(semantic, 6) AS semantic FROM near"))
+def search_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = search.semantic_candidates(memories(spark, sf_dir).where(active(NOW)), QUERY_VECTOR)
+    return near.select("id", F.round("semantic", 6).alias("semantic"))
+
+
+@query(over_memories(f", {TOKENS_SQL}, {TOP_SQL}, {NEAR_SQL}, " + ranking_sql(
+    "SELECT coalesce(top.id, near.id) AS id, CASE WHEN bm25 IS NULL THEN 0.0 ELSE 1.0 END AS lex, coalesce(semantic, 0.0) AS sem FROM top FULL JOIN near ON top.id = near.id",
+    f"0.5 * sem + 0.35 * lex + 0.1 * importance + 0.05 * {RECENCY_SQL}")))
+def search_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(search.search(memories(spark, sf_dir), QUERY, EVERYWHERE, NOW, vector=QUERY_VECTOR))
+
+
+@query(over_memories(f", parts AS (SELECT label::VARCHAR AS parent_id, vec_id AS chunk_index, {COSINE_SQL.replace('embedding', 'v')} AS semantic FROM (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings) JOIN memories ON id = label::VARCHAR WHERE {ACTIVE_SQL})"
+    " SELECT parent_id AS id, round(max(semantic), 6) AS semantic, arg_max(chunk_index, round(semantic, 9) * 1e9 - chunk_index / 1e9) AS chunk_index FROM parts GROUP BY 1"))
+def chunk_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as a chunk of the memory named by its label."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("parent_id"), F.col("vec_id").alias("chunk_index"), F.lit("").alias("content"), F.col("embedding").cast("array<double>").alias("embedding"))
+    parents = memories(spark, sf_dir).where(active(NOW))
+    n = 1 << 30  # the whole table, no candidate caps
+    found = search.chunk_candidates(e, parents, QUERY_VECTOR, n, n)
+    return found.select("id", F.round("semantic", 6).alias("semantic"), F.col("chunk.chunk_index").alias("chunk_index"))
+
+
+@query(over_memories(f"SELECT id, {NOISY_SQL} AS noisy FROM memories"))
+def noise_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noisy = S.noisy(F.col("scope_type"), F.col("content"), F.col("tags"), F.col("captured"), F.col("canonical_key"))
+    return memories(spark, sf_dir).select("id", noisy.alias("noisy"))
+
+
+@query(over_memories(f"SELECT id, round({RECENCY_SQL}, 6) AS recency, round(least(1.0, 0.15 * importance + 0.1 * {RECENCY_SQL} + {BOOST_SQL}), 6) AS base FROM memories"))
+def recency_scope_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recency = S.recency(F.col("updated_at"), NOW)
+    base = S.combined(F.lit(0.0), F.lit(0.0), S.importance(F.col("importance")), recency, F.col("scope_type"), False)
+    return memories(spark, sf_dir).select("id", F.round(recency, 6).alias("recency"), F.round(base, 6).alias("base"))
+
+
+PACK_RANKED_SQL = f"items AS (SELECT id, content, row_number() OVER (ORDER BY updated_at DESC, id)::INT AS rank, ceil(length(content) / 4)::BIGINT + 20 AS cost FROM memories WHERE {ACTIVE_SQL} ORDER BY updated_at DESC, id LIMIT 200)"
+
+
+def newest_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    newest = memories(spark, sf_dir).where(active(NOW)).orderBy(F.desc("updated_at"), "id").limit(search.MAX_LIMIT)
+    return newest.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("updated_at"), "id")))
+
+
+@query(over_memories(f""", {PACK_RANKED_SQL}, fold AS (SELECT 0 AS rank, 0::BIGINT AS used, []::VARCHAR[] AS ids UNION ALL
+    SELECT i.rank, CASE WHEN len(ids) < 12 AND (len(ids) = 0 OR used + cost <= 1200) THEN used + cost ELSE used END,
+      CASE WHEN len(ids) < 12 AND (len(ids) = 0 OR used + cost <= 1200) THEN list_append(ids, i.id) ELSE ids END FROM fold JOIN items i ON i.rank = fold.rank + 1)
+  SELECT unnest(ids) AS id, generate_subscripts(ids, 1)::INT AS place, used FROM (SELECT * FROM fold ORDER BY rank DESC LIMIT 1)"""))
+def token_budget_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.pack_tokens(newest_ranked(spark, sf_dir))
+
+
+@query()
+def byte_budget_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.pack_bytes(newest_ranked(spark, sf_dir), 20_000)
+
+
+@query()
+def context_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.summary(newest_ranked(spark, sf_dir))
+
+
+# --- canonical preferences -----------------------------------------------------------------------------------------
+
+PRIORITY_SQL = "CASE scope_type WHEN 'session' THEN 3 WHEN 'project' THEN 2 ELSE 1 END"
+
+
+@query(over_memories(f"SELECT canonical_key, id, content FROM (SELECT *, row_number() OVER (PARTITION BY canonical_key ORDER BY {PRIORITY_SQL} DESC, updated_at DESC, id) AS r FROM memories WHERE {ACTIVE_SQL} AND canonical_key IS NOT NULL) WHERE r = 1"))
+def canonical_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.winners(memories(spark, sf_dir).where(active(NOW))).select("canonical_key", "id", "content")
+
+
+@query(over_memories("SELECT id, row_number() OVER (PARTITION BY scope_type, coalesce(scope_id, ''), canonical_key ORDER BY updated_at DESC, created_at DESC, id DESC)::INT AS dup_rank FROM memories WHERE deleted_at IS NULL AND canonical_key IS NOT NULL"))
+def canonical_dedupe_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.duplicate_ranks(memories(spark, sf_dir)).select("id", "dup_rank")
+
+
+@query(over_memories("""SELECT id, sum(new) OVER (PARTITION BY scope_type, coalesce(scope_id, ''), canonical_key ORDER BY seq)::BIGINT AS version FROM (
+    SELECT *, CASE WHEN lag(content_hash) OVER w IS DISTINCT FROM content_hash OR lag(deleted_at) OVER w IS NOT NULL THEN 1 ELSE 0 END AS new
+    FROM memories WHERE canonical_key IS NOT NULL WINDOW w AS (PARTITION BY scope_type, coalesce(scope_id, ''), canonical_key ORDER BY seq))"""))
+def canonical_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.versions(memories(spark, sf_dir)).select("id", "version")
+
+
+@query(over_memories("SELECT id, canonical_key, row_number() OVER (PARTITION BY canonical_key ORDER BY deleted_at IS NOT NULL, updated_at DESC, id)::INT AS place FROM memories WHERE canonical_key IS NOT NULL AND (expires_at IS NULL OR expires_at > TIMESTAMP '2024-03-01')"))
+def canonical_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.timeline(memories(spark, sf_dir), None, NOW, None).select("id", "canonical_key", "place")
+
+
+PREFERENCE_SQL = f"""pool AS (SELECT * FROM memories WHERE {ACTIVE_SQL} AND canonical_key IS NOT NULL ORDER BY updated_at DESC, id LIMIT 200),
+  hit AS (SELECT *, (lower(canonical_key || ' ' || content) LIKE '%favorite%')::INT + (lower(canonical_key || ' ' || content) LIKE '%color%')::INT + (lower(canonical_key || ' ' || content) LIKE '%fr\\_%' ESCAPE '\\')::INT AS match FROM pool),
+  best AS (SELECT * FROM hit WHERE match > 0 AND match = (SELECT max(match) FROM hit))"""
+PREFERENCE_TERMS = ["favorite", "color", "fr_"]
+
+
+@query(over_memories(f", {PREFERENCE_SQL} SELECT id, match, round(least(0.99, 0.8 + 0.05 * match)::DOUBLE, 6) AS effective FROM best"))
+def preference_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = canonical.preference_candidates(memories(spark, sf_dir), PREFERENCE_TERMS, NOW)
+    return found.select("id", "match", F.round("effective", 6).alias("effective"))
+
+
+@query(over_memories(f", {PREFERENCE_SQL} SELECT id, row_number() OVER (ORDER BY match DESC, {PRIORITY_SQL} DESC, updated_at DESC, id)::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY canonical_key ORDER BY {PRIORITY_SQL} DESC, updated_at DESC, id) AS r FROM best) WHERE r = 1"))
+def preferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.preferred(memories(spark, sf_dir), PREFERENCE_TERMS, NOW).select("id", "rank")
+
+
+@query(over_memories("SELECT id, canonical_key, regexp_replace(regexp_replace(lower(trim(substr(content, 1, 40))), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS key FROM memories WHERE length(regexp_replace(lower(trim(substr(content, 1, 40))), '[^a-z0-9]+', '', 'g')) > 0 AND strpos(substr(content, 1, 40), '''') = 0"))
+def canonical_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = X.canonical_key(F.substring("content", 1, 40))
+    return memories(spark, sf_dir).select("id", "canonical_key", key.alias("key"), F.substring("content", 1, 40).contains("'").alias("q")).where("key is not null and not q").drop("q")
+
+
+# --- facts, redaction, chunks --------------------------------------------------------------------------------------
+
+FACTS_SQL = r"""parts AS (SELECT conv_id, turn, unnest(p) AS fact, generate_subscripts(p, 1) - 1 AS pos FROM (SELECT conv_id, turn, list_filter(list_transform(string_split_regex(regexp_replace(coalesce(text, '') || CASE WHEN turn % 3 = 0 THEN chr(10) || 'We must always remember: deadline 7.' ELSE '' END, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(x)), lambda x: length(x) BETWEEN 20 AND 600) AS p FROM conversations)),
+  firsts AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, lower(fact) ORDER BY pos) AS r FROM parts),
+  scored AS (SELECT conv_id, turn, pos, fact, least(length(fact) / 120.0, 1.25)
+     + CASE WHEN regexp_matches(fact, '(?i)\b(prefer|always|never|must|should|avoid|remember|deadline|owner|path|repo|project|session)\b') THEN 1.0 ELSE 0.0 END
+     + CASE WHEN regexp_matches(fact, '[0-9]') THEN 0.25 ELSE 0.0 END + CASE WHEN regexp_matches(fact, '[:;]') THEN 0.15 ELSE 0.0 END - CASE WHEN length(fact) < 30 THEN 0.3 ELSE 0.0 END AS score FROM firsts WHERE r = 1)"""
+
+
+def said(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations, every third turn with a likely fact."""
+    extra = F.when(F.col("turn") % 3 == 0, "\nWe must always remember: deadline 7.").otherwise("")
+    return table(spark, sf_dir, "conversations").withColumn("text", F.concat(F.coalesce("text", F.lit("")), extra))
+
+
+@query(f"WITH {FACTS_SQL} SELECT conv_id, turn, fact FROM scored")
+def fact_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.candidates(said(spark, sf_dir)).select("conv_id", "turn", "fact")
+
+
+@query(f"WITH {FACTS_SQL} SELECT conv_id, turn, fact, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, pos)::INT AS rank FROM scored) WHERE rank <= 5")
+def fact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.best(said(spark, sf_dir), ["conv_id", "turn"]).select("conv_id", "turn", "fact", F.round("score", 6).alias("score"), "rank")
+
+
+@query(over_memories(r"SELECT id, sha256(regexp_replace(regexp_replace(content, 'sk-[A-Za-z0-9]{20,}', '[REDACTED_OPENAI_KEY]', 'g'), '(?i)(Bearer\s+)[A-Za-z0-9._\-]{20,}', '\1[REDACTED_BEARER_TOKEN]', 'g')) AS text_hash, regexp_matches(content, 'sk-[A-Za-z0-9]{20,}') AS redacted FROM memories"))
+def redact_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = memories(spark, sf_dir).withColumn("r", redacted(F.col("content")))
+    return rows.select("id", X.content_hash(F.col("r.text")).alias("text_hash"), F.col("r.redacted").alias("redacted"))
+
+
+@query(r"""WITH rows AS (SELECT doc_id, 'token ' || upper(substr(sha256(doc_id::VARCHAR), 1, 16)) || sha256(doc_id::VARCHAR)[17:40] AS t FROM documents),
+  tok AS (SELECT doc_id, t, substr(t, 7) AS k FROM rows),
+  ent AS (SELECT doc_id, t, k, (SELECT -sum(c / 40.0 * log2(c / 40.0)) FROM (SELECT count(*) AS c FROM (SELECT unnest(string_split(k, '')) AS x) GROUP BY x)) AS bits FROM tok)
+  SELECT doc_id, CASE WHEN bits >= 3.8 AND regexp_matches(k, '[A-Z]') AND regexp_matches(k, '[a-z]') AND regexp_matches(k, '[0-9]') THEN 'token [REDACTED_SECRET]' ELSE t END AS text FROM ent""")
+def redact_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.sha2(F.col("doc_id").cast("string"), 256)
+    t = F.concat(F.lit("token "), F.upper(F.substring(h, 1, 16)), F.substring(h, 17, 24))
+    return table(spark, sf_dir, "documents").select("doc_id", redacted(t)["text"].alias("text"))
+
+
+@query()
+def chunk_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    return chunks.split(docs, "doc_id", "text", 2000, 200).select(F.col("parent_id").alias("doc_id"), "chunk_index", "start_byte", "end_byte")
+
+
+# --- conversations -------------------------------------------------------------------------------------------------
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").where("role in ('user', 'assistant')").select(F.col("conv_id").alias("session"), F.col("turn").alias("pos"), F.col("turn").cast("string").alias("at"), "role", F.trim("text").alias("text"))
+
+
+@query("SELECT conv_id AS session, string_agg('[' || turn || '] ' || CASE role WHEN 'user' THEN 'User' ELSE 'Assistant' END || ': ' || trim(text), chr(10) || chr(10) ORDER BY turn) AS transcript, count(*)::INT AS messages FROM conversations WHERE role IN ('user', 'assistant') GROUP BY 1")
+def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.transcripts(messages(spark, sf_dir))
+
+
+@query("SELECT conv_id AS session, turn AS pos FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations WHERE role IN ('user', 'assistant')) WHERE r <= 3")
+def transcript_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.tail(messages(spark, sf_dir), 3).select("session", "pos")
+
+
+@query("""SELECT conv_id, turn, text AS prompt, a AS answer FROM (SELECT *, lead(role) OVER w AS r, lead(text) OVER w AS a FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+  WHERE role = 'user' AND r = 'assistant' AND trim(a) <> '' AND trim(text) NOT LIKE '/%'""")
+def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.batch_turns(table(spark, sf_dir, "conversations"))
+
+
+def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as chains of turns, every third turn with a side branch of its own."""
+    c = table(spark, sf_dir, "conversations")
+    at = F.lpad(F.col("turn").cast("string"), 6, "0")
+    first = F.min("turn").over(Window.partitionBy("conv_id"))
+    parent = F.when(F.col("turn") > first, F.lpad((F.col("turn") - 1).cast("string"), 6, "0"))
+    main = c.select(F.col("conv_id").cast("string").alias("conv"), at.alias("id"), parent.alias("parent"), F.col("turn").cast("double").alias("time"))
+    side = c.where("turn % 3 = 0").select(F.col("conv_id").cast("string").alias("conv"), F.concat(at, F.lit("b")).alias("id"), at.alias("parent"), F.lit(None).cast("double").alias("time"))
+    return main.unionByName(side)
+
+
+NODES_SQL = """nodes AS (SELECT conv_id::VARCHAR AS conv, lpad(turn::VARCHAR, 6, '0') AS id, CASE WHEN turn > min(turn) OVER (PARTITION BY conv_id) THEN lpad((turn - 1)::VARCHAR, 6, '0') END AS parent FROM conversations
+    UNION ALL SELECT conv_id::VARCHAR, lpad(turn::VARCHAR, 6, '0') || 'b', lpad(turn::VARCHAR, 6, '0') FROM conversations WHERE turn % 3 = 0)"""
+WALK_SQL = "walk AS ({start} UNION ALL SELECT w.conv, leaf, n.parent AS at, n.parent || '|' || path, n_ids + 1 FROM walk w JOIN nodes n ON n.conv = w.conv AND n.id = w.at WHERE n.parent IS NOT NULL)"
+
+
+@query(f"WITH RECURSIVE {NODES_SQL}, {WALK_SQL.format(start='SELECT conv, max(id) AS leaf, max(id) AS at, max(id) AS path, 1 AS n_ids FROM nodes GROUP BY conv')} SELECT conv, arg_max(path, n_ids) AS path FROM walk GROUP BY conv")
+def tree_active_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = tree_nodes(spark, sf_dir)
+    current = nodes.groupBy("conv").agg(F.max("id").alias("current"))
+    return trees.active_paths(current, nodes).select("conv", F.array_join("path", "|").alias("path"))
+
+
+@query(f"WITH RECURSIVE {NODES_SQL}, {WALK_SQL.format(start='SELECT conv, id AS leaf, id AS at, id AS path, 1 AS n_ids FROM nodes a WHERE NOT EXISTS (SELECT 1 FROM nodes b WHERE b.conv = a.conv AND b.parent = a.id)')}, full_paths AS (SELECT conv, leaf, arg_max(path, n_ids) AS path, max(n_ids) AS n FROM walk GROUP BY conv, leaf) SELECT conv, path FROM (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY n DESC, path) AS r FROM full_paths) WHERE r = 1")
+def tree_longest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.longest_paths(tree_nodes(spark, sf_dir)).select("conv", F.array_join("path", "|").alias("path"))
+
+
+@query("SELECT role, count(*) AS processed, count(*) FILTER (length(text) > 0) AS kept, count(DISTINCT text) AS distinct_texts, sum(strlen(text))::BIGINT AS bytes FROM conversations GROUP BY role")
+def import_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("processed"), F.count_if(F.length("text") > 0).alias("kept"), F.countDistinct("text").alias("distinct_texts"), F.sum(F.octet_length("text")).cast("long").alias("bytes"))
+
+
+EVENT_NAMES = ("memory_search", "web_search", "shell", "tool_search", "editor")
+
+
+@query("""WITH e AS (SELECT user_id AS session, event_id AS pos, CASE event_id % 4 WHEN 3 THEN 'result' ELSE 'call' END AS kind, ['memory_search', 'web_search', 'shell', 'tool_search', 'editor'][(event_id % 5 + 1)::INT] AS name, (user_id || '-' || (event_id // 4))::VARCHAR AS call_id FROM events),
+  c AS (SELECT *, name = 'memory_search' AS own FROM e WHERE kind = 'call'),
+  k AS (SELECT session, call_id, min(pos) AS p, bool_or(own) AS own, arg_max(name, pos) AS name FROM c GROUP BY 1, 2),
+  r AS (SELECT e.session, k.own, k.name FROM e JOIN k ON e.session = k.session AND e.call_id = k.call_id AND k.p < e.pos WHERE kind = 'result'),
+  f AS (SELECT session, CASE WHEN own THEN 'own_call' ELSE 'call' END AS what, name FROM c UNION ALL SELECT session, CASE WHEN own THEN 'own_result' ELSE 'result' END, name FROM r)
+  SELECT session, count(*) FILTER (what = 'call') AS tool_calls, count(*) FILTER (what = 'result') AS tool_results, count(*) FILTER (what = 'call' AND name = 'web_search') AS web_calls,
+    count(*) FILTER (what = 'call' AND name = 'tool_search') AS search_calls, count(*) FILTER (what = 'own_call') AS own_calls, count(*) FILTER (what = 'own_result') AS own_results,
+    coalesce(string_agg(DISTINCT name, ',' ORDER BY name) FILTER (what IN ('call', 'result')), '') AS names FROM f GROUP BY 1""")
+def tool_assistance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    n = F.col("event_id")
+    name = F.element_at(F.array(*map(F.lit, EVENT_NAMES)), (n % 5 + 1).cast("int"))
+    rows = e.select(F.col("user_id").alias("session"), n.alias("pos"), F.when(n % 4 == 3, "result").otherwise("call").alias("kind"), name.alias("name"), F.concat(F.col("user_id").cast("string"), F.lit("-"), F.floor(n / 4).cast("string")).alias("call_id"))
+    return tools.assistance(rows).drop("reasons", "assisted").withColumn("names", F.array_join("names", ","))
+
+
+# --- maintenance ---------------------------------------------------------------------------------------------------
+
+
+@query(over_memories(f"""SELECT count(*) AS total, count(*) FILTER ({ACTIVE_SQL}) AS active, count(*) FILTER (deleted_at IS NOT NULL) AS soft_deleted,
+  count(*) FILTER (deleted_at IS NULL AND expires_at < TIMESTAMP '2024-03-01') AS expired_active, count(*) FILTER (deleted_at IS NULL AND embedding IS NOT NULL) AS embedding_rows,
+  coalesce(max(CASE WHEN {ACTIVE_SQL} THEN strlen(content) END), 0) AS max_content_bytes FROM memories"""))
+def health_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintenance.health(memories(spark, sf_dir), NOW).drop("embedding_bytes", "avg_embedding_bytes")
+
+
+@query(over_memories(f"SELECT s.scope_type, count(m.id) AS active FROM (SELECT unnest(['global', 'project', 'session']) AS scope_type) s LEFT JOIN (SELECT * FROM memories WHERE {ACTIVE_SQL}) m ON m.scope_type = s.scope_type GROUP BY 1"))
+def scope_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintenance.scope_counts(memories(spark, sf_dir), NOW)
+
+
+FREE_SQL = "canonical_key IS NULL AND NOT list_contains(tags, 'canonical') AND NOT list_contains(tags, 'user-preference')"
+EXPIRED_SQL = f"SELECT id FROM memories WHERE deleted_at IS NULL AND expires_at <= TIMESTAMP '2024-02-23' AND {FREE_SQL}"
+CAPTURED_SQL = f"SELECT id FROM memories WHERE deleted_at IS NULL AND updated_at <= TIMESTAMP '2024-03-01' - INTERVAL 45 DAY AND (captured OR list_contains(tags, 'captured')) AND {FREE_SQL} AND id NOT IN ({EXPIRED_SQL})"
+
+
+@query(over_memories(EXPIRED_SQL))
+def cleanup_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintenance.expired_candidates(memories(spark, sf_dir), NOW).select("id")
+
+
+@query(over_memories(CAPTURED_SQL))
+def cleanup_captured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintenance.captured_candidates(memories(spark, sf_dir), NOW).select("id")
+
+
+@query(over_memories(f"SELECT scope_type, count(*) AS rows, count(*) FILTER (deleted_at IS NOT NULL OR id IN ({EXPIRED_SQL}) OR id IN ({CAPTURED_SQL})) AS deleted FROM memories GROUP BY 1"))
+def cleanup_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = maintenance.apply_cleanup(memories(spark, sf_dir), NOW)
+    return done.groupBy("scope_type").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("deleted_at").isNotNull()).alias("deleted"))
+
+
+@query(over_memories("""SELECT id, CASE WHEN list_contains(tags, 'transcript') OR source_agent LIKE '%-import' THEN 'transcript_provenance'
+  WHEN scope_type = 'global' AND (canonical_key IS NOT NULL OR list_contains(tags, 'canonical')) THEN 'durable_global_preference'
+  WHEN scope_type = 'project' AND (canonical_key IS NOT NULL OR list_contains(tags, 'design')) THEN 'durable_project_memory'
+  WHEN captured OR list_has_any(tags, ['captured', 'import']) THEN 'ephemeral_noise' ELSE 'unclassified' END AS class FROM memories"""))
+def durability_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintenance.durability(memories(spark, sf_dir)).select("id", "class")
+
+
+@query("""WITH daily AS (SELECT date_trunc('day', ts)::TIMESTAMP AS t, count(*) AS active, count(DISTINCT user_id) AS keys, sum(strlen(props))::BIGINT AS bytes, count(*) FILTER (event_id % 400 = 0) AS expired_active FROM events GROUP BY 1),
+  n AS (SELECT *, row_number() OVER (ORDER BY t) AS i, lag(bytes) OVER (ORDER BY t) AS pb, lag(active) OVER (ORDER BY t) AS pa, lag(keys) OVER (ORDER BY t) AS pk,
+    last_value(bytes) OVER (ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 6 DAY PRECEDING) AS wb FROM daily),
+  z AS (SELECT *, i - coalesce(max(CASE WHEN expired_active <= 0 THEN i END) OVER (ORDER BY t), 0) AS streak, round((bytes - pb) / pb, 6) AS day_growth, round((bytes - wb) / wb, 6) AS week_growth FROM n)
+  SELECT strftime(t, '%Y-%m-%d') AS day, day_growth, week_growth, active - pa AS active_change, keys - pk AS key_change, streak::INT AS streak,
+    concat_ws(',', CASE WHEN (bytes - pb) / pb > 0.05 THEN 'day_growth' END, CASE WHEN (bytes - wb) / wb > 0.2 THEN 'week_growth' END, CASE WHEN active - pa > 500 THEN 'active_jump' END, CASE WHEN keys - pk > 250 THEN 'key_jump' END, CASE WHEN streak >= 3 THEN 'expired_streak' END, CASE WHEN bytes > 1048576 THEN 'large_store' END) AS alerts FROM z""")
+def health_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    daily = e.groupBy(F.date_trunc("day", F.col("ts").cast("timestamp")).alias("at")).agg(F.count(F.lit(1)).alias("active"), F.countDistinct("user_id").alias("keys"), F.sum(F.octet_length("props")).alias("bytes"), F.count_if(F.col("event_id") % 400 == 0).alias("expired_active"))
+    found = maintenance.drift(daily)
+    return found.select(F.date_format("at", "yyyy-MM-dd").alias("day"), F.round("day_growth", 6).alias("day_growth"), F.round("week_growth", 6).alias("week_growth"), "active_change", "key_change", "streak", "alerts")
+
+
+@query(over_memories("SELECT id, length(content) AS content_chars FROM memories WHERE deleted_at IS NULL AND embedding IS NULL"))
+def missing_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintenance.missing_embeddings(memories(spark, sf_dir))
+
+
+@query("SELECT user_id || '-' || event_type AS key, arg_max(event_id, event_id) AS memory_id, max(event_id) AS seq FROM events GROUP BY 1")
+def idempotency_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return ingest.latest_bindings(e.select(F.concat_ws("-", F.col("user_id").cast("string"), "event_type").alias("key"), F.col("event_id").alias("memory_id"), F.col("event_id").alias("seq")))
+
+
+@query(over_memories("SELECT id, deleted_at IS NOT NULL OR (scope_type = 'session' AND scope_id = 's2' AND updated_at <= TIMESTAMP '2024-02-01') AS deleted FROM memories"))
+def forget_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from datetime import datetime
+
+    done = ingest.forget(memories(spark, sf_dir), Scope("session", "s2"), NOW, datetime(2024, 2, 1))
+    return done.select("id", F.col("deleted_at").isNotNull().alias("deleted"))
+
+
+@query(over_memories(""", writes AS (SELECT conv_id, turn, 'Favorite ' || role || ' topic: ' || (turn % 3) AS content FROM conversations WHERE role <> 'system'),
+  v AS (SELECT *, CASE WHEN lag(content) OVER w IS DISTINCT FROM content THEN 1 ELSE 0 END AS new FROM (SELECT *, regexp_extract(content, 'Favorite (\\w+)', 1) AS k FROM writes) WINDOW w AS (PARTITION BY conv_id, k ORDER BY turn))
+  SELECT conv_id::VARCHAR AS scope_id, 'favorite_' || k || '_topic' AS canonical_key, sum(new)::BIGINT AS versions, arg_max(content, turn) AS content FROM v GROUP BY 1, 2""".replace("\\\\", "\\")))
+def upsert_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preferences written turn by turn into an empty store: versions of each key, and the one that stays active."""
+    c = table(spark, sf_dir, "conversations").where("role <> 'system'")
+    no = lambda kind: F.lit(None).cast(kind)
+    batch = c.select(
+        F.col("turn").alias("seq"), F.lit(NOW).cast("timestamp").alias("at"), no("string").alias("idempotency_key"), F.lit("session").alias("scope_type"), F.col("conv_id").cast("string").alias("scope_id"),
+        F.concat(F.lit("Favorite "), "role", F.lit(" topic: "), (F.col("turn") % 3).cast("string")).alias("content"), F.array(F.lit("canonical")).alias("tags"), no("double").alias("importance"),
+        no("int").alias("ttl_days"), no("string").alias("key"), F.lit(False).alias("captured"), no("string").alias("source_agent"),
+    )
+    empty = spark.createDataFrame([], "id string, scope_type string, scope_id string, content string, content_hash string, canonical_key string, tags array<string>, importance double, captured boolean, source_agent string, created_at timestamp, updated_at timestamp, expires_at timestamp, deleted_at timestamp, seq bigint")
+    done = ingest.upsert(empty, batch)
+    return done.groupBy("scope_id", "canonical_key").agg(F.count(F.lit(1)).alias("versions"), F.max(F.when(F.col("deleted_at").isNull(), F.col("content"))).alias("content"))
+
+
+@query("SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    found = turns.event_windows(e)
+    return found.select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+  s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, k""")
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return turns.sessions(e).select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")

@@ -49,7 +49,7 @@ def scored(rows: DataFrame, query: str, text: str = "content") -> DataFrame:
 
 
 def candidates(rows: DataFrame, query: str, limit: int = CANDIDATES, where: Column | None = None, text: str = "content") -> DataFrame:
-    """(id, bm25) of the best rows that pass where; ties by id."""
+    """(id, bm25) of the best rows that pass where; scores equal to nine places are ties, ordered by id."""
     found = scored(rows, query, text)
     found = found if where is None else found.where(where)
-    return found.select("id", "bm25").orderBy("bm25", "id").limit(limit)
+    return found.select("id", "bm25").orderBy(F.round("bm25", 9), "id").limit(limit)

@@ -25,7 +25,7 @@ def semantic_candidates(rows: DataFrame, query: list[float], pool: int = ROW_POO
     """(id, semantic) of the nearest among the pool newest rows with an embedding."""
     newest = rows.where(F.col("embedding").isNotNull()).select("id", "embedding", "updated_at").orderBy(F.desc("updated_at"), "id").limit(pool)
     near = newest.select("id", S.cosine(F.col("embedding"), vector_literal(query)).alias("semantic"))
-    return near.orderBy(F.desc("semantic"), "id").limit(kept)
+    return near.orderBy(F.round("semantic", 9).desc(), "id").limit(kept)
 
 
 def chunk_candidates(chunks: DataFrame, parents: DataFrame, query: list[float], pool: int = CHUNK_POOL, kept: int = CHUNK_KEPT) -> DataFrame:
@@ -33,9 +33,9 @@ def chunk_candidates(chunks: DataFrame, parents: DataFrame, query: list[float],
     joined = chunks.join(parents.select(F.col("id").alias("parent_id"), F.col("updated_at").alias("_at")), "parent_id")
     newest = joined.where(F.col("embedding").isNotNull()).orderBy(F.desc("_at"), "parent_id", "chunk_index").limit(pool)
     near = newest.withColumn("semantic", S.cosine(F.col("embedding"), vector_literal(query)))
-    near = near.orderBy(F.desc("semantic"), "parent_id", "chunk_index").limit(kept)
+    near = near.orderBy(F.round("semantic", 9).desc(), "parent_id", "chunk_index").limit(kept)
     chunk = F.struct("chunk_index", "content")
-    best = F.max_by(F.struct("semantic", chunk.alias("chunk")), F.struct("semantic", -F.col("chunk_index")))
+    best = F.max_by(F.struct("semantic", chunk.alias("chunk")), F.struct(F.round("semantic", 9), -F.col("chunk_index")))
     return near.groupBy(F.col("parent_id").alias("id")).agg(best.alias("b")).select("id", "b.semantic", "b.chunk")
 
 
@@ -55,7 +55,7 @@ def ranked(candidates: DataFrame, now: datetime, embeddings: bool, min_score: fl
     rows = candidates.withColumn("_noisy", noisy).withColumn("_lexical", lexical_score)
     rows = rows.withColumn("score", S.unit(base - S.penalty(F.col("_noisy"), F.col("_lexical"))))
     rows = rows.withColumn("backfill", F.col("_noisy") & (F.col("_lexical") <= 0)).where(F.col("score") >= max(0.0, min(1.0, min_score)))
-    order = Window.orderBy("backfill", F.desc("score"), F.desc("updated_at"), "id")  # candidates are bounded
+    order = Window.orderBy("backfill", F.round("score", 9).desc(), F.desc("updated_at"), "id")  # candidates are bounded
     return rows.withColumn("rank", F.row_number().over(order)).withColumnRenamed("_noisy", "noisy").drop("_lexical")
 
 

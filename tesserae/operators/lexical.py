@@ -32,19 +32,22 @@ def scored(rows: DataFrame, query: str, text: str = "content") -> DataFrame:
     rows are all that is indexed: they define document frequencies and mean length, whatever is filtered later.
     """
     terms = query_terms(query)
-    names = [f"_tf{k}" for k in range(len(terms))]
     if not terms:
         return rows.withColumn("bm25", F.lit(0.0)).where(F.lit(False))
-    counted = rows.withColumn("_tokens", tokens(F.coalesce(F.col(text), F.lit(""))))
-    counted = counted.withColumns({n: _frequency(F.col("_tokens"), t) for n, t in zip(names, terms)} | {"_len": F.size("_tokens")}).drop("_tokens")
-    corpus = counted.agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"), *(F.count_if(F.col(n) > 0).alias(f"_df{n}") for n in names))
-    hits = counted.where(reduce(lambda a, b: a | b, (F.col(n) > 0 for n in names))).crossJoin(F.broadcast(corpus))  # one row
+    # one array for each row, [tokens, frequency of each term], so that a text is cut into tokens once
+    count = lambda t: F.array(F.size(t), *(_frequency(t, p) for p in terms))
+    counts = F.get(F.transform(F.array(tokens(F.coalesce(F.col(text), F.lit("")))), count), F.lit(0))
+    counted = rows.withColumn("_c", counts)
+    of = lambda k: F.get("_c", F.lit(k))
+    places = range(1, len(terms) + 1)
+    corpus = counted.select("_c").agg(F.count(F.lit(1)).alias("_n"), F.avg(of(0)).alias("_avg"), *(F.count_if(of(k) > 0).alias(f"_df{k}") for k in places))
+    hits = counted.where(F.array_max(F.slice("_c", 2, len(terms))) > 0).crossJoin(F.broadcast(corpus))  # one row
     score = F.lit(0.0)
-    for n in names:
-        df, tf = F.col(f"_df{n}"), F.col(n)
+    for k in places:
+        df, tf = F.col(f"_df{k}"), of(k)
         idf = F.log((F.col("_n") - df + 0.5) / (df + 0.5))
         idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
-        score = score - idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
+        score = score - idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * of(0) / F.col("_avg")))
     return hits.withColumn("bm25", score).select(*rows.columns, "bm25")
 
 

@@ -75,18 +75,19 @@ def search(memories: DataFrame, query: str, scopes: list[Scope], now: datetime,
         found = found.join(near, "id", "full_outer")
     else:
         found = found.withColumn("semantic", F.lit(None).cast("double"))
-    # at most some hundred candidates, so the store is filtered by a broadcast and never shuffled
-    rows = pool.join(F.broadcast(found), "id")
+    # some hundred candidates at most; with them in hand the store is filtered by a broadcast and never shuffled
+    hits = found.collect()
+    columns = [*memories.columns, "score", "rank", "total"]
+    total = F.count(F.lit(1)).over(Window.partitionBy())
+    if not hits:
+        newest = pool.orderBy(F.desc("updated_at"), "id").limit(min(100, 2 * limit)).withColumn("score", F.lit(0.0))
+        newest = newest.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("updated_at"), "id"))).withColumn("total", total)
+        return newest.where(F.col("rank") <= limit).select(columns)
+    rows = pool.join(F.broadcast(memories.sparkSession.createDataFrame(hits, found.schema)), "id")
     if chunks is not None and vector is not None:
         rows = rows.withColumn("content", F.coalesce("chunk.content", "content"))
-    best = ranked(rows, now, vector is not None, min_score)
-    best = best.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy())).where(F.col("rank") <= limit)
-    columns = [*memories.columns, "score", "rank", "total"]
-    newest = pool.orderBy(F.desc("updated_at"), "id").limit(min(100, 2 * limit)).withColumn("score", F.lit(0.0))
-    newest = newest.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("updated_at"), "id"))).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy()))
-    nothing = found.agg(F.count(F.lit(1)).alias("_found")).where("_found = 0")
-    fallback = newest.where(F.col("rank") <= limit).join(F.broadcast(nothing), how="left_semi")
-    return best.select(columns).unionByName(fallback.select(columns))
+    best = ranked(rows, now, vector is not None, min_score).withColumn("total", total)
+    return best.where(F.col("rank") <= limit).select(columns)
 
 
 def _packed(ranked: DataFrame, fits, start: float, cost: Column, limit: int | None) -> DataFrame:

@@ -83,7 +83,7 @@ def nodes(rows: DataFrame) -> DataFrame:
 
 def message_text(content: dict) -> str:
     """Text parts, then the text, trimmed, without empty ones and repeats in a row, joined by line feeds."""
-    parts = [p for p in content.get("parts") or [] if isinstance(p, str)] + [content["text"]] * isinstance(content.get("text"), str)
+    parts = [p for p in content.get("parts") or [] if isinstance(p, str)] + [content.get("text")] * isinstance(content.get("text"), str)
     clean = [p.replace("\r\n", "\n").strip() for p in parts]
     clean = [p for p in clean if p]
     return "\n".join(p for k, p in enumerate(clean) if not k or clean[k - 1] != p)

@@ -24,11 +24,11 @@ MAX_FILE_BYTES, MAX_MESSAGES = 1 << 20, 80
 
 def read(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
     """(session, modified, pos, line) of the JSON-lines files below path; pos: the line's place in its file."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("wholetext", "true").text(path)
-    files = files.select(F.col("_metadata.file_path").alias("session"), F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_size").alias("bytes"), "value")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(path)
     if max_bytes is not None:
-        files = files.where(F.col("bytes") <= max_bytes)
-    lines = files.select("session", "modified", F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
+        files = files.where(F.col("length") <= max_bytes)
+    text = F.decode("content", "UTF-8")
+    lines = files.select(F.col("path").alias("session"), F.col("modificationTime").alias("modified"), F.posexplode(F.split(text, r"\r?\n")).alias("pos", "line"))
     return lines.where(trim(F.col("line")) != "")
 
 

@@ -1,0 +1,214 @@
+import json
+import zipfile
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from tesserae.operators import facts, ingest, maintenance, tools, trees
+from tesserae.plans.scope import Scope
+from tesserae.sources import embeddings, exports, logs
+from tesserae.streaming import turns
+
+NOW = datetime(2024, 3, 1)
+STORE = "id string, scope_type string, scope_id string, content string, content_hash string, canonical_key string, tags array<string>, importance double, captured boolean, source_agent string, created_at timestamp, updated_at timestamp, expires_at timestamp, deleted_at timestamp, seq long"
+BATCH = "seq long, at timestamp, idempotency_key string, scope_type string, scope_id string, content string, tags array<string>, importance double, ttl_days int, key string, captured boolean, source_agent string"
+
+
+def write(seq, content, tags=(), importance=None, scope=("global", None), key=None, ttl=None, idem=None, agent=None):
+    return (seq, NOW + timedelta(minutes=seq), idem, *scope, content, list(tags), importance, ttl, key, None, agent)
+
+
+def stored(spark, *writes, store=None):
+    store = spark.createDataFrame([], STORE) if store is None else store
+    return ingest.upsert(store, spark.createDataFrame(list(writes), BATCH))
+
+
+def test_equal_contents_merge(spark):
+    rows = stored(spark, write(1, " same text ", ["a"], 0.3), write(2, "same text", ["b", "a"], None, agent="x"), write(3, "same text", scope=("session", "s")), write(4, "  ")).collect()
+    both = next(r for r in rows if r["scope_type"] == "global")
+    assert len(rows) == 2 and both["tags"] == ["a", "b"] and both["importance"] == 0.3 and both["source_agent"] == "x" and both["expires_at"] is None
+    session = next(r for r in rows if r["scope_type"] == "session")
+    assert session["expires_at"] == session["created_at"] + timedelta(days=14)
+
+
+def test_a_b_a_makes_three_versions(spark):
+    pref = ["canonical"]
+    rows = stored(spark, write(1, "Favorite x: a", pref), write(2, "Favorite x: b", pref), write(3, "Favorite x: b", pref), write(4, "Favorite x: a", pref)).orderBy("seq").collect()
+    assert [(r["content"], r["deleted_at"] is None) for r in rows] == [("Favorite x: a", False), ("Favorite x: b", False), ("Favorite x: a", True)]
+    assert len({r["id"] for r in rows}) == 3 and {r["canonical_key"] for r in rows} == {"favorite_x"}
+
+
+def test_batches_build_on_the_store(spark):
+    first = stored(spark, write(1, "Favorite x: a", ["canonical"]), write(2, "plain", ["t"]))
+    second = stored(spark, write(3, "Favorite x: b", ["canonical"]), write(4, "plain", ["u"], ttl=2), store=first).orderBy("seq").collect()
+    old = {r["content"]: r["id"] for r in first.collect()}
+    plain = next(r for r in second if r["content"] == "plain")
+    assert len(second) == 3 and plain["id"] == old["plain"] and plain["tags"] == ["t", "u"] and plain["expires_at"] is not None
+    assert next(r for r in second if r["content"] == "Favorite x: a")["deleted_at"] is not None
+
+
+def test_replays_are_dropped(spark):
+    store = stored(spark, write(1, "hello there", idem="k"))
+    keys = store.select(F.lit("k").alias("key"), F.col("id").alias("memory_id"), F.lit(1).alias("seq"))
+    batch = spark.createDataFrame([write(2, "hello there", idem="k"), write(3, "changed", idem="k"), write(4, "hello there", idem="other")], BATCH)
+    assert [r["seq"] for r in ingest.drop_replays(batch, store, keys).orderBy("seq").collect()] == [3, 4]
+
+
+def test_secrets_never_reach_the_store(spark):
+    rows = stored(spark, write(1, "token ghp_" + "a1B2" * 6)).collect()
+    assert rows[0]["content"] == "token [REDACTED_GITHUB_TOKEN]"
+
+
+def test_delete_forget_and_repair(spark):
+    store = stored(spark, write(1, "one text"), write(2, "two text", scope=("session", "s")), write(3, "three text", scope=("session", "s")))
+    gone = lambda df: {r["content"] for r in df.where("deleted_at is not null").collect()}
+    first = store.where("content = 'one text'").first()["id"]
+    assert gone(ingest.delete(store, [first], NOW)) == {"one text"}
+    assert gone(ingest.forget(store, Scope("session", "s"), NOW)) == {"two text", "three text"}
+    assert gone(ingest.forget(store, Scope("session", "s"), NOW, NOW + timedelta(minutes=2))) == {"two text"}
+    legacy = spark.createDataFrame([(str(k), "global", None, f"Favorite z: {k}", str(k), None, ["canonical"], 0.5, False, None, NOW, NOW + timedelta(days=k), None, None, k) for k in range(3)], STORE)
+    fixed = ingest.repaired(legacy)
+    assert gone(fixed) == {"Favorite z: 0", "Favorite z: 1"} and {r["canonical_key"] for r in fixed.collect()} == {"favorite_z"}
+
+
+def test_capture_takes_best_facts(spark):
+    texts = spark.createDataFrame([(1, NOW, "global", None, "We must always remember the owner.\nwe must always remember the owner.\nAn ordinary sentence of some length here.")], "seq long, at timestamp, scope_type string, scope_id string, text string")
+    batch = ingest.capture(texts, 1).collect()
+    assert [r["content"] for r in batch] == ["We must always remember the owner."] and batch[0]["captured"]
+    assert facts.candidates(texts, hint=F.lit("A hint that is long enough to count")).count() == 3
+
+
+def health_row(id, days, tags=(), expires=None, key=None, captured=False, scope="global", agent=None, deleted=None):
+    at = NOW - timedelta(days=days)
+    return (id, scope, None, f"content {id}", list(tags), captured, key, agent, None, at, at, expires, deleted)
+
+
+HEALTH = "id string, scope_type string, scope_id string, content string, tags array<string>, captured boolean, canonical_key string, source_agent string, embedding array<double>, created_at timestamp, updated_at timestamp, expires_at timestamp, deleted_at timestamp"
+
+
+def test_cleanup(spark):
+    rows = spark.createDataFrame([
+        health_row("expired", 60, expires=NOW - timedelta(days=8)), health_row("fresh-expired", 60, expires=NOW - timedelta(days=1)), health_row("captured", 60, captured=True), health_row("young", 10, captured=True),
+        health_row("kept", 60, ["canonical"], NOW - timedelta(days=30)), health_row("keyed", 60, expires=NOW - timedelta(days=30), key="k"), health_row("both", 60, ["captured"], NOW - timedelta(days=30)),
+    ], HEALTH)
+    names = lambda df: {r["id"] for r in df.collect()}
+    assert names(maintenance.expired_candidates(rows, NOW)) == {"expired", "both"}
+    assert names(maintenance.captured_candidates(rows, NOW)) == {"captured"}
+    assert names(maintenance.apply_cleanup(rows, NOW).where("deleted_at is not null")) == {"expired", "both", "captured"}
+
+
+def test_durability_and_health(spark):
+    rows = spark.createDataFrame([
+        health_row("a", 1, ["sensitive"]), health_row("b", 1, ["currentness-sensitive"]), health_row("c", 1, agent="cli-import"), health_row("d", 1, ["style"]), health_row("e", 1, ["design"], scope="project"),
+        health_row("f", 1, captured=True, scope="session"), health_row("g", 1), health_row("h", 1, deleted=NOW), health_row("i", 90),
+    ], HEALTH)
+    got = {r["class"]: r["rows"] for r in maintenance.audit(rows, NOW).collect()}
+    assert got == {"sensitive": 1, "currentness_sensitive": 1, "transcript_provenance": 1, "durable_global_preference": 1, "durable_project_memory": 1, "ephemeral_noise": 1, "unclassified": 1}
+    stats = maintenance.health(rows, NOW).first()
+    assert (stats["total"], stats["active"], stats["soft_deleted"], stats["embedding_rows"], stats["avg_embedding_bytes"]) == (9, 8, 1, 0, 0)
+    empty = maintenance.health(rows.limit(0), NOW).first()
+    assert empty["total"] == 0 and empty["max_content_bytes"] == 0
+    assert {r["scope_type"]: r["active"] for r in maintenance.scope_counts(rows.limit(0), NOW).collect()} == {"global": 0, "project": 0, "session": 0}
+    assert maintenance.missing_embeddings(rows, 9).count() == 8
+
+
+def test_drift(spark):
+    days = [(NOW + timedelta(days=k), 10 + (600 if k == 7 else 0), 5, 1000 + 100 * k, 1 if k >= 5 else 0) for k in range(8)]
+    found = maintenance.drift(spark.createDataFrame(days, "at timestamp, active long, keys long, bytes long, expired_active long")).orderBy("at").collect()
+    assert found[0]["day_growth"] is None and found[1]["alerts"] == "day_growth"
+    assert found[7]["week_growth"] == pytest.approx(600 / 1100) and found[7]["streak"] == 3
+    assert found[7]["alerts"] == "day_growth,week_growth,active_jump,expired_streak"
+
+
+def test_logs_of_both_formats(spark, tmp_path):
+    a = [
+        {"timestamp": "t1", "type": "response_item", "payload": {"type": "message", "role": "user", "content": [{"type": "input_text", "text": " hi "}, {"type": "image"}, {"type": "input_text", "text": "there"}]}},
+        {"timestamp": "t2", "type": "response_item", "payload": {"type": "message", "role": "assistant", "phase": "commentary", "content": [{"type": "output_text", "text": "no"}]}},
+        {"timestamp": "t3", "type": "response_item", "payload": {"type": "message", "role": "user", "content": [{"type": "input_text", "text": "<environment_context> x"}]}},
+        {"timestamp": "t4", "type": "response_item", "payload": {"type": "function_call", "name": "memory_search", "call_id": "1"}},
+        {"timestamp": "t5", "type": "response_item", "payload": {"type": "function_call_output", "call_id": "1"}},
+        {"timestamp": "t6", "type": "response_item", "payload": {"type": "function_call", "name": "web_search", "call_id": "2"}},
+        {"timestamp": "t7", "type": "response_item", "payload": {"type": "function_call_output", "call_id": "2"}},
+    ]
+    b = [
+        {"timestamp": "u1", "type": "user", "message": {"role": "user", "content": "plain text"}},
+        {"timestamp": "u2", "type": "assistant", "message": {"role": "assistant", "content": [{"type": "text", "text": "one"}, {"type": "tool_use", "name": "x"}, {"type": "text", "text": "two"}]}},
+        {"timestamp": "u3", "type": "assistant", "message": {"role": "user", "content": "mismatch"}},
+        {"timestamp": "u4", "type": "user", "message": {"role": "user", "content": [{"type": "tool_result", "content": "z"}]}},
+    ]
+    for name, rows in (("a", a), ("b", b)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "s.jsonl").write_text("\n".join([*map(json.dumps, rows), "not json", ""]))
+    lines = logs.read(spark, str(tmp_path / "a"))
+    assert [(r["role"], r["text"]) for r in logs.messages_a(lines).collect()] == [("user", "hi\nthere")]
+    found = tools.assistance(logs.tool_events_a(lines)).first()
+    assert (found["tool_calls"], found["tool_results"], found["web_calls"], found["own_calls"], found["own_results"], found["assisted"]) == (1, 1, 1, 1, 1, True)
+    other = logs.messages_b(logs.read(spark, str(tmp_path / "b")))
+    assert [(r["role"], r["text"]) for r in other.orderBy("pos").collect()] == [("user", "plain text"), ("assistant", "one\ntwo")]
+    assert logs.transcripts(other).first()["transcript"] == "[u1] User: plain text\n\n[u2] Assistant: one\ntwo"
+    assert logs.tail(other, 1).first()["text"] == "one\ntwo"
+    files = logs.newest_files(spark, str(tmp_path))
+    assert files.count() == 2 and logs.unseen(files, files.limit(1)).count() == 1
+
+
+def test_exports_and_trees(spark, tmp_path):
+    node = lambda parent, text=None, at=None: {"parent": parent, "message": {"author": {"role": "user"}, "create_time": at, "content": {"parts": [text]}} if text else None}
+    conv = {"conversation_id": " c1 ", "title": "T", "update_time": 1700000000, "current_node": "leaf", "mapping": {"root": node(None), "a": node("root", "x", 1.0), "leaf": node("a", "y", 2.0), "b": node("a", "z", 3.0), "d": node("b", "w")}}
+    with zipfile.ZipFile(tmp_path / "e.zip", "w") as z:
+        z.writestr("conversations-000.json", json.dumps([conv]))
+        z.writestr("conversations-001.json", "{broken")
+        z.writestr("other.json", "[]")
+    (tmp_path / "bad.zip").write_bytes(b"no zip")
+    rows = exports.read(spark, str(tmp_path))
+    assert rows.where("error is not null").count() == 2
+    convs = exports.conversations(rows)
+    first = convs.first()
+    assert (first["conv"], first["key"]) == ("c1", "chatgpt-export:v1:conv:c1:update:1700000000")
+    nodes = exports.nodes(convs)
+    assert trees.active_paths(convs.select("conv", "current"), nodes).first()["path"] == ["root", "a", "leaf"]
+    assert trees.longest_paths(nodes).first()["path"] == ["root", "a", "b", "d"]
+    assert [r["id"] for r in trees.all_nodes(nodes).orderBy("place").collect()] == ["a", "leaf", "b", "d", "root"]
+    loop = spark.createDataFrame([("c", "x", "y"), ("c", "y", "x")], "conv string, id string, parent string")
+    assert trees.active_paths(spark.createDataFrame([("c", "x")], "conv string, current string"), loop).first()["path"] == ["y", "x"]
+    assert exports.message_text({"parts": ["  hello  ", {}, "hello", "world"]}) == "hello\nworld"
+    assert exports.covered(convs, F.lit("2023-12-01").cast("timestamp")).count() == 1 and exports.covered(convs, F.lit("2025-12-01").cast("timestamp")).count() == 0
+
+
+def test_embedding_backfill(spark):
+    rows = spark.createDataFrame([("a", "some words"), ("b", "bad"), ("c", "é" * 10)], "id string, content string")
+
+    class Picky(embeddings.Hashed):
+        def embed(self, texts):
+            if "bad" in texts:
+                raise OSError
+            return super().embed(texts)
+
+    got = {r["id"]: r["embedding"] for r in embeddings.backfill(rows, embeddings.Hashed(4)).collect()}
+    assert all(len(v) == 4 for v in got.values())
+    assert embeddings.embed_safely(Picky(4), ["x", "bad"])[1] is None
+    assert rows.select(embeddings.input_of(F.col("content"), 5).alias("t")).collect()[2]["t"].rstrip("�") == "éé"
+    with pytest.raises(RuntimeError):
+        embeddings.backfill(rows, embeddings.Disabled())
+
+
+def test_streamed_turns_equal_batch(spark, tmp_path):
+    at = lambda k: NOW + timedelta(minutes=k)
+    events = [("s", "prompt", "hello", at(0)), ("s", "stop", "hi", at(1)), ("s", "prompt", "/cmd", at(2)), ("s", "stop", "done", at(3)), ("t", "prompt", "open", at(4)), ("s", "stop", "alone", at(5))]
+    frame = spark.createDataFrame(events, "session string, kind string, text string, at timestamp")
+    frame.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))
+    q = turns.turns(stream).writeStream.format("memory").queryName("turns").option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert [(r["session"], r["prompt"], r["answer"]) for r in spark.table("turns").collect()] == [("s", "hello", "hi")]
+
+
+def test_replayed_stream_and_windows(spark, tmp_path):
+    rows = spark.createDataFrame([("k", NOW, "a", 1.0), ("k", NOW, "a", 1.0), ("l", NOW + timedelta(minutes=40), "a", 2.0)], "idempotency_key string, ts timestamp, event_type string, value double")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    q = turns.first_of_key(stream, at="ts").writeStream.format("memory").queryName("firsts").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert spark.table("firsts").count() == 2
+    assert turns.event_windows(rows, size="1 hour", slide="30 minutes").count() == 3
+    assert turns.sessions(rows, key="event_type").count() == 2

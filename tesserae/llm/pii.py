@@ -256,19 +256,16 @@ def _runs(text: str, closed: list[tuple[int, int, int]] = ()) -> Iterator[Run]:
 @functools.cache
 def trained() -> Field:
     """The field, fitted on TRAIN_SENTENCES generated sentences; the same in every process."""
-    rng, field = random.Random(SEED), Field()
-    data = []
-    for _ in range(TRAIN_SENTENCES):
-        text, spans = _made(rng)
-        for run in _runs(text):
-            first, last = {a: i for i, (a, _) in enumerate(run.at)}, {b: i + 1 for i, (_, b) in enumerate(run.at)}
-            known = {(i, j) for i, j, _ in run.segments}
-            truth = {(first[a], last[b]): k + 1 for a, k, b in spans if a in first and b in last and (first[a], last[b]) in known}
-            data.append((run, truth))
+    field = Field()
     for epoch in range(EPOCHS):
-        rng.shuffle(data)
-        for run, truth in data:
-            field.step(run, truth, 0.2 / (1 + epoch))
+        rng = random.Random(SEED)  # the same sentences each time, made anew rather than held
+        for _ in range(TRAIN_SENTENCES):
+            text, spans = _made(rng)
+            for run in _runs(text):
+                first, last = {a: i for i, (a, _) in enumerate(run.at)}, {b: i + 1 for i, (_, b) in enumerate(run.at)}
+                known = {(i, j) for i, j, _ in run.segments}
+                truth = {(first[a], last[b]): k + 1 for a, k, b in spans if a in first and b in last and (first[a], last[b]) in known}
+                field.step(run, truth, 0.2 / (1 + epoch))
     return field
 
 

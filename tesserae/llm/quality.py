@@ -52,12 +52,12 @@ def _up_to(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def gram_buckets(ws: Column, buckets: int) -> Column:
-    """Buckets of all unigrams and bigrams."""
-    return let(_hashes(ws), lambda h: F.concat(
+def gram_buckets(h: Column, buckets: int) -> Column:
+    """Buckets of all unigrams and bigrams; h: the words' hashes."""
+    return F.concat(
         F.transform(h, lambda x: _bucket(x, buckets)),
         F.transform(_up_to(F.size(h) - 1), lambda i: _bucket(_pair(h, i), buckets)),
-    ))
+    )
 
 
 def repeated_words(h: Column) -> Column:
@@ -91,7 +91,7 @@ def fit(docs: DataFrame, trusted: DataFrame, buckets: int = 10_000, max_trusted:
     ids = trusted.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)
     ids = F.broadcast(ids.select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).alias("_seen")))
     rows = docs.select("doc_id", text_of(docs).alias("_text")).join(ids, "doc_id", "left")
-    grams = rows.select(F.coalesce(F.col("_seen").cast("int"), F.lit(0)).alias("t"), F.explode(gram_buckets(words(F.col("_text")), buckets)).alias("b"))
+    grams = rows.select(F.coalesce(F.col("_seen").cast("int"), F.lit(0)).alias("t"), F.explode(let(_hashes(words(F.col("_text"))), lambda h: gram_buckets(h, buckets))).alias("b"))
     counts = grams.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target")).collect()  # one row a bucket
     raw, target = [smoothing] * buckets, [smoothing] * buckets
     for r in counts:
@@ -109,14 +109,14 @@ def fit(docs: DataFrame, trusted: DataFrame, buckets: int = 10_000, max_trusted:
 def judge(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame:
     """docs with a struct _q: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), score, base_failed, kept."""
     t, buckets = text_of(docs, text), len(model.weights)
-    weights = F.split(F.lit(",".join(map(repr, model.weights))), ",").cast("array<double>")
+    # one literal in the plan, and a short one: plans are printed and kept by the driver
+    weights = F.split(F.lit(",".join(f"{w:.6g}" for w in model.weights)), ",").cast("array<double>")
     full = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
     def of_words(w: Column) -> Column:
         def of_hashes(h: Column) -> Column:
-            weigh = lambda acc, i: acc + F.get(weights, _bucket(F.get(h, i), buckets)) + F.coalesce(F.get(weights, F.when(i + 1 < F.size(h), _bucket(_pair(h, i), buckets))), F.lit(0.0))
             return F.struct(
-                F.aggregate(_up_to(F.size(h)), F.lit(0.0), weigh).alias("llr"),
+                F.aggregate(gram_buckets(h, buckets), F.lit(0.0), lambda acc, b: acc + F.get(weights, b)).alias("llr"),
                 repeated_words(h).cast("long").alias("n_repeat_words"),
             )
 

@@ -6,23 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import bpe, mixing, orc_tokens, pii, quality, sharding, simhash, tiff, urls, warc
-from tesserae.llm.common import scratch
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def vocabulary(name: str = "word_bpe_49k.json") -> str:
-    """Where a public tokenizer's file lies; every executor has the package."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
-def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents labelled as good and not toxic."""
-    return table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+from tesserae.llm.common import scratch, table, trusted_ids, vocabulary
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,7 +124,12 @@ def components(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with one document of each group: the one of smallest doc_id, or the group's row of null doc_id."""
-    kept = components(docs, text).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fingerprint").distinct()
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return out.dropDuplicates(["doc_id"])
+    """docs with one document of each group, that of the smallest doc_id; of rows that share this id, one.
+
+    Rows of null doc_id stay: nothing names them, so no group can keep one of them.
+    """
+    marked = components(docs, text)
+    kept = marked.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    # the join and the choice of one row are both by doc_id, so texts move once
+    named = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where(F.col("doc_id").isNull()))

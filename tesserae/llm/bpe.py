@@ -22,17 +22,16 @@ from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tesserae.llm.common import text_of
+from tesserae.llm.common import map_texts, text_of
 
 #: Characters whose words are encoded together.
 BLOCK = 1 << 21
 #: Chunks and words that a task remembers. Beyond it the memory starts anew; results don't depend on it.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Unicode white space, which the vocabulary's normaliser turns into separators; str.split() also splits at the last four.
 _SPACES = regex.compile("[\x09-\x0D\x20\x85\xA0  -     　]+")
 _EXTRA = regex.compile(r"[\x1C-\x1F]")
@@ -259,16 +258,15 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
 
 def digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Encodes every text and decodes its ids again: doc_id, n_tokens, and SHA-256 of the ids and of the decoded text."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start() -> Callable[[list[str]], list]:
         e = encoder(path)
-        for b in batches:
-            n, ids, back = [], [], []
-            for x in e.encode(b["_text"]):
-                n.append(len(x) // 4)
-                ids.append(hashlib.sha256(x).hexdigest())
-                back.append(hashlib.sha256(e.v.decode(np.frombuffer(x, "<u4"))).hexdigest())
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": np.array(n, np.int64), "ids_sha256": ids, "decoded_sha256": back})
-
-    return docs.select("doc_id", text_of(docs, text).alias("_text")).mapInPandas(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+        def columns_of(texts: list[str]) -> list[list]:
+            encoded = list(e.encode(texts))
+            back = (e.v.decode(np.frombuffer(x, "<u4")) for x in encoded)
+            return [[len(x) // 4 for x in encoded], [hashlib.sha256(x).hexdigest() for x in encoded], [hashlib.sha256(t).hexdigest() for t in back]]
+
+        return columns_of
+
+    return map_texts(docs, text, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}, start)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,15 +35,40 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Rows of a text column that Python holds as objects at once.
+ROWS = 512
+ARROW = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+
+
+def map_texts(docs: DataFrame, text: str, fields: dict[str, str], start: Callable[[], Callable[[list[str]], list]]) -> DataFrame:
+    """(doc_id, *fields) of every row: start(), once a task, gives the function from texts to the fields' columns.
+
+    doc_id passes through as it is, nulls and large values too; null texts are empty; other columns are not read.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns_of = start()
+        for b in batches:
+            for k in range(0, b.num_rows, ROWS):
+                part = b.slice(k, ROWS)
+                columns = columns_of(part.column(1).to_pylist())
+                arrays = [pa.array(c, ARROW[t]) for c, t in zip(columns, fields.values())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *arrays], ["doc_id", *fields])
+
+    rows = docs.select("doc_id", text_of(docs, text).alias("_text"))
+    return rows.mapInArrow(run, ", ".join([f"doc_id {kind}", *(f"{n} {t}" for n, t in fields.items())]))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tesserae-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+    """This application's folder below the one that driver and executors share, with its file system.
+
+    The shared folder is spark.checkpoint.dir; where that is unset, as in tests, one of our own.
+    """
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tesserae-"))
+    return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:

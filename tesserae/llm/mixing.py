@@ -166,5 +166,5 @@ def apply(docs: DataFrame, sources: Column, text: str = "text", weights: tuple[f
     taken = take(rows, plan(rows, weights, cap), seed, split_last=False)
     copies = (F.col("whole") + (F.col("_extra") > 0).cast("long")).cast("int")
     often = taken.groupBy(F.col("doc_id").alias("_id")).agg(F.max(copies).alias("_n")).where("_n > 0")
-    out = docs.join(often, docs["doc_id"].eqNullSafe(F.col("_id")))
-    return out.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*[docs[c] for c in docs.columns])
+    out = docs.join(often, docs["doc_id"].eqNullSafe(often["_id"]))
+    return out.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), often["_n"])).alias("_copy_in_mix")).drop("_copy_in_mix")

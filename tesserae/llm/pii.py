@@ -22,10 +22,9 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from tesserae.llm.common import text_of
+from tesserae.llm.common import map_texts
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 16
@@ -283,20 +282,15 @@ def _written(spans: list[tuple[int, int, int]]) -> str:
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, counts of base spans by kind, SHA-256 of the base spans, and all spans as kind:start:end."""
-    kind, field = docs.schema["doc_id"].dataType.simpleString(), trained()
+    field = trained()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for doc_id, t in zip(b["doc_id"], b["_text"]):
-                base, every = all_spans(t, field)
-                n = [sum(s[1] == k for s in base) for k in range(len(KINDS))]
-                rows.append((doc_id, *n, hashlib.sha256(_written(base).encode()).hexdigest(), _written(every)))
-            out = pd.DataFrame(rows, columns=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
-            yield out.assign(doc_id=b["doc_id"].to_numpy())
+    def columns_of(texts: list[str]) -> list[list]:
+        found = [all_spans(t, field) for t in texts]
+        counts = [[sum(s[1] == k for s in base) for base, _ in found] for k in range(len(KINDS))]
+        return [*counts, [hashlib.sha256(_written(base).encode()).hexdigest() for base, _ in found], [_written(every) for _, every in found]]
 
-    counts = ", ".join(f"n_{k} long" for k in KINDS)
-    return docs.select("doc_id", text_of(docs, text).alias("_text")).mapInPandas(run, f"doc_id {kind}, {counts}, base_sha256 string, spans string")
+    fields = {f"n_{k}": "long" for k in KINDS} | {"base_sha256": "string", "spans": "string"}
+    return map_texts(docs, text, fields, lambda: columns_of)
 
 
 def redacted(text: str, field: Field) -> str:
@@ -311,16 +305,18 @@ def redacted(text: str, field: Field) -> str:
 
 def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """docs with the spans of its text column replaced, and the length column, if there is one, renewed."""
+    import pyarrow as pa
+
     field, names = trained(), docs.columns
     place, count = names.index(text), names.index(length) if length in names else -1
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            new = [None if t is None else redacted(t, field) for t in b.iloc[:, place]]
-            b = b.copy()
-            b.isetitem(place, new)
+            new = [None if t is None else redacted(t, field) for t in b.column(place).to_pylist()]
+            columns = list(b.columns)
+            columns[place] = pa.array(new, pa.string())
             if count >= 0:
-                b.isetitem(count, pd.array([None if t is None else len(t) for t in new], "Int64"))
-            yield b
+                columns[count] = pa.array([None if t is None else len(t) for t in new], b.column(count).type)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -24,6 +24,8 @@ from tesserae.llm.common import let, text_of, words
 
 #: Words in a window of the repetition rule.
 WINDOW = 8
+#: The column that judge adds.
+VERDICT = "_quality_verdict"
 
 
 @dataclass(frozen=True)
@@ -101,13 +103,13 @@ def fit(docs: DataFrame, trusted: DataFrame, buckets: int = 10_000, max_trusted:
         return QualityModel((0.0,) * buckets, -math.inf, shrink)
     shift = math.log(sum(raw) / sum(target))
     model = QualityModel(tuple(math.log(t / r) + shift for t, r in zip(target, raw)), -math.inf, shrink)
-    held = judge(rows.where("not _seen").select("doc_id", "_text"), model, "_text").where("not _q.base_failed").select("_q.score")
+    held = judge(rows.where("not _seen").select("doc_id", "_text"), model, "_text").where(f"not {VERDICT}.base_failed").select(f"{VERDICT}.score")
     n, mid, bottom = held.agg(F.count(F.lit(1)), F.percentile("score", 0.5), F.percentile("score", low)).first()
     return replace(model, threshold=mid - spread * (mid - bottom)) if n >= least else model
 
 
 def judge(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame:
-    """docs with a struct _q: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), score, base_failed, kept."""
+    """docs with a struct VERDICT: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), score, base_failed, kept."""
     t, buckets = text_of(docs, text), len(model.weights)
     # one literal in the plan, and a short one: plans are printed and kept by the driver
     weights = F.split(F.lit(",".join(f"{w:.6g}" for w in model.weights)), ",").cast("array<double>")
@@ -126,14 +128,15 @@ def judge(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame
             let(_hashes(w), of_hashes).alias("h"),
         )
 
-    out = docs.withColumn("_w", let(words(t), of_words)).withColumn("_symbols", F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long"))
-    out = out.withColumn("_dup", let(full, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-    w = F.col("_w")
-    n, repeat = w["n_words"], w["h"]["n_repeat_words"]
-    score = w["h"]["llr"] / (F.greatest(2 * n - 1, F.lit(0)) + F.lit(model.shrink))
-    failed = (n < 20) | (100 * repeat > 30 * n)
-    return out.withColumn("_q", F.struct(
-        n.alias("n_words"), w["word_chars"].alias("word_chars"), F.col("_symbols").alias("n_symbols"), F.col("_dup").alias("n_dup_lines"),
-        repeat.alias("n_repeat_words"), score.alias("score"), failed.alias("base_failed"),
-        (~failed & (score >= F.lit(model.threshold))).alias("kept"),
-    )).drop("_w", "_symbols", "_dup")
+    symbols, lines = F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long"), let(full, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
+
+    def verdict(w: Column) -> Column:
+        n, repeat = w["n_words"], w["h"]["n_repeat_words"]
+        score = w["h"]["llr"] / (F.greatest(2 * n - 1, F.lit(0)) + F.lit(model.shrink))
+        failed = (n < 20) | (100 * repeat > 30 * n)
+        return F.struct(
+            n.alias("n_words"), w["word_chars"].alias("word_chars"), symbols.alias("n_symbols"), lines.alias("n_dup_lines"), repeat.alias("n_repeat_words"),
+            score.alias("score"), failed.alias("base_failed"), (~failed & (score >= F.lit(model.threshold))).alias("kept"),
+        )
+
+    return docs.withColumn(VERDICT, let(let(words(t), of_words), verdict))

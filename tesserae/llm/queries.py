@@ -12,7 +12,7 @@ from tesserae.llm.common import scratch, table, trusted_ids, vocabulary
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, trusted_ids(spark, sf_dir))
-    return quality.judge(docs, model).select("doc_id", "_q.*")
+    return quality.judge(docs, model).select("doc_id", f"{quality.VERDICT}.*")
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

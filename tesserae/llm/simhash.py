@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import cut, text_of
+from tesserae.llm.common import cut, map_texts
 from tesserae.llm.components import roots
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
@@ -56,13 +56,8 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, fp) of every row; fp: the fingerprint as a signed long."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fp = np.array([fingerprint(t) for t in b["_text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp})
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_of(docs, text).alias("_text")).mapInPandas(run, f"doc_id {kind}, fp long")
+    of = lambda texts: [np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)]
+    return map_texts(docs, text, {"fp": "long"}, lambda: of)
 
 
 def keys(fp: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:

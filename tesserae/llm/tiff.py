@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tesserae.llm.common import text_of
+from tesserae.llm.common import map_texts
 
 WIDTH, SAMPLES, PAGE_ROWS, STRIP_ROWS, TILE = 64, 3, 512, 64, (64, 32)
 ROW = WIDTH * SAMPLES
@@ -299,13 +299,17 @@ def payload_of(text: str) -> bytes:
 
 def store(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, content): each text as a TIFF file."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    return map_texts(docs, text, {"content": "binary"}, lambda: lambda texts: [[encode(payload_of(t)) for t in texts]])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "content": [encode(payload_of(t)) for t in b["_text"]]})
 
-    return docs.select("doc_id", text_of(docs, text).alias("_text")).mapInPandas(run, f"doc_id {kind}, content binary")
+def _facts(text: str) -> tuple:
+    media = encode(payload_of(text))
+    found = list(pages_of(media))
+    back = b"".join(p.pixels for p in found)
+    means = np.frombuffer(back, np.uint8).reshape(-1, SAMPLES).mean(0)
+    p = found[0]
+    feature = f"pages={len(found)};rows={sum(x.height for x in found)};codec={NAMES[p.compression]};predictor={p.predictor};{'tiles' if p.tiled else 'strips'};mean={'/'.join(f'{m:.3f}' for m in means)}"
+    return len(text.encode("utf-8", "replace")), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
 
 def round_trip(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -313,23 +317,5 @@ def round_trip(docs: DataFrame, text: str = "text") -> DataFrame:
 
     feature: pages, rows, codec, predictor, layout and the mean of each sample plane over all pages.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        for b in batches:
-            rows = []
-            for t in b["_text"]:
-                media = encode(payload_of(t))
-                found = list(pages_of(media))
-                back = b"".join(p.pixels for p in found)
-                means = np.frombuffer(back, np.uint8).reshape(-1, SAMPLES).mean(0)
-                p = found[0]
-                feature = f"pages={len(found)};rows={sum(x.height for x in found)};codec={NAMES[p.compression]};predictor={p.predictor};{'tiles' if p.tiled else 'strips'};mean={'/'.join(f'{m:.3f}' for m in means)}"
-                rows.append((len(t.encode("utf-8", "replace")), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-            out = pd.DataFrame(rows, columns=names)
-            out.insert(0, "doc_id", b["doc_id"].to_numpy())
-            yield out
-
-    schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return docs.select("doc_id", text_of(docs, text).alias("_text")).mapInPandas(run, schema)
+    fields = {"n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"}
+    return map_texts(docs, text, fields, lambda: lambda texts: list(zip(*map(_facts, texts))))

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -161,7 +162,9 @@ def _file_system(folder: str):
     """pyarrow's file system for a folder's address, and the folder's path in it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    if folder.startswith("file:") or "://" not in folder:
+        return fs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(folder)
 
 
 def first_pages(pages: DataFrame, payload: Column, least: int = 0) -> DataFrame:
@@ -180,7 +183,7 @@ def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     revisit = (F.col("_first").isNotNull()) & ((F.col("page_id") > F.col("_first")) | F.col("page_id").isNull())
     ready = first_pages(rows, F.encode("_html", "UTF-8"), least).select("page_id", "url", "_html", F.when(revisit, F.col("_first")).alias("refers_to"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         system, path = _file_system(folder)
@@ -196,19 +199,17 @@ def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
 
         w = Writer(shared)
         for b in batches:
-            whole = lambda x: None if pd.isna(x) else int(x)
-            for page_id, url, html, refers in zip(b["page_id"].astype(object), b["url"], b["_html"], b["refers_to"].astype(object)):
-                w.add(written(whole(page_id), url, html.encode("utf-8", "replace"), whole(refers)))
+            for page_id, url, html, refers in zip(*(c.to_pylist() for c in b.columns)):
+                w.add(written(page_id, url, html.encode("utf-8", "replace"), refers))
                 if w.size >= ARCHIVE_BYTES:
                     store(w)
                     w = Writer(shared)
         if w.records:
             store(w)
-        yield pd.DataFrame(done, columns=["archive", "records"])
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], t) for k, t in enumerate((pa.string(), pa.int64()))], ["archive", "records"])
 
     manifest = f"{folder}/manifest.parquet"
-    # page_id cast to a nullable object column keeps null ids apart from numbers
-    ready.mapInPandas(run, "archive string, records long").write.parquet(manifest)
+    ready.mapInArrow(run, "archive string, records long").write.parquet(manifest)
     return spark.read.parquet(manifest)
 
 

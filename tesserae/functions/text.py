@@ -70,7 +70,9 @@ def content_hash(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Lower-case runs of letters and digits, accents folded, in order."""
-    return F.array_remove(F.split(F.translate(F.lower(c), ACCENTED, PLAIN), r"[^\p{L}\p{N}]+"), "")
+    low = F.lower(c)
+    folded = F.when(F.octet_length(low) == F.length(low), low).otherwise(F.translate(low, ACCENTED, PLAIN))  # plain ASCII needs no folding
+    return F.array_remove(F.split(folded, r"[^\p{L}\p{N}]+"), "")
 
 
 def query_terms(query: str) -> list[list[str]]:

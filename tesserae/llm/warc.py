@@ -35,7 +35,7 @@ VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANDATORY = ("warc-type", "warc-record-id", "warc-date", "content-length")
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-#: Uncompressed bytes after which a task starts its next archive; bytes of payloads that fit the dictionary, and its size.
+#: Uncompressed bytes after which a task starts its next archive; the bounded sample that the dictionary is fitted on, and its size.
 ARCHIVE_BYTES, SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY_BYTES = 32 << 20, 400, 4 << 20, 48 << 10
 DATE = "2024-01-01T00:00:00Z"
 
@@ -178,8 +178,10 @@ def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     """Archives of pages(page_id, url, html) in folder; the manifest (archive, records), itself stored there."""
     spark = pages.sparkSession
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), text_of(pages, "html").alias("_html"))
-    sample = rows.orderBy(F.xxhash64("page_id"), "page_id").select(F.substring("_html", 1, SAMPLE_BYTES // SAMPLE_ROWS).alias("h")).limit(SAMPLE_ROWS)
-    shared = dictionary([r["h"].encode("utf-8", "replace") for r in sample.collect()])  # at most SAMPLE_ROWS beginnings
+    # ids first, then their pages: a top-k of pages would send every task's best to the driver
+    some = [r["page_id"] for r in rows.select("page_id").where("page_id is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_ROWS).collect()]
+    sample = rows.where(F.col("page_id").isin(some)).groupBy("page_id").agg(F.min(F.substring("_html", 1, SAMPLE_BYTES // SAMPLE_ROWS)).alias("h"))
+    shared = dictionary([r["h"].encode("utf-8", "replace") for r in sample.orderBy("page_id").collect()])  # at most SAMPLE_ROWS beginnings
     revisit = (F.col("_first").isNotNull()) & ((F.col("page_id") > F.col("_first")) | F.col("page_id").isNull())
     ready = first_pages(rows, F.encode("_html", "UTF-8"), least).select("page_id", "url", "_html", F.when(revisit, F.col("_first")).alias("refers_to"))
 

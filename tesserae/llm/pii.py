@@ -75,7 +75,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # --- runs and segments ---------------------------------------------------------------------------------------------
 
 #: White-space-separated pieces with a digit or "@", and what stands between neighbours of them on one line.
-_RUN = re.compile(r"[^\s0-9@]*+[0-9@]\S*+(?: [^\s0-9@]*+[0-9@]\S*+)*+")
+_RUN = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?: [^\s0-9@]*+[0-9@]\S*+)*+")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|.", re.S)
 _SHAPE = re.compile(r"[A-Za-z]+|[0-9]+")
 _CUE = {w: k for k, ws in enumerate(("mail email e-mail contact write", "ip host server address ping", "card visa credit payment", "call tel phone mobile fax dial")) for w in ws.split()}
@@ -101,7 +101,9 @@ class Run:
         self.segments: list[tuple[int, int, list[str]]] = []
         n = len(self.at)
         for i in range(n):
-            if shut[i] or not (text[self.at[i][0]].isalnum() or text[self.at[i][0]] in "+("):
+            # segments begin and end at the bounds of words, so a long blob of letters and digits has few
+            c, left = text[self.at[i][0]], text[self.at[i][0] - 1 : self.at[i][0]]
+            if shut[i] or not (c in "+(" or c.isalnum() and not left.isalnum()):
                 continue
             digits, mark = 0, False
             for j in range(i, min(n, i + MAX_TOKENS)):
@@ -110,7 +112,7 @@ class Run:
                 a, b = self.at[j]
                 mark |= text[a] == "@"
                 digits += b - a if text[a].isdigit() else 0
-                if text[a].isalnum() and j > i and (mark or digits >= 4):
+                if text[a].isalnum() and not text[b : b + 1].isalnum() and j > i and (mark or digits >= 4):
                     self.segments.append((i, j + 1, self._features(self.at[i][0], b)))
 
     def _features(self, a: int, b: int) -> list[str]:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import cut, n_words, text_of
 
 #: Buckets of the seeded order.
-BUCKETS = 1 << 14
+BUCKETS = 1 << 12
 #: Patterns that may come to the driver; more raise ValueError.
 MAX_PATTERNS = 4096
 MAX_REPEATS = 3

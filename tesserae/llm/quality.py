@@ -103,8 +103,9 @@ def fit(docs: DataFrame, trusted: DataFrame, buckets: int = 10_000, max_trusted:
         return QualityModel((0.0,) * buckets, -math.inf, shrink)
     shift = math.log(sum(raw) / sum(target))
     model = QualityModel(tuple(math.log(t / r) + shift for t, r in zip(target, raw)), -math.inf, shrink)
-    held = judge(rows.where("not _seen").select("doc_id", "_text"), model, "_text").where(f"not {VERDICT}.base_failed").select(f"{VERDICT}.score")
-    n, mid, bottom = held.agg(F.count(F.lit(1)), F.percentile("score", 0.5), F.percentile("score", low)).first()
+    # a condition here, not a filter: a filter on the text would be pushed below the join and judge every document
+    held = judge(rows.where("not _seen").select("doc_id", "_text"), model, "_text").select(F.when(~F.col(VERDICT)["base_failed"], F.col(VERDICT)["score"]).alias("score"))
+    n, mid, bottom = held.agg(F.count("score"), F.percentile("score", 0.5), F.percentile("score", low)).first()
     return replace(model, threshold=mid - spread * (mid - bottom)) if n >= least else model
 
 

@@ -37,7 +37,7 @@ def let(value: Column, body) -> Column:
 
 #: Rows of a text column that Python holds as objects at once.
 ROWS = 512
-ARROW = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+ARROW = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
 
 
 def map_texts(docs: DataFrame, text: str, fields: dict[str, str], start: Callable[[], Callable[[list[str]], list]]) -> DataFrame:

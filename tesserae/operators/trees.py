@@ -1,6 +1,7 @@
 """Conversation trees: the path of the active message, the longest path, or all messages by time.
 
-Paths are grown by joins of a node's parent, one step a round, for all conversations at once; a node met again ends its path.
+Paths are grown for all conversations at once by parent pointers whose length doubles each round, to any depth; a node met again
+ends its path. Each path is built once at the end.
 """
 
 from __future__ import annotations
@@ -9,40 +10,43 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _chains(starts: DataFrame, nodes: DataFrame, max_depth: int) -> DataFrame:
-    """(conv, leaf, path from root to leaf) of starts(conv, leaf)."""
-    parents = nodes.select("conv", F.col("id").alias("_at"), "parent")
-    done = None
-    open_ = starts.select("conv", "leaf", F.col("leaf").alias("_at"), F.array("leaf").alias("path"))
-    spark = starts.sparkSession
-    for k in range(max_depth):
-        step = open_.join(parents, ["conv", "_at"])
-        ends = step["parent"].isNull() | F.array_contains(step["path"], F.coalesce(step["parent"], F.lit("")))
-        finished = step.where(ends).select("conv", "leaf", "path")
-        done = finished if done is None else done.unionByName(finished)
-        open_ = step.where(~ends).select("conv", "leaf", F.col("parent").alias("_at"), F.concat(F.array("parent"), "path").alias("path"))
-        if k % 8 == 7:
-            # one more round for every step: rounds are checked for an end in eights, their lineage is cut where a folder is set
-            if spark.sparkContext.getCheckpointDir() is not None:
-                open_, done = open_.checkpoint(), done.checkpoint()
-            if open_.isEmpty():
-                break
-    lost = open_.select("conv", "leaf", "path")
-    return done.unionByName(lost)
-
-
-def active_paths(conversations: DataFrame, nodes: DataFrame, max_depth: int = 4096) -> DataFrame:
+def _kept(df: DataFrame) -> DataFrame:
+    """df computed once, in the checkpoint folder where one is set."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() is not None else df.localCheckpoint()
+
+
+def _chains(starts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(conv, leaf, path from root to leaf) of starts(conv, leaf); a path to a node that is not there is left out."""
+    hop = _kept(nodes.where(F.col("parent").isNotNull()).select("conv", "id", F.col("parent").alias("up")))
+    met = _kept(starts.select("conv", "leaf", F.col("leaf").alias("id"), F.lit(0).cast("long").alias("depth")).distinct())
+    reach, n = 1, met.count()
+    while True:
+        # met has all nodes less than reach steps above a leaf, hop leads reach steps up
+        far = met.join(hop, ["conv", "id"]).select("conv", "leaf", F.col("up").alias("id"), (F.col("depth") + reach).alias("depth"))
+        met = _kept(met.unionByName(far).groupBy("conv", "leaf", "id").agg(F.min("depth").alias("depth")))
+        before, n = n, met.count()
+        if n == before:
+            break
+        after = hop.select("conv", F.col("id").alias("up"), F.col("up").alias("_next"))
+        hop, reach = _kept(hop.join(after, ["conv", "up"]).select("conv", "id", F.col("_next").alias("up"))), 2 * reach
+    there = nodes.select("conv", "id", F.lit(True).alias("_there")).distinct()
+    rows = met.join(there, ["conv", "id"], "left").groupBy("conv", "leaf")
+    paths = rows.agg(F.sort_array(F.collect_list(F.struct("depth", "id")), asc=False).alias("_p"), F.count("_there").alias("_n"))
+    return paths.where(F.size("_p") == F.col("_n")).select("conv", "leaf", F.col("_p.id").alias("path"))
+
+
+def active_paths(conversations: DataFrame, nodes: DataFrame) -> DataFrame:
     """(conv, path) of conversations(conv, current) over nodes(conv, id, parent)."""
     starts = conversations.where(F.col("current").isNotNull()).select("conv", F.col("current").alias("leaf"))
-    return _chains(starts, nodes, max_depth).select("conv", "path")
+    return _chains(starts, nodes).select("conv", "path")
 
 
-def longest_paths(nodes: DataFrame, max_depth: int = 4096) -> DataFrame:
+def longest_paths(nodes: DataFrame) -> DataFrame:
     """(conv, path): each conversation's longest path; of equal ones that with the smaller joined ids."""
     inner = nodes.where(F.col("parent").isNotNull()).select("conv", F.col("parent").alias("id")).distinct()
     leaves = nodes.join(inner, ["conv", "id"], "left_anti").select("conv", F.col("id").alias("leaf"))
     order = Window.partitionBy("conv").orderBy(F.desc(F.size("path")), F.array_join("path", "|"))
-    return _chains(leaves, nodes, max_depth).withColumn("_r", F.row_number().over(order)).where("_r = 1").select("conv", "path")
+    return _chains(leaves, nodes).withColumn("_r", F.row_number().over(order)).where("_r = 1").select("conv", "path")
 
 
 def all_nodes(nodes: DataFrame) -> DataFrame:

@@ -220,6 +220,12 @@ def canonical_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memories(spark, sf_dir).select("id", "canonical_key", key.alias("key"), F.substring("content", 1, 40).contains("'").alias("q")).where("key is not null and not q").drop("q")
 
 
+@query(over_memories("SELECT id, canonical_key, key FROM (SELECT id, canonical_key, regexp_replace(regexp_replace(regexp_replace(lower(trim(content)), '[''’]', '', 'g'), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS key FROM memories) WHERE key <> ''"))
+def canonical_keys_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of whole contents, those with apostrophes too."""
+    return memories(spark, sf_dir).select("id", "canonical_key", X.canonical_key(F.col("content")).alias("key")).where("key is not null")
+
+
 # --- facts, redaction, chunks --------------------------------------------------------------------------------------
 
 FACTS_SQL = r"""parts AS (SELECT conv_id, turn, unnest(p) AS fact, generate_subscripts(p, 1) - 1 AS pos FROM (SELECT conv_id, turn, list_filter(list_transform(string_split_regex(regexp_replace(coalesce(text, '') || CASE WHEN turn % 3 = 0 THEN chr(10) || 'We must always remember: deadline 7.' ELSE '' END, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(x)), lambda x: length(x) BETWEEN 20 AND 600) AS p FROM conversations)),

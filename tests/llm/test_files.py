@@ -5,6 +5,7 @@ import hashlib
 import os
 import random
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -131,20 +132,58 @@ def test_encoding_equals_the_library(library):
     rng = random.Random(5)
     texts = ["".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
     texts += ["", "   ", "<|endoftext|>", "a<|startoftext|>b <|endoftext|>", "aaaa" * 3000, "!?" * 500, "ΑΣ ΑΣΑ", "The 'S I'LL don't", "x" * 100_000]
-    for e in (bpe.Encoder(bpe.Vocabulary(vocabulary())), orc_tokens.library_encoder(vocabulary())):
-        for t, x in zip(texts, e.encode(texts)):
+    v = bpe.Vocabulary(vocabulary())
+    for e in (bpe.Encoder(bpe.ChunkEncoder(v)), orc_tokens.library_encoder(vocabulary())):
+        for t, x in zip(texts, e.encode(texts), strict=True):
             want = library.encode(t, add_special_tokens=False).ids
             ids = np.frombuffer(x, "<u4")
             assert ids.tolist() == want, t
-            assert e.v.decode(ids).decode() == library.decode(want, skip_special_tokens=False)
+            assert v.decode(ids).decode() == library.decode(want, skip_special_tokens=False)
+
+
+def test_every_code_point(library):
+    """Each between two letters, which shows its class and what it is normalised to."""
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"a{c}b" for c in points[k : k + 1000]) for k in range(0, len(points), 1000)]
+    e = bpe.Encoder(bpe.ChunkEncoder(bpe.Vocabulary(vocabulary())))
+    for t, x, want in zip(texts, e.encode(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert x == np.array(want.ids, "<u4").tobytes(), hex(ord(t[1]))
+
+
+def test_long_words(library):
+    """Parts and joints give the library's ids, in time that grows with the length."""
+    rng, e = random.Random(8), bpe.Encoder(bpe.ChunkEncoder(bpe.Vocabulary(vocabulary())))
+    letters = "etaoinshrdlucmfwypvbgkjqxz"
+    words = ["".join(rng.choice(alphabet) for _ in range(rng.randint(bpe.LONG, 900))) for alphabet in ("abethnr", "ab", letters, "!?.-=", "éß漢字か") for _ in range(60)]
+    words += ["ab" * 5000, "a" * 70_001, "the" * 9000, ".." * 3000 + "x"]
+    for w, x in zip(words, e.encode(words), strict=True):
+        assert x == np.array(library.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+    for w in ("".join(rng.choice(letters) for _ in range(1_000_000)), "a" * 1_000_000):
+        began = time.process_time()
+        (x,) = e.encode([w])
+        assert time.process_time() - began < 5
+        assert x == np.array(library.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_joints_that_reach_far(monkeypatch):
+    """Parts of two bytes, so that nearly every joint changes the tokens around it."""
+    v, rng = bpe.Vocabulary(vocabulary()), random.Random(2)
+    words = ["".join(rng.choice("etaonihs") for _ in range(rng.randint(1, 60))).encode() for _ in range(500)]
+    want = v.merge(words)
+    monkeypatch.setattr(bpe, "PART", 2)
+    monkeypatch.setattr(bpe, "LONG", 1)
+    assert v.merge(words) == want
 
 
 def test_forgetting_changes_nothing(monkeypatch):
     texts = [f"word{k % 90} other{k}" for k in range(400)]
-    want = list(bpe.Encoder(bpe.Vocabulary(vocabulary())).encode(texts))
+    fresh = lambda: bpe.Encoder(bpe.ChunkEncoder(bpe.Vocabulary(vocabulary())))
+    want = list(fresh().encode(texts))
     monkeypatch.setattr(bpe, "REMEMBERED", 10)
     monkeypatch.setattr(bpe, "BLOCK", 200)
-    assert list(bpe.Encoder(bpe.Vocabulary(vocabulary())).encode(texts)) == want
+    assert list(fresh().encode(texts)) == want
+    monkeypatch.setattr(bpe, "LONG", 3)
+    assert list(fresh().encode(texts)) == want
 
 
 def test_merges_that_must_wait():
@@ -179,6 +218,12 @@ def test_orc_files(spark, docs, library):
     empty = scratch(spark, "orc")
     orc_tokens.write(docs.limit(0), empty, vocabulary())
     assert orc_tokens.digests(spark, empty).count() == 0
+    many = spark.createDataFrame([(k if k % 3 else None if k % 2 else 60, f"text {k}") for k in range(200)], "doc_id long, text string").repartition(6)
+    orc_tokens.write(many, path := scratch(spark, "orc"), vocabulary())
+    got = orc_tokens.digests(spark, path).orderBy("start").collect()
+    ids = [r["doc_id"] for r in got]
+    assert ids == sorted(ids, key=lambda x: (x is not None, x or 0)) and sorted(map(str, ids)) == sorted(str(r["doc_id"]) for r in many.collect())
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:]))
 
 
 # --- URLs ----------------------------------------------------------------------------------------------------------

@@ -61,13 +61,13 @@ def map_texts(docs: DataFrame, text: str, fields: dict[str, str], start: Callabl
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """This application's folder below the one that driver and executors share, with its file system.
-
-    The shared folder is spark.checkpoint.dir; where that is unset, as in tests, one of our own.
-    """
+    """This application's folder below spark.checkpoint.dir, which driver and executors share, with its file system."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tesserae-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        sc.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="tesserae-"))  # one machine, as in tests
     return sc.getCheckpointDir()
 
 
@@ -78,6 +78,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A key is hot with over 1 / HOT_SHARE of all rows, and LEAST_HOT at least; so there are at most HOT_SHARE hot keys.
+HOT_SHARE, LEAST_HOT = 10_000, 100
+
+
+def spread_join(rows: DataFrame, unique: DataFrame, key: str, total: int, n: str = "n") -> DataFrame:
+    """rows joined by key with unique, which has one row a key and n, the key's number of rows; total: the number of all rows.
+
+    The rows of a hot key stay where they are and get its row by broadcast, which HOT_SHARE bounds; all others are shuffled.
+    """
+    least = max(LEAST_HOT, total // HOT_SHARE)
+    hot = F.broadcast(unique.where(F.col(n) > least).withColumn("_hot", F.lit(True)))
+    marked = rows.join(hot, key, "left")
+    rest = marked.where("_hot is null").select(*rows.columns).join(unique.where(F.col(n) <= least), key)
+    return marked.where("_hot").drop("_hot").unionByName(rest)
+
+
 def scratch(spark: SparkSession, kind: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"

@@ -1,7 +1,9 @@
-"""Connected components of a graph given as an edge table, by alternating large-star and small-star steps.
+"""Connected components of a graph given as an edge table, by alternating large-star and small-star steps; and what
+near-dedup needs around it: pairs between the components of a bucket.
 
-Each step is a grouped minimum and a join on the vertex, so no neighbourhood is ever gathered in one task;
-each round is written to the shared folder. The number of rounds grows with the logarithm of the longest path.
+Each step is a grouped minimum, with partial minima before the shuffle, and a join on the vertex, in which the edges of a hub
+stay where they are (spread_join). Each round is written to the shared folder. The number of rounds grows with the
+logarithm of the longest path.
 """
 
 from __future__ import annotations
@@ -9,20 +11,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import cut
+from tesserae.llm.common import cut, spread_join
 
+#: Rows of a bucket that one task compares with the bucket's strays.
+BLOCK = 1000
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-    out = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")).select("u", F.least("m", "u").alias("m"), "n")
+    out = spread_join(both.where("v > u"), low, "u", total).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return out.where("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
-    joined = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    joined = spread_join(down, low, "u", total).select(F.col("v").alias("u"), F.col("m").alias("v"))
     out = joined.union(low.select("u", F.col("m").alias("v")))
     return out.where("u <> v").distinct()
 
@@ -39,5 +44,25 @@ def roots(edges: DataFrame) -> DataFrame:
         before = now
         if not now[0]:
             break
-        edges = cut(_small_star(_large_star(edges)))
+        edges = cut(_small_star(_large_star(edges, now[0]), now[0]))
     return edges.select("u", F.col("v").alias("root"))
+
+
+def across(rows: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """Pairs between the components of each bucket of rows(key, id, root, ...): u, v and the other columns as u_... and v_....
+
+    facts(id, ...): columns that are added to both ends, for the ids in buckets of several components only.
+
+    A bucket's largest component is not compared with itself: only its strays, the rows of all others, meet the bucket's
+    rows, and these are dealt out by BLOCK. Each pair comes once a bucket.
+    """
+    counts = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    main = counts.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("c").alias("n")).where("parts > 1").drop("parts")
+    open_ = cut(spread_join(rows, main, "key", rows.count()))
+    if facts is not None:
+        open_ = cut(open_.join(facts, "id"))
+    tasks = F.ceil(F.col("n") / BLOCK).cast("int")
+    end = lambda x: [F.col("id").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in open_.columns if c not in ("key", "id", "main", "n"))]
+    strays = open_.where("root <> main").select("key", F.explode(F.sequence(F.lit(0), tasks - 1)).alias("_salt"), *end("u"))
+    every = open_.select("key", F.pmod(F.xxhash64("id"), tasks).cast("int").alias("_salt"), F.col("main"), *end("v"))
+    return strays.join(every, ["key", "_salt"]).where("u_root <> v_root and (v_root = main or u < v)").drop("_salt", "main")

@@ -8,8 +8,8 @@ one segment has none, or two segments have exactly one each. For the first case
 segment. For the second there is a key for each pair of segments, made of two indices of Golay codewords: one
 wrong bit turns a segment's parity, so the even word gives the index of its nearest codeword and the odd word
 those of all codewords within four bits (one or six), and only even meets odd. So every link is found,
-with about one candidate for 800,000 pairs of unrelated fingerprints. Exact copies are one fingerprint
-before any of this.
+with about one candidate for 800,000 pairs of unrelated fingerprints: 10^9 distinct fingerprints give 6 * 10^11 candidates, each
+one exclusive-or in a join, which is what this is planned for. Exact copies are one fingerprint before any of this.
 
 Defined results: a null or wordless text has fingerprint zero, and is linked as any other; a text of under four
 words is one shingle. A row with null doc_id gets its group's component, and a group with null ids only gets
@@ -18,6 +18,7 @@ null. Repeated rows share a group.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +26,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import cut, map_texts
-from tesserae.llm.components import roots
+from tesserae.llm.common import cut, map_texts, spread_join
+from tesserae.llm.components import across, roots
+from tesserae.llm.golay import Golay
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
 #: First bit and length of each segment.
@@ -36,6 +38,9 @@ PAIRS = ((0, 1), (0, 2), (1, 2))
 BLOCK = 1 << 16
 
 
+golay_tables = functools.cache(Golay)
+
+
 def fingerprint(text: str, size: int = SHINGLE) -> int:
     """The fingerprint of one text, unsigned."""
     import xxhash
@@ -60,62 +65,73 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     return map_texts(docs, text, {"fp": "long"}, lambda: of)
 
 
-def keys(fp: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and keys of one side of the candidate join; fp: unsigned 64 bits. Segment keys are on both sides."""
-    from tesserae.llm.golay import Golay
-
-    global _golay
-    _golay = globals().get("_golay") or Golay()
+def keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, keys and sides of fingerprints (unsigned). Of a pair's key, side 0 meets side 1; rows of a segment's key, side 2, meet each other."""
+    g = golay_tables()
     seg = [((fp >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.uint32) for at, n in SEGMENTS]
     odd = [np.bitwise_count(s) & 1 for s in seg]
-    nearest = [_golay.nearest(s) for s in seg]
-    near = [_golay.near(s) for s in seg]
+    nearest = [g.nearest(s) for s in seg]
+    near = [g.near(s) for s in seg]
     every = np.arange(len(fp))
-    rows, found = [], []
-    for t, s in enumerate(seg):
-        rows.append(every)
-        found.append(np.int64(t) << 56 | s.astype(np.int64))
+    out = [(every, np.int64(t) << 56 | s.astype(np.int64), np.full(len(fp), 2)) for t, s in enumerate(seg)]
     none = np.full((len(fp), 5), -1, np.int64)
     both = [np.where(o[:, None] == 1, m, np.hstack([n[:, None], none])) for o, m, n in zip(odd, near, nearest)]
     for t, (a, b) in enumerate(PAIRS):
-        mine = np.flatnonzero(odd[a] == side)
-        tag = (np.int64(3 + t) << 56) | ((odd[a] ^ odd[b]).astype(np.int64)[mine] << 48)
+        tag = (np.int64(3 + t) << 56) | ((odd[a] ^ odd[b]).astype(np.int64) << 48)
         for x in range(6):
             for y in range(6):
-                ka, kb = both[a][mine, x], both[b][mine, y]
-                ok = (ka >= 0) & (kb >= 0)
-                rows.append(mine[ok])
-                found.append((tag | ka << 12 | kb)[ok])
-    return np.concatenate(rows), np.concatenate(found)
+                ka, kb = both[a][:, x], both[b][:, y]
+                ok = np.flatnonzero((ka >= 0) & (kb >= 0))
+                out.append((ok, tag[ok] | ka[ok] << 12 | kb[ok], odd[a][ok]))
+    rows, found, sides = (np.concatenate(x) for x in zip(*out))
+    return rows, found, sides.astype(np.int32)
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """(u, v) for all fingerprints of fps(fp), each once there, that differ in at most MAX_BITS bits."""
+def keyed(fps: DataFrame) -> DataFrame:
+    """(id, key, side) of every fingerprint of fps(fp); id: the fingerprint."""
 
-    def side(k: int) -> DataFrame:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                fp = b["fp"].to_numpy(np.int64)
-                rows, found = keys(fp.view(np.uint64), k)
-                yield pd.DataFrame({"fp": fp[rows], "key": found})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            fp = b["fp"].to_numpy(np.int64)
+            rows, found, sides = keys(fp.view(np.uint64))
+            yield pd.DataFrame({"id": fp[rows], "key": found, "side": sides})
 
-        return fps.select("fp").mapInPandas(run, "fp long, key long")
+    return fps.select("fp").mapInPandas(run, "id long, key long, side int")
 
-    left, right = side(0).select("key", F.col("fp").alias("u")), side(1).select("key", F.col("fp").alias("v"))
-    segment = F.shiftright("key", 56) < len(SEGMENTS)  # these keys see a pair from both ends
-    near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_BITS
-    return left.join(right, "key").where(near & (~segment | (F.col("u") < F.col("v"))) & (F.col("u") != F.col("v"))).select("u", "v")
+
+def linked(fps: DataFrame) -> DataFrame:
+    """(u, root) of all fingerprints of fps(fp), each once there, but the roots, as in components.roots.
+
+    In each bucket all fingerprints are compared with one of the other side first; and then, between those that are not
+    linked by now, each with each. So many near copies cost one comparison a key, not one a pair, and no link that
+    could join two groups is left out.
+    """
+    rows = keyed(fps)
+    mixed = F.col("id").bitwiseXOR(F.col("key"))  # gives each bucket an order of its own
+    chosen = rows.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("side") == 1).alias("ones"), F.min("side").alias("least"),
+        F.min(F.when(F.col("side") != 1, mixed)).alias("a"), F.min(F.when(F.col("side") == 1, mixed)).alias("b"),
+    )
+    chosen = cut(chosen.where("n > 1 and (least = 2 or ones between 1 and n - 1)").select("key", "n", "a", "b"))
+    total = chosen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    meets = F.when(F.col("side") == 0, F.col("b")).otherwise(F.col("a")).bitwiseXOR(F.col("key"))
+    shared = cut(spread_join(rows, chosen, "key", total).select("key", "id", "side", meets.alias("rep")))
+    close = lambda u, v: (F.bit_count(F.col(u).bitwiseXOR(F.col(v))) <= MAX_BITS) & (F.col(u) != F.col(v))
+    star = roots(shared.where(close("id", "rep")).select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct())
+    of = cut(shared.join(star.withColumnRenamed("u", "id"), "id", "left").select("key", "id", "side", F.coalesce("root", "id").alias("root")))
+    more = across(of).where(close("u", "v") & ((F.col("u_side") == 2) | (F.col("u_side") != F.col("v_side")))).select("u", "v")
+    return roots(star.select("u", F.col("root").alias("v")).union(more))
 
 
 def components(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row a document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id of its group)."""
     marked = cut(fingerprints(docs, text))
-    fps = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    root = roots(links(fps))
-    of = fps.join(root.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    group = of.join(least, "root").select("fp", "component_id")
-    return marked.join(group, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    fps = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
+    total = marked.count()
+    of = cut(fps.join(linked(fps).withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    least = of.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("m"))
+    group = spread_join(of, least, "root", total, "m").select("fp", "component_id", "n")
+    return spread_join(marked, group, "fp", total).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:

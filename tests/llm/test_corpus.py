@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tesserae.llm import components, golay, mixing, pii, quality, simhash
+from tesserae.llm import common, components, golay, mixing, pii, quality, simhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -131,10 +131,47 @@ def test_links_lose_nothing(spark):
             fps.add(f)
             for b in rng.sample(range(64), rng.randint(1, 5)):
                 f ^= 1 << b
-    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    got = {frozenset((r["u"], r["v"])) for r in simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()}
-    want = {frozenset((a, b)) for k, a in enumerate(signed) for b in signed[k + 1 :] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 4}
-    assert got == want and len(want) > 300
+    check_groups(spark, fps)
+
+
+def check_groups(spark, fps):
+    """Groups of the operator against those by comparing all fingerprints."""
+    signed = {f: f - (1 << 64) if f >> 63 else f for f in fps}
+    root = {r["u"]: r["root"] for r in simhash.linked(spark.createDataFrame([(f,) for f in signed.values()], "fp long")).collect()}
+    want = expected_groups(list(enumerate(sorted(fps))))
+    groups = {}
+    for f in fps:
+        groups.setdefault(want[f], set()).add(root.get(signed[f], signed[f]))
+    assert all(len(g) == 1 for g in groups.values()) and len({min(g) for g in groups.values()}) == len(groups) > 1
+
+
+@pytest.mark.parametrize("hot", [100, 3])
+def test_large_groups_of_near_copies(spark, monkeypatch, hot):
+    """Many fingerprints in the same buckets, in components that only pairs away from a bucket's first can join; also with hot keys and small blocks."""
+    monkeypatch.setattr(common, "LEAST_HOT", hot)
+    monkeypatch.setattr(components, "BLOCK", 7)
+    rng = random.Random(3)
+    low = rng.getrandbits(22)
+    fps = {low | rng.getrandbits(42) << 22 for _ in range(30)}  # one bucket, nothing near
+    for f in list(fps)[:6]:
+        for _ in range(12):
+            fps.add(f ^ 1 << rng.randrange(22, 64) ^ 1 << rng.randrange(22, 64))
+    chain = rng.getrandbits(64)
+    for _ in range(60):
+        fps.add(chain)
+        chain ^= sum(1 << b for b in rng.sample(range(64), 4))
+    check_groups(spark, fps)
+
+
+def test_simhash_keys_join_all_links():
+    """Of every pair within four bits some key is shared, by opposite sides or by a segment."""
+    rng = random.Random(12)
+    for _ in range(300):
+        a = rng.getrandbits(64)
+        b = a ^ sum(1 << x for x in rng.sample(range(64), rng.randint(1, 4)))
+        rows, found, sides = simhash.keys(np.array([a, b], np.uint64))
+        of = [{(k, s) for r, k, s in zip(rows.tolist(), found.tolist(), sides.tolist()) if r == i} for i in (0, 1)]
+        assert any((k, 2 if s == 2 else 1 - s) in of[1] for k, s in of[0])
 
 
 def test_components_of_long_paths_and_nothing(spark):

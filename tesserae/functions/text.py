@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 ACCENTED, PLAIN = "äçèéêíñóöüáàâåãëìîïòôõùúûý", "aceeeinoouaaaaaeiiiooouuuy"
 #: Words that make a sentence a likely fact.
 FACT_WORDS = "prefer|always|never|must|should|avoid|remember|deadline|owner|path|repo|project|session"
+#: Words that ask for the past, and for preferences.
 TEMPORAL = r"(?i)\b(used to be|what was|formerly|previous(ly)?|prior|earlier|history)\b"
 PREFERENCE = r"(?i)\b(favorite|preference|prefer(red|ring)?|leaning\s+toward)\b"
 MAX_TAGS, MAX_TERMS = 64, 16
@@ -29,6 +30,7 @@ def canonical_key(c: Column) -> Column:
 
 def inferred_key(content: Column) -> Column:
     """Key of "Favorite X: ..." and "Canonical user preference: favorite X is ...", for whole contents of one line."""
+    # fixed values: the two forms of a written preference
     line = F.regexp_extract(content, r"(?i)^\s*favorite\s+(.+?)\s*:\s*.+$", 1)
     spelt = F.regexp_extract(content, r"(?i)^\s*canonical\s+user\s+preference\s*:\s*favorite\s+(.+?)\s+is\s+.+$", 1)
     found = F.when(line != "", line).when(spelt != "", spelt)
@@ -68,11 +70,15 @@ def content_hash(c: Column) -> Column:
     return F.sha2(c, 256)
 
 
+def folded(c: Column) -> Column:
+    """Lower case, accents folded."""
+    low = F.lower(c)
+    return F.when(F.octet_length(low) == F.length(low), low).otherwise(F.translate(low, ACCENTED, PLAIN))  # plain ASCII needs no folding
+
+
 def tokens(c: Column) -> Column:
     """Lower-case runs of letters and digits, accents folded, in order."""
-    low = F.lower(c)
-    folded = F.when(F.octet_length(low) == F.length(low), low).otherwise(F.translate(low, ACCENTED, PLAIN))  # plain ASCII needs no folding
-    return F.array_remove(F.split(folded, r"[^\p{L}\p{N}]+"), "")
+    return F.array_remove(F.split(folded(c), r"[^\p{L}\p{N}]+"), "")
 
 
 def query_terms(query: str) -> list[list[str]]:

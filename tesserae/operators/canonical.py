@@ -7,9 +7,10 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.functions.text import has_canonical_tag, has_preference_tag, preference_score
+from tesserae.functions.text import preference_score
 from tesserae.plans.scope import active
 
+MAX_POOL = 500
 PRIORITY = {"session": 3, "project": 2, "global": 1}
 
 
@@ -21,10 +22,10 @@ def priority():
 
 
 def winners(rows: DataFrame) -> DataFrame:
-    """One row a key: the most specific scope, then the newest."""
-    order = Window.partitionBy("canonical_key").orderBy(priority().desc(), F.desc("updated_at"), "id")
-    keyed = rows.where(F.col("canonical_key").isNotNull())
-    return keyed.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+    """One row a key: the most specific scope, then the newest. Ids are found first, and then their rows."""
+    order = F.struct(-priority(), -F.unix_micros("updated_at"), "id")
+    best = rows.where(F.col("canonical_key").isNotNull()).groupBy("canonical_key").agg(F.min_by("id", order).alias("id"))
+    return rows.join(best.select("id"), "id", "left_semi")
 
 
 def duplicate_ranks(rows: DataFrame) -> DataFrame:
@@ -55,16 +56,39 @@ def timeline(rows: DataFrame, keys: list[str] | None, now: datetime, limit: int
 
 
 def preference_candidates(rows: DataFrame, terms: list[str], now: datetime, pool: int = 200) -> DataFrame:
-    """Best-matching canonical rows: match counts terms in key and content; only rows of the highest count stay."""
-    tagged = has_canonical_tag(F.col("tags")) | has_preference_tag(F.col("tags"))
-    newest = rows.where(active(now) & F.col("canonical_key").isNotNull() & tagged).orderBy(F.desc("updated_at"), "id").limit(pool)
+    """The pool newest active rows with a key, with match, the number of terms in key and content.
+
+    Where any row matches two terms, those with two or more stay; else where any matches one, those with one or more; else all.
+    """
+    newest = rows.where(active(now) & F.col("canonical_key").isNotNull()).orderBy(F.desc("updated_at"), "id").limit(max(1, min(MAX_POOL, pool)))
     scored = newest.withColumn("match", preference_score(F.col("canonical_key"), F.col("content"), terms))
     best = scored.withColumn("_best", F.max("match").over(Window.partitionBy()))  # at most pool rows
-    return best.where((F.col("match") == F.col("_best")) & (F.col("match") > 0)).withColumn("effective", F.least(F.lit(0.99), 0.8 + 0.05 * F.col("match"))).drop("_best")
+    return best.where(F.col("match") >= F.least(F.lit(2), F.col("_best"))).withColumn("effective", F.least(F.lit(0.99), 0.8 + 0.05 * F.col("match"))).drop("_best")
 
 
-def preferred(rows: DataFrame, terms: list[str], now: datetime) -> DataFrame:
-    """Winners among the preference candidates, best match first; they replace an ordinary result."""
-    found = winners(preference_candidates(rows, terms, now))
-    order = Window.orderBy(F.desc("match"), F.desc("effective"), priority().desc(), F.desc("updated_at"), "id")
-    return found.withColumn("rank", F.row_number().over(order))
+def preferred(rows: DataFrame, terms: list[str], now: datetime, found: DataFrame | None = None) -> DataFrame:
+    """What replaces the result found(id, score, rank, ...) of a search for a preference: rows with match, effective, rank.
+
+    Winners by key among the preference candidates and those found rows that have a canonical tag or a key of their own; best match
+    first, then the better score, scope and age. A candidate's effective score is at least its score in found. Without any
+    winner, found stays as it is.
+    """
+    candidates = preference_candidates(rows, terms, now)
+    if found is None:
+        pool = candidates.withColumn("_place", F.lit(None).cast("int"))
+    else:
+        shared = [c for c in rows.columns if c in found.columns]
+        scores = found.select("id", F.col("score").alias("_score"), F.col("rank").alias("_place"))
+        own = candidates.join(F.broadcast(scores), "id", "left").withColumn("effective", F.greatest("effective", "_score"))
+        rest = found.select(*shared, F.lit(0).alias("match"), F.col("score").alias("effective"), F.col("rank").alias("_place"))
+        pool = own.select(rest.columns).unionByName(rest.join(own.select("id"), "id", "left_anti"))
+    own_key = F.col("canonical_key").isNotNull() & (F.col("match").isNotNull())
+    pool = pool.withColumn("_is", own_key)
+    order = Window.orderBy(F.desc("match"), F.desc("effective"), priority().desc(), F.desc("updated_at"), "id")  # at most pool + MAX_LIMIT rows
+    by_key = Window.partitionBy("canonical_key").orderBy(priority().desc(), F.desc("updated_at"), "id")
+    won = pool.where("_is").withColumn("_r", F.row_number().over(by_key)).where("_r = 1").withColumn("rank", F.row_number().over(order))
+    if found is None:
+        return won.drop("_r", "_is", "_place")
+    none = won.agg(F.count(F.lit(1)).alias("_n")).where("_n = 0").drop("_n")
+    as_found = pool.crossJoin(F.broadcast(none)).withColumn("_r", F.lit(1)).withColumn("rank", F.col("_place"))  # one row or none
+    return won.unionByName(as_found.select(won.columns)).drop("_r", "_is", "_place")

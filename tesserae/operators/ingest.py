@@ -45,30 +45,41 @@ def _row_id():
 def upsert(store: DataFrame, batch: DataFrame) -> DataFrame:
     """The store after the batch: COLUMNS.
 
-    Rows without a canonical key merge with the live row of equal content in their scope: tags are united, the last given
-    importance and agent count, the expiry is renewed if one was computed. Rows with a key open a new version whenever the
-    content differs from the version before; only a key's last version stays active, and the others are
-    soft-deleted at the time of the write that replaced them.
+    A write merges with the live row of equal content in its scope, whatever the keys of the two are: tags are united, the last given
+    importance and agent count, the expiry is renewed if one was computed, and a key that only one of them has goes to
+    the row. Rows with a key open a new version whenever the content differs from the version before; only a key's last version
+    stays active, and the others are soft-deleted at the time of the write that replaced them. A write without a key whose
+    content has been replaced makes a row of its own, which a later write may give a key.
     """
     live = store.where(F.col("deleted_at").isNull()).select(*COLUMNS[:-1], F.col("seq"), F.col("created_at").alias("at"), F.lit(True).alias("_stored"))
     new = normalized(batch).withColumns({"id": F.lit(None).cast("string"), "created_at": F.col("at"), "updated_at": F.col("at"), "deleted_at": F.lit(None).cast("timestamp"), "_stored": F.lit(False)})
-    rows = live.unionByName(new.select(*live.columns))
+    rows = live.unionByName(new.select(*live.columns)).withColumn("_order", F.struct(~F.col("_stored"), "seq"))  # stored rows first, then arrival
+    content = Window.partitionBy("scope_type", F.coalesce("scope_id", F.lit("")), "content_hash").orderBy("_order")
+    known = F.when(F.col("canonical_key").isNotNull(), F.struct("canonical_key", "_order"))
+    earlier = F.last(known, True).over(content.rowsBetween(Window.unboundedPreceding, 0))
+    coming = F.first(known, True).over(content.rowsBetween(0, Window.unboundedFollowing))
+    rows = rows.withColumns({"_e": earlier, "_c": coming})
+    key = Window.partitionBy("scope_type", F.coalesce("scope_id", F.lit("")), "_e.canonical_key").orderBy("_order").rowsBetween(Window.unboundedPreceding, 0)
+    lives = F.last(F.when(F.col("canonical_key").isNotNull(), F.col("content_hash")), True).over(key) == F.col("content_hash")
+    rows = rows.withColumn("_lives", F.coalesce(lives & F.col("_e").isNotNull(), F.lit(False)))
+    # a row that gets its key later takes its place in the key's versions only then
+    rows = rows.withColumn("canonical_key", F.coalesce("canonical_key", F.when(F.col("_lives"), F.col("_e.canonical_key")), "_c.canonical_key"))
+    rows = rows.withColumn("_at", F.when(~F.col("_lives") & F.col("_c").isNotNull(), F.col("_c._order")).otherwise(F.col("_order")))
     scope = ["scope_type", F.coalesce("scope_id", F.lit("")), F.coalesce("canonical_key", F.lit(""))]
-    # stored rows first, then arrival
-    by_scope = Window.partitionBy(*scope, F.when(F.col("canonical_key").isNull(), F.col("content_hash"))).orderBy(F.desc("_stored"), "seq")
+    by_scope = Window.partitionBy(*scope, F.when(F.col("canonical_key").isNull(), F.col("content_hash"))).orderBy("_at", "_order")
     changed = (F.col("canonical_key").isNotNull() & ~F.lag("content_hash").over(by_scope).eqNullSafe(F.col("content_hash"))).cast("int")
     rows = rows.withColumn("_new", changed).withColumn("_version", F.sum("_new").over(by_scope.rowsBetween(Window.unboundedPreceding, 0)))
-    order = F.struct(~F.col("_stored"), "seq")
+    order, entered = F.col("_order"), F.when(F.col("_at") == F.col("_order"), F.col("at"))
     merged = rows.groupBy("scope_type", "scope_id", "canonical_key", "content_hash", "_version").agg(
         F.min_by("id", order).alias("id"), F.min_by("content", order).alias("content"), F.array_sort(F.collect_list(F.struct(order.alias("o"), "tags"))).alias("_tags"),
         F.max_by("importance", F.when(F.col("importance").isNotNull(), order)).alias("importance"), F.max_by("captured", F.when(F.col("captured").isNotNull(), order)).alias("captured"),
-        F.max_by("source_agent", order).alias("source_agent"), F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"),
+        F.max_by("source_agent", order).alias("source_agent"), F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"), F.min(entered).alias("_entered"),
         F.max_by("expires_at", F.when(F.col("expires_at").isNotNull(), order)).alias("expires_at"), F.min("seq").alias("_first"), F.max("seq").alias("seq"),
     )
     later = Window.partitionBy(*scope).orderBy("_version")
     merged = merged.withColumns({
         "tags": F.slice(F.array_distinct(F.flatten(F.transform("_tags", lambda x: x["tags"]))), 1, 64), "importance": F.coalesce("importance", F.lit(0.5)),
-        "id": F.coalesce("id", _row_id()), "deleted_at": F.when(F.col("canonical_key").isNotNull(), F.lead("created_at").over(later)),
+        "id": F.coalesce("id", _row_id()), "deleted_at": F.when(F.col("canonical_key").isNotNull(), F.lead("_entered").over(later)),
     })
     dead = store.where(F.col("deleted_at").isNotNull()).select(*COLUMNS)
     return merged.select(*COLUMNS).unionByName(dead)

@@ -1,4 +1,4 @@
-"""Full-text candidates: BM25 over the token arrays of all indexed rows.
+"""Full-text candidates: BM25 over all indexed rows.
 
 Document frequencies, the number of rows and the mean length are one aggregate row; term frequencies are computed beside each
 text. So a query is two scans and no shuffle of texts or postings, and the top candidates come from a bounded top-k.
@@ -11,19 +11,35 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.functions.text import query_terms, tokens
+from tesserae.functions.bind import let
+from tesserae.functions.text import folded, query_terms
 
 #: Fixed values of the ranking function.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 CANDIDATES = 100
 
 
-def _frequency(tokens: Column, phrase: list[str]) -> Column:
-    """How often a phrase of adjacent tokens occurs."""
-    if len(phrase) == 1:
-        return F.size(F.filter(tokens, lambda t: t == phrase[0]))
-    places = F.transform(tokens, lambda t, i: reduce(lambda a, b: a & b, ((F.get(tokens, i + k) == p) for k, p in enumerate(phrase))))
-    return F.size(F.filter(places, lambda x: F.coalesce(x, F.lit(False))))
+TOKEN, NO_TOKEN = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]"
+
+
+def _counts(text: Column, terms: list[list[str]]) -> Column:
+    """[number of tokens, frequency of each term] of a folded text, by counting matches, without making its tokens.
+
+    Terms of one token are found in one pass, which texts without any of them skip; a phrase is counted wherever its first token
+    is followed by the others.
+    """
+    single = [t[0] for t in terms if len(t) == 1]
+    any_of = reduce(lambda a, b: a | b, (text.contains(t) for t in single), F.lit(False))
+    whole = rf"(?<!{TOKEN})({'|'.join(single)})(?!{TOKEN})"
+    hits = F.when(any_of, F.regexp_extract_all(text, F.lit(whole), F.lit(1))).otherwise(F.array().cast("array<string>")) if single else F.array().cast("array<string>")
+
+    def frequency(found: Column, term: list[str]) -> Column:
+        if len(term) == 1:
+            return F.size(found) - F.size(F.array_remove(found, term[0]))
+        rest = f"{NO_TOKEN}+".join(term[1:])
+        return F.when(text.contains(term[0]), F.regexp_count(text, F.lit(rf"(?<!{TOKEN}){term[0]}(?={NO_TOKEN}+{rest}(?!{TOKEN}))"))).otherwise(0)
+
+    return let(hits, lambda found: F.array(F.regexp_count(text, F.lit(f"{TOKEN}+")), *(frequency(found, t) for t in terms)))
 
 
 def scored(rows: DataFrame, query: str, text: str = "content") -> DataFrame:
@@ -34,10 +50,7 @@ def scored(rows: DataFrame, query: str, text: str = "content") -> DataFrame:
     terms = query_terms(query)
     if not terms:
         return rows.withColumn("bm25", F.lit(0.0)).where(F.lit(False))
-    # one array for each row, [tokens, frequency of each term], so that a text is cut into tokens once
-    count = lambda t: F.array(F.size(t), *(_frequency(t, p) for p in terms))
-    counts = F.get(F.transform(F.array(tokens(F.coalesce(F.col(text), F.lit("")))), count), F.lit(0))
-    counted = rows.withColumn("_c", counts)
+    counted = rows.withColumn("_c", let(folded(F.coalesce(F.col(text), F.lit(""))), lambda t: _counts(t, terms)))
     of = lambda k: F.get("_c", F.lit(k))
     places = range(1, len(terms) + 1)
     corpus = counted.select("_c").agg(F.count(F.lit(1)).alias("_n"), F.avg(of(0)).alias("_avg"), *(F.count_if(of(k) > 0).alias(f"_df{k}") for k in places))

@@ -53,24 +53,28 @@ def _unprotected() -> Column:
     return F.col("canonical_key").isNull() & ~F.array_contains(tags, "canonical") & ~F.array_contains(tags, "user-preference")
 
 
+def _expired(at: datetime, grace_days: int = EXPIRED_GRACE_DAYS) -> Column:
+    return F.col("deleted_at").isNull() & F.coalesce(F.col("expires_at") <= F.lit(at - timedelta(days=grace_days)), F.lit(False)) & _unprotected()
+
+
+def _captured(at: datetime, grace_days: int = CAPTURED_GRACE_DAYS) -> Column:
+    tagged = F.array_contains(F.transform("tags", lambda t: F.lower(t)), "captured") | F.coalesce("captured", F.lit(False))
+    return F.col("deleted_at").isNull() & (F.col("updated_at") <= F.lit(at - timedelta(days=grace_days))) & tagged & _unprotected() & ~_expired(at)
+
+
 def expired_candidates(memories: DataFrame, at: datetime, grace_days: int = EXPIRED_GRACE_DAYS) -> DataFrame:
-    before = F.lit(at - timedelta(days=grace_days))
-    return memories.where(F.col("deleted_at").isNull() & (F.col("expires_at") <= before) & _unprotected())
+    return memories.where(_expired(at, grace_days))
 
 
 def captured_candidates(memories: DataFrame, at: datetime, grace_days: int = CAPTURED_GRACE_DAYS) -> DataFrame:
     """Old captured rows that are not already candidates for their expiry."""
-    tagged = F.array_contains(F.transform("tags", lambda t: F.lower(t)), "captured") | F.coalesce("captured", F.lit(False))
-    old = memories.where(F.col("deleted_at").isNull() & (F.col("updated_at") <= F.lit(at - timedelta(days=grace_days))) & tagged & _unprotected())
-    return old.join(expired_candidates(memories, at).select("id"), "id", "left_anti")
+    return memories.where(_captured(at, grace_days))
 
 
 def apply_cleanup(memories: DataFrame, at: datetime) -> DataFrame:
     """The store with all cleanup candidates soft-deleted."""
-    gone = expired_candidates(memories, at).select("id").union(captured_candidates(memories, at).select("id")).distinct().withColumn("_gone", F.lit(True))
-    hit = F.col("_gone").isNotNull()
-    marked = memories.join(gone, "id", "left")
-    return marked.withColumns({"deleted_at": F.when(hit, F.lit(at)).otherwise(F.col("deleted_at")), "updated_at": F.when(hit, F.lit(at)).otherwise(F.col("updated_at"))}).select(memories.columns)
+    hit = F.coalesce(_expired(at) | _captured(at), F.lit(False))
+    return memories.withColumns({c: F.when(hit, F.lit(at)).otherwise(F.col(c)) for c in ("deleted_at", "updated_at")})
 
 
 def durability(rows: DataFrame) -> DataFrame:
@@ -113,11 +117,13 @@ def growth(current: Column, baseline: Column) -> Column:
 
 
 def drift(snapshots: DataFrame, baseline_days: int = 6) -> DataFrame:
-    """snapshots(at, active, keys, bytes, expired_active) with changes against the one before and the latest one
-    at least baseline_days older, the streak of snapshots with expired rows, and the alerts that follow.
+    """snapshots with changes against the one before and the latest one at least baseline_days older, the streak of snapshots
+    with expired rows, and the alerts and notices that follow.
 
-    Snapshots are few (a job's history), so their order is one window.
+    snapshots(at, active, keys, bytes, expired_active); and where they are known, embeddings (ok or not), embedding_rows,
+    max_content_bytes, oversized_rows and chunked_rows. They are few (a job's history), so their order is one window.
     """
+    have = lambda c, kind: F.col(c) if c in snapshots.columns else F.lit(None).cast(kind)
     by_time = Window.orderBy("at")
     older = Window.orderBy(F.unix_seconds(F.col("at").cast("timestamp"))).rangeBetween(Window.unboundedPreceding, -baseline_days * 86_400)
     rows = snapshots.withColumn("_n", F.row_number().over(by_time))
@@ -129,12 +135,18 @@ def drift(snapshots: DataFrame, baseline_days: int = 6) -> DataFrame:
         "_first": F.lag("bytes").over(by_time).isNull(), "_young": F.last("bytes", True).over(older).isNull(),
     })
     rows = rows.withColumns({"day_growth": F.when(~F.col("_first"), F.col("day_growth")), "week_growth": F.when(~F.col("_young"), F.col("week_growth"))})
-    rules = [
-        (F.col("day_growth") > DAY_GROWTH, "day_growth"), (F.col("week_growth") > WEEK_GROWTH, "week_growth"), (F.col("active_change") > ACTIVE_JUMP, "active_jump"),
-        (F.col("key_change") > KEY_JUMP, "key_jump"), (F.col("streak") >= STREAK, "expired_streak"), (F.col("bytes") > LARGE_BYTES, "large_store"),
+    large = have("max_content_bytes", "long") > LARGE_BYTES
+    covered = have("embedding_rows", "long") >= F.col("active")
+    oversized, chunked = F.coalesce(have("oversized_rows", "long"), F.lit(0)), F.coalesce(have("chunked_rows", "long"), F.lit(0))
+    alerts = [
+        (have("embeddings", "string") != "ok", "embeddings_degraded"), (F.col("day_growth") > DAY_GROWTH, "db_growth_day"), (F.col("week_growth") > WEEK_GROWTH, "db_growth_week"),
+        (F.col("active_change") > ACTIVE_JUMP, "active_growth_day"), (F.col("key_change") > KEY_JUMP, "idempotency_growth_day"), (F.col("streak") >= STREAK, "expired_active_streak"),
+        (large & (~covered | (oversized > chunked)), "max_content_outlier"),
     ]
-    alerts = F.array_join(F.array_compact(F.array(*(F.when(when, F.lit(name)) for when, name in rules))), ",")
-    return rows.withColumn("alerts", alerts).drop("_n", "_first", "_young")
+    whole = large & covered & (oversized <= chunked)
+    notices = [(whole & (oversized > 0), "max_content_outlier_chunked"), (whole & (oversized == 0), "max_content_outlier_embedded")]
+    listed = lambda rules: F.array_join(F.array_compact(F.array(*(F.when(when, F.lit(name)) for when, name in rules))), ",")
+    return rows.withColumns({"alerts": listed(alerts), "notices": listed(notices)}).drop("_n", "_first", "_young")
 
 
 def missing_embeddings(memories: DataFrame, max_chars: int | None = None) -> DataFrame:

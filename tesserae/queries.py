@@ -16,6 +16,7 @@ from tesserae.views import ACTIVE_SQL, MEMORIES_SQL, NOW, QUERY, QUERY_VECTOR, m
 
 FLAGSHIP = "search_lexical"
 EVERYWHERE = [Scope("global"), Scope("project", "*"), Scope("session", "*")]
+STORE = "id string, scope_type string, scope_id string, content string, content_hash string, canonical_key string, tags array<string>, importance double, captured boolean, source_agent string, created_at timestamp, updated_at timestamp, expires_at timestamp, deleted_at timestamp, seq bigint"
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
@@ -66,13 +67,17 @@ def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- retrieval -----------------------------------------------------------------------------------------------------
 
-TOKENS_SQL = r"""tok AS (SELECT id, scope_type, list_filter(regexp_split_to_array(translate(lower(content), 'äçèéêíñóöüáàâåãëìîïòôõùúûý', 'aceeeinoouaaaaaeiiiooouuuy'), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ts
+def tokens_sql(terms: str) -> str:
+    return r"""tok AS (SELECT id, scope_type, list_filter(regexp_split_to_array(translate(lower(content), 'äçèéêíñóöüáàâåãëìîïòôõùúûý', 'aceeeinoouaaaaaeiiiooouuuy'), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ts
     FROM memories WHERE deleted_at IS NULL),
-  freq AS (SELECT id, len(ts) AS d, q.term, len(list_filter(ts, lambda x: x = q.term)) AS tf FROM tok, (SELECT unnest(['remember', 'the', 'deadline', 'thereforce']) AS term) q),
+  freq AS (SELECT id, len(ts) AS d, q.term, len(list_filter(ts, lambda x: x = q.term)) AS tf FROM tok, (SELECT unnest(TERMS) AS term) q),
   stat AS (SELECT count(*) AS n, avg(len(ts)) AS l FROM tok),
   dfs AS (SELECT term, count(*) FILTER (tf > 0) AS df FROM freq GROUP BY term),
   bm AS (SELECT id, -sum(greatest(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END, 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * d / l))) AS bm25
-    FROM freq JOIN dfs USING (term), stat GROUP BY id HAVING sum(tf) > 0)"""
+    FROM freq JOIN dfs USING (term), stat GROUP BY id HAVING sum(tf) > 0)""".replace("TERMS", terms)
+
+
+TOKENS_SQL = tokens_sql("['remember', 'the', 'deadline', 'thereforce']")
 TOP_SQL = f"top AS (SELECT id, bm25 FROM bm JOIN memories USING (id) WHERE {ACTIVE_SQL} ORDER BY round(bm25, 9), id LIMIT 100)"
 VECTOR_SQL = "[" + ", ".join(map(repr, QUERY_VECTOR)) + "]::DOUBLE[]"
 COSINE_SQL = f"""CASE WHEN list_dot_product(embedding, embedding) > 0 THEN greatest(0.0, least(1.0,
@@ -109,7 +114,7 @@ def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(over_memories(f", {NEAR_SQL} SELECT id, round(semantic, 6) AS semantic FROM near"))
 def search_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = search.semantic_candidates(memories(spark, sf_dir).where(active(NOW)), QUERY_VECTOR)
+    near = search.semantic_candidates(memories(spark, sf_dir, vectors=True).where(active(NOW)), QUERY_VECTOR)
     return near.select("id", F.round("semantic", 6).alias("semantic"))
 
 
@@ -117,7 +122,7 @@ def search_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT coalesce(top.id, near.id) AS id, CASE WHEN bm25 IS NULL THEN 0.0 ELSE 1.0 END AS lex, coalesce(semantic, 0.0) AS sem FROM top FULL JOIN near ON top.id = near.id",
     f"0.5 * sem + 0.35 * lex + 0.1 * importance + 0.05 * {RECENCY_SQL}")))
 def search_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(search.search(memories(spark, sf_dir), QUERY, EVERYWHERE, NOW, vector=QUERY_VECTOR))
+    return shown(search.search(memories(spark, sf_dir, vectors=True), QUERY, EVERYWHERE, NOW, vector=QUERY_VECTOR))
 
 
 @query(over_memories(f", parts AS (SELECT label::VARCHAR AS parent_id, vec_id AS chunk_index, {COSINE_SQL.replace('embedding', 'v')} AS semantic FROM (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings) JOIN memories ON id = label::VARCHAR WHERE {ACTIVE_SQL})"
@@ -126,8 +131,7 @@ def chunk_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector as a chunk of the memory named by its label."""
     e = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("parent_id"), F.col("vec_id").alias("chunk_index"), F.lit("").alias("content"), F.col("embedding").cast("array<double>").alias("embedding"))
     parents = memories(spark, sf_dir).where(active(NOW))
-    n = 1 << 30  # the whole table, no candidate caps
-    found = search.chunk_candidates(e, parents, QUERY_VECTOR, n, n)
+    found = search.chunk_candidates(e, parents, QUERY_VECTOR, None, None)
     return found.select("id", F.round("semantic", 6).alias("semantic"), F.col("chunk.chunk_index").alias("chunk_index"))
 
 
@@ -157,15 +161,22 @@ def newest_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
       CASE WHEN len(ids) < 12 AND (len(ids) = 0 OR used + cost <= 1200) THEN list_append(ids, i.id) ELSE ids END FROM fold JOIN items i ON i.rank = fold.rank + 1)
   SELECT unnest(ids) AS id, generate_subscripts(ids, 1)::INT AS place, used FROM (SELECT * FROM fold ORDER BY rank DESC LIMIT 1)"""))
 def token_budget_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.pack_tokens(newest_ranked(spark, sf_dir))
+    return search.pack_tokens(newest_ranked(spark, sf_dir)).select("id", "place", "used")
 
 
-@query()
+@query(over_memories(f""", {PACK_RANKED_SQL}, shaped AS (SELECT id, rank, strlen(to_json({{'id': id, 'content': whole}})::VARCHAR) AS a, strlen(to_json({{'id': id, 'content': short}})::VARCHAR) AS b FROM
+      (SELECT id, rank, CASE WHEN length(content) <= 1200 THEN content ELSE regexp_replace(substr(content, 1, 1200), '[\\s\\p{{Z}}]+$', '') || chr(10) || '… [truncated ' || (length(content) - 1200) || ' chars]' END AS whole,
+        CASE WHEN length(content) <= 300 THEN content ELSE regexp_replace(substr(content, 1, 300), '[\\s\\p{{Z}}]+$', '') || chr(10) || '… [truncated ' || (length(content) - 300) || ' chars]' END AS short FROM items)),
+    fold AS (SELECT 0 AS rank, length('{{"items":[],"total":' || (SELECT count(*) FROM items) || '}}')::BIGINT AS used, []::VARCHAR[] AS ids UNION ALL
+    SELECT i.rank, CASE WHEN used + a <= BUDGET THEN used + a WHEN len(ids) = 0 AND used + b <= BUDGET THEN used + b ELSE used END,
+      CASE WHEN used + a <= BUDGET OR (len(ids) = 0 AND used + b <= BUDGET) THEN list_append(ids, i.id) ELSE ids END FROM fold JOIN shaped i ON i.rank = fold.rank + 1)
+  SELECT unnest(ids) AS id, generate_subscripts(ids, 1)::INT AS place, used FROM (SELECT * FROM fold ORDER BY rank DESC LIMIT 1)""".replace("BUDGET", "20000").replace("\\\\", "\\")))
 def byte_budget_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.pack_bytes(newest_ranked(spark, sf_dir), 20_000)
+    return search.pack_bytes(newest_ranked(spark, sf_dir).select("id", "content", "rank"), 20_000).select("id", "place", "used")
 
 
-@query()
+@query(over_memories(f""", {PACK_RANKED_SQL}, flat AS (SELECT rank, scope_type, trim(regexp_replace(content, '[\\s\\p{{Z}}]+', ' ', 'g')) AS f FROM items JOIN (SELECT id, scope_type FROM memories) USING (id) WHERE rank <= 8)
+  SELECT string_agg(rank || '. [' || scope_type || '] ' || CASE WHEN length(f) <= 140 THEN f ELSE substr(f, 1, 137) || '...' END, chr(10) ORDER BY rank) AS summary FROM flat""".replace("\\\\", "\\")))
 def context_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.summary(newest_ranked(spark, sf_dir))
 
@@ -197,10 +208,16 @@ def canonical_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.timeline(memories(spark, sf_dir), None, NOW, None).select("id", "canonical_key", "place")
 
 
-PREFERENCE_SQL = f"""pool AS (SELECT * FROM memories WHERE {ACTIVE_SQL} AND canonical_key IS NOT NULL ORDER BY updated_at DESC, id LIMIT 200),
-  hit AS (SELECT *, (lower(canonical_key || ' ' || content) LIKE '%favorite%')::INT + (lower(canonical_key || ' ' || content) LIKE '%color%')::INT + (lower(canonical_key || ' ' || content) LIKE '%fr\\_%' ESCAPE '\\')::INT AS match FROM pool),
-  best AS (SELECT * FROM hit WHERE match > 0 AND match = (SELECT max(match) FROM hit))"""
-PREFERENCE_TERMS = ["favorite", "color", "fr_"]
+def preference_sql(where: str, *terms: str) -> str:
+    """best: where any row has two of the terms, rows with two or more; else with one, if any has one; else all of the pool."""
+    match = " + ".join(f"(strpos(lower(canonical_key || ' ' || content), '{t}') > 0)::INT" for t in terms)
+    return f"""pool AS (SELECT * FROM memories WHERE {where} AND {ACTIVE_SQL} AND canonical_key IS NOT NULL ORDER BY updated_at DESC, id LIMIT 200),
+  hit AS (SELECT *, {match} AS match FROM pool),
+  best AS (SELECT * FROM hit WHERE CASE WHEN (SELECT max(match) FROM hit) >= 2 THEN match >= 2 WHEN (SELECT max(match) FROM hit) = 1 THEN match >= 1 ELSE true END)"""
+
+
+PREFERENCE_TERMS = ["favorite", "fr_", "zebra", "color: 3"]
+PREFERENCE_SQL = preference_sql("true", *PREFERENCE_TERMS)
 
 
 @query(over_memories(f", {PREFERENCE_SQL} SELECT id, match, round(least(0.99, 0.8 + 0.05 * match)::DOUBLE, 6) AS effective FROM best"))
@@ -209,19 +226,45 @@ def preference_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "match", F.round("effective", 6).alias("effective"))
 
 
+@query(over_memories(f", {preference_sql('true', 'zebra')} SELECT id, match FROM best"))
+def preference_without_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.preference_candidates(memories(spark, sf_dir), ["zebra"], NOW).select("id", "match")
+
+
 @query(over_memories(f", {PREFERENCE_SQL} SELECT id, row_number() OVER (ORDER BY match DESC, {PRIORITY_SQL} DESC, updated_at DESC, id)::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY canonical_key ORDER BY {PRIORITY_SQL} DESC, updated_at DESC, id) AS r FROM best) WHERE r = 1"))
 def preferred(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.preferred(memories(spark, sf_dir), PREFERENCE_TERMS, NOW).select("id", "rank")
 
 
-@query(over_memories("SELECT id, canonical_key, regexp_replace(regexp_replace(lower(trim(substr(content, 1, 40))), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS key FROM memories WHERE length(regexp_replace(lower(trim(substr(content, 1, 40))), '[^a-z0-9]+', '', 'g')) > 0 AND strpos(substr(content, 1, 40), '''') = 0"))
-def canonical_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = X.canonical_key(F.substring("content", 1, 40))
-    return memories(spark, sf_dir).select("id", "canonical_key", key.alias("key"), F.substring("content", 1, 40).contains("'").alias("q")).where("key is not null and not q").drop("q")
+CONTEXT_SCOPES_SQL = "(scope_type = 'global' OR (scope_type = 'session' AND scope_id = 's2'))"
+
+
+@query(over_memories(f""", {tokens_sql("['favorite', 'color', 'deadline']")},
+  top AS (SELECT id, bm25 FROM bm JOIN memories USING (id) WHERE {ACTIVE_SQL} AND {CONTEXT_SCOPES_SQL} ORDER BY round(bm25, 9), id LIMIT 100),
+  found AS (SELECT m.*, greatest(0.0, least(1.0, greatest(0.0, least(1.0, 0.75 + 0.15 * importance + 0.1 * {RECENCY_SQL} + {BOOST_SQL})) - CASE WHEN {NOISY_SQL} THEN 0.08 ELSE 0 END)) AS score FROM memories m JOIN top USING (id)),
+  {preference_sql(CONTEXT_SCOPES_SQL, 'favorite', 'color', 'deadline')},
+  every AS (SELECT id, match FROM best UNION ALL SELECT id, 0 FROM found WHERE canonical_key IS NOT NULL AND id NOT IN (SELECT id FROM best)),
+  scored AS (SELECT m.id, m.content, m.scope_type, m.updated_at, m.canonical_key, match, greatest(CASE WHEN match > 0 THEN least(0.99, 0.8 + 0.05 * match) ELSE 0 END, coalesce(f.score, 0)) AS effective FROM every JOIN memories m USING (id) LEFT JOIN found f USING (id)),
+  won AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY canonical_key ORDER BY {PRIORITY_SQL} DESC, updated_at DESC, id) AS r FROM scored) WHERE r = 1),
+  items AS (SELECT id, effective, ceil(length(content) / 4)::BIGINT + 20 AS cost, row_number() OVER (ORDER BY match DESC, effective DESC, {PRIORITY_SQL} DESC, updated_at DESC, id)::INT AS rank FROM won),
+  fold AS (SELECT 0 AS rank, 0::BIGINT AS used, []::VARCHAR[] AS ids UNION ALL
+    SELECT i.rank, CASE WHEN len(ids) < 12 AND (len(ids) = 0 OR used + cost <= 1200) THEN used + cost ELSE used END,
+      CASE WHEN len(ids) < 12 AND (len(ids) = 0 OR used + cost <= 1200) THEN list_append(ids, i.id) ELSE ids END FROM fold JOIN items i ON i.rank = fold.rank + 1),
+  taken AS (SELECT unnest(ids) AS id, generate_subscripts(ids, 1)::INT AS place, used FROM (SELECT * FROM fold ORDER BY rank DESC LIMIT 1))
+  SELECT id, place, used, round(effective, 6) AS score FROM taken JOIN items USING (id)"""))
+def context_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.context(memories(spark, sf_dir), "favorite color deadline", NOW, session_id="s2")
+    return found.items.select("id", "place", "used", F.round("score", 6).alias("score"))
+
+
+@query()
+def search_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A response for small clients; its bytes depend on how JSON writes numbers and times."""
+    return search.compact_response(memories(spark, sf_dir), QUERY, EVERYWHERE, NOW)
 
 
 @query(over_memories("SELECT id, canonical_key, key FROM (SELECT id, canonical_key, regexp_replace(regexp_replace(regexp_replace(lower(trim(content)), '[''’]', '', 'g'), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS key FROM memories) WHERE key <> ''"))
-def canonical_keys_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def canonical_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of whole contents, those with apostrophes too."""
     return memories(spark, sf_dir).select("id", "canonical_key", X.canonical_key(F.col("content")).alias("key")).where("key is not null")
 
@@ -257,6 +300,26 @@ def redact_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", X.content_hash(F.col("r.text")).alias("text_hash"), F.col("r.redacted").alias("redacted"))
 
 
+SHAPES_SQL = """WITH rows AS (SELECT doc_id, coalesce(text, '') || ' ' || CASE doc_id % 7 WHEN 0 THEN 'sk-' || h[1:30] WHEN 1 THEN 'AKIA' || upper(h[1:16]) WHEN 2 THEN 'ghp_' || h[1:24] WHEN 3 THEN 'AIza' || h[1:35]
+    WHEN 4 THEN '-----BEGIN RSA PRIVATE KEY-----' || chr(10) || h || chr(10) || '-----END RSA PRIVATE KEY-----' WHEN 5 THEN 'BEARER ' || h[1:22] ELSE 'sk-' || h[1:19] || ' bearer x ghx_' || h[1:24] END AS t FROM (SELECT *, sha256(doc_id::VARCHAR) AS h FROM documents)),
+  a AS (SELECT doc_id, t, regexp_replace(t, 'sk-[A-Za-z0-9]{20,}', '[REDACTED_OPENAI_KEY]', 'g') AS x FROM rows), b AS (SELECT doc_id, t, regexp_replace(x, 'AKIA[0-9A-Z]{16}', '[REDACTED_AWS_ACCESS_KEY]', 'g') AS x FROM a),
+  c AS (SELECT doc_id, t, regexp_replace(x, 'gh[pousr]_[A-Za-z0-9]{20,}', '[REDACTED_GITHUB_TOKEN]', 'g') AS x FROM b), d AS (SELECT doc_id, t, regexp_replace(x, 'AIza[0-9A-Za-z_-]{35}', '[REDACTED_GOOGLE_API_KEY]', 'g') AS x FROM c),
+  e AS (SELECT doc_id, t, regexp_replace(x, '(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----', '[REDACTED_PRIVATE_KEY_BLOCK]', 'g') AS x FROM d),
+  f AS (SELECT doc_id, t, regexp_replace(x, '(?i)(bearer\\s+)[A-Za-z0-9._-]{20,}', '\\1[REDACTED_BEARER_TOKEN]', 'g') AS x FROM e) SELECT doc_id, sha256(x) AS text_hash, x <> t AS redacted FROM f"""
+
+
+@query(SHAPES_SQL)
+def redact_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each secret shape in turn behind whole texts, and shapes that are one letter too short."""
+    h, k = F.sha2(F.col("doc_id").cast("string"), 256), F.col("doc_id") % 7
+    first = lambda n: F.substring(h, 1, n)
+    block = F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), h, F.lit("\n-----END RSA PRIVATE KEY-----"))
+    secret = F.when(k == 0, F.concat(F.lit("sk-"), first(30))).when(k == 1, F.concat(F.lit("AKIA"), F.upper(first(16)))).when(k == 2, F.concat(F.lit("ghp_"), first(24))).when(k == 3, F.concat(F.lit("AIza"), first(35)))
+    secret = secret.when(k == 4, block).when(k == 5, F.concat(F.lit("BEARER "), first(22))).otherwise(F.concat(F.lit("sk-"), first(19), F.lit(" bearer x ghx_"), first(24)))
+    rows = table(spark, sf_dir, "documents").select("doc_id", redacted(F.concat(F.coalesce("text", F.lit("")), F.lit(" "), secret)).alias("r"))
+    return rows.select("doc_id", X.content_hash(F.col("r.text")).alias("text_hash"), F.col("r.redacted").alias("redacted"))
+
+
 @query(r"""WITH rows AS (SELECT doc_id, 'token ' || upper(substr(sha256(doc_id::VARCHAR), 1, 16)) || sha256(doc_id::VARCHAR)[17:40] AS t FROM documents),
   tok AS (SELECT doc_id, t, substr(t, 7) AS k FROM rows),
   ent AS (SELECT doc_id, t, k, (SELECT -sum(c / 40.0 * log2(c / 40.0)) FROM (SELECT count(*) AS c FROM (SELECT unnest(string_split(k, '')) AS x) GROUP BY x)) AS bits FROM tok)
@@ -332,20 +395,19 @@ def import_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVENT_NAMES = ("memory_search", "web_search", "shell", "tool_search", "editor")
 
 
-@query("""WITH e AS (SELECT user_id AS session, event_id AS pos, CASE event_id % 4 WHEN 3 THEN 'result' ELSE 'call' END AS kind, ['memory_search', 'web_search', 'shell', 'tool_search', 'editor'][(event_id % 5 + 1)::INT] AS name, (user_id || '-' || (event_id // 4))::VARCHAR AS call_id FROM events),
-  c AS (SELECT *, name = 'memory_search' AS own FROM e WHERE kind = 'call'),
-  k AS (SELECT session, call_id, min(pos) AS p, bool_or(own) AS own, arg_max(name, pos) AS name FROM c GROUP BY 1, 2),
-  r AS (SELECT e.session, k.own, k.name FROM e JOIN k ON e.session = k.session AND e.call_id = k.call_id AND k.p < e.pos WHERE kind = 'result'),
-  f AS (SELECT session, CASE WHEN own THEN 'own_call' ELSE 'call' END AS what, name FROM c UNION ALL SELECT session, CASE WHEN own THEN 'own_result' ELSE 'result' END, name FROM r)
-  SELECT session, count(*) FILTER (what = 'call') AS tool_calls, count(*) FILTER (what = 'result') AS tool_results, count(*) FILTER (what = 'call' AND name = 'web_search') AS web_calls,
+@query("""WITH e AS (SELECT user_id AS session, event_id AS pos, CASE event_id % 4 WHEN 3 THEN 'result' ELSE 'call' END AS kind, ['memory_search', 'web_search', 'shell', 'tool_search', 'editor'][(event_id % 5 + 1)::INT] AS name, (user_id || '-' || (event_id // 40))::VARCHAR AS call_id FROM events),
+  r AS (SELECT e.session, e.pos, coalesce(bool_or(c.name = 'memory_search'), false) AS own, arg_max(c.name, c.pos) FILTER (c.name <> 'memory_search') AS name FROM e LEFT JOIN e c ON c.kind = 'call' AND c.session = e.session AND c.call_id = e.call_id AND c.pos < e.pos WHERE e.kind = 'result' GROUP BY 1, 2),
+  f AS (SELECT session, CASE WHEN name = 'memory_search' THEN 'own_call' ELSE 'call' END AS what, name FROM e WHERE kind = 'call' UNION ALL SELECT session, CASE WHEN own THEN 'own_result' ELSE 'result' END, name FROM r)
+  SELECT session, count(*) FILTER (what = 'call') AS tool_calls, count(*) FILTER (what = 'result') AS tool_results, count(*) FILTER (what IN ('call', 'result') AND name = 'web_search') AS web_calls,
     count(*) FILTER (what = 'call' AND name = 'tool_search') AS search_calls, count(*) FILTER (what = 'own_call') AS own_calls, count(*) FILTER (what = 'own_result') AS own_results,
-    coalesce(string_agg(DISTINCT name, ',' ORDER BY name) FILTER (what IN ('call', 'result')), '') AS names FROM f GROUP BY 1""")
+    concat_ws(',', CASE WHEN bool_or(what = 'call') THEN 'tool_call' END, CASE WHEN bool_or(what = 'result') THEN 'tool_result' END, CASE WHEN bool_or(what = 'call' AND name = 'tool_search') THEN 'tool_search' END, CASE WHEN bool_or(what IN ('call', 'result') AND name = 'web_search') THEN 'web_call' END) AS reasons,
+    bool_or(what IN ('call', 'result')) AS assisted, coalesce(string_agg(DISTINCT name, ',' ORDER BY name) FILTER (what IN ('call', 'result')), '') AS names FROM f GROUP BY 1""")
 def tool_assistance(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     n = F.col("event_id")
     name = F.element_at(F.array(*map(F.lit, EVENT_NAMES)), (n % 5 + 1).cast("int"))
-    rows = e.select(F.col("user_id").alias("session"), n.alias("pos"), F.when(n % 4 == 3, "result").otherwise("call").alias("kind"), name.alias("name"), F.concat(F.col("user_id").cast("string"), F.lit("-"), F.floor(n / 4).cast("string")).alias("call_id"))
-    return tools.assistance(rows).drop("reasons", "assisted").withColumn("names", F.array_join("names", ","))
+    rows = e.select(F.col("user_id").alias("session"), n.alias("pos"), F.when(n % 4 == 3, "result").otherwise("call").alias("kind"), name.alias("name"), F.concat(F.col("user_id").cast("string"), F.lit("-"), F.floor(n / 40).cast("string")).alias("call_id"))
+    return tools.assistance(rows).withColumns({c: F.array_join(c, ",") for c in ("reasons", "names")})
 
 
 # --- maintenance ---------------------------------------------------------------------------------------------------
@@ -355,7 +417,7 @@ def tool_assistance(spark: SparkSession, sf_dir: str) -> DataFrame:
   count(*) FILTER (deleted_at IS NULL AND expires_at < TIMESTAMP '2024-03-01') AS expired_active, count(*) FILTER (deleted_at IS NULL AND embedding IS NOT NULL) AS embedding_rows,
   coalesce(max(CASE WHEN {ACTIVE_SQL} THEN strlen(content) END), 0) AS max_content_bytes FROM memories"""))
 def health_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return maintenance.health(memories(spark, sf_dir), NOW).drop("embedding_bytes", "avg_embedding_bytes")
+    return maintenance.health(memories(spark, sf_dir, vectors=True), NOW).drop("embedding_bytes", "avg_embedding_bytes")
 
 
 @query(over_memories(f"SELECT s.scope_type, count(m.id) AS active FROM (SELECT unnest(['global', 'project', 'session']) AS scope_type) s LEFT JOIN (SELECT * FROM memories WHERE {ACTIVE_SQL}) m ON m.scope_type = s.scope_type GROUP BY 1"))
@@ -384,30 +446,38 @@ def cleanup_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.groupBy("scope_type").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("deleted_at").isNotNull()).alias("deleted"))
 
 
-@query(over_memories("""SELECT id, CASE WHEN list_contains(tags, 'transcript') OR source_agent LIKE '%-import' THEN 'transcript_provenance'
+@query(over_memories("""SELECT id, CASE WHEN seq % 41 = 0 THEN 'sensitive' WHEN seq % 43 = 0 THEN 'currentness_sensitive' WHEN list_contains(tags, 'transcript') OR source_agent LIKE '%-import' THEN 'transcript_provenance'
   WHEN scope_type = 'global' AND (canonical_key IS NOT NULL OR list_contains(tags, 'canonical')) THEN 'durable_global_preference'
   WHEN scope_type = 'project' AND (canonical_key IS NOT NULL OR list_contains(tags, 'design')) THEN 'durable_project_memory'
   WHEN captured OR list_has_any(tags, ['captured', 'import']) THEN 'ephemeral_noise' ELSE 'unclassified' END AS class FROM memories"""))
 def durability_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return maintenance.durability(memories(spark, sf_dir)).select("id", "class")
+    more = F.when(F.col("seq") % 41 == 0, F.array(F.lit("Sensitive"))).when(F.col("seq") % 43 == 0, F.array(F.lit("currentness-sensitive"))).otherwise(F.array().cast("array<string>"))
+    return maintenance.durability(memories(spark, sf_dir).withColumn("tags", F.concat("tags", more))).select("id", "class")
 
 
-@query("""WITH daily AS (SELECT date_trunc('day', ts)::TIMESTAMP AS t, count(*) AS active, count(DISTINCT user_id) AS keys, sum(strlen(props))::BIGINT AS bytes, count(*) FILTER (event_id % 400 = 0) AS expired_active FROM events GROUP BY 1),
+@query("""WITH daily AS (SELECT date_trunc('day', ts)::TIMESTAMP AS t, count(*) AS active, count(DISTINCT user_id) AS keys, sum(strlen(props))::BIGINT AS bytes, count(*) FILTER (event_id % 400 = 0) AS expired_active,
+    CASE WHEN day(min(ts)) % 5 = 0 THEN 'degraded' ELSE 'ok' END AS state, count(*) - day(min(ts)) % 2 AS embedded, (1048576 + (day(min(ts)) % 3 - 1))::BIGINT AS largest, count(*) FILTER (event_id % 500 = 0) AS oversized, count(*) FILTER (event_id % 1000 = 0) AS chunked FROM events GROUP BY 1),
   n AS (SELECT *, row_number() OVER (ORDER BY t) AS i, lag(bytes) OVER (ORDER BY t) AS pb, lag(active) OVER (ORDER BY t) AS pa, lag(keys) OVER (ORDER BY t) AS pk,
     last_value(bytes) OVER (ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 6 DAY PRECEDING) AS wb FROM daily),
   z AS (SELECT *, i - coalesce(max(CASE WHEN expired_active <= 0 THEN i END) OVER (ORDER BY t), 0) AS streak, round((bytes - pb) / pb, 6) AS day_growth, round((bytes - wb) / wb, 6) AS week_growth FROM n)
   SELECT strftime(t, '%Y-%m-%d') AS day, day_growth, week_growth, active - pa AS active_change, keys - pk AS key_change, streak::INT AS streak,
-    concat_ws(',', CASE WHEN (bytes - pb) / pb > 0.05 THEN 'day_growth' END, CASE WHEN (bytes - wb) / wb > 0.2 THEN 'week_growth' END, CASE WHEN active - pa > 500 THEN 'active_jump' END, CASE WHEN keys - pk > 250 THEN 'key_jump' END, CASE WHEN streak >= 3 THEN 'expired_streak' END, CASE WHEN bytes > 1048576 THEN 'large_store' END) AS alerts FROM z""")
+    concat_ws(',', CASE WHEN state <> 'ok' THEN 'embeddings_degraded' END, CASE WHEN (bytes - pb) / pb > 0.05 THEN 'db_growth_day' END, CASE WHEN (bytes - wb) / wb > 0.2 THEN 'db_growth_week' END, CASE WHEN active - pa > 500 THEN 'active_growth_day' END,
+      CASE WHEN keys - pk > 250 THEN 'idempotency_growth_day' END, CASE WHEN streak >= 3 THEN 'expired_active_streak' END, CASE WHEN largest > 1048576 AND (embedded < active OR oversized > chunked) THEN 'max_content_outlier' END) AS alerts,
+    CASE WHEN largest <= 1048576 OR embedded < active OR oversized > chunked THEN '' WHEN oversized > 0 THEN 'max_content_outlier_chunked' ELSE 'max_content_outlier_embedded' END AS notices FROM z""")
 def health_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    daily = e.groupBy(F.date_trunc("day", F.col("ts").cast("timestamp")).alias("at")).agg(F.count(F.lit(1)).alias("active"), F.countDistinct("user_id").alias("keys"), F.sum(F.octet_length("props")).alias("bytes"), F.count_if(F.col("event_id") % 400 == 0).alias("expired_active"))
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    day, every = F.dayofmonth(F.min("ts")), lambda k: F.count_if(F.col("event_id") % k == 0)
+    daily = e.groupBy(F.date_trunc("day", "ts").alias("at")).agg(
+        F.count(F.lit(1)).alias("active"), F.countDistinct("user_id").alias("keys"), F.sum(F.octet_length("props")).alias("bytes"), every(400).alias("expired_active"), F.when(day % 5 == 0, "degraded").otherwise("ok").alias("embeddings"),
+        (F.count(F.lit(1)) - day % 2).alias("embedding_rows"), (day % 3 - 1 + F.lit(1 << 20)).cast("long").alias("max_content_bytes"), every(500).alias("oversized_rows"), every(1000).alias("chunked_rows"),
+    )
     found = maintenance.drift(daily)
-    return found.select(F.date_format("at", "yyyy-MM-dd").alias("day"), F.round("day_growth", 6).alias("day_growth"), F.round("week_growth", 6).alias("week_growth"), "active_change", "key_change", "streak", "alerts")
+    return found.select(F.date_format("at", "yyyy-MM-dd").alias("day"), F.round("day_growth", 6).alias("day_growth"), F.round("week_growth", 6).alias("week_growth"), "active_change", "key_change", "streak", "alerts", "notices")
 
 
 @query(over_memories("SELECT id, length(content) AS content_chars FROM memories WHERE deleted_at IS NULL AND embedding IS NULL"))
 def missing_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return maintenance.missing_embeddings(memories(spark, sf_dir))
+    return maintenance.missing_embeddings(memories(spark, sf_dir, vectors=True))
 
 
 @query("SELECT user_id || '-' || event_type AS key, arg_max(event_id, event_id) AS memory_id, max(event_id) AS seq FROM events GROUP BY 1")
@@ -436,11 +506,33 @@ def upsert_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Favorite "), "role", F.lit(" topic: "), (F.col("turn") % 3).cast("string")).alias("content"), F.array(F.lit("canonical")).alias("tags"), no("double").alias("importance"),
         no("int").alias("ttl_days"), no("string").alias("key"), F.lit(False).alias("captured"), no("string").alias("source_agent"),
     )
-    empty = spark.createDataFrame([], "id string, scope_type string, scope_id string, content string, content_hash string, canonical_key string, tags array<string>, importance double, captured boolean, source_agent string, created_at timestamp, updated_at timestamp, expires_at timestamp, deleted_at timestamp, seq bigint")
-    done = ingest.upsert(empty, batch)
+    done = ingest.upsert(spark.createDataFrame([], STORE), batch)
     return done.groupBy("scope_id", "canonical_key").agg(F.count(F.lit(1)).alias("versions"), F.max(F.when(F.col("deleted_at").isNull(), F.col("content"))).alias("content"))
 
 
+@query("""WITH w AS (SELECT conv_id, turn AS seq, 'Favorite ' || role || ' topic: ' || (turn % 3) AS content, CASE WHEN turn % 2 = 0 THEN 'favorite_' || role || '_topic' END AS key FROM conversations WHERE role <> 'system'),
+  e AS (SELECT *, last_value(key IGNORE NULLS) OVER b AS ekey, first_value(key IGNORE NULLS) OVER a AS nkey, min(CASE WHEN key IS NOT NULL THEN seq END) OVER a AS nseq
+    FROM w WINDOW b AS (PARTITION BY conv_id, content ORDER BY seq ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY conv_id, content ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+  l AS (SELECT *, ekey IS NOT NULL AND last_value(CASE WHEN key IS NOT NULL THEN content END IGNORE NULLS) OVER (PARTITION BY conv_id, ekey ORDER BY seq ROWS UNBOUNDED PRECEDING) = content AS lives FROM e),
+  k AS (SELECT *, coalesce(key, CASE WHEN lives THEN ekey END, nkey) AS ckey, CASE WHEN NOT lives AND nseq IS NOT NULL THEN nseq ELSE seq END AS entered FROM l),
+  v AS (SELECT *, CASE WHEN ckey IS NOT NULL AND lag(content) OVER (PARTITION BY conv_id, ckey ORDER BY entered, seq) IS DISTINCT FROM content THEN 1 ELSE 0 END AS new FROM k),
+  n AS (SELECT *, sum(new) OVER (PARTITION BY conv_id, ckey ORDER BY entered, seq) AS version FROM v WHERE ckey IS NOT NULL)
+  SELECT conv_id::VARCHAR AS scope_id, coalesce(ckey, '') AS canonical_key, max(version)::BIGINT AS versions, arg_max(content, (entered, seq)) AS content FROM n GROUP BY 1, 2
+  UNION ALL SELECT conv_id::VARCHAR, '', count(DISTINCT content), max(content) FROM v WHERE ckey IS NULL GROUP BY 1""")
+def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first half of all turns makes a store, onto which the others are written; odd turns without tags, and so without keys."""
+    c = table(spark, sf_dir, "conversations").where("role <> 'system'")
+    no = lambda kind: F.lit(None).cast(kind)
+    writes = c.select(
+        F.col("turn").alias("seq"), F.lit(NOW).cast("timestamp").alias("at"), no("string").alias("idempotency_key"), F.lit("session").alias("scope_type"), F.col("conv_id").cast("string").alias("scope_id"),
+        F.concat(F.lit("Favorite "), "role", F.lit(" topic: "), (F.col("turn") % 3).cast("string")).alias("content"), F.when(F.col("turn") % 2 == 0, F.array(F.lit("canonical"))).otherwise(F.array(F.lit("note"))).alias("tags"),
+        no("double").alias("importance"), no("int").alias("ttl_days"), no("string").alias("key"), F.lit(False).alias("captured"), no("string").alias("source_agent"),
+    )
+    half = F.col("seq") < 4
+    done = ingest.upsert(ingest.upsert(spark.createDataFrame([], STORE), writes.where(half)), writes.where(~half))
+    return done.groupBy("scope_id", F.coalesce("canonical_key", F.lit("")).alias("canonical_key")).agg(F.count(F.lit(1)).alias("versions"), F.max(F.when(F.col("deleted_at").isNull(), F.col("content"))).alias("content"))
+
+
 @query("SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))

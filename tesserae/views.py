@@ -21,8 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a document, with the columns of a stored memory."""
+def memories(spark: SparkSession, sf_dir: str, vectors: bool = False) -> DataFrame:
+    """One row a document, with the columns of a stored memory; the embedding only with vectors."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     i, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
@@ -34,12 +34,12 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = F.when(by(17), strings("canonical", "user-preference")).when(by(7), strings("captured")).when(by(11), strings("import", "chatgpt-export", "transcript"))
     tags = tags.when(by(13), strings("turn-log")).when(by(10), strings("design")).otherwise(F.array().cast("array<string>"))
     created = F.lit(datetime(2024, 1, 1)).cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), (i % 100_000).cast("int"))
-    rows = d.join(e, "doc_id", "left").select(
+    rows = (d.join(e, "doc_id", "left") if vectors else d).select(
         i.cast("string").alias("id"), i.alias("seq"),
         F.when(i % 3 == 0, "global").when(i % 3 == 1, "project").otherwise("session").alias("scope_type"),
         F.when(i % 3 == 1, F.sha2(F.concat(F.lit("p"), (i % 4).cast("string")), 256)).when(i % 3 == 2, F.concat(F.lit("s"), (i % 5).cast("string"))).alias("scope_id"),
         content.alias("content"), tags.alias("tags"), ((i % 11) / 10.0).alias("importance"), by(7).alias("captured"),
-        F.when(by(5), "cli-import").otherwise("editor").alias("source_agent"), "embedding", created.alias("created_at"), created.alias("updated_at"),
+        F.when(by(5), "cli-import").otherwise("editor").alias("source_agent"), *(["embedding"] if vectors else []), created.alias("created_at"), created.alias("updated_at"),
         F.when(by(26), created + F.make_dt_interval(F.lit(10))).when(by(13), created + F.make_dt_interval(F.lit(3650))).alias("expires_at"),
         F.when(by(31), created).alias("deleted_at"),
     )

@@ -32,6 +32,49 @@ def test_equal_contents_merge(spark):
     assert session["expires_at"] == session["created_at"] + timedelta(days=14)
 
 
+def one_by_one(store, writes):
+    """Rows as (content, key, live, tags) after each write in turn: the rule, without windows."""
+    rows = [dict(r) for r in store]
+    for content, key, tags in writes:
+        row = next((r for r in rows if r["live"] and r["content"] == content), None)
+        if row is None:
+            rows.append(row := {"content": content, "key": key, "live": True, "tags": list(tags)})
+        else:
+            row["key"], row["tags"] = key or row["key"], list(dict.fromkeys([*row["tags"], *tags]))
+        for r in rows:
+            if r is not row and r["live"] and r["key"] and r["key"] == row["key"]:
+                r["live"] = False
+    return rows
+
+
+def test_batches_equal_writes_one_by_one(spark):
+    """Contents with and without keys, onto a store with rows; each content has one key at most."""
+    import random
+
+    rng, got, want = random.Random(4), [], []
+    key_of = {"a": "k1", "b": "k1", "c": "k2", "d": None}
+    first, second = [], []
+    for case in range(40):
+        scope, seen = ("session", f"s{case}"), []
+        for batch in (first, second):
+            for _ in range(rng.randint(0, 5)):
+                content = rng.choice("abcd")
+                named = key_of[content] and rng.random() < 0.6
+                seen.append((content, key_of[content] if named else None, [rng.choice("xyz")]))
+                batch.append(write(len(first) + 1000 * len(second), content, seen[-1][2], scope=scope, key=seen[-1][1], ttl=5))
+        want += [(f"s{case}", r["content"], r["key"], r["live"], sorted(r["tags"])) for r in one_by_one([], seen)]
+    rows = stored(spark, *second, store=stored(spark, *first))
+    got = [(r["scope_id"], r["content"], r["canonical_key"], r["deleted_at"] is None, sorted(r["tags"])) for r in rows.collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(got) > 60
+
+
+def test_results_without_a_known_call(spark):
+    rows = [("s", 1, "result", None, "9", "from a Web Search"), ("s", 2, "result", None, None, "else"), ("s", 3, "call", "shell", "1", None), ("s", 4, "result", None, "1", None), ("s", 5, "uses", None, None, None)]
+    events = spark.createDataFrame(rows, "session string, pos long, kind string, name string, call_id string, content string").withColumn("n", F.when(F.col("kind") == "uses", 2))
+    all_, known = (tools.assistance(events, unknown_results=x).first() for x in (True, False))
+    assert (all_["tool_results"], all_["web_calls"], all_["names"]) == (3, 3, ["server_web_tool", "shell"]) and known["tool_results"] == 2
+
+
 def test_a_b_a_makes_three_versions(spark):
     pref = ["canonical"]
     rows = stored(spark, write(1, "Favorite x: a", pref), write(2, "Favorite x: b", pref), write(3, "Favorite x: b", pref), write(4, "Favorite x: a", pref)).orderBy("seq").collect()
@@ -116,9 +159,13 @@ def test_durability_and_health(spark):
 def test_drift(spark):
     days = [(NOW + timedelta(days=k), 10 + (600 if k == 7 else 0), 5, 1000 + 100 * k, 1 if k >= 5 else 0) for k in range(8)]
     found = maintenance.drift(spark.createDataFrame(days, "at timestamp, active long, keys long, bytes long, expired_active long")).orderBy("at").collect()
-    assert found[0]["day_growth"] is None and found[1]["alerts"] == "day_growth"
+    assert found[0]["day_growth"] is None and found[1]["alerts"] == "db_growth_day"
     assert found[7]["week_growth"] == pytest.approx(600 / 1100) and found[7]["streak"] == 3
-    assert found[7]["alerts"] == "day_growth,week_growth,active_jump,expired_streak"
+    assert found[7]["alerts"] == "db_growth_day,db_growth_week,active_growth_day,expired_active_streak"
+    large = lambda k, embedded, over, cut, state="ok": (NOW + timedelta(days=k), 10, 5, 1000, 0, state, embedded, 2 << 20, over, cut)
+    rows = [large(0, 9, 0, 0), large(1, 10, 3, 2), large(2, 10, 3, 3), large(3, 10, 0, 0, "degraded")]
+    found = maintenance.drift(spark.createDataFrame(rows, "at timestamp, active long, keys long, bytes long, expired_active long, embeddings string, embedding_rows long, max_content_bytes long, oversized_rows long, chunked_rows long")).orderBy("at").collect()
+    assert [(r["alerts"], r["notices"]) for r in found] == [("max_content_outlier", ""), ("max_content_outlier", ""), ("", "max_content_outlier_chunked"), ("embeddings_degraded", "max_content_outlier_embedded")]
 
 
 def test_logs_of_both_formats(spark, tmp_path):
@@ -143,7 +190,7 @@ def test_logs_of_both_formats(spark, tmp_path):
     lines = logs.read(spark, str(tmp_path / "a"))
     assert [(r["role"], r["text"]) for r in logs.messages_a(lines).collect()] == [("user", "hi\nthere")]
     found = tools.assistance(logs.tool_events_a(lines)).first()
-    assert (found["tool_calls"], found["tool_results"], found["web_calls"], found["own_calls"], found["own_results"], found["assisted"]) == (1, 1, 1, 1, 1, True)
+    assert (found["tool_calls"], found["tool_results"], found["web_calls"], found["own_calls"], found["own_results"], found["assisted"]) == (1, 1, 2, 1, 1, True)  # a call to the web and its result
     other = logs.messages_b(logs.read(spark, str(tmp_path / "b")))
     assert [(r["role"], r["text"]) for r in other.orderBy("pos").collect()] == [("user", "plain text"), ("assistant", "one\ntwo")]
     assert logs.transcripts(other).first()["transcript"] == "[u1] User: plain text\n\n[u2] Assistant: one\ntwo"

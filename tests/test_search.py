@@ -86,7 +86,9 @@ def test_packing_skips_and_continues(spark):
     ranked = rows.withColumn("rank", F.substring("id", 2, 1).cast("int") + 1)
     assert [r["id"] for r in search.pack_tokens(ranked, 1060).orderBy("place").collect()] == ["r0", "r1"]
     assert [r["id"] for r in search.pack_tokens(ranked, 10).orderBy("place").collect()] == ["r0"]
-    assert [r["id"] for r in search.pack_bytes(ranked, 200, max_chars=5000).orderBy("place").collect()] == ["r1", "r3"]
+    assert [r["id"] for r in search.pack_bytes(ranked, 700, max_chars=5000).orderBy("place").collect()] == ["r1", "r3"]
+    cut = search.pack_bytes(ranked, 2000, max_chars=4000).orderBy("place").collect()  # the first is tried again with a quarter
+    assert [r["id"] for r in cut] == ["r0", "r1", "r3"] and cut[0]["content"].startswith("x" * 1000 + "\n… [truncated 3000")
     assert search.pack_tokens(ranked.limit(0)).count() == 0
 
 
@@ -105,4 +107,25 @@ def test_preferences_replace_by_winners(spark):
     tags = ["canonical"]
     rows = table(spark, row("old", "Favorite editor: red", tags=tags, key="favorite_editor", days=5), row("new", "Favorite editor: blue", tags=tags, key="favorite_editor"), row("x", "Favorite tree: oak", tags=tags, key="favorite_tree"))
     assert ids(canonical.preferred(rows, ["favorite", "editor"], NOW)) == ["new"]
-    assert canonical.preferred(rows, ["zebra"], NOW).count() == 0
+    assert set(ids(canonical.preferred(rows, ["zebra"], NOW))) == {"new", "x"}  # no match at all: every key's winner
+    candidates = lambda terms: {r["id"]: r["match"] for r in canonical.preference_candidates(rows, terms, NOW).collect()}
+    assert candidates(["favorite", "editor", "blue"]) == {"old": 2, "new": 3} and candidates(["tree", "zebra"]) == {"x": 1}
+    found = search.search(rows, "oak", visible(), NOW)
+    best = canonical.preferred(rows, ["favorite", "tree"], NOW, found).collect()
+    assert [r["id"] for r in best] == ["x"] and best[0]["effective"] == pytest.approx(max(0.9, found.first()["score"]))
+    plain = table(spark, row("a", "one plain note"), row("b", "another plain note", days=1))
+    assert [r["id"] for r in canonical.preferred(plain, ["zebra"], NOW, search.search(plain, "plain", visible(), NOW)).orderBy("rank").collect()] == ["a", "b"]
+
+
+def test_context_and_responses(spark):
+    rows = table(spark, row("g", "Favorite editor: red", tags=["canonical"], key="favorite_editor", days=3), row("p", "Favorite editor: blue", ("session", "s"), tags=["canonical"], key="favorite_editor"),
+                 row("d", "Favorite editor: white", tags=["canonical"], key="favorite_editor", days=9, deleted=NOW), row("n", "a note on the editor " + "x" * 9000), row("q", "Favorite editor: other session", ("session", "t"), key="favorite_editor"))
+    asked = search.context(rows, "what was my favorite editor previously", NOW, session_id="s")
+    assert [r["id"] for r in asked.items.orderBy("place").collect()] == ["p"] and asked.summary.first()["summary"] == "1. [session] Favorite editor: blue"
+    assert [r["scope_type"] for r in asked.scopes.collect()] == ["session"] and [r["id"] for r in asked.timeline.collect()] == ["p", "g", "d"]
+    plain = search.context(rows, "editor note", NOW, session_id="s", token_budget=1, max_items=99)
+    assert {r["id"] for r in plain.items.collect()} == {"p", "g"} and plain.timeline is None  # at least 200 tokens; the long note does not fit
+    assert search.context(rows.limit(0), "editor", NOW).summary.first()["summary"] == "No relevant memory found."
+    shaped = search.response(rows, "editor", visible(everything=True), NOW, max_bytes=1, max_chars=7).orderBy("place").collect()
+    assert {r["total"] for r in shaped} == {4} and shaped[0]["used"] <= 1000 and all(len(r["content"]) < 160 for r in shaped)
+    assert search.compact_response(rows, "editor", visible(), NOW).count() == 2

@@ -15,21 +15,34 @@ from tesserae.llm.common import cut, spread_join
 
 #: Rows of a bucket that one task compares with the bucket's strays.
 BLOCK = 1000
+#: Partitions of an edge table: at least FEW, of ROWS rows.
+FEW, ROWS = 16, 200_000
+
+
+def _few(rows: DataFrame, total: int) -> DataFrame:
+    """rows in partitions of some size, however many partitions a shuffle has: many rounds of nearly empty ones cost more than the work."""
+    return rows.coalesce(max(FEW, total // ROWS))
 
 
 def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")).select("u", F.least("m", "u").alias("m"), "n")
+    low = _few(both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")), total).select("u", F.least("m", "u").alias("m"), "n")
     out = spread_join(both.where("v > u"), low, "u", total).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return out.where("u <> v").distinct()
+    return _few(_few(out.where("u <> v"), total).distinct(), total)
 
 
 def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    low = _few(down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), total)
     joined = spread_join(down, low, "u", total).select(F.col("v").alias("u"), F.col("m").alias("v"))
     out = joined.union(low.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+    return _few(_few(out.where("u <> v"), total).distinct(), total)
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every vertex has either one edge to a smaller one, or only edges from larger ones."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty()
 
 
 def roots(edges: DataFrame) -> DataFrame:
@@ -38,13 +51,10 @@ def roots(edges: DataFrame) -> DataFrame:
     Loops and repeated edges change nothing; an empty table gives an empty result.
     """
     edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    before = None
-    while (now := mark(edges)) != before:
-        before = now
-        if not now[0]:
-            break
-        edges = cut(_small_star(_large_star(edges, now[0]), now[0]))
+    total = edges.count()
+    edges = _few(edges, total)
+    while not _stars(edges):
+        edges = _few(cut(_small_star(_large_star(edges, total), total)), total)
     return edges.select("u", F.col("v").alias("root"))
 
 

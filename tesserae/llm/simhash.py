@@ -26,8 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import cut, map_texts, spread_join
-from tesserae.llm.components import across, roots
+from tesserae.llm.common import HOT_SHARE, LEAST_HOT, cut, map_texts, spread_join
+from tesserae.llm.components import BLOCK, roots
 from tesserae.llm.golay import Golay
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
@@ -35,7 +35,7 @@ SHINGLE, SEED, MAX_BITS = 4, 42, 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
 #: Shingles whose bits are counted at once.
-BLOCK = 1 << 16
+GRAMS = 1 << 16
 
 
 golay_tables = functools.cache(Golay)
@@ -53,8 +53,8 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
     n = max(1, len(w) - size + 1)
     h = np.fromiter((digest(g, seed) for g in grams), np.uint64, n)
     ones = np.zeros(64, np.int64)
-    for k in range(0, n, BLOCK):
-        ones += np.unpackbits(h[k : k + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    for k in range(0, n, GRAMS):
+        ones += np.unpackbits(h[k : k + GRAMS].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
@@ -88,25 +88,26 @@ def keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def keyed(fps: DataFrame) -> DataFrame:
-    """(id, key, side) of every fingerprint of fps(fp); id: the fingerprint."""
+    """(id, root, key, side) of every fingerprint of fps(fp, root); id: the fingerprint."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            fp = b["fp"].to_numpy(np.int64)
+            fp, root = b["fp"].to_numpy(np.int64), b["root"].to_numpy(np.int64)
             rows, found, sides = keys(fp.view(np.uint64))
-            yield pd.DataFrame({"id": fp[rows], "key": found, "side": sides})
+            yield pd.DataFrame({"id": fp[rows], "root": root[rows], "key": found, "side": sides})
 
-    return fps.select("fp").mapInPandas(run, "id long, key long, side int")
+    return fps.select("fp", "root").mapInPandas(run, "id long, root long, key long, side int")
 
 
 def linked(fps: DataFrame) -> DataFrame:
     """(u, root) of all fingerprints of fps(fp), each once there, but the roots, as in components.roots.
 
-    In each bucket all fingerprints are compared with one of the other side first; and then, between those that are not
-    linked by now, each with each. So many near copies cost one comparison a key, not one a pair, and no link that
-    could join two groups is left out.
+    In each bucket all fingerprints are compared with one of the other side first; and then those that are not linked by now
+    with each other. So many near copies cost one comparison a key rather than one a pair, and no link that could join
+    two groups is left out. In the second step a hot bucket, as in spread_join, is dealt out by BLOCK of its rows, and of its largest
+    group no two are compared; a hot bucket of one group falls out.
     """
-    rows = keyed(fps)
+    rows = keyed(fps.withColumn("root", F.col("fp")))
     mixed = F.col("id").bitwiseXOR(F.col("key"))  # gives each bucket an order of its own
     chosen = rows.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("side") == 1).alias("ones"), F.min("side").alias("least"),
@@ -114,12 +115,25 @@ def linked(fps: DataFrame) -> DataFrame:
     )
     chosen = cut(chosen.where("n > 1 and (least = 2 or ones between 1 and n - 1)").select("key", "n", "a", "b"))
     total = chosen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    meets = F.when(F.col("side") == 0, F.col("b")).otherwise(F.col("a")).bitwiseXOR(F.col("key"))
-    shared = cut(spread_join(rows, chosen, "key", total).select("key", "id", "side", meets.alias("rep")))
-    close = lambda u, v: (F.bit_count(F.col(u).bitwiseXOR(F.col(v))) <= MAX_BITS) & (F.col(u) != F.col(v))
-    star = roots(shared.where(close("id", "rep")).select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct())
-    of = cut(shared.join(star.withColumnRenamed("u", "id"), "id", "left").select("key", "id", "side", F.coalesce("root", "id").alias("root")))
-    more = across(of).where(close("u", "v") & ((F.col("u_side") == 2) | (F.col("u_side") != F.col("v_side")))).select("u", "v")
+    close = lambda u, v: (F.bit_count(u.bitwiseXOR(v)) <= MAX_BITS) & (u != v)
+    rep = F.when(F.col("side") == 0, F.col("b")).otherwise(F.col("a")).bitwiseXOR(F.col("key"))
+    near = spread_join(rows.drop("root"), chosen, "key", total).where(close(F.col("id"), rep))
+    star = roots(near.select(F.col("id").alias("u"), rep.alias("v")))
+
+    now = cut(fps.select("fp").join(star.withColumnRenamed("u", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
+    rows = keyed(now)
+    hot = F.broadcast(chosen.where(F.col("n") > max(LEAST_HOT, total // HOT_SHARE)).select("key", "n"))
+    sizes = rows.join(hot, "key").groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    main = cut(sizes.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("groups"), F.ceil(F.sum("c") / BLOCK).cast("int").alias("tasks")))
+    every = rows.join(F.broadcast(main), "key", "left").where("groups is null or groups > 1")
+    cold, dealt = every.where("groups is null").withColumn("_salt", F.lit(0)), every.where("groups > 1")
+    left = cold.where("side <> 1").unionByName(dealt.where("root <> main").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))))
+    right = cold.where("side <> 0").unionByName(dealt.withColumn("_salt", F.pmod(F.xxhash64("id"), "tasks").cast("int")))
+    u, v = left.alias("u"), right.alias("v")
+    same = (F.col("u.key") == F.col("v.key")) & (F.col("u._salt") == F.col("v._salt")) & (F.col("u.root") != F.col("v.root"))
+    sides = (F.col("u.side") == 2) | (F.col("u.side") != F.col("v.side"))
+    once = F.when(F.col("u.main").isNull(), (F.col("u.side") == 0) | (F.col("u.id") < F.col("v.id"))).otherwise((F.col("v.root") == F.col("v.main")) | (F.col("u.id") < F.col("v.id")))
+    more = u.join(v, same & sides & once & close(F.col("u.id"), F.col("v.id"))).select(F.col("u.root").alias("u"), F.col("v.root").alias("v"))
     return roots(star.select("u", F.col("root").alias("v")).union(more))
 
 

@@ -148,8 +148,10 @@ def check_groups(spark, fps):
 @pytest.mark.parametrize("hot", [100, 3])
 def test_large_groups_of_near_copies(spark, monkeypatch, hot):
     """Many fingerprints in the same buckets, in components that only pairs away from a bucket's first can join; also with hot keys and small blocks."""
-    monkeypatch.setattr(common, "LEAST_HOT", hot)
-    monkeypatch.setattr(components, "BLOCK", 7)
+    for of in (common, simhash):
+        monkeypatch.setattr(of, "LEAST_HOT", hot)
+    for of in (components, simhash):
+        monkeypatch.setattr(of, "BLOCK", 7)
     rng = random.Random(3)
     low = rng.getrandbits(22)
     fps = {low | rng.getrandbits(42) << 22 for _ in range(30)}  # one bucket, nothing near

@@ -78,6 +78,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Slices of the hash's range.
+SLICES = 1 << 40
 #: A key is hot with over 1 / HOT_SHARE of all rows, and LEAST_HOT at least; so there are at most HOT_SHARE hot keys.
 HOT_SHARE, LEAST_HOT = 10_000, 100
 
@@ -94,6 +96,17 @@ def spread_join(rows: DataFrame, unique: DataFrame, key: str, total: int, n: str
     return marked.where("_hot").drop("_hot").unionByName(rest)
 
 
+def hashed_sample(rows: DataFrame, key: str, most: int, count: int | None = None) -> DataFrame:
+    """At most most rows, about, of rows: those of smallest hash of key, all of which are known from their number alone.
+
+    A filter, so no task sends its own best to another one. The same key is always taken or not. count: the number of rows.
+    """
+    n = rows.count() if count is None else count
+    if n <= most:
+        return rows
+    return rows.where(F.pmod(F.xxhash64(key), F.lit(SLICES)) < max(1, SLICES * most // n))
+
+
 def scratch(spark: SparkSession, kind: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"

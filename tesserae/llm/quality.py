@@ -20,7 +20,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import let, text_of, words
+from tesserae.llm.common import hashed_sample, let, text_of, words
 
 #: Words in a window of the repetition rule.
 WINDOW = 8
@@ -85,12 +85,12 @@ def repeated_words(h: Column) -> Column:
 def fit(docs: DataFrame, trusted: DataFrame, buckets: int = 10_000, max_trusted: int = 50_000, smoothing: float = 1.0, shrink: float = 60.0, low: float = 0.01, spread: float = 2.0, least: int = 20) -> QualityModel:
     """Bucket weights and threshold from docs(doc_id, text) and trusted(doc_id).
 
-    max_trusted bounds the trusted documents (those of smallest hash are taken, so that a rerun takes the same); the
+    max_trusted bounds the trusted documents (about as many of smallest hash are taken, so that a rerun takes the same); the
     raw multinomial covers every document. Half of the trusted documents define the target. The other half, scored as any
     document that the target has not seen, sets the threshold: spread times as far below their median as their
     quantile low is. With under least such documents nothing is rejected by score.
     """
-    ids = trusted.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)
+    ids = hashed_sample(trusted.select("doc_id").where(F.col("doc_id").isNotNull()).distinct(), "doc_id", max_trusted)
     ids = F.broadcast(ids.select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).alias("_seen")))
     rows = docs.select("doc_id", text_of(docs).alias("_text")).join(ids, "doc_id", "left")
     grams = rows.select(F.coalesce(F.col("_seen").cast("int"), F.lit(0)).alias("t"), F.explode(let(_hashes(words(F.col("_text"))), lambda h: gram_buckets(h, buckets))).alias("b"))

@@ -5,12 +5,13 @@ frame of its own, compressed with that dictionary. The reader loads the dictiona
 checks the version line, the mandatory headers, the record's and the payload's lengths and the digests.
 
 Archives are written by tasks into a folder of any file system that pyarrow can reach (local, HDFS, S3, GCS), under names
-that a repeated task writes again; a manifest table lists those that count. Their size is bounded by ARCHIVE_BYTES and one
+of their own for each attempt; a manifest table lists those that count. Their size is bounded by ARCHIVE_BYTES and one
 record more, and reading is spread over archives.
 
-Defined results: a null payload is empty, a null url is left out. Rows of one page_id and payload are records of their
-own; those of the smallest page_id of a payload are responses, and all others of it revisits. A null page_id
-counts as larger than any other. An empty table gives no archive and an empty result.
+Defined results: a null payload is empty, a null url is left out. Every row is a record of its own id. Of the rows of one
+payload that of the smallest page_id (of several, that of the smallest url) is the response, and all others are revisits of
+it, repeated rows of its own page_id too. A null page_id counts as larger than any other, and a revisit of a response
+without one names no page. An empty table gives no archive and an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import text_of
+from tesserae.llm.common import hashed_sample, spread_join, text_of
 
 #: Fixed values of the formats.
 SKIPPABLE, ZSTD = 0x184D2A5D, 0xFD2FB528
@@ -49,28 +50,36 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int) -> str:
-    return f"<{uuid.UUID(int=page_id % (1 << 64)).urn}>"
+def record_id(page_id: int | None, high: int) -> str:
+    """An id with the page in its lower half; high: 64 bits that tell records of a page apart."""
+    return f"<{uuid.UUID(int=high % (1 << 64) << 64 | (page_id or 0) % (1 << 64)).urn}>"
 
 
 def page_of(identifier: str) -> int:
-    n = uuid.UUID(identifier.strip("<>")).int
+    n = uuid.UUID(identifier.strip("<>")).int % (1 << 64)
     return n - (1 << 64) if n >> 63 else n
 
 
-def written(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """One record: a response with its payload, or a revisit of the page it refers to."""
-    name = digest(payload)
-    own = record_id(page_id) if page_id is not None else f"<{uuid.uuid5(uuid.NAMESPACE_URL, f'{url} {name}').urn}>"
-    body = HTTP if refers_to is not None else HTTP + payload
-    head = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", own), ("WARC-Date", DATE)]
+def written(page_id: int | None, url: str | None, payload: bytes, high: int | None = None) -> bytes:
+    """A response with its payload. Its id has the beginning of the payload's SHA-1 in it, or high."""
+    sha1 = hashlib.sha1(payload).digest()
+    own = record_id(page_id, int.from_bytes(sha1[:8], "big") if high is None else high)
+    return _record("response", own, page_id, url, sha1, len(payload), [], HTTP + payload)
+
+
+def revisit(page_id: int | None, url: str | None, sha1: bytes, size: int, first: int | None, high: int) -> bytes:
+    """A record without the payload, which the response of the page first holds; high: as in record_id."""
+    more = [("WARC-Refers-To", record_id(first, int.from_bytes(sha1[:8], "big"))), *([("WARC-Refers-To-Page-ID", str(first))] if first is not None else []), ("WARC-Profile", PROFILE)]
+    return _record("revisit", record_id(page_id, high), page_id, url, sha1, size, more, HTTP)
+
+
+def _record(kind: str, own: str, page_id: int | None, url: str | None, sha1: bytes, size: int, more: list[tuple[str, str]], body: bytes) -> bytes:
+    head = [("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Date", DATE)]
     if url is not None:
         head.append(("WARC-Target-URI", "".join(c if c.isprintable() else "%%%02X" % ord(c) for c in url)))
     if page_id is not None:
         head.append(("WARC-Page-ID", str(page_id)))
-    head += [("WARC-Payload-Digest", f"sha1:{name}"), ("WARC-Payload-Length", str(len(payload)))]
-    if refers_to is not None:
-        head += [("WARC-Refers-To", record_id(refers_to)), ("WARC-Profile", PROFILE)]
+    head += [("WARC-Payload-Digest", f"sha1:{base64.b32encode(sha1).decode()}"), ("WARC-Payload-Length", str(size)), *more]
     head += [("Content-Type", "application/http;msgtype=response"), ("Content-Length", str(len(body)))]
     return VERSION + b"\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode("utf-8", "replace") + b"\r\n" + body + b"\r\n\r\n"
 
@@ -167,23 +176,38 @@ def _file_system(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
-def first_pages(pages: DataFrame, payload: Column, least: int = 0) -> DataFrame:
-    """pages with _key, the payload's SHA-1, and _first, the smallest page_id of its payload; payloads under least bytes have none."""
-    keyed = pages.withColumn("_key", F.when(F.octet_length(payload) >= least, F.sha1(payload)))
-    first = keyed.where("_key is not null").groupBy("_key").agg(F.min("page_id").alias("_first"))
-    return keyed.join(first, "_key", "left")
+def _records_of(rows: DataFrame, folder: str, least: int) -> DataFrame:
+    """(page_id, url, html, sha1, size, first) of rows(page_id, url, html): html is null for revisits, first is theirs.
+
+    Payloads are aggregated where they lie, so of equal ones each task sends one; of all other rows only ids, urls and digests
+    move, and those of a payload that many rows share stay where they are (spread_join).
+    """
+    spark = rows.sparkSession
+    payload = F.encode("html", "UTF-8")
+    own = F.octet_length(payload) >= least
+    alone = rows.where(~own).select("page_id", "url", "html", F.sha1(payload).alias("sha1"), F.octet_length(payload).cast("long").alias("size"), F.lit(None).cast("long").alias("first"))
+    keyed = rows.where(own).withColumn("sha1", F.sha1(payload))
+    order = F.struct(F.col("page_id").isNull(), "page_id", F.col("url").isNull(), "url")
+    best = keyed.groupBy("sha1").agg(F.min_by(F.struct("page_id", "url", "html"), order).alias("b"))
+    responses = best.select("b.page_id", "b.url", "b.html", "sha1", F.octet_length(F.encode("b.html", "UTF-8")).cast("long").alias("size"), F.lit(None).cast("long").alias("first"))
+    keyed.groupBy("sha1", "page_id", "url").agg(F.count(F.lit(1)).alias("n"), F.first(F.octet_length(payload)).cast("long").alias("size")).write.parquet(path := f"{folder}/ids")
+    ids = spark.read.parquet(path)
+    first = ids.groupBy("sha1").agg(F.min_by(F.struct("page_id", "url"), order).alias("b"), F.count(F.lit(1)).alias("rows"), F.sum("n").alias("all")).where("all > 1")
+    found = spread_join(ids, first.select("sha1", "b", "rows"), "sha1", ids.count(), "rows")
+    # of the repeated rows of the response itself, one is the response
+    again = F.col("n") - F.when(F.col("page_id").eqNullSafe(F.col("b.page_id")) & F.col("url").eqNullSafe(F.col("b.url")), 1).otherwise(0)
+    copies = found.withColumn("again", again).where("again > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("again").cast("int"))))
+    revisits = copies.select("page_id", "url", F.lit(None).cast("string").alias("html"), "sha1", "size", F.col("b.page_id").cast("long").alias("first"))
+    return alone.unionByName(responses).unionByName(revisits)
 
 
 def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     """Archives of pages(page_id, url, html) in folder; the manifest (archive, records), itself stored there."""
     spark = pages.sparkSession
-    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), text_of(pages, "html").alias("_html"))
-    # ids first, then their pages: a top-k of pages would send every task's best to the driver
-    some = [r["page_id"] for r in rows.select("page_id").where("page_id is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_ROWS).collect()]
-    sample = rows.where(F.col("page_id").isin(some)).groupBy("page_id").agg(F.min(F.substring("_html", 1, SAMPLE_BYTES // SAMPLE_ROWS)).alias("h"))
-    shared = dictionary([r["h"].encode("utf-8", "replace") for r in sample.orderBy("page_id").collect()])  # at most SAMPLE_ROWS beginnings
-    revisit = (F.col("_first").isNotNull()) & ((F.col("page_id") > F.col("_first")) | F.col("page_id").isNull())
-    ready = first_pages(rows, F.encode("_html", "UTF-8"), least).select("page_id", "url", "_html", F.when(revisit, F.col("_first")).alias("refers_to"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_of(pages, "html").alias("html"))
+    sample = hashed_sample(rows.where("page_id is not null"), "page_id", SAMPLE_ROWS).select(F.substring("html", 1, SAMPLE_BYTES // SAMPLE_ROWS).alias("h"))
+    shared = dictionary([h.encode("utf-8", "replace") for h in sorted({r["h"] for r in sample.collect()})])  # about SAMPLE_ROWS beginnings
+    ready = _records_of(rows, folder, least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -199,10 +223,14 @@ def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
                 out.write(w.archive())
             done.append((name, w.records))
 
-        w = Writer(shared)
+        w, number = Writer(shared), (1 << 63) | task.partitionId() << 32
         for b in batches:
-            for page_id, url, html, refers in zip(*(c.to_pylist() for c in b.columns)):
-                w.add(written(page_id, url, html.encode("utf-8", "replace"), refers))
+            for page_id, url, html, sha1, size, first in zip(*(c.to_pylist() for c in b.columns)):
+                number += 1
+                if html is None:
+                    w.add(revisit(page_id, url, bytes.fromhex(sha1), size, first, number))
+                else:
+                    w.add(written(page_id, url, html.encode("utf-8", "replace"), number if size < least else None))
                 if w.size >= ARCHIVE_BYTES:
                     store(w)
                     w = Writer(shared)
@@ -241,8 +269,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 def page_rows(read_back: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of the records read."""
     h = F.col("headers")
-    last64 = F.conv(F.substring(F.regexp_replace(h["warc-refers-to"], "[<>-]|urn:uuid:", ""), 17, 16), 16, -10).cast("long")
     return read_back.select(
         h["warc-page-id"].cast("long").alias("page_id"), h["warc-payload-length"].cast("long").alias("payload_bytes"),
-        F.regexp_replace(h["warc-payload-digest"], "^sha1:", "").alias("payload_digest"), h["warc-type"].alias("record_type"), last64.alias("refers_to"),
+        F.regexp_replace(h["warc-payload-digest"], "^sha1:", "").alias("payload_digest"), h["warc-type"].alias("record_type"), h["warc-refers-to-page-id"].cast("long").alias("refers_to"),
     )

@@ -91,12 +91,14 @@ def test_archives_round_trip(spark):
     manifest = warc.write(pages, folder)
     got = warc.page_rows(warc.read(spark, folder)).collect()
     rows = [(r["page_id"], (r["html"] or "").encode()) for r in pages.collect()]
-    first = {}
-    for p, h in rows:
-        if p is not None:
-            first[h] = min(p, first.get(h, p))
-    want = [(p, len(h), base64.b32encode(hashlib.sha1(h).digest()).decode(), *(("response", None) if p == first[h] else ("revisit", first[h]))) for p, h in rows]
+    first, want = {}, []
+    for p, h in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        want.append((p, len(h), base64.b32encode(hashlib.sha1(h).digest()).decode(), *(("revisit", first[h]) if h in first else ("response", None))))
+        first.setdefault(h, p)
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got) and sum(r["records"] for r in manifest.collect()) == len(rows)
+    records = warc.read(spark, folder).select("headers").collect()
+    ids = {r["headers"]["warc-record-id"]: r["headers"] for r in records}
+    assert len(ids) == len(records) and all(ids[r["headers"]["warc-refers-to"]]["warc-type"] == "response" for r in records if r["headers"]["warc-type"] == "revisit")
     payloads = {r["headers"]["warc-page-id"]: bytes(r["payload"]) for r in warc.read(spark, folder).where("headers['warc-type'] = 'response'").collect()}
     assert payloads[str(1 << 60)] == b"long " * 50_000 and payloads["1"] == b"<p>a</p>"
     empty = scratch(spark, "warc")
@@ -108,7 +110,7 @@ def test_archive_frames_and_damage():
     shared = warc.dictionary([f"<html><body>some page {k} with words</body></html>".encode() * 8 for k in range(200)])
     w = warc.Writer(shared)
     for k in range(20):
-        w.add(warc.written(k, f"u{k}", f"<html><body>some page {k}</body></html>".encode(), None))
+        w.add(warc.written(k, f"u{k}", f"<html><body>some page {k}</body></html>".encode()))
     data = w.archive()
     assert struct.unpack_from("<I", data)[0] == warc.SKIPPABLE and shared
     found = list(warc.records(data))
@@ -116,11 +118,11 @@ def test_archive_frames_and_damage():
     assert [warc.page_of(r.headers["warc-record-id"]) for r in found] == list(range(20))
     with pytest.raises(ValueError):
         list(warc.records(data[:-3]))
-    whole = warc.written(1, "u", b"payload", None)
+    whole = warc.written(1, "u", b"payload")
     for bad in (whole[:-1], whole.replace(b"WARC/1.1", b"WARC/9"), whole.replace(b"payload\r", b"pAyload\r"), whole.replace(b"WARC-Date", b"X-Date"), whole + b"x"):
         with pytest.raises(ValueError):
             warc.parsed(bad)
-    assert warc.page_of(warc.record_id(-5)) == -5
+    assert warc.page_of(warc.record_id(-5, 7)) == -5
 
 
 # --- BPE and ORC ---------------------------------------------------------------------------------------------------

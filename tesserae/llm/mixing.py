@@ -9,7 +9,8 @@ documents in an order seeded by a hash of the id.
 Only patterns and sources (bounded, checked) come to the driver. The place where the rest of a pattern ends is found by
 bucket totals of the hash, so only the documents of one bucket in BUCKETS are ever sorted.
 
-Defined results: a null text has size 0; sizes of 0 take 0. A null source is a source of its own, the last. Rows
+Defined results: a null text has size 0; sizes of 0 take 0. A null source is a source of its own, the last; a document's
+sources are a set, and one without any is not taken. More than MAX_PATTERNS patterns raise ValueError. Rows
 that share an id are placed alike; the last document taken of a pattern may be cut (split_last), so that
 the quota is met to the word. An empty table gives an empty result.
 """
@@ -106,7 +107,8 @@ class Plan:
 
 def sized(docs: DataFrame, sources: Column, text: str = "text") -> DataFrame:
     """(doc_id, size, sources array, place): what the mix needs of a document. place: its seeded hash."""
-    return docs.select("doc_id", n_words(text_of(docs, text)).alias("size"), sources.alias("sources"))
+    members = F.array_sort(F.array_distinct(F.coalesce(sources.cast("array<string>"), F.array().cast("array<string>"))))
+    return docs.select("doc_id", n_words(text_of(docs, text)).alias("size"), members.alias("sources"))
 
 
 def plan(rows: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = MAX_REPEATS) -> Plan:

@@ -2,8 +2,8 @@
 
 Features are column expressions: lengths, path depth, digit ratio, character entropy, parameter and hyphen counts, and the
 smoothed share of blocked URLs among labelled ones with the same host suffix (of one, two and three labels) and file suffix.
-The trees are Spark ML's, fitted on a bounded sample of labelled URLs (max_labelled, those of smallest hash), so all
-work stays in the JVM.
+The trees are Spark ML's, fitted on a bounded sample of labelled URLs (about max_labelled, those of smallest hash), so all
+work stays in the JVM. Labels are the caller's; where there are none, seeded_labels gives examples.
 
 Defined results: a null url, or one without "://", has an empty host and path, fits no rule, and is judged by its features (all
 zero for null). Repeated rows are judged alike. With labels of one class only, every verdict of the method is that
@@ -19,10 +19,18 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm.common import cut, hashed_sample
+
 #: Rules as (host, path, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: Host words whose URLs serve as blocked examples.
-SEED_WORDS = ("adult", "bets", "casino", "pills", "spam", "ads")
+#: Host words of the usual categories of blocklists (adult, gambling, pharmacy, spam and malware, advertising and tracking).
+SEED_WORDS = (
+    "adult", "porn", "sex", "xxx", "escort", "nude", "cam", "bet", "bets", "betting", "bingo", "casino", "gambling", "jackpot", "lottery", "poker", "slots",
+    "pharma", "pharmacy", "pills", "drugs", "viagra", "cialis", "meds", "crack", "keygen", "malware", "phishing", "scam", "spam", "torrent", "virus", "warez",
+    "ad", "ads", "adserver", "adtrack", "banner", "click", "clicks", "popup", "tracker", "tracking", "loan", "loans", "payday", "replica",
+)
+#: Folds of hosts for the shares of training URLs.
+FOLDS = 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEXICAL = ("url_length", "host_length", "path_length", "depth", "host_labels", "digit_ratio", "entropy", "parameters", "hyphens")
 SUFFIXES = ("suffix1", "suffix2", "suffix3", "file_suffix")
@@ -69,36 +77,41 @@ def with_features(urls: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class UrlModel:
-    """trees: None with labels of one class; shares: (kind, suffix, share) table; base: share of blocked labels."""
+    """trees: None with labels of one class; shares: (kind, suffix, share) table, which stays in the JVM; base: share of blocked labels."""
 
     trees: GBTClassificationModel | None
     shares: DataFrame | None
     base: float
 
 
-def _with_shares(rows: DataFrame, shares: DataFrame, base: float) -> DataFrame:
+def _with_shares(rows: DataFrame, shares: DataFrame, base: float, fold: str | None = None) -> DataFrame:
+    """rows with a share column for each kind of suffix; with fold, the share of the other folds' URLs."""
     for kind in SUFFIXES:
         # at most one row a labelled URL, so the tables are bounded as the sample is
-        found = F.broadcast(shares.where(F.col("kind") == kind).select(F.col("suffix").alias(kind), F.col("share").alias(f"{kind}_share")))
-        rows = rows.join(found, kind, "left").withColumn(f"{kind}_share", F.coalesce(f"{kind}_share", F.lit(base)))
+        own = shares.where(F.col("kind") == kind).select(F.col("suffix").alias(kind), F.col("share").alias(f"{kind}_share"), *([F.col("fold").alias(fold)] if fold else []))
+        rows = rows.join(F.broadcast(own), [kind, *([fold] if fold else [])], "left").withColumn(f"{kind}_share", F.coalesce(f"{kind}_share", F.lit(base)))
     return VectorAssembler(inputCols=[*LEXICAL, *(f"{k}_share" for k in SUFFIXES)], outputCol="_features").transform(rows)
 
 
 def fit(labelled: DataFrame, max_labelled: int = 20_000, rounds: int = 12, depth: int = 3, prior: float = 20.0, seed: int = 5) -> UrlModel:
-    """Trees from labelled(url, label), label 1 for blocked; the max_labelled rows of smallest hash define them."""
-    rows = labelled.where("url is not null and label is not null").select("url", F.col("label").cast("double").alias("label"))
-    rows = with_features(rows.orderBy(F.xxhash64("url"), "url", "label").limit(max_labelled)).cache()
+    """Trees from labelled(url, label), label 1 for blocked; about max_labelled distinct URLs, those of smallest hash, define them.
+
+    A training URL's suffix shares come from the URLs of other hosts only (FOLDS folds by host), so that no label stands
+    in its own features.
+    """
+    rows = labelled.where("url is not null and label is not null").groupBy("url").agg(F.max(F.col("label").cast("double")).alias("label"))
+    rows = cut(with_features(hashed_sample(rows, "url", max_labelled)).withColumn("_fold", F.pmod(F.xxhash64("_host"), F.lit(FOLDS)).cast("int")))
     n, base = rows.agg(F.count(F.lit(1)), F.avg("label")).first()
     if not n or base in (0.0, 1.0):
-        rows.unpersist()
         return UrlModel(None, None, base or 0.0)
-    stacked = rows.select("label", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("suffix")) for k in SUFFIXES))).alias("s"))
-    shares = stacked.groupBy("s.kind", "s.suffix").agg(((F.sum("label") + prior * base) / (F.count(F.lit(1)) + prior)).alias("share"))
-    shares = rows.sparkSession.createDataFrame(shares.collect(), "kind string, suffix string, share double")  # at most 4 rows a labelled URL
+    stacked = rows.select("label", "_fold", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("suffix")) for k in SUFFIXES))).alias("s"))
+    counts = cut(stacked.groupBy("s.kind", "s.suffix", F.col("_fold").alias("fold")).agg(F.sum("label").alias("bad"), F.count(F.lit(1)).alias("n")))
+    totals = counts.groupBy("kind", "suffix").agg(F.sum("bad").alias("all_bad"), F.sum("n").alias("all_n"))
+    smooth = lambda bad, n: (bad + prior * base) / (n + prior)
+    others = counts.join(totals, ["kind", "suffix"]).withColumn("share", smooth(F.col("all_bad") - F.col("bad"), F.col("all_n") - F.col("n")))
     trees = GBTClassifier(featuresCol="_features", labelCol="label", predictionCol="_blocked", maxIter=rounds, maxDepth=depth, maxBins=64, seed=seed, stepSize=0.3)
-    model = trees.fit(_with_shares(rows, shares, base).coalesce(1))
-    rows.unpersist()
-    return UrlModel(model, shares, base)
+    model = trees.fit(_with_shares(rows, others, base, "_fold").coalesce(1))
+    return UrlModel(model, totals.withColumn("share", smooth(F.col("all_bad"), F.col("all_n"))), base)
 
 
 def judge(pages: DataFrame, model: UrlModel, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
@@ -116,6 +129,9 @@ def judge(pages: DataFrame, model: UrlModel, rules: tuple[tuple[str, str, str],
 
 
 def seeded_labels(pages: DataFrame, words: tuple[str, ...] = SEED_WORDS) -> DataFrame:
-    """(url, label) of all pages: 1 if a word of the host, between dots and hyphens, is a seed word."""
+    """(url, label) of all pages where no labels are at hand: 1 if a word of the host, between dots and hyphens, is a seed word.
+
+    These are positive and unlabelled examples: the others count as 0, though some may be bad.
+    """
     parts = F.split(host(F.col("url")), "[.-]")
     return pages.where("url is not null").select("url", F.arrays_overlap(parts, F.array(*map(F.lit, words))).cast("int").alias("label"))

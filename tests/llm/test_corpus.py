@@ -382,6 +382,10 @@ def test_mix_of_overlapping_sources(spark):
     df = spark.createDataFrame([(k, "w " * 10, ["a", "b"] if k % 2 else ["a"]) for k in range(40)], "doc_id long, text string, src array<string>")
     taken, plan = mixing.mix(df, F.col("src"), weights=(1, 1))
     assert sum(r["taken"] for r in taken.collect()) == pytest.approx(sum(plan.targets.values()), abs=2)
+    odd = [(1, "w w", ["a", "b", "a"]), (2, "w", ["b", "a"]), (3, "w w w", None), (4, "w", []), (5, "w", [None, None])]
+    odd_taken, odd_plan = mixing.mix(spark.createDataFrame(odd, "doc_id long, text string, src array<string>"), F.col("src"))
+    assert odd_plan.sizes == {"a": 3, "b": 3, None: 1} and {r["doc_id"]: r["taken"] for r in odd_taken.collect()}.keys() == {1, 2, 3, 4, 5}
+    assert all(r["taken"] == 0 for r in odd_taken.where("doc_id in (3, 4)").collect())
     with pytest.raises(ValueError):
         mixing.plan(spark.range(mixing.MAX_PATTERNS + 1).select(F.lit(1).alias("size"), F.array(F.col("id").cast("string")).alias("sources")))
 

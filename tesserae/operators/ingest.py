@@ -93,12 +93,19 @@ def drop_replays(batch: DataFrame, store: DataFrame, keys: DataFrame) -> DataFra
     return batch.join(ready.join(targets, same, "left_semi").select("seq"), "seq", "left_anti")
 
 
-def capture(texts: DataFrame, max_facts: int = 5) -> DataFrame:
+def touched(store: DataFrame, ids: DataFrame, at: datetime) -> DataFrame:
+    """store with last_accessed_at set for ids(id), the rows that a search returned: at most some hundreds."""
+    known = F.col("last_accessed_at") if "last_accessed_at" in store.columns else F.lit(None).cast("timestamp")
+    hit = store.join(F.broadcast(ids.select("id").distinct().withColumn("_hit", F.lit(True))), "id", "left")
+    return hit.withColumn("last_accessed_at", F.when(F.col("_hit"), F.lit(at)).otherwise(known)).drop("_hit")
+
+
+def capture(texts: DataFrame, max_facts: int = 5, tags: tuple[str, ...] = ("captured",)) -> DataFrame:
     """A batch for upsert from texts(seq, at, scope_type, scope_id, text): the best facts of each text."""
     best = facts.best(texts, ["seq"], limit=max_facts)
     return best.select(
         (F.col("seq") * 100 + F.col("rank")).alias("seq"), "at", F.lit(None).cast("string").alias("idempotency_key"), "scope_type", "scope_id", F.col("fact").alias("content"),
-        F.array(F.lit("captured")).alias("tags"), F.lit(0.6).alias("importance"), F.lit(None).cast("int").alias("ttl_days"), F.lit(None).cast("string").alias("key"),
+        F.array(*map(F.lit, tags)).alias("tags"), F.lit(0.6).alias("importance"), F.lit(None).cast("int").alias("ttl_days"), F.lit(None).cast("string").alias("key"),
         F.lit(True).alias("captured"), F.lit(None).cast("string").alias("source_agent"),
     )
 

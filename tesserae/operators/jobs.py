@@ -1,0 +1,135 @@
+"""Import jobs: logs and exports become transcripts and facts of the store, by batches of the write path.
+
+A job takes the store and gives back the new one, with a report of one row a session or conversation.
+"""
+
+from __future__ import annotations
+
+from datetime import datetime
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tesserae.functions.text import lower_tags, trim
+from tesserae.operators import ingest, trees
+from tesserae.plans.lineage import kept
+from tesserae.sources import logs
+
+TRANSCRIPT_IMPORTANCE, TRANSCRIPT_DAYS, MAX_FACTS = 0.6, 30, 20
+HINT = "Extract durable preferences, constraints, conventions, owners, deadlines, paths, and important facts from this imported session."
+
+
+class Imported(NamedTuple):
+    store: DataFrame
+    report: DataFrame
+
+
+def _row(key: Column, at: datetime, content: Column, tags: Column, idempotency_key: Column, agent: str) -> list[Column]:
+    """Columns of a transcript's write."""
+    no = lambda kind: F.lit(None).cast(kind)
+    return [
+        F.pmod(F.xxhash64(key), F.lit(1 << 40)).alias("seq"), F.lit(at).cast("timestamp").alias("at"), idempotency_key.cast("string").alias("idempotency_key"), F.lit("session").alias("scope_type"), key.alias("scope_id"),
+        content.alias("content"), tags.alias("tags"), F.lit(TRANSCRIPT_IMPORTANCE).alias("importance"), F.lit(TRANSCRIPT_DAYS).alias("ttl_days"), no("string").alias("key"), F.lit(False).alias("captured"), F.lit(agent).alias("source_agent"),
+    ]
+
+
+def import_sessions(store: DataFrame, messages: DataFrame, at: datetime, source: str, assisted: DataFrame | None = None, max_messages: int = logs.MAX_MESSAGES, max_facts: int = MAX_FACTS, skip_assisted: bool = True) -> Imported:
+    """Transcripts of messages(session, pos, at, role, text), and the facts in them, as memories of their sessions.
+
+    Of each session the last max_messages count. Sessions that assisted(session, assisted) names keep their transcript, marked as
+    tool-assisted, but give no facts, unless skip_assisted is off. report: session, messages, truncated, characters, capture_skipped.
+    """
+    total = messages.groupBy("session").agg(F.count(F.lit(1)).alias("_all"))
+    found = logs.transcripts(logs.tail(messages, max_messages)).join(total, "session")
+    if assisted is not None:
+        found = found.join(assisted.select("session", "assisted"), "session", "left")
+    skipped = F.coalesce(F.col("assisted"), F.lit(False)) & F.lit(skip_assisted) if assisted is not None else F.lit(False)
+    found = kept(found.withColumn("skipped", skipped))
+    tags = F.concat(F.array(*map(F.lit, ("import", source, "transcript"))), F.when(F.col("skipped"), F.array(F.lit("tool-assisted"))).otherwise(F.array().cast("array<string>")))
+    content = F.concat(F.lit("Imported session transcript from "), F.col("session"), F.lit("\n\n"), F.col("transcript"))
+    batch = found.select(*_row(F.col("session"), at, content, tags, F.lit(None), f"{source}-import"))
+    texts = found.where("not skipped").select(batch_seq(F.col("session")), F.lit(at).cast("timestamp").alias("at"), F.lit("session").alias("scope_type"), F.col("session").alias("scope_id"), F.concat(F.lit(HINT + "\n"), F.col("transcript")).alias("text"))
+    facts = ingest.capture(texts, min(100, max_facts), ("import", source, "captured"))
+    report = found.select("session", "messages", (F.col("_all") - F.col("messages")).alias("truncated"), F.length("transcript").alias("characters"), F.col("skipped").alias("capture_skipped"))
+    return Imported(ingest.upsert(store, batch.unionByName(facts)), report)
+
+
+def batch_seq(key: Column) -> Column:
+    """Places of a source's facts: any order that a rerun repeats."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << 40)).alias("seq")
+
+
+def conversation_transcripts(conversations: DataFrame, nodes: DataFrame, now: datetime, strategy: str = "current") -> DataFrame:
+    """(conv, transcript, messages) of conversations(conv, title, created, updated, current, model, archived, shard, file) over
+    their trees nodes(conv, id, parent, role, time, text); strategy: current, longest or all.
+
+    Messages of unknown time get the conversation's, and go by time, then by their place in the path. A head of seven lines names
+    the conversation. Conversations without messages fall out.
+    """
+    if strategy == "all":
+        path = trees.all_nodes(nodes)
+    else:
+        found = trees.longest_paths(nodes) if strategy == "longest" else trees.active_paths(conversations, nodes)
+        path = found.select("conv", F.posexplode("path").alias("place", "id"))
+    head = conversations.select("conv", *(F.col(c) if c in conversations.columns else F.lit(None).cast(k).alias(c) for c, k in (("title", "string"), ("created", "double"), ("updated", "double"), ("model", "string"), ("archived", "boolean"), ("shard", "string"), ("file", "string"))))
+    rows = path.join(nodes, ["conv", "id"]).where("role in ('user', 'assistant') and text <> ''").join(head, "conv")
+    time = F.coalesce("time", "updated", "created", F.lit(now).cast("timestamp").cast("double"))
+    stamp = F.date_format(F.timestamp_millis((time * 1000).cast("long")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    line = F.concat(F.lit("["), stamp, F.lit("] "), F.initcap("role"), F.lit(": "), F.col("text"))
+    lines = rows.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct(time.alias("t"), "place", line.alias("line")))).alias("l"))
+    named = lambda c, other: F.coalesce(F.nullif(trim(F.col(c)), F.lit("")), F.lit(other))
+    text = F.concat_ws(
+        "\n", F.lit("Imported ChatGPT conversation transcript"), F.concat(F.lit("Conversation ID: "), F.col("conv")), F.concat(F.lit("Title: "), named("title", "(untitled)")), F.concat(F.lit("Model: "), named("model", "unknown")),
+        F.concat(F.lit("Archived: "), F.coalesce(F.col("archived"), F.lit(False)).cast("string")), F.concat(F.lit("Source shard: "), named("shard", "")), F.concat(F.lit("Source export zip: "), named("file", "")), F.lit(""), F.array_join(F.transform("l", lambda x: x["line"]), "\n"),
+    )
+    return lines.join(head, "conv").select("conv", text.alias("transcript"), F.size("l").alias("messages"))
+
+
+def import_conversations(store: DataFrame, keys: DataFrame, conversations: DataFrame, nodes: DataFrame, at: datetime, strategy: str = "current", max_facts: int = MAX_FACTS) -> Imported:
+    """Transcripts of exported conversations (with key, their idempotency key) and the facts in them; what an earlier state left is deleted.
+
+    A conversation whose key is known, in keys(key, memory_id, seq), for the same transcript is skipped. report: conv, messages, created.
+    """
+    source = "chatgpt-export"
+    found = kept(conversation_transcripts(conversations, nodes, at, strategy).join(conversations.select("conv", "key"), "conv"))
+    tag = F.concat(F.lit("chatgpt-conv:"), F.col("conv"))
+    batch = found.select(*_row(tag, at, F.col("transcript"), F.array(F.lit("import"), F.lit(source), F.lit("transcript"), tag), F.col("key"), f"{source}-import"), "conv")
+    fresh = kept(ingest.drop_replays(batch.drop("conv"), store, keys).select("seq", F.col("scope_id").alias("_scope")).distinct())
+    new = batch.join(fresh.select("seq"), "seq", "left_semi").drop("conv")
+    texts = found.join(fresh, tag == F.col("_scope")).select("seq", F.lit(at).cast("timestamp").alias("at"), F.lit("session").alias("scope_type"), F.col("_scope").alias("scope_id"), F.col("transcript").alias("text"))
+    facts = ingest.capture(texts, max_facts, ("import", source, "captured")).withColumn("tags", F.concat("tags", F.array("scope_id")))
+    cleared = refreshed(store, fresh.select(F.col("_scope").alias("scope_id")), at)
+    report = found.join(fresh, tag == F.col("_scope"), "left").select("conv", "messages", F.col("_scope").isNotNull().alias("created"))
+    return Imported(ingest.upsert(cleared, new.unionByName(facts)), report)
+
+
+def refreshed(store: DataFrame, scopes: DataFrame, at: datetime) -> DataFrame:
+    """store without the live rows of the sessions in scopes(scope_id), soft-deleted before their newer state is written."""
+    hit = store.join(scopes.distinct().withColumn("_hit", F.lit(True)), "scope_id", "left")
+    gone = F.coalesce(F.col("_hit"), F.lit(False)) & F.col("deleted_at").isNull() & (F.col("scope_type") == "session")
+    return hit.withColumns({c: F.when(gone, F.lit(at)).otherwise(F.col(c)) for c in ("deleted_at", "updated_at")}).select(store.columns)
+
+
+def summary(reports: DataFrame) -> DataFrame:
+    """One row of counters of import_conversations' report."""
+    return reports.agg(F.count(F.lit(1)).alias("processed"), F.count_if("created").alias("created"), F.count_if(~F.col("created")).alias("skipped"), F.coalesce(F.sum("messages"), F.lit(0)).alias("messages"))
+
+
+def transcript_parents(store: DataFrame) -> DataFrame:
+    """Live transcripts, which are to be cut into chunks."""
+    tags = lower_tags(F.col("tags"))
+    return store.where(F.col("deleted_at").isNull() & F.array_contains(tags, "transcript"))
+
+
+def coverage(store: DataFrame, chunks: DataFrame, wanted: str, min_bytes: int) -> DataFrame:
+    """One row: transcripts over min_bytes, and those among them whose chunks all have the wanted version and their content's hash."""
+    parents = transcript_parents(store).where(F.octet_length("content") > min_bytes).select("id", "content_hash")
+    whole = chunks.groupBy("parent_id").agg(F.min((F.col("version") == wanted).cast("int")).alias("v"), F.min("parent_hash").alias("a"), F.max("parent_hash").alias("b"))
+    done = (F.col("v") == 1) & (F.col("a") == F.col("b")) & (F.col("a") == F.col("content_hash"))
+    return parents.join(whole.withColumnRenamed("parent_id", "id"), "id", "left").agg(F.count(F.lit(1)).alias("oversized_rows"), F.count_if(done).alias("chunked_rows"))
+
+
+def newest_of_project(files: DataFrame, project: str) -> DataFrame:
+    """The newest file of files(file, modified, ...) below a project's folder."""
+    return files.where(F.col("file").contains(f"/{project}/")).orderBy(F.desc("modified"), "file").limit(1)

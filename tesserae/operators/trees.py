@@ -9,26 +9,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _kept(df: DataFrame) -> DataFrame:
-    """df computed once, in the checkpoint folder where one is set."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() is not None else df.localCheckpoint()
+from tesserae.plans.lineage import kept
 
 
 def _chains(starts: DataFrame, nodes: DataFrame) -> DataFrame:
     """(conv, leaf, path from root to leaf) of starts(conv, leaf); a path to a node that is not there is left out."""
-    hop = _kept(nodes.where(F.col("parent").isNotNull()).select("conv", "id", F.col("parent").alias("up")))
-    met = _kept(starts.select("conv", "leaf", F.col("leaf").alias("id"), F.lit(0).cast("long").alias("depth")).distinct())
+    hop = kept(nodes.where(F.col("parent").isNotNull()).select("conv", "id", F.col("parent").alias("up")))
+    met = kept(starts.select("conv", "leaf", F.col("leaf").alias("id"), F.lit(0).cast("long").alias("depth")).distinct())
     reach, n = 1, met.count()
     while True:
         # met has all nodes less than reach steps above a leaf, hop leads reach steps up
         far = met.join(hop, ["conv", "id"]).select("conv", "leaf", F.col("up").alias("id"), (F.col("depth") + reach).alias("depth"))
-        met = _kept(met.unionByName(far).groupBy("conv", "leaf", "id").agg(F.min("depth").alias("depth")))
+        met = kept(met.unionByName(far).groupBy("conv", "leaf", "id").agg(F.min("depth").alias("depth")))
         before, n = n, met.count()
         if n == before:
             break
         after = hop.select("conv", F.col("id").alias("up"), F.col("up").alias("_next"))
-        hop, reach = _kept(hop.join(after, ["conv", "up"]).select("conv", "id", F.col("_next").alias("up"))), 2 * reach
+        hop, reach = kept(hop.join(after, ["conv", "up"]).select("conv", "id", F.col("_next").alias("up"))), 2 * reach
     there = nodes.select("conv", "id", F.lit(True).alias("_there")).distinct()
     rows = met.join(there, ["conv", "id"], "left").groupBy("conv", "leaf")
     paths = rows.agg(F.sort_array(F.collect_list(F.struct("depth", "id")), asc=False).alias("_p"), F.count("_there").alias("_n"))
@@ -36,9 +33,10 @@ def _chains(starts: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def active_paths(conversations: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(conv, path) of conversations(conv, current) over nodes(conv, id, parent)."""
-    starts = conversations.where(F.col("current").isNotNull()).select("conv", F.col("current").alias("leaf"))
-    return _chains(starts, nodes).select("conv", "path")
+    """(conv, path) of conversations(conv, current) over nodes(conv, id, parent); the longest path where current is unknown or not there."""
+    starts = conversations.join(nodes.select("conv", F.col("id").alias("current")), ["conv", "current"], "left_semi").select("conv", F.col("current").alias("leaf"))
+    rest = nodes.join(conversations.select("conv").join(starts, "conv", "left_anti"), "conv", "left_semi")
+    return _chains(starts, nodes).select("conv", "path").unionByName(longest_paths(rest))
 
 
 def longest_paths(nodes: DataFrame) -> DataFrame:

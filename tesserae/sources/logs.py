@@ -20,6 +20,8 @@ FORMAT_A = f"timestamp string, type string, payload struct<type:string, role:str
 FORMAT_B = "timestamp string, type string, message struct<role:string, content:string>"
 PARTS = f"array<struct<{PART.replace(' ', ':').replace(',:', ',')}>>"
 MAX_FILE_BYTES, MAX_MESSAGES = 1 << 20, 80
+#: Places of a message's parts in the order of events.
+PARTS_MOST = 1 << 20
 
 
 def read(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
@@ -86,7 +88,25 @@ def tool_events_a(lines: DataFrame) -> DataFrame:
     event = F.when(kind.isin("function_call", "custom_tool_call", "local_shell_call"), "call").when(kind == "function_call_output", "result")
     event = event.when(kind.isin("web_search_call", "web_fetch_call"), "web").when(kind == "tool_search_output", "search")
     name = F.coalesce(F.col("_p.payload.name"), F.when(kind != "function_call", kind))
-    return rows.select("session", "pos", event.alias("kind"), name.alias("name"), F.col("_p.payload.call_id").alias("call_id")).where("kind is not null")
+    content = F.get_json_object("line", "$.payload.output")
+    return rows.select("session", "pos", event.alias("kind"), name.alias("name"), F.col("_p.payload.call_id").alias("call_id"), content.alias("content")).where("kind is not null")
+
+
+def tool_events_b(lines: DataFrame) -> DataFrame:
+    """The same of format B, with n, the requests that a server counted: parts of a message, its usage, and results beside it."""
+    rows = lines.withColumn("_c", F.get_json_object("line", "$.message.content")).where(F.get_json_object("line", "$").isNotNull())
+    listed = F.from_json(F.when(F.col("_c").startswith("["), F.col("_c")), "array<string>")
+    parts = rows.select("*", F.posexplode(listed).alias("_k", "_x"))
+    g = lambda path: F.get_json_object("_x", path)
+    kind = F.when(g("$.type") == "tool_use", "call").when(g("$.type") == "tool_result", "result")
+    used = parts.select("session", (F.col("pos") * PARTS_MOST + F.col("_k")).alias("pos"), kind.alias("kind"), g("$.name").alias("name"), F.coalesce(g("$.id"), g("$.tool_use_id")).alias("call_id"), g("$.content").alias("content"), F.lit(None).cast("long").alias("n")).where("kind is not null")
+    count = lambda what: F.coalesce(F.get_json_object("line", f"$.message.usage.server_tool_use.{what}_requests").cast("long"), F.lit(0))
+    none = F.lit(None).cast("string")
+    served = rows.select("session", (F.col("pos") * PARTS_MOST + PARTS_MOST - 2).alias("pos"), F.lit("uses").alias("kind"), none.alias("name"), none.alias("call_id"), none.alias("content"), (count("web_search") + count("web_fetch")).alias("n")).where("n > 0")
+    beside = F.get_json_object("line", "$.toolUseResult")
+    has_result = F.coalesce(F.exists(F.from_json(F.when(F.col("_c").startswith("["), F.col("_c")), "array<struct<type:string>>"), lambda p: p["type"] == "tool_result"), F.lit(False))
+    lone = rows.where(beside.isNotNull() & ~has_result).select("session", (F.col("pos") * PARTS_MOST + PARTS_MOST - 1).alias("pos"), F.lit("result").alias("kind"), none.alias("name"), none.alias("call_id"), beside.alias("content"), F.lit(None).cast("long").alias("n"))
+    return used.unionByName(served).unionByName(lone)
 
 
 def tail(messages: DataFrame, n: int = MAX_MESSAGES) -> DataFrame:

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.operators import facts, ingest, maintenance, tools, trees
+from tesserae.operators import facts, ingest, jobs, maintenance, tools, trees
 from tesserae.plans.scope import Scope
 from tesserae.sources import embeddings, exports, logs
 from tesserae.streaming import turns
@@ -199,6 +199,58 @@ def test_logs_of_both_formats(spark, tmp_path):
     assert files.count() == 2 and logs.unseen(files, files.limit(1)).count() == 1
 
 
+def test_tools_of_format_b(spark):
+    part = lambda **x: x
+    rows = [
+        {"type": "assistant", "message": {"content": [part(type="tool_use", id="1", name="memory_search"), part(type="tool_use", id="2", name="Bash"), part(type="text", text="x")], "usage": {"server_tool_use": {"web_search_requests": 2, "web_fetch_requests": 1}}}},
+        {"type": "user", "message": {"content": [part(type="tool_result", tool_use_id="1", content="own"), part(type="tool_result", tool_use_id="2", content="by Web Search"), part(type="tool_result", tool_use_id="?", content="z")]}},
+        {"type": "user", "toolUseResult": {"text": "alone"}, "message": {"content": "plain"}},
+    ]
+    lines = spark.createDataFrame([("s", k, json.dumps(r)) for k, r in enumerate(rows)] + [("t", 0, "not json")], "session string, pos int, line string")
+    (found,) = tools.assistance(logs.tool_events_b(lines)).collect()
+    assert (found["tool_calls"], found["tool_results"], found["web_calls"], found["own_calls"], found["own_results"], found["assisted"]) == (1, 3, 4, 1, 1, True)
+    assert found["names"] == ["Bash", "server_web_tool"]
+
+
+def test_import_of_sessions(spark):
+    said = [("s", k, f"t{k}", "user" if k % 2 else "assistant", f"We must always remember the deadline number {k}.") for k in range(5)] + [("t", 0, "t0", "user", "Never touch the main repo, owner is Kim.")]
+    messages = spark.createDataFrame(said, "session string, pos int, at string, role string, text string")
+    assisted = spark.createDataFrame([("t", True)], "session string, assisted boolean")
+    empty = spark.createDataFrame([], STORE)
+    done = jobs.import_sessions(empty, messages, NOW, "codex-session", assisted, max_messages=3)
+    report = {r["session"]: r for r in done.report.collect()}
+    assert (report["s"]["messages"], report["s"]["truncated"], report["t"]["capture_skipped"]) == (3, 2, True)
+    rows = done.store.collect()
+    whole = {r["scope_id"]: r for r in rows if "transcript" in r["tags"]}
+    assert whole["s"]["content"].startswith("Imported session transcript from s\n\n[t2] Assistant: We must") and "tool-assisted" in whole["t"]["tags"] and whole["s"]["expires_at"] == NOW + timedelta(days=30)
+    facts = [r for r in rows if "captured" in r["tags"]]
+    assert facts and {r["scope_id"] for r in facts} == {"s"} and jobs.import_sessions(done.store, messages, NOW, "codex-session", assisted, max_messages=3).store.count() == len(rows)
+
+
+def test_import_of_conversations(spark):
+    nodes = [("c", "1", None, "user", 1.0, "The owner of the repo is always Kim."), ("c", "2", "1", "assistant", 2.0, "ok"), ("c", "3", "2", "system", 3.0, "no"), ("c", "4", "1", "assistant", None, "another branch"), ("d", "1", None, "system", None, "only this")]
+    nodes = spark.createDataFrame(nodes, "conv string, id string, parent string, role string, time double, text string")
+    convs = lambda updated: spark.createDataFrame([("c", "A title", 0.5, updated, "2", f"k:{updated}"), ("d", None, None, None, None, "k:d")], "conv string, title string, created double, updated double, current string, key string")
+    empty, no_keys = spark.createDataFrame([], STORE), spark.createDataFrame([], "key string, memory_id string, seq long")
+    first = jobs.import_conversations(empty, no_keys, convs(9.0), nodes, NOW)
+    (text,) = [r["content"] for r in first.store.collect() if "transcript" in r["tags"]]
+    assert text == "Imported ChatGPT conversation transcript\nConversation ID: c\nTitle: A title\nModel: unknown\nArchived: false\nSource shard: \nSource export zip: \n\n[1970-01-01T00:00:01.000Z] User: The owner of the repo is always Kim.\n[1970-01-01T00:00:02.000Z] Assistant: ok"
+    assert jobs.summary(first.report).first().asDict() == {"processed": 1, "created": 1, "skipped": 0, "messages": 2}
+    whole = [r for r in first.store.collect() if "transcript" in r["tags"]][0]
+    keys = spark.createDataFrame([("k:9.0", whole["id"], 1)], "key string, memory_id string, seq long")
+    again = jobs.import_conversations(first.store, keys, convs(9.0), nodes, NOW)
+    assert jobs.summary(again.report).first()["skipped"] == 1 and again.store.where("deleted_at is null").count() == first.store.count()
+    later = jobs.import_conversations(first.store, keys, convs(10.0), nodes, NOW, strategy="all")
+    live = later.store.where("deleted_at is null").collect()
+    assert jobs.summary(later.report).first()["created"] == 1 and sum("transcript" in r["tags"] for r in live) == 1 and any("another branch" in r["content"] for r in live)
+
+
+def test_touched_rows(spark):
+    store = stored(spark, write(1, "one"), write(2, "two"))
+    one = store.where("content = 'one'").select("id")
+    assert {r["content"]: r["last_accessed_at"] for r in ingest.touched(store, one, NOW).collect()} == {"one": NOW, "two": None}
+
+
 def test_exports_and_trees(spark, tmp_path):
     node = lambda parent, text=None, at=None: {"parent": parent, "message": {"author": {"role": "user"}, "create_time": at, "content": {"parts": [text]}} if text else None}
     conv = {"conversation_id": " c1 ", "title": "T", "update_time": 1700000000, "current_node": "leaf", "mapping": {"root": node(None), "a": node("root", "x", 1.0), "leaf": node("a", "y", 2.0), "b": node("a", "z", 3.0), "d": node("b", "w")}}

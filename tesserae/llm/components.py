@@ -2,7 +2,7 @@
 near-dedup needs around it: pairs between the components of a bucket.
 
 Each step is a grouped minimum, with partial minima before the shuffle, and a join on the vertex, in which the edges of a hub
-stay where they are (spread_join). Each round is written to the shared folder. The number of rounds grows with the
+stay where they are (spread_join) unless there are few edges in all. Each round is written to the shared folder. The number of rounds grows with the
 logarithm of the longest path.
 """
 
@@ -17,6 +17,8 @@ from tesserae.llm.common import cut, spread_join
 BLOCK = 1000
 #: Partitions of an edge table: at least FEW, of ROWS rows.
 FEW, ROWS = 16, 200_000
+#: Edges that one task could hold altogether.
+SMALL = 50_000
 
 
 def _few(rows: DataFrame, total: int) -> DataFrame:
@@ -24,17 +26,22 @@ def _few(rows: DataFrame, total: int) -> DataFrame:
     return rows.coalesce(max(FEW, total // ROWS))
 
 
+def _joined(rows: DataFrame, low: DataFrame, total: int) -> DataFrame:
+    """rows with their vertex's row of low; few rows need no care for hubs, and plain plans weigh less on the driver."""
+    return rows.join(low.drop("n"), "u") if total <= SMALL else spread_join(rows, low, "u", total)
+
+
 def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = _few(both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")), total).select("u", F.least("m", "u").alias("m"), "n")
-    out = spread_join(both.where("v > u"), low, "u", total).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    out = _joined(both.where("v > u"), low, total).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return _few(_few(out.where("u <> v"), total).distinct(), total)
 
 
 def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     low = _few(down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), total)
-    joined = spread_join(down, low, "u", total).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    joined = _joined(down, low, total).select(F.col("v").alias("u"), F.col("m").alias("v"))
     out = joined.union(low.select("u", F.col("m").alias("v")))
     return _few(_few(out.where("u <> v"), total).distinct(), total)
 

@@ -152,6 +152,8 @@ def test_large_groups_of_near_copies(spark, monkeypatch, hot):
         monkeypatch.setattr(of, "LEAST_HOT", hot)
     for of in (components, simhash):
         monkeypatch.setattr(of, "BLOCK", 7)
+    if hot == 3:
+        monkeypatch.setattr(components, "SMALL", 0)
     rng = random.Random(3)
     low = rng.getrandbits(22)
     fps = {low | rng.getrandbits(42) << 22 for _ in range(30)}  # one bucket, nothing near

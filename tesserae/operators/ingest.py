@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.redact import redacted
@@ -38,20 +38,35 @@ def latest_bindings(keys: DataFrame) -> DataFrame:
     return keys.groupBy("key").agg(F.max_by("memory_id", "seq").alias("memory_id"), F.max("seq").alias("seq"))
 
 
+def merged_metadata(maps: Column) -> Column:
+    """One map of an array of maps in order: each later one's values win; null if there is none."""
+    put = lambda acc, m: F.when(m.isNull(), acc).otherwise(F.map_concat(F.map_filter(acc, lambda k, _: ~F.array_contains(F.map_keys(m), k)), m))
+    known = F.filter(maps, lambda m: m.isNotNull())
+    return F.when(F.size(known) > 0, F.aggregate(known, F.create_map().cast("map<string,string>"), put))
+
+
+def metadata_is(name: str, value: str) -> Column:
+    """Rows whose metadata hold a value."""
+    return F.coalesce(F.col("metadata")[name] == value, F.lit(False))
+
+
 def _row_id():
     return F.sha2(F.concat_ws("|", "scope_type", F.coalesce("scope_id", F.lit("")), "content_hash", F.col("_version").cast("string"), F.col("_first").cast("string")), 256)
 
 
 def upsert(store: DataFrame, batch: DataFrame) -> DataFrame:
-    """The store after the batch: COLUMNS.
+    """The store after the batch: COLUMNS, and metadata (map<string,string>) if the store or the batch has it.
 
     A write merges with the live row of equal content in its scope, whatever the keys of the two are: tags are united, the last given
-    importance and agent count, the expiry is renewed if one was computed, and a key that only one of them has goes to
+    importance and agent count, metadata are merged, later values winning, the expiry is renewed if one was computed, and a key that only one of them has goes to
     the row. Rows with a key open a new version whenever the content differs from the version before; only a key's last version
     stays active, and the others are soft-deleted at the time of the write that replaced them. A write without a key whose
     content has been replaced makes a row of its own, which a later write may give a key.
     """
-    live = store.where(F.col("deleted_at").isNull()).select(*COLUMNS[:-1], F.col("seq"), F.col("created_at").alias("at"), F.lit(True).alias("_stored"))
+    given = "metadata" in store.columns or "metadata" in batch.columns
+    with_metadata = lambda df: df if not given or "metadata" in df.columns else df.withColumn("metadata", F.lit(None).cast("map<string,string>"))
+    store, batch, columns = with_metadata(store), with_metadata(batch), [*COLUMNS, *(["metadata"] if given else [])]
+    live = store.where(F.col("deleted_at").isNull()).select(*columns, F.col("created_at").alias("at"), F.lit(True).alias("_stored"))
     new = normalized(batch).withColumns({"id": F.lit(None).cast("string"), "created_at": F.col("at"), "updated_at": F.col("at"), "deleted_at": F.lit(None).cast("timestamp"), "_stored": F.lit(False)})
     rows = live.unionByName(new.select(*live.columns)).withColumn("_order", F.struct(~F.col("_stored"), "seq"))  # stored rows first, then arrival
     content = Window.partitionBy("scope_type", F.coalesce("scope_id", F.lit("")), "content_hash").orderBy("_order")
@@ -59,7 +74,7 @@ def upsert(store: DataFrame, batch: DataFrame) -> DataFrame:
     earlier = F.last(known, True).over(content.rowsBetween(Window.unboundedPreceding, 0))
     coming = F.first(known, True).over(content.rowsBetween(0, Window.unboundedFollowing))
     rows = rows.withColumns({"_e": earlier, "_c": coming})
-    key = Window.partitionBy("scope_type", F.coalesce("scope_id", F.lit("")), "_e.canonical_key").orderBy("_order").rowsBetween(Window.unboundedPreceding, 0)
+    key = Window.partitionBy("scope_type", F.coalesce("scope_id", F.lit("")), "_e.canonical_key", F.when(F.col("_e").isNull(), F.col("content_hash"))).orderBy("_order").rowsBetween(Window.unboundedPreceding, 0)
     lives = F.last(F.when(F.col("canonical_key").isNotNull(), F.col("content_hash")), True).over(key) == F.col("content_hash")
     rows = rows.withColumn("_lives", F.coalesce(lives & F.col("_e").isNotNull(), F.lit(False)))
     # a row that gets its key later takes its place in the key's versions only then
@@ -72,17 +87,21 @@ def upsert(store: DataFrame, batch: DataFrame) -> DataFrame:
     order, entered = F.col("_order"), F.when(F.col("_at") == F.col("_order"), F.col("at"))
     merged = rows.groupBy("scope_type", "scope_id", "canonical_key", "content_hash", "_version").agg(
         F.min_by("id", order).alias("id"), F.min_by("content", order).alias("content"), F.array_sort(F.collect_list(F.struct(order.alias("o"), "tags"))).alias("_tags"),
+        *([F.collect_list(F.struct(order.alias("o"), "metadata")).alias("_metadata")] if given else []),
         F.max_by("importance", F.when(F.col("importance").isNotNull(), order)).alias("importance"), F.max_by("captured", F.when(F.col("captured").isNotNull(), order)).alias("captured"),
         F.max_by("source_agent", order).alias("source_agent"), F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"), F.min(entered).alias("_entered"),
         F.max_by("expires_at", F.when(F.col("expires_at").isNotNull(), order)).alias("expires_at"), F.min("seq").alias("_first"), F.max("seq").alias("seq"),
     )
-    later = Window.partitionBy(*scope).orderBy("_version")
+    later = Window.partitionBy(*scope, F.when(F.col("canonical_key").isNull(), F.col("content_hash"))).orderBy("_version")  # rows without a key are no group
     merged = merged.withColumns({
         "tags": F.slice(F.array_distinct(F.flatten(F.transform("_tags", lambda x: x["tags"]))), 1, 64), "importance": F.coalesce("importance", F.lit(0.5)),
         "id": F.coalesce("id", _row_id()), "deleted_at": F.when(F.col("canonical_key").isNotNull(), F.lead("_entered").over(later)),
     })
-    dead = store.where(F.col("deleted_at").isNotNull()).select(*COLUMNS)
-    return merged.select(*COLUMNS).unionByName(dead)
+    if given:  # maps have no order, so the array is put in order by the writes alone
+        in_order = F.array_sort("_metadata", lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0))
+        merged = merged.withColumn("metadata", merged_metadata(F.transform(in_order, lambda x: x["metadata"])))
+    dead = store.where(F.col("deleted_at").isNotNull()).select(*columns)
+    return merged.select(*columns).unionByName(dead)
 
 
 def drop_replays(batch: DataFrame, store: DataFrame, keys: DataFrame) -> DataFrame:

@@ -245,6 +245,15 @@ def test_import_of_conversations(spark):
     assert jobs.summary(later.report).first()["created"] == 1 and sum("transcript" in r["tags"] for r in live) == 1 and any("another branch" in r["content"] for r in live)
 
 
+def test_metadata_is_merged(spark):
+    rows = [(*write(1, "one"), {"a": "1", "b": "1"}), (*write(2, "one"), None), (*write(3, "one"), {"b": "2", "c": "3"}), (*write(4, "two"), None)]
+    batch = spark.createDataFrame(rows, BATCH + ", metadata map<string,string>")
+    first = ingest.upsert(spark.createDataFrame([], STORE), batch)
+    assert {r["content"]: r["metadata"] for r in first.collect()} == {"one": {"a": "1", "b": "2", "c": "3"}, "two": None}
+    second = ingest.upsert(first, spark.createDataFrame([write(5, "one", ["t"])], BATCH))
+    assert second.where(ingest.metadata_is("c", "3")).first()["tags"] == ["t"] and second.count() == 2
+
+
 def test_touched_rows(spark):
     store = stored(spark, write(1, "one"), write(2, "two"))
     one = store.where("content = 'one'").select("id")

@@ -60,7 +60,7 @@ def combined(semantic: Column, lexical: Column, importance: Column, recency: Col
     return unit(base + boost(scope_type))
 
 
-def noisy(scope_type: Column, content: Column, tags: Column, captured: Column, key: Column) -> Column:
+def noisy(scope_type: Column, tags: Column, captured: Column, key: Column) -> Column:
     """Global rows that look like captured dialogue or imports, and are no preferences."""
     lowered = lower_tags(tags)
     has = lambda names: F.arrays_overlap(lowered, F.array(*map(F.lit, names)))

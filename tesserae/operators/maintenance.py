@@ -7,11 +7,17 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.functions.text import lower_tags
+from tesserae.functions.text import lower_tags, snippet
 from tesserae.plans.scope import SCOPE_TYPES, active
 
 EXPIRED_GRACE_DAYS, CAPTURED_GRACE_DAYS = 7, 45
-RECENT_HOURS, AUDIT_LIMIT = 48, 250
+RECENT_HOURS, AUDIT_LIMIT, SAMPLES, HISTORY = 48, 250, 5, 120
+#: Why a row has its class.
+REASONS = {
+    "sensitive": "explicit sensitive tag", "currentness_sensitive": "explicit currentness-sensitive marker", "transcript_provenance": "transcript or import provenance marker",
+    "durable_global_preference": "global canonical, preference, or synthesis row", "durable_project_memory": "project canonical, convention, recommendation, or synthesis row",
+    "ephemeral_noise": "captured/import session residue without durable marker", "unclassified": "no durable or provenance marker matched",
+}
 #: Tags that make global and project rows durable.
 GLOBAL_TAGS = ("canonical", "user-preference", "writing-preference", "preference", "style")
 PROJECT_TAGS = ("repo-fact", "project-convention", "user-decision", "recommendation", "verification", "implemented", "automation", "installer", "architecture", "design")
@@ -107,9 +113,24 @@ def audit_rows(memories: DataFrame, at: datetime, limit: int | None = AUDIT_LIMI
     return recent.unionByName(synthesis).dropDuplicates(["id"])
 
 
-def audit(memories: DataFrame, at: datetime, limit: int | None = AUDIT_LIMIT) -> DataFrame:
-    """Rows of every durability class among the audited rows."""
-    return durability(audit_rows(memories, at, limit)).groupBy("class").agg(F.count(F.lit(1)).alias("rows"))
+def audit(memories: DataFrame, at: datetime, limit: int | None = AUDIT_LIMIT, samples: int = SAMPLES) -> DataFrame:
+    """Every durability class with its reason, its number of audited rows, whether it is left alone, and its newest samples.
+
+    samples: array of struct(id, scope_type, scope_id, created_at, updated_at, tags, snippet), of samples rows at most.
+    """
+    rows = durability(audit_rows(memories, at, limit))
+    newest = Window.partitionBy("class").orderBy(F.desc("created_at"), F.desc("id"))
+    sample = F.struct(F.col("_r").alias("place"), "id", "scope_type", "scope_id", "created_at", "updated_at", "tags", snippet(F.col("content")).alias("snippet"))
+    ranked = rows.withColumn("_r", F.row_number().over(newest))  # at most twice limit rows
+    found = ranked.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(F.col("_r") <= samples, sample))).alias("found"))
+    kinds = memories.sparkSession.createDataFrame([(k, why, not k.startswith("durable")) for k, why in REASONS.items()], "class string, reason string, ignored boolean")
+    whole = F.broadcast(kinds).join(found, "class", "left")
+    return whole.select("class", "reason", "ignored", F.coalesce("n", F.lit(0)).alias("rows"), F.coalesce("found", F.array().cast(found.schema["found"].dataType)).alias("samples"))
+
+
+def kept_history(snapshots: DataFrame, most: int = HISTORY) -> DataFrame:
+    """The newest snapshots of a job's history, as many as are kept."""
+    return snapshots.orderBy(F.desc("at")).limit(most)
 
 
 def growth(current: Column, baseline: Column) -> Column:

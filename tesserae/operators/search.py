@@ -59,7 +59,7 @@ def ranked(candidates: DataFrame, now: datetime, embeddings: bool, min_score: fl
     """Scores and order of candidates with bm25 and semantic: score, noisy, backfill, rank (1 is best)."""
     lexical_score, semantic = S.lexical(F.col("bm25")), F.coalesce(F.col("semantic"), F.lit(0.0))
     base = S.combined(semantic, lexical_score, S.importance(F.col("importance")), S.recency(F.col("updated_at"), now), F.col("scope_type"), embeddings)
-    noisy = S.noisy(F.col("scope_type"), F.col("content"), F.col("tags"), F.col("captured"), F.col("canonical_key"))
+    noisy = S.noisy(F.col("scope_type"), F.col("tags"), F.col("captured"), F.col("canonical_key"))
     rows = candidates.withColumn("_noisy", noisy).withColumn("_lexical", lexical_score)
     rows = rows.withColumn("score", S.unit(base - S.penalty(F.col("_noisy"), F.col("_lexical"))))
     rows = rows.withColumn("backfill", F.col("_noisy") & (F.col("_lexical") <= 0)).where(F.col("score") >= max(0.0, min(1.0, min_score)))

@@ -137,7 +137,7 @@ def chunk_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(over_memories(f"SELECT id, {NOISY_SQL} AS noisy FROM memories"))
 def noise_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    noisy = S.noisy(F.col("scope_type"), F.col("content"), F.col("tags"), F.col("captured"), F.col("canonical_key"))
+    noisy = S.noisy(F.col("scope_type"), F.col("tags"), F.col("captured"), F.col("canonical_key"))
     return memories(spark, sf_dir).select("id", noisy.alias("noisy"))
 
 

@@ -148,6 +148,10 @@ def test_durability_and_health(spark):
     ], HEALTH)
     got = {r["class"]: r["rows"] for r in maintenance.audit(rows, NOW).collect()}
     assert got == {"sensitive": 1, "currentness_sensitive": 1, "transcript_provenance": 1, "durable_global_preference": 1, "durable_project_memory": 1, "ephemeral_noise": 1, "unclassified": 1}
+    of = {r["class"]: r for r in maintenance.audit(rows.where("id <> 'g'"), NOW, samples=1).collect()}
+    assert [x["id"] for x in of["sensitive"]["samples"]] == ["a"] and of["sensitive"]["reason"] == "explicit sensitive tag" and of["sensitive"]["ignored"]
+    assert (of["unclassified"]["rows"], of["unclassified"]["samples"], of["durable_project_memory"]["ignored"]) == (0, [], False)
+    assert [r["at"] for r in maintenance.kept_history(spark.createDataFrame([(k,) for k in range(9)], "at int"), 2).collect()] == [8, 7]
     stats = maintenance.health(rows, NOW).first()
     assert (stats["total"], stats["active"], stats["soft_deleted"], stats["embedding_rows"], stats["avg_embedding_bytes"]) == (9, 8, 1, 0, 0)
     empty = maintenance.health(rows.limit(0), NOW).first()

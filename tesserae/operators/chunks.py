@@ -65,3 +65,28 @@ def stale(parents: DataFrame, chunks: DataFrame, wanted: str) -> DataFrame:
     same = (F.col("versions") == 1) & (F.col("hashes") == 1) & (F.col("version") == wanted) & (F.col("parent_hash") == F.col("content_hash"))
     known = state(chunks).withColumnRenamed("parent_id", "id")
     return parents.join(known, "id", "left").where(~F.coalesce(same, F.lit(False))).select(*parents.columns)
+
+
+def rebuilt(parents: DataFrame, chunks: DataFrame, chunk_bytes: int = CHUNK_BYTES, overlap_bytes: int = OVERLAP_BYTES, min_bytes: int = MIN_PARENT_BYTES) -> DataFrame:
+    """The chunk table (parent_id, chunk_index, start_byte, end_byte, content, version, parent_hash) after a run.
+
+    parents(id, content, content_hash): chunks of those over min_bytes that are stale are made anew, all others stay, and so do those of
+    parents that are not among them.
+    """
+    wanted = version(chunk_bytes, overlap_bytes)
+    old = stale(parents.where(F.octet_length("content") > min_bytes), chunks, wanted)
+    columns = ["parent_id", "chunk_index", "start_byte", "end_byte", "content", "version", "parent_hash"]
+    new = split(old, "id", "content", chunk_bytes, overlap_bytes, min_bytes).join(old.select(F.col("id").alias("parent_id"), F.col("content_hash").alias("parent_hash")), "parent_id")
+    stays = chunks.join(old.select(F.col("id").alias("parent_id")), "parent_id", "left_anti")
+    return stays.select(columns).unionByName(new.withColumn("version", F.lit(wanted)).select(columns))
+
+
+def estimate(parents: DataFrame, chunks: DataFrame, chunk_bytes: int = CHUNK_BYTES, overlap_bytes: int = OVERLAP_BYTES, min_bytes: int = MIN_PARENT_BYTES) -> DataFrame:
+    """One row on a run to come: parents, those unchanged, those to rebuild with their chunks and bytes, and the largest parent."""
+    long = parents.where(F.octet_length("content") > min_bytes)
+    old = stale(long, chunks, version(chunk_bytes, overlap_bytes))
+    made = split(old, "id", "content", chunk_bytes, overlap_bytes, min_bytes).agg(F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("chunk_bytes"))
+    whole = long.agg(F.count(F.lit(1)).alias("parents"), F.max_by("id", F.struct(F.octet_length("content"), F.col("id"))).alias("largest"), F.max(F.octet_length("content")).alias("largest_bytes"))
+    again = old.agg(F.count(F.lit(1)).alias("rebuild"))
+    out = whole.crossJoin(F.broadcast(again)).crossJoin(F.broadcast(made))  # one row each
+    return out.select("parents", (F.col("parents") - F.col("rebuild")).alias("unchanged"), "rebuild", "chunks", "chunk_bytes", "largest", "largest_bytes")

@@ -150,6 +150,16 @@ def repaired(store: DataFrame) -> DataFrame:
     from tesserae.functions.text import resolved_key
 
     keyed = store.withColumn("canonical_key", F.coalesce("canonical_key", resolved_key(F.col("content"), F.col("tags"))))
-    order = Window.partitionBy("scope_type", F.coalesce("scope_id", F.lit("")), "canonical_key", F.col("deleted_at").isNull()).orderBy(F.desc("updated_at"), F.desc("created_at"), F.desc("id"))
+    order = Window.partitionBy("scope_type", F.coalesce("scope_id", F.lit("")), "canonical_key", F.col("deleted_at").isNull(), F.when(F.col("canonical_key").isNull(), F.col("id"))).orderBy(F.desc("updated_at"), F.desc("created_at"), F.desc("id"))
     extra = F.col("canonical_key").isNotNull() & F.col("deleted_at").isNull() & (F.row_number().over(order) > 1)
     return keyed.withColumn("_x", extra).withColumn("deleted_at", F.when(F.col("_x"), F.col("updated_at")).otherwise(F.col("deleted_at"))).drop("_x")
+
+
+def repaired_bindings(keys: DataFrame, store: DataFrame) -> DataFrame:
+    """keys(key, memory_id, ...) whose deleted targets have a canonical key point to the newest live row of that scope and key, if there is one."""
+    scope = ["scope_type", F.coalesce("scope_id", F.lit("")).alias("_scope"), "canonical_key"]
+    keyed = store.where(F.col("canonical_key").isNotNull())
+    winner = keyed.where(F.col("deleted_at").isNull()).groupBy(*scope).agg(F.max_by("id", F.struct("updated_at", "created_at", "id")).alias("_winner"))
+    stale = keyed.where(F.col("deleted_at").isNotNull()).select(F.col("id").alias("memory_id"), *scope)
+    moved = stale.join(winner, ["scope_type", "_scope", "canonical_key"]).select("memory_id", "_winner")
+    return keys.join(moved, "memory_id", "left").withColumn("memory_id", F.coalesce("_winner", "memory_id")).select(keys.columns)

@@ -175,3 +175,12 @@ def missing_embeddings(memories: DataFrame, max_chars: int | None = None) -> Dat
     rows = memories.where(F.col("deleted_at").isNull() & F.col("embedding").isNull())
     rows = rows if max_chars is None else rows.where(F.length("content") <= max_chars)
     return rows.select("id", F.length("content").cast("long").alias("content_chars"))
+
+
+def in_order(rows: DataFrame, order: str, limit: int, size: Column | None = None) -> DataFrame:
+    """The first rows for a maintenance job: oldest, newest, largest or smallest."""
+    size = F.length("content") if size is None else size
+    orders = {
+        "oldest": ["created_at", "id"], "newest": [F.desc("created_at"), "id"], "largest": [size.desc(), "created_at", "id"], "smallest": [size.asc(), "created_at", "id"],
+    }
+    return rows.orderBy(*orders[order]).limit(limit)

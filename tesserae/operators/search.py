@@ -197,6 +197,15 @@ def context(memories: DataFrame, query: str, now: datetime, project_path: str |
     return Context(items, summary(items.withColumn("rank", F.col("place"))), used, past)
 
 
+def prompt(found: Context) -> DataFrame:
+    """One row: the context as text for a prompt."""
+    line = F.concat(F.col("place").cast("string"), F.lit(". ["), F.col("scope_type"), F.lit("] "), F.col("content"))
+    items = found.items.agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("l"))  # at most 50
+    listed = F.when(F.size("l") == 0, F.lit("(none)")).otherwise(F.array_join(F.transform("l", lambda x: x["line"]), "\n"))
+    both = found.summary.crossJoin(F.broadcast(items))  # one row each
+    return both.select(F.concat(F.lit("[Memory Context Summary]\n"), F.col("summary"), F.lit("\n\n[Retrieved Memory Items]\n"), listed).alias("prompt"))
+
+
 def summary(ranked: DataFrame, items: int = 8, width: int = 140, content: str = "content") -> DataFrame:
     """One row: numbered one-line summaries of the first items."""
     flat = trim(F.regexp_replace(content, r"(?U)\s+", " "))

@@ -34,6 +34,12 @@ def read(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFr
     return lines.where(trim(F.col("line")) != "")
 
 
+def session_id(file: Column) -> Column:
+    """The id of a session whose log names none: the file's base name, cut to 120 characters."""
+    base = F.regexp_replace(F.substring_index(file, "/", -1), r"(?<=.)\.[^.]*$", "")
+    return F.substring(F.concat(F.lit("import-"), base), 1, 120)
+
+
 def newest_files(spark: SparkSession, path: str) -> DataFrame:
     """(file, modified, bytes) below path, newest first."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(path)

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.operators import facts, ingest, jobs, maintenance, tools, trees
+from tesserae.operators import chunks, facts, ingest, jobs, maintenance, tools, trees
 from tesserae.plans.scope import Scope
 from tesserae.sources import embeddings, exports, logs
 from tesserae.streaming import turns
@@ -258,6 +258,27 @@ def test_metadata_is_merged(spark):
     assert second.where(ingest.metadata_is("c", "3")).first()["tags"] == ["t"] and second.count() == 2
 
 
+def test_chunk_runs(spark):
+    parents = spark.createDataFrame([("a", "x" * 50, "h1"), ("b", "y" * 30, "h2"), ("c", "short", "h3")], "id string, content string, content_hash string")
+    none = spark.createDataFrame([], "parent_id string, chunk_index int, start_byte int, end_byte int, content string, version string, parent_hash string")
+    plan = chunks.estimate(parents, none, 20, 5, 10).first()
+    assert plan.asDict() == {"parents": 2, "unchanged": 0, "rebuild": 2, "chunks": 5, "chunk_bytes": 95, "largest": "a", "largest_bytes": 50}
+    made = chunks.rebuilt(parents, none, 20, 5, 10)
+    again = chunks.rebuilt(parents.withColumn("content_hash", F.when(F.col("id") == "b", "new").otherwise(F.col("content_hash"))), made, 20, 5, 10).collect()
+    assert len(again) == 5 and {r["parent_hash"] for r in again if r["parent_id"] == "b"} == {"new"} and chunks.estimate(parents, made, 20, 5, 10).first()["unchanged"] == 2
+
+
+def test_bindings_orders_and_names(spark):
+    store = stored(spark, write(1, "Favorite x: a", ["canonical"]), write(2, "Favorite x: b", ["canonical"]), write(3, "plain"))
+    ids = {r["content"]: r["id"] for r in store.collect()}
+    keys = spark.createDataFrame([("k1", ids["Favorite x: a"], 1), ("k2", ids["plain"], 2), ("k3", "gone", 3)], "key string, memory_id string, seq long")
+    assert {r["key"]: r["memory_id"] for r in ingest.repaired_bindings(keys, store).collect()} == {"k1": ids["Favorite x: b"], "k2": ids["plain"], "k3": "gone"}
+    first = lambda order: maintenance.in_order(store, order, 1).first()["content"]
+    assert (first("oldest"), first("newest"), first("smallest")) == ("Favorite x: a", "plain", "plain")
+    names = spark.createDataFrame([("/a/b/log.1.jsonl",), ("x" * 200,)], "f string").select(logs.session_id(F.col("f"))).collect()
+    assert [r[0] for r in names] == ["import-log.1", "import-" + "x" * 113]
+
+
 def test_touched_rows(spark):
     store = stored(spark, write(1, "one"), write(2, "two"))
     one = store.where("content = 'one'").select("id")

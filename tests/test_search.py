@@ -123,6 +123,7 @@ def test_context_and_responses(spark):
     asked = search.context(rows, "what was my favorite editor previously", NOW, session_id="s")
     assert [r["id"] for r in asked.items.orderBy("place").collect()] == ["p"] and asked.summary.first()["summary"] == "1. [session] Favorite editor: blue"
     assert [r["scope_type"] for r in asked.scopes.collect()] == ["session"] and [r["id"] for r in asked.timeline.collect()] == ["p", "g", "d"]
+    assert search.prompt(asked).first()["prompt"] == "[Memory Context Summary]\n1. [session] Favorite editor: blue\n\n[Retrieved Memory Items]\n1. [session] Favorite editor: blue"
     plain = search.context(rows, "editor note", NOW, session_id="s", token_budget=1, max_items=99)
     assert {r["id"] for r in plain.items.collect()} == {"p", "g"} and plain.timeline is None  # at least 200 tokens; the long note does not fit
     assert search.context(rows.limit(0), "editor", NOW).summary.first()["summary"] == "No relevant memory found."

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import bpe, mixing, orc_tokens, pii, quality, sharding, simhash, tiff, urls, warc
+from tesserae.llm import bpe, lexrank, mixing, orc_tokens, pii, quality, sharding, simhash, tiff, urls, warc
 from tesserae.llm.common import scratch, table, trusted_ids, vocabulary
 
 
@@ -61,6 +61,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op12_lexrank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexrank.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_pii": op2_pii,
@@ -72,7 +76,20 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_orc": op9_orc,
     "op10_bpe": op10_bpe,
+    "op12_lexrank": op12_lexrank,
 }
 
-#: Their rows depend on hashes, models or files that SQL can't express; tests/llm holds the brute-force versions.
-ORACLE_SQL: dict = {}
+_TERMS_SQL = rf"unnest(regexp_extract_all(translate(text, '{lexrank.UPPER}', '{lexrank.LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term"
+
+#: The others' rows depend on hashes, models or files that SQL can't express; tests/llm holds the brute-force versions.
+ORACLE_SQL = {
+    "op12_lexrank": f"""WITH postings AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, {_TERMS_SQL} FROM documents) GROUP BY 1, 2),
+  lengths AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM postings GROUP BY 1),
+  corpus AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM lengths),
+  weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM postings, corpus GROUP BY term, docs),
+  asked AS (SELECT item_id, term, count(*) AS q FROM (SELECT item_id, {_TERMS_SQL} FROM benchmark) GROUP BY 1, 2),
+  scored AS (SELECT item_id, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + ((25 * n * docs) // total)))))::BIGINT AS score
+    FROM asked JOIN weights USING (term) JOIN postings USING (term) JOIN lengths USING (doc_id), corpus GROUP BY 1, 2),
+  ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scored WHERE score > 0)
+  SELECT * FROM ranked WHERE rank <= 20""",
+}

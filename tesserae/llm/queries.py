@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import bpe, lexrank, mixing, orc_tokens, pii, quality, sharding, simhash, tiff, urls, warc
+from tesserae.llm import bpe, lexrank, mixing, negatives, orc_tokens, pii, quality, sharding, simhash, tiff, urls, warc
 from tesserae.llm.common import scratch, table, trusted_ids, vocabulary
 
 
@@ -65,6 +65,12 @@ def op12_lexrank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexrank.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(negatives.prepared(moved), F.col("id") % 50 == 0)
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_pii": op2_pii,
@@ -77,6 +83,7 @@ QUERIES = {
     "op9_orc": op9_orc,
     "op10_bpe": op10_bpe,
     "op12_lexrank": op12_lexrank,
+    "op13_negatives": op13_negatives,
 }
 
 _TERMS_SQL = rf"unnest(regexp_extract_all(translate(text, '{lexrank.UPPER}', '{lexrank.LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import bpe, lexrank, mixing, negatives, orc_tokens, pii, quality, sharding, simhash, tiff, urls, warc
+from tesserae.llm import bpe, byte_bpe, lexrank, mixing, negatives, orc_tokens, pii, quality, sharding, simhash, tiff, urls, warc
 from tesserae.llm.common import scratch, table, trusted_ids, vocabulary
 
 
@@ -61,6 +61,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
+
+
 def op12_lexrank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexrank.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -82,6 +86,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_orc": op9_orc,
     "op10_bpe": op10_bpe,
+    "op11_byte_bpe": op11_byte_bpe,
     "op12_lexrank": op12_lexrank,
     "op13_negatives": op13_negatives,
 }

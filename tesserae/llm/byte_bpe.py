@@ -34,11 +34,11 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import ROWS, hashed_sample, let, text_of
 
 #: Words whose encodings are kept as a literal, of WORD_BYTES bytes at most, and the texts in which they are counted.
-WORDS, WORD_BYTES, SAMPLE = 1 << 17, 64, 10_000
+WORDS, WORD_BYTES, SAMPLE = 1 << 16, 64, 10_000
 #: Bytes from which a word is merged by a queue; rare words that a task remembers.
 LONG, REMEMBERED = 96, 400_000
 NO_RANK = 1 << 60
-BUCKETS = 1 << 16
+BUCKETS = 1 << 15
 #: The first token's letter; the mark at a word's ends; what stands for no merge, above all letters.
 FIRST, MARK, NONE = 0x100, chr(1), chr(0x10FFFF)
 

@@ -63,11 +63,31 @@ def upsert(store: DataFrame, batch: DataFrame) -> DataFrame:
     stays active, and the others are soft-deleted at the time of the write that replaced them. A write without a key whose
     content has been replaced makes a row of its own, which a later write may give a key.
     """
-    given = "metadata" in store.columns or "metadata" in batch.columns
+    store, ready, columns = _aligned(store, normalized(batch))
+    _, merged = versions(store.where(F.col("deleted_at").isNull()), ready, columns)
+    return merged.select(*columns).unionByName(store.where(F.col("deleted_at").isNotNull()).select(*columns))
+
+
+def _aligned(store: DataFrame, ready: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Store and normalised batch, both with metadata if one has them, and the store's columns."""
+    given = "metadata" in store.columns or "metadata" in ready.columns
     with_metadata = lambda df: df if not given or "metadata" in df.columns else df.withColumn("metadata", F.lit(None).cast("map<string,string>"))
-    store, batch, columns = with_metadata(store), with_metadata(batch), [*COLUMNS, *(["metadata"] if given else [])]
-    live = store.where(F.col("deleted_at").isNull()).select(*columns, F.col("created_at").alias("at"), F.lit(True).alias("_stored"))
-    new = normalized(batch).withColumns({"id": F.lit(None).cast("string"), "created_at": F.col("at"), "updated_at": F.col("at"), "deleted_at": F.lit(None).cast("timestamp"), "_stored": F.lit(False)})
+    return with_metadata(store), with_metadata(ready), [*COLUMNS, *(["metadata"] if given else [])]
+
+
+#: What names one row of the result.
+GROUP = ("scope_type", "scope_id", "canonical_key", "content_hash", "_version")
+
+
+def versions(live: DataFrame, ready: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(writes, merged): stored and new writes with the GROUP they fall in, and a row for each group.
+
+    merged has columns, and of each group _stored (it holds a stored row), _begun and _entry (the writes that made it and that made it
+    its key's version) and _previous (the id of the version before).
+    """
+    given = "metadata" in columns
+    live = live.select(*columns, F.col("created_at").alias("at"), F.lit(True).alias("_stored"))
+    new = ready.withColumns({"id": F.lit(None).cast("string"), "created_at": F.col("at"), "updated_at": F.col("at"), "deleted_at": F.lit(None).cast("timestamp"), "_stored": F.lit(False)})
     rows = live.unionByName(new.select(*live.columns)).withColumn("_order", F.struct(~F.col("_stored"), "seq"))  # stored rows first, then arrival
     content = Window.partitionBy("scope_type", F.coalesce("scope_id", F.lit("")), "content_hash").orderBy("_order")
     known = F.when(F.col("canonical_key").isNotNull(), F.struct("canonical_key", "_order"))
@@ -91,17 +111,18 @@ def upsert(store: DataFrame, batch: DataFrame) -> DataFrame:
         F.max_by("importance", F.when(F.col("importance").isNotNull(), order)).alias("importance"), F.max_by("captured", F.when(F.col("captured").isNotNull(), order)).alias("captured"),
         F.max_by("source_agent", order).alias("source_agent"), F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"), F.min(entered).alias("_entered"),
         F.max_by("expires_at", F.when(F.col("expires_at").isNotNull(), order)).alias("expires_at"), F.min("seq").alias("_first"), F.max("seq").alias("seq"),
+        F.bool_or("_stored").alias("_stored"), F.min(order).alias("_begun"), F.min("_at").alias("_entry"),
     )
     later = Window.partitionBy(*scope, F.when(F.col("canonical_key").isNull(), F.col("content_hash"))).orderBy("_version")  # rows without a key are no group
     merged = merged.withColumns({
         "tags": F.slice(F.array_distinct(F.flatten(F.transform("_tags", lambda x: x["tags"]))), 1, 64), "importance": F.coalesce("importance", F.lit(0.5)),
         "id": F.coalesce("id", _row_id()), "deleted_at": F.when(F.col("canonical_key").isNotNull(), F.lead("_entered").over(later)),
     })
+    merged = merged.withColumn("_previous", F.when(F.col("canonical_key").isNotNull(), F.lag("id").over(later)))
     if given:  # maps have no order, so the array is put in order by the writes alone
         in_order = F.array_sort("_metadata", lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0))
         merged = merged.withColumn("metadata", merged_metadata(F.transform(in_order, lambda x: x["metadata"])))
-    dead = store.where(F.col("deleted_at").isNotNull()).select(*columns)
-    return merged.select(*columns).unionByName(dead)
+    return rows, merged
 
 
 def drop_replays(batch: DataFrame, store: DataFrame, keys: DataFrame) -> DataFrame:

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from tesserae.functions import scoring as S
 from tesserae.functions import text as X
 from tesserae.functions.redact import redacted
-from tesserae.operators import canonical, chunks, facts, ingest, lexical, maintenance, search, tools, trees
+from tesserae.operators import canonical, chunks, facts, ingest, lexical, maintenance, merge, search, tools, trees
+from tesserae.plans.lineage import shared_dir
 from tesserae.plans.scope import Scope, active, in_scope
 from tesserae.sources import logs
+from tesserae.sources.store import Store
 from tesserae.streaming import turns
 from tesserae.views import ACTIVE_SQL, MEMORIES_SQL, NOW, QUERY, QUERY_VECTOR, memories, table
 
@@ -545,3 +547,41 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return turns.sessions(e).select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+WRITES_SQL = r"""writes AS (SELECT * FROM (SELECT doc_id AS seq, doc_id % 3 AS batch, CASE WHEN doc_id % 2 = 0 THEN 'global' ELSE 'session' END AS scope_type, CASE WHEN doc_id % 2 = 0 THEN '' ELSE 's' || (doc_id % 5) END AS scope,
+    CASE WHEN doc_id % 17 = 0 THEN 'Favorite ' || lang || ' color: ' || (doc_id % 5) ELSE regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') END AS content, CASE WHEN doc_id % 17 = 0 THEN 'favorite_' || lang || '_color' END AS key FROM documents) WHERE content <> ''),
+  placed AS (SELECT *, row_number() OVER same AS nth, lag(content) OVER keyed AS before FROM writes
+    WINDOW same AS (PARTITION BY scope_type, scope, content ORDER BY batch, seq), keyed AS (PARTITION BY scope_type, scope, key ORDER BY batch, seq)),
+  told AS (SELECT *, CASE WHEN key IS NULL THEN nth = 1 ELSE before IS DISTINCT FROM content END AS created, key IS NOT NULL AND before IS DISTINCT FROM content AND before IS NOT NULL AS replaces FROM placed)"""
+
+
+def writes(spark: SparkSession, sf_dir: str, batch: int) -> DataFrame:
+    """Every third document as a write: whole texts, and preferences that replace each other."""
+    d, i, no = table(spark, sf_dir, "documents").where(F.col("doc_id") % 3 == batch), F.col("doc_id"), lambda kind: F.lit(None).cast(kind)
+    preference = i % 17 == 0
+    content = F.when(preference, F.concat(F.lit("Favorite "), "lang", F.lit(" color: "), (i % 5).cast("string"))).otherwise(F.col("text"))
+    return d.select(
+        i.alias("seq"), F.lit(NOW).cast("timestamp").alias("at"), F.concat(F.lit("doc-"), i.cast("string")).alias("idempotency_key"), F.when(i % 2 == 0, "global").otherwise("session").alias("scope_type"), F.when(i % 2 == 1, F.concat(F.lit("s"), (i % 5).cast("string"))).alias("scope_id"),
+        content.alias("content"), F.when(preference, F.array(F.lit("canonical"))).otherwise(F.array().cast("array<string>")).alias("tags"), no("double").alias("importance"), no("int").alias("ttl_days"), no("string").alias("key"), F.lit(False).alias("captured"), no("string").alias("source_agent"),
+    )
+
+
+@query(f"WITH {WRITES_SQL} SELECT seq, created, key AS canonical_key, replaces::INT AS replaced, false AS replay FROM told WHERE batch = 2")
+def upsert_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of a third batch of writes onto a store of two."""
+    store = ingest.upsert(ingest.upsert(spark.createDataFrame([], STORE), writes(spark, sf_dir, 0)), writes(spark, sf_dir, 1))
+    done = merge.write(store, writes(spark, sf_dir, 2))
+    return done.outcome.select("seq", "created", "canonical_key", F.size("replaced_ids").alias("replaced"), "replay")
+
+
+@query(f"WITH {WRITES_SQL} SELECT scope_type, count(*) FILTER (created) - count(*) FILTER (replaces) AS live, count(*) FILTER (replaces) AS deleted, 3 AS version FROM told GROUP BY 1")
+def store_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches, and the second once more, through a store in versions."""
+    import uuid
+
+    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    for k in (0, 1, 1, 2):
+        store.write(writes(spark, sf_dir, k), "documents", k)
+    now = store.snapshot()
+    return store.memories(now).groupBy("scope_type").agg(F.count_if(F.col("deleted_at").isNull()).alias("live"), F.count_if(F.col("deleted_at").isNotNull()).alias("deleted"), F.lit(now.version).alias("version"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import scoring as S
 from tesserae.functions import text as X
 from tesserae.functions.redact import redacted
-from tesserae.operators import canonical, chunks, facts, ingest, lexical, maintenance, merge, search, tools, trees
+from tesserae.operators import canonical, chunks, facts, ingest, jobs, lexical, maintenance, merge, search, tools, trees
 from tesserae.plans.lineage import shared_dir
 from tesserae.plans.scope import Scope, active, in_scope
 from tesserae.sources import logs
@@ -585,3 +585,24 @@ def store_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
         store.write(writes(spark, sf_dir, k), "documents", k)
     now = store.snapshot()
     return store.memories(now).groupBy("scope_type").agg(F.count_if(F.col("deleted_at").isNull()).alias("live"), F.count_if(F.col("deleted_at").isNotNull()).alias("deleted"), F.lit(now.version).alias("version"))
+
+
+@query(r"""WITH said AS (SELECT conv_id, turn, '[' || strftime(make_timestamp((turn * 1000000)::BIGINT), '%Y-%m-%dT%H:%M:%S') || '.000Z] ' || CASE role WHEN 'user' THEN 'User' ELSE 'Assistant' END || ': ' || text AS line FROM conversations WHERE role IN ('user', 'assistant') AND text <> ''),
+  whole AS (SELECT conv_id, 'Imported ChatGPT conversation transcript' || chr(10) || 'Conversation ID: ' || conv_id || chr(10) || 'Title: (untitled)' || chr(10) || 'Model: unknown' || chr(10) || 'Archived: false' || chr(10) || 'Source shard: ' || chr(10) || 'Source export zip: ' || chr(10) || chr(10)
+    || string_agg(line, chr(10) ORDER BY turn) AS transcript FROM said GROUP BY 1),
+  parts AS (SELECT conv_id, unnest(p) AS fact, generate_subscripts(p, 1) AS pos FROM (SELECT conv_id, list_filter(list_transform(string_split_regex(regexp_replace('HINT' || chr(10) || transcript, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(x)), lambda x: length(x) BETWEEN 20 AND 600) AS p FROM whole)),
+  firsts AS (SELECT *, row_number() OVER (PARTITION BY conv_id, lower(fact) ORDER BY pos) AS r FROM parts),
+  scored AS (SELECT conv_id, pos, fact, least(length(fact) / 120.0, 1.25) + CASE WHEN regexp_matches(fact, '(?i)\b(prefer|always|never|must|should|avoid|remember|deadline|owner|path|repo|project|session)\b') THEN 1.0 ELSE 0.0 END
+    + CASE WHEN regexp_matches(fact, '[0-9]') THEN 0.25 ELSE 0.0 END + CASE WHEN regexp_matches(fact, '[:;]') THEN 0.15 ELSE 0.0 END - CASE WHEN length(fact) < 30 THEN 0.3 ELSE 0.0 END AS score FROM firsts WHERE r = 1),
+  best AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, pos) AS rank FROM scored)
+  SELECT 'session' AS scope_type, sha256(regexp_replace(transcript, '[\s\p{Z}]+$', '')) AS content_hash, 3650 AS days, 1 AS conversations FROM whole
+  UNION ALL SELECT 'project', sha256(fact), NULL, count(DISTINCT conv_id)::INT FROM best WHERE rank <= 20 GROUP BY fact""".replace("HINT", jobs.HINT.format(jobs.CONVERSATION)))
+def import_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations imported into an empty store: transcripts and the facts of the project, with the conversations they come from."""
+    c, conv = table(spark, sf_dir, "conversations"), F.col("conv_id").cast("string").alias("conv")
+    at, first = F.lpad(F.col("turn").cast("string"), 6, "0"), F.min("turn").over(Window.partitionBy("conv_id"))
+    nodes = c.select(conv, at.alias("id"), F.when(F.col("turn") > first, F.lpad((F.col("turn") - 1).cast("string"), 6, "0")).alias("parent"), "role", F.col("turn").cast("double").alias("time"), "text")
+    convs = nodes.groupBy("conv").agg(F.max("id").alias("current")).withColumn("key", F.concat(F.lit("conversation:"), "conv"))
+    done = jobs.import_conversations(spark.createDataFrame([], STORE), spark.createDataFrame([], "key string, memory_id string, seq long"), convs, nodes, NOW, project_path="/imported")
+    tags = F.size(F.filter("tags", lambda t: t.startswith(jobs.CONV_TAG)))
+    return done.store.select("scope_type", "content_hash", F.datediff("expires_at", "created_at").alias("days"), tags.alias("conversations"))

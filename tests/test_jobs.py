@@ -217,36 +217,85 @@ def test_tools_of_format_b(spark):
 
 
 def test_import_of_sessions(spark):
+    from tesserae.plans.scope import project_id
+
     said = [("s", k, f"t{k}", "user" if k % 2 else "assistant", f"We must always remember the deadline number {k}.") for k in range(5)] + [("t", 0, "t0", "user", "Never touch the main repo, owner is Kim.")]
     messages = spark.createDataFrame(said, "session string, pos int, at string, role string, text string")
     assisted = spark.createDataFrame([("t", True)], "session string, assisted boolean")
     empty = spark.createDataFrame([], STORE)
-    done = jobs.import_sessions(empty, messages, NOW, "codex-session", assisted, max_messages=3)
+    done = jobs.import_sessions(empty, messages, NOW, "codex-session", assisted, max_messages=3, project_path="/p")
     report = {r["session"]: r for r in done.report.collect()}
-    assert (report["s"]["messages"], report["s"]["truncated"], report["t"]["capture_skipped"]) == (3, 2, True)
+    assert (report["s"]["messages"], report["s"]["truncated"], report["t"]["capture_skipped"], report["s"]["created"]) == (3, 2, True, True)
     rows = done.store.collect()
     whole = {r["scope_id"]: r for r in rows if "transcript" in r["tags"]}
-    assert whole["s"]["content"].startswith("Imported session transcript from s\n\n[t2] Assistant: We must") and "tool-assisted" in whole["t"]["tags"] and whole["s"]["expires_at"] == NOW + timedelta(days=30)
+    assert whole["s"]["content"].startswith("Imported Codex session transcript from s\n\n[t2] Assistant: We must") and "tool-assisted" in whole["t"]["tags"] and whole["s"]["expires_at"] == NOW + timedelta(days=30)
+    assert whole["t"]["metadata"] == {"source_agent": "codex-session-import", "source_session_file": "t", "project_path": "/p", "capture_skipped": "true", "capture_skip_reason": "tool_assisted"}
     facts = [r for r in rows if "captured" in r["tags"]]
-    assert facts and {r["scope_id"] for r in facts} == {"s"} and jobs.import_sessions(done.store, messages, NOW, "codex-session", assisted, max_messages=3).store.count() == len(rows)
+    assert {(r["scope_type"], r["scope_id"], r["expires_at"]) for r in facts} == {("project", project_id("/p"), None)} and report["s"]["facts_created"] == len(facts) == 4  # the hint is a fact too
+    again = jobs.import_sessions(done.store, messages, NOW, "codex-session", assisted, max_messages=3, project_path="/p")
+    assert again.store.count() == len(rows) and {r["facts_known"] for r in again.report.collect()} == {0, 4}
+    own = jobs.import_sessions(empty, messages, NOW, "claude-session", capture_scope="session").store.where("captured").collect()
+    assert {r["scope_id"] for r in own} == {"s", "t"} and {r["expires_at"] for r in own} == {NOW + timedelta(days=14)}
+    with pytest.raises(ValueError, match="path"):
+        jobs.import_sessions(empty, messages, NOW, "codex-session")
+
+
+def test_sessions_of_one_number_are_kept_apart(spark, monkeypatch):
+    """Whatever a hash of the key gives, each session has a number of its own."""
+    monkeypatch.setattr(jobs.F, "xxhash64", lambda *_: F.lit(7).cast("long"))
+    said = [(f"s{k}", 0, "t", "user", f"We must always remember the deadline of team {k}.") for k in range(12)]
+    done = jobs.import_sessions(spark.createDataFrame([], STORE), spark.createDataFrame(said, "session string, pos int, at string, role string, text string"), NOW, "codex-session", capture_scope="session")
+    assert done.store.where("captured").where("content like '%deadline of team%'").count() == 12
+    assert {r["facts_created"] for r in done.report.collect()} == {2}
 
 
 def test_import_of_conversations(spark):
-    nodes = [("c", "1", None, "user", 1.0, "The owner of the repo is always Kim."), ("c", "2", "1", "assistant", 2.0, "ok"), ("c", "3", "2", "system", 3.0, "no"), ("c", "4", "1", "assistant", None, "another branch"), ("d", "1", None, "system", None, "only this")]
+    from tesserae.plans.scope import project_id
+
+    nodes = [("c", "1", None, "user", 1.0, "The owner of the repo is always Kim."), ("c", "2", "1", "assistant", 2.0, "ok"), ("c", "3", "2", "system", 3.0, "no"), ("c", "4", "1", "assistant", None, "another branch is what we always prefer"), ("d", "1", None, "system", None, "only this")]
     nodes = spark.createDataFrame(nodes, "conv string, id string, parent string, role string, time double, text string")
     convs = lambda updated: spark.createDataFrame([("c", "A title", 0.5, updated, "2", f"k:{updated}"), ("d", None, None, None, None, "k:d")], "conv string, title string, created double, updated double, current string, key string")
     empty, no_keys = spark.createDataFrame([], STORE), spark.createDataFrame([], "key string, memory_id string, seq long")
-    first = jobs.import_conversations(empty, no_keys, convs(9.0), nodes, NOW)
-    (text,) = [r["content"] for r in first.store.collect() if "transcript" in r["tags"]]
-    assert text == "Imported ChatGPT conversation transcript\nConversation ID: c\nTitle: A title\nModel: unknown\nArchived: false\nSource shard: \nSource export zip: \n\n[1970-01-01T00:00:01.000Z] User: The owner of the repo is always Kim.\n[1970-01-01T00:00:02.000Z] Assistant: ok"
-    assert jobs.summary(first.report).first().asDict() == {"processed": 1, "created": 1, "skipped": 0, "messages": 2}
-    whole = [r for r in first.store.collect() if "transcript" in r["tags"]][0]
-    keys = spark.createDataFrame([("k:9.0", whole["id"], 1)], "key string, memory_id string, seq long")
-    again = jobs.import_conversations(first.store, keys, convs(9.0), nodes, NOW)
-    assert jobs.summary(again.report).first()["skipped"] == 1 and again.store.where("deleted_at is null").count() == first.store.count()
-    later = jobs.import_conversations(first.store, keys, convs(10.0), nodes, NOW, strategy="all")
+    first = jobs.import_conversations(empty, no_keys, convs(9.0), nodes, NOW, project_path="/p")
+    rows = first.store.collect()
+    (whole,) = [r for r in rows if "transcript" in r["tags"]]
+    assert whole["content"] == "Imported ChatGPT conversation transcript\nConversation ID: c\nTitle: A title\nModel: unknown\nArchived: false\nSource shard: \nSource export zip: \n\n[1970-01-01T00:00:01.000Z] User: The owner of the repo is always Kim.\n[1970-01-01T00:00:02.000Z] Assistant: ok"
+    assert whole["expires_at"] == NOW + timedelta(days=3650) and whole["metadata"]["source_conversation_id"] == "c" and whole["metadata"]["branch_strategy"] == "current"
+    facts = [r for r in rows if "captured" in r["tags"]]
+    assert facts and {(r["scope_id"], r["expires_at"], tuple(r["tags"])) for r in facts} == {(project_id("/p"), None, ("import", "chatgpt-export", "captured", "chatgpt-conv:c"))}
+    assert any(r["content"].startswith("Extract durable preferences") and r["content"].endswith("imported ChatGPT conversation.") for r in facts)
+    assert jobs.summary(first.report).first().asDict() == {"processed": 1, "created": 1, "skipped": 0, "messages": 2, "filtered": 0, "n_errors": 0, "errors": []}
+    again = jobs.import_conversations(first.store, first.keys, convs(9.0), nodes, NOW, project_path="/p")
+    assert jobs.summary(again.report).first()["skipped"] == 1 and again.store.where("deleted_at is null").count() == len(rows)
+    other = ingest.upsert(first.store, spark.createDataFrame([(*write(99, "a fact of another conversation", ["import", "chatgpt-export", "captured", "chatgpt-conv:x"])[:3], "project", project_id("/p"), *write(99, "a fact of another conversation", ["import", "chatgpt-export", "captured", "chatgpt-conv:x"])[5:])], BATCH))
+    later = jobs.import_conversations(other, first.keys, convs(10.0), nodes, NOW, strategy="all", project_path="/p")
     live = later.store.where("deleted_at is null").collect()
-    assert jobs.summary(later.report).first()["created"] == 1 and sum("transcript" in r["tags"] for r in live) == 1 and any("another branch" in r["content"] for r in live)
+    assert jobs.summary(later.report).first()["created"] == 1 and sum("transcript" in r["tags"] for r in live) == 1
+    assert any("another branch" in r["content"] for r in live if "captured" in r["tags"]) and any("another conversation" in r["content"] for r in live)
+    assert len({r["id"] for r in later.store.collect()}) == later.store.count()
+
+
+def test_summary_keeps_the_first_errors(spark):
+    report = spark.createDataFrame([("c", 2, True)], "conv string, messages int, created boolean")
+    errors = spark.createDataFrame([(k, f"e{k}") for k in range(150, 0, -1)], "place long, message string")
+    found = jobs.summary(report, 3, errors).first()
+    assert (found["filtered"], found["n_errors"], found["errors"]) == (3, 150, [f"e{k}" for k in range(1, 101)])
+
+
+def test_parents_coverage_and_newest_file(spark):
+    long = "x" * 40
+    store = stored(spark, write(1, long + "1", ["import", "transcript"]), write(2, "short", ["Import", "Transcript"]), write(3, long + "3", ["transcript"]))
+    store = store.withColumn("expires_at", F.lit(None).cast("timestamp"))
+    ids = {r["content"]: r for r in store.collect()}
+    assert [r["content"] for r in jobs.transcript_parents(store, NOW, 10).collect()] == [long + "1"]
+    assert jobs.transcript_parents(store.withColumn("expires_at", F.lit(NOW)), NOW, 1).count() == 0
+    row = ids[long + "1"]
+    made = spark.createDataFrame([(row["id"], "v1", row["content_hash"])], "parent_id string, version string, parent_hash string")
+    assert jobs.coverage(store, made, "v1", NOW, 10).first().asDict() == {"oversized_rows": 1, "chunked_rows": 1}
+    assert jobs.coverage(store, made, "v2", NOW, 10).first().asDict() == {"oversized_rows": 1, "chunked_rows": 0}
+    lines = spark.createDataFrame([("a", NOW, 0, "cwd /p/x"), ("b", NOW + timedelta(hours=1), 0, "cwd /p/x"), ("c", NOW + timedelta(hours=2), 0, "/q"), ("d", NOW - timedelta(days=1), 0, "/p/old")], "session string, modified timestamp, pos int, line string")
+    assert jobs.newest_of_project(lines, "/p/x").first()["session"] == "b"
+    assert jobs.newest_of_project(lines, "/p/old", NOW).count() == 0 and jobs.newest_of_project(lines, "/p/old", NOW - timedelta(days=1) + timedelta(seconds=59)).count() == 1
 
 
 def test_metadata_is_merged(spark):

@@ -3,12 +3,22 @@
 from __future__ import annotations
 
 import re
+import string
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented letters of the supported corpora, and their plain forms.
-ACCENTED, PLAIN = "äçèéêíñóöüáàâåãëìîïòôõùúûý", "aceeeinoouaaaaaeiiiooouuuy"
+
+def _plain(c: str) -> str:
+    """The letter without its accents, by Unicode's decomposition; empty if it is no accented letter of a-z."""
+    first, *marks = unicodedata.normalize("NFD", c)
+    return first if first in string.ascii_lowercase and marks and all(unicodedata.combining(m) for m in marks) else ""
+
+
+#: Lower-case Latin letters with accents, and without.
+ACCENTED = "".join(c for c in map(chr, range(0xC0, 0x2000)) if _plain(c))
+PLAIN = "".join(map(_plain, ACCENTED))
 #: Words that make a sentence a likely fact.
 FACT_WORDS = "prefer|always|never|must|should|avoid|remember|deadline|owner|path|repo|project|session"
 #: Words that ask for the past, and for preferences.

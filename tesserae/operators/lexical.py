@@ -1,7 +1,8 @@
 """Full-text candidates: BM25 over all indexed rows.
 
 Document frequencies, the number of rows and the mean length are one aggregate row; term frequencies are computed beside each
-text. So a query is two scans and no shuffle of texts or postings, and the top candidates come from a bounded top-k.
+text. So a query is one scan of texts and no shuffle of texts or postings, and the top candidates come from a bounded top-k. For
+stores that are searched often, operators.postings keeps an index instead.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.bind import let
 from tesserae.functions.text import folded, query_terms
+from tesserae.plans.lineage import kept
 
 #: Fixed values of the ranking function.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -42,15 +44,8 @@ def _counts(text: Column, terms: list[list[str]]) -> Column:
     return let(hits, lambda found: F.array(F.regexp_count(text, F.lit(f"{TOKEN}+")), *(frequency(found, t) for t in terms)))
 
 
-def scored(rows: DataFrame, query: str, text: str = "content") -> DataFrame:
-    """rows that hold any term of the query, with bm25 (negative; the lower the better).
-
-    rows are all that is indexed: they define document frequencies and mean length, whatever is filtered later.
-    """
-    terms = query_terms(query)
-    if not terms:
-        return rows.withColumn("bm25", F.lit(0.0)).where(F.lit(False))
-    counted = rows.withColumn("_c", let(folded(F.coalesce(F.col(text), F.lit(""))), lambda t: _counts(t, terms)))
+def _bm25(counted: DataFrame, terms: list[list[str]]) -> DataFrame:
+    """Rows of counted, with _c as of _counts, that hold any of the terms, and bm25."""
     of = lambda k: F.get("_c", F.lit(k))
     places = range(1, len(terms) + 1)
     corpus = counted.select("_c").agg(F.count(F.lit(1)).alias("_n"), F.avg(of(0)).alias("_avg"), *(F.count_if(of(k) > 0).alias(f"_df{k}") for k in places))
@@ -61,11 +56,32 @@ def scored(rows: DataFrame, query: str, text: str = "content") -> DataFrame:
         idf = F.log((F.col("_n") - df + 0.5) / (df + 0.5))
         idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
         score = score - idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * of(0) / F.col("_avg")))
-    return hits.withColumn("bm25", score).select(*rows.columns, "bm25")
+    return hits.withColumn("bm25", score)
+
+
+def _counts_of(text: str, terms: list[list[str]]) -> Column:
+    return let(folded(F.coalesce(F.col(text), F.lit(""))), lambda t: _counts(t, terms))
+
+
+def scored(rows: DataFrame, query: str, text: str = "content") -> DataFrame:
+    """rows that hold any term of the query, with bm25 (negative; the lower the better).
+
+    rows are all that is indexed: they define document frequencies and mean length, whatever is filtered later.
+    """
+    terms = query_terms(query)
+    if not terms:
+        return rows.withColumn("bm25", F.lit(0.0)).where(F.lit(False))
+    return _bm25(rows.withColumn("_c", _counts_of(text, terms)), terms).select(*rows.columns, "bm25")
 
 
 def candidates(rows: DataFrame, query: str, limit: int = CANDIDATES, where: Column | None = None, text: str = "content") -> DataFrame:
-    """(id, bm25) of the best rows that pass where; scores equal to nine places are ties, ordered by id."""
-    found = scored(rows, query, text)
-    found = found if where is None else found.where(where)
-    return found.select("id", "bm25").orderBy(F.round("bm25", 9), "id").limit(limit)
+    """(id, bm25) of the best rows that pass where; scores equal to nine places are ties, ordered by id.
+
+    Texts are read once: their ids and counts, some bytes a row, are kept, and statistics and scores come from these.
+    """
+    terms = query_terms(query)
+    if not terms:
+        return rows.select("id", F.lit(0.0).alias("bm25")).where(F.lit(False))
+    seen = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+    counted = kept(rows.select("id", seen.alias("_seen"), _counts_of(text, terms).alias("_c")))
+    return _bm25(counted, terms).where("_seen").select("id", "bm25").orderBy(F.round("bm25", 9), "id").limit(limit)

@@ -67,15 +67,15 @@ def ranked(candidates: DataFrame, now: datetime, embeddings: bool, min_score: fl
     return rows.withColumn("rank", F.row_number().over(order)).withColumnRenamed("_noisy", "noisy").drop("_lexical")
 
 
-def search(memories: DataFrame, query: str, scopes: list[Scope], now: datetime, vector: list[float] | None = None, chunks: DataFrame | None = None, limit: int = 20, min_score: float = 0.0) -> DataFrame:
+def search(memories: DataFrame, query: str, scopes: list[Scope], now: datetime, vector: list[float] | None = None, chunks: DataFrame | None = None, limit: int = 20, min_score: float = 0.0, found: DataFrame | None = None) -> DataFrame:
     """The best rows for a query, with score, rank and total (matches before the limit).
 
-    Without any candidate the newest rows come back with score 0.
+    Without any candidate the newest rows come back with score 0. found: lexical candidates (id, bm25) that are known already.
     """
     limit = max(1, min(MAX_LIMIT, limit))
     seen = in_scope(scopes) & active(now)
     pool = memories.where(seen)
-    found = lexical.candidates(memories.where(F.col("deleted_at").isNull()), query, where=seen)
+    found = lexical.candidates(memories.where(F.col("deleted_at").isNull()), query, where=seen) if found is None else found
     if vector is not None:
         near = semantic_candidates(pool, vector)
         if chunks is not None:

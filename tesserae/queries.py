@@ -70,7 +70,7 @@ def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- retrieval -----------------------------------------------------------------------------------------------------
 
 def tokens_sql(terms: str) -> str:
-    return r"""tok AS (SELECT id, scope_type, list_filter(regexp_split_to_array(translate(lower(content), 'äçèéêíñóöüáàâåãëìîïòôõùúûý', 'aceeeinoouaaaaaeiiiooouuuy'), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ts
+    return r"""tok AS (SELECT id, scope_type, list_filter(regexp_split_to_array(strip_accents(lower(content)), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ts
     FROM memories WHERE deleted_at IS NULL),
   freq AS (SELECT id, len(ts) AS d, q.term, len(list_filter(ts, lambda x: x = q.term)) AS tf FROM tok, (SELECT unnest(TERMS) AS term) q),
   stat AS (SELECT count(*) AS n, avg(len(ts)) AS l FROM tok),
@@ -575,18 +575,35 @@ def upsert_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.outcome.select("seq", "created", "canonical_key", F.size("replaced_ids").alias("replaced"), "replay")
 
 
-@query(f"WITH {WRITES_SQL} SELECT scope_type, count(*) FILTER (created) - count(*) FILTER (replaces) AS live, count(*) FILTER (replaces) AS deleted, 3 AS version FROM told GROUP BY 1")
-def store_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three batches, and the second once more, through a store in versions."""
+def stored_documents(spark: SparkSession, sf_dir: str) -> Store:
+    """A store in versions of three batches, the second of them sent twice."""
     import uuid
 
     store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
     for k in (0, 1, 1, 2):
         store.write(writes(spark, sf_dir, k), "documents", k)
+    return store
+
+
+@query(f"WITH {WRITES_SQL} SELECT scope_type, count(*) FILTER (created) - count(*) FILTER (replaces) AS live, count(*) FILTER (replaces) AS deleted, 3 AS version FROM told GROUP BY 1")
+def store_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live and deleted rows after three batches."""
+    store = stored_documents(spark, sf_dir)
     now = store.snapshot()
     return store.memories(now).groupBy("scope_type").agg(F.count_if(F.col("deleted_at").isNull()).alias("live"), F.count_if(F.col("deleted_at").isNotNull()).alias("deleted"), F.lit(now.version).alias("version"))
 
 
+@query(f"""WITH {WRITES_SQL},
+  live AS (SELECT DISTINCT scope_type, scope, content FROM (SELECT *, lead(content) OVER (PARTITION BY scope_type, scope, key ORDER BY batch, seq) AS next FROM told WHERE created) WHERE key IS NULL OR next IS NULL),
+  memories AS (SELECT scope_type || '|' || scope || '|' || sha256(content) AS id, scope_type, content, NULL AS deleted_at FROM live), {TOKENS_SQL} SELECT id, round(bm25, 6) AS bm25 FROM bm""")
+def indexed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows with a term of the query, scored from the stored index, which has three generations and rows that are gone."""
+    store = stored_documents(spark, sf_dir)
+    now = store.snapshot()
+    named = store.memories(now).select("id", F.concat_ws("|", "scope_type", F.coalesce("scope_id", F.lit("")), "content_hash").alias("name"))
+    return store.scored(QUERY, now).join(named, "id").select(F.col("name").alias("id"), F.round("bm25", 6).alias("bm25"))
+
+
 @query(r"""WITH said AS (SELECT conv_id, turn, '[' || strftime(make_timestamp((turn * 1000000)::BIGINT), '%Y-%m-%dT%H:%M:%S') || '.000Z] ' || CASE role WHEN 'user' THEN 'User' ELSE 'Assistant' END || ': ' || text AS line FROM conversations WHERE role IN ('user', 'assistant') AND text <> ''),
   whole AS (SELECT conv_id, 'Imported ChatGPT conversation transcript' || chr(10) || 'Conversation ID: ' || conv_id || chr(10) || 'Title: (untitled)' || chr(10) || 'Model: unknown' || chr(10) || 'Archived: false' || chr(10) || 'Source shard: ' || chr(10) || 'Source export zip: ' || chr(10) || chr(10)
     || string_agg(line, chr(10) ORDER BY turn) AS transcript FROM said GROUP BY 1),

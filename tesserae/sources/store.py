@@ -5,6 +5,9 @@ of memories by scope type and a hash of scope and content, of idempotency keys b
 renames its manifest to the next number; where that number is taken, another writer was first, and the batch is merged anew with
 that version. So readers keep the version they opened, and a writer that dies leaves a folder that no manifest names.
 The manifest also holds the last batch of each named stream, so a batch that is sent again changes nothing.
+
+An index of terms (operators.postings) moves with the versions: a write adds a generation with its new rows' postings and the ids of rows
+that it deleted; more than GENERATIONS are merged to one, without what is gone. So a search sees the rows of its version and no others.
 """
 
 from __future__ import annotations
@@ -13,20 +16,24 @@ import json
 import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from datetime import datetime
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.operators import merge
-from tesserae.plans.scope import Scope, in_scope
+from tesserae.functions.text import query_terms
+from tesserae.operators import lexical, merge, postings, search
+from tesserae.plans.scope import Scope, active, in_scope
 
 MEMORIES = (
     "id string, scope_type string, scope_id string, content string, content_hash string, canonical_key string, tags array<string>, importance double, captured boolean, source_agent string, "
     "created_at timestamp, updated_at timestamp, expires_at timestamp, deleted_at timestamp, seq bigint, metadata map<string,string>"
 )
 KEYS = "key string, memory_id string, seq long"
-BUCKETS, TRIES = 16, 5
+BUCKETS, TRIES, GENERATIONS = 16, 5, 8
+#: Rows of the index that are looked up at once for one that is in sight and not expired.
+FETCHED = 4
 
 
 class Conflict(Exception):
@@ -51,6 +58,12 @@ class Snapshot:
     batches: dict[str, int] = field(default_factory=dict)
     outcome: str | None = None
     top: int = 0
+    #: Folders of the index's generations by bucket, and of the ids that are gone; numbers of indexed rows, of their tokens, and of ids that are gone.
+    terms: list[dict[str, str]] = field(default_factory=list)
+    gone: list[str] = field(default_factory=list)
+    n_rows: int = 0
+    n_tokens: int = 0
+    n_gone: int = 0
 
 
 class Store:
@@ -123,6 +136,38 @@ class Store:
         """What became of each write of the batch that made this version."""
         return self.spark.read.parquet(snapshot.outcome)
 
+    # --- searching ---
+
+    def scored(self, query: str, snapshot: Snapshot | None = None) -> DataFrame:
+        """(id, scope_type, scope_id, bm25) of all rows of a version, expired ones too, that hold a term of the query."""
+        snapshot = snapshot or self.snapshot()
+        terms = list({t for term in query_terms(query) for t in term})
+        asked = {str(b) for b in postings.buckets_of(self.spark.range(1), terms)} if terms else set()
+        return postings.scored(self._postings(snapshot, asked), query, snapshot.n_rows, snapshot.n_tokens)
+
+    def _postings(self, snapshot: Snapshot, asked: set[str] | None = None) -> DataFrame:
+        paths = [g[b] for g in snapshot.terms for b in sorted(g) if asked is None or b in asked]
+        found = self.spark.read.schema(postings.SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], postings.SCHEMA)
+        gone = self.spark.read.schema("id string").parquet(*snapshot.gone) if snapshot.gone else None
+        return postings.without(found, gone, snapshot.n_gone)
+
+    def candidates(self, query: str, scopes: list[Scope], now: datetime, limit: int = lexical.CANDIDATES, snapshot: Snapshot | None = None) -> DataFrame:
+        """(id, bm25) as lexical.candidates gives them by a scan: the best rows in scope that are not expired."""
+        snapshot = snapshot or self.snapshot()
+        seen = merge.kept(self.scored(query, snapshot).where(in_scope(scopes)).select("id", "bm25"))
+        order, take, total = [F.round("bm25", 9), "id"], FETCHED * limit, seen.count()
+        while True:  # the index knows no expiry; most often the first turn is the last
+            best = seen.orderBy(*order).limit(take)
+            live = merge.kept(self.memories(snapshot, scopes).where(active(now)).select("id").join(F.broadcast(best), "id"))  # take rows
+            if take >= total or live.count() >= limit:
+                return live.orderBy(*order).limit(limit)
+            take *= FETCHED
+
+    def search(self, query: str, scopes: list[Scope], now: datetime, limit: int = 20, min_score: float = 0.0) -> DataFrame:
+        """search.search by words alone, its candidates from the index."""
+        snapshot = self.snapshot()
+        return search.search(self.memories(snapshot, scopes), query, scopes, now, limit=limit, min_score=min_score, found=self.candidates(query, scopes, now, snapshot=snapshot))
+
     # --- writing ---
 
     def _put(self, folder: str, table: str, rows: DataFrame, part: Column) -> dict[str, str]:
@@ -156,14 +201,34 @@ class Store:
         rows = done.rows if "metadata" in done.rows.columns else done.rows.withColumn("metadata", F.lit(None).cast("map<string,string>"))
         made = {"memories": self._put(folder, "memories", stay.unionByName(rows.select(store.columns)), _part_of_memory(n)), "keys": self._put(folder, "keys", done.keys, _part_of_key(n))}
         done.outcome.withColumn("seq", F.col("seq") - before.top).write.parquet(f"{folder}/outcome")
-        return Snapshot(before.version + 1, n, {t: before.parts.get(t, {}) | made[t] for t in made}, before.batches | batches, f"{folder}/outcome", before.top + top)
+        return Snapshot(before.version + 1, n, {t: before.parts.get(t, {}) | made[t] for t in made}, before.batches | batches, f"{folder}/outcome", before.top + top, **self._indexed(before, folder, done))
+
+    def _indexed(self, before: Snapshot, folder: str, done: merge.Written) -> dict:
+        """The index's part of the version after a write."""
+        new = done.rows.join(done.touched, "id", "left_anti").where(F.col("deleted_at").isNull())
+        dead = done.rows.join(done.touched, "id", "left_semi").where(F.col("deleted_at").isNotNull())
+        (rows, tokens), (less, fewer) = postings.counts(new), postings.counts(dead)
+        terms, gone, n_gone = [*before.terms, self._generation(f"{folder}/terms", postings.postings(new))], list(before.gone), before.n_gone + less
+        if less:
+            dead.select("id").write.parquet(f"{folder}/gone")
+            gone.append(f"{folder}/gone")
+        if len(terms) > GENERATIONS:
+            terms, gone, n_gone = [self._generation(f"{folder}/merged", self._postings(Snapshot(0, before.buckets, terms=terms, gone=gone, n_gone=n_gone)))], [], 0
+        return {"terms": terms, "gone": gone, "n_rows": before.n_rows + rows - less, "n_tokens": before.n_tokens + tokens - fewer, "n_gone": n_gone}
+
+    def _generation(self, path: str, rows: DataFrame) -> dict[str, str]:
+        """Writes postings by bucket of term, sorted by term; the buckets' folders."""
+        dealt = rows.withColumn("_bucket", postings.bucket(F.col("term"))).repartition("_bucket", F.pmod(F.xxhash64("id"), F.lit(postings.SLICES)))
+        dealt.sortWithinPartitions("_bucket", "term", "id").write.partitionBy("_bucket").parquet(path)
+        found = (s.getPath().getName() for s in self._fs.listStatus(self._path(path)) if s.isDirectory())
+        return {n.removeprefix("_bucket="): f"{path}/{n}" for n in found if n.startswith("_bucket=")}
 
     def vacuum(self, keep: int = 10) -> int:
         """Deletes all but the newest versions, and data folders that none of these names; how many folders went. No writer may be at work."""
         known = self.versions()
         for v in known[:-keep]:
             self._fs.delete(self._path(self._manifest(v)), False)
-        named = {p for v in known[-keep:] for s in [self.snapshot(v)] for p in [*(x for t in s.parts.values() for x in t.values()), *filter(None, [s.outcome])]}
+        named = {p for v in known[-keep:] for s in [self.snapshot(v)] for p in [*(x for t in [*s.parts.values(), *s.terms] for x in t.values()), *s.gone, *filter(None, [s.outcome])]}
         top = self._path(f"{self.root}/data")
         gone = [s.getPath() for s in self._fs.listStatus(top) if not any(f"/{s.getPath().getName()}/" in p for p in named)] if self._fs.exists(top) else []
         for p in gone:

@@ -198,3 +198,55 @@ def test_a_stream_that_is_sent_twice_counts_once(spark, store, tmp_path):
     batch(spark, [("c", [], None, None)], 9).coalesce(1).write.mode("append").parquet(source)
     into_store(stream(), store, "notes", str(tmp_path / "check")).awaitTermination()
     assert store.snapshot().batches == {"notes": 1} and contents(store.memories()) == ["a", "b", "c"]
+
+
+# --- the index of terms --------------------------------------------------------------------------------------------
+
+
+def same_candidates(store, query, scopes, now):
+    from tesserae.operators import lexical
+    from tesserae.plans.scope import active, in_scope
+
+    rows = store.memories()
+    want = lexical.candidates(rows.where("deleted_at is null"), query, where=in_scope(scopes) & active(now)).collect()
+    got = store.candidates(query, scopes, now).collect()
+    assert [(r.id, round(r.bm25, 9)) for r in got] == [(r.id, round(r.bm25, 9)) for r in want]
+    return got
+
+
+def test_index_equals_the_scan_over_versions(spark, store, monkeypatch):
+    from tesserae.plans.scope import Scope
+    from tesserae.sources import store as module
+
+    monkeypatch.setattr(module, "GENERATIONS", 2)
+    everywhere = [Scope("global"), Scope("session", "*")]
+    texts = ["alpha beta beta", "Beta_gamma delta", "beta gamma", "gamma beta", "Élan alpha", "", "delta " * 30 + "alpha"]
+    for k in range(3):
+        rows = [(f"{t} {k}" if t else "", [], s, None) for t in texts for s in (None, "s1")]
+        store.write(batch(spark, [*rows, (f"Favorite alpha: beta {k}", ["canonical"], None, None)], 50 * k))
+        for query in ("alpha beta", "beta_gamma", "elan", "nothing", "", "delta 1 2"):
+            same_candidates(store, query, everywhere, T0)
+        same_candidates(store, "alpha beta", [Scope("session", "s1")], T0)
+    now = store.snapshot()
+    assert len(now.terms) <= 2 and now.n_gone < 2
+    best = store.search("favorite alpha", everywhere, T0, limit=50).collect()
+    assert "Favorite alpha: beta 2" in {r.content for r in best} and not {"Favorite alpha: beta 0", "Favorite alpha: beta 1"} & {r.content for r in best}
+
+
+def test_expired_rows_make_room_for_others(spark, store, monkeypatch):
+    from tesserae.plans.scope import Scope
+
+    rows = batch(spark, [(f"alpha {'x ' * (k % 5)}{k}", [], None, None) for k in range(30)]).withColumn("ttl_days", F.when(F.col("seq") % 3 == 0, 400).otherwise(1))
+    store.write(rows)
+    assert len(store.candidates("alpha", [Scope("global")], T0 + timedelta(days=2), limit=2).collect()) == 2
+    assert len(same_candidates(store, "alpha", [Scope("global")], T0 + timedelta(days=2))) == 10
+
+
+def test_a_search_opens_its_terms_folders_only(spark, store):
+    store.write(batch(spark, [(" ".join(f"word{k}x{j}" for j in range(40)), [], None, None) for k in range(20)]))
+    snapshot = store.snapshot()
+    files = store._postings(snapshot).inputFiles()
+    few = store.scored("word3x7").inputFiles()
+    assert 0 < len(few) <= 4 < len(files) and store.scored("word3x7").count() == 1
+    plan = store.scored("word3x7")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(term" in plan or "EqualTo(term,word3x7)" in plan

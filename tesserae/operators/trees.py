@@ -32,6 +32,24 @@ def _chains(starts: DataFrame, nodes: DataFrame) -> DataFrame:
     return paths.where(F.size("_p") == F.col("_n")).select("conv", "leaf", F.col("_p.id").alias("path"))
 
 
+def _depths(nodes: DataFrame) -> DataFrame:
+    """(conv, id, depth, lost, cyclic): steps from each node to its root; lost: a parent above is not there; cyclic: there is no root.
+
+    A row a node throughout: each holds an ancestor and the steps to it, which double each round.
+    """
+    there = nodes.select("conv", F.col("id").alias("parent"), F.lit(True).alias("_there")).distinct()
+    first = nodes.select("conv", "id", "parent").dropDuplicates(["conv", "id"]).join(there, ["conv", "parent"], "left")
+    lost = F.col("parent").isNotNull() & F.col("_there").isNull()
+    now = kept(first.select("conv", "id", F.when(F.col("_there"), F.col("parent")).alias("up"), F.when(F.col("_there"), 1).otherwise(0).cast("long").alias("depth"), lost.alias("lost")))
+    for _ in range(max(1, now.count()).bit_length() + 1):
+        if now.where(F.col("up").isNotNull()).isEmpty():
+            break
+        above = now.select("conv", F.col("id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_d"), F.col("lost").alias("_l"))
+        more = now.join(above, ["conv", "up"], "left")
+        now = kept(more.select("conv", "id", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"), (F.col("lost") | F.coalesce("_l", F.lit(False))).alias("lost")))
+    return now.select("conv", "id", "depth", "lost", F.col("up").isNotNull().alias("cyclic"))
+
+
 def active_paths(conversations: DataFrame, nodes: DataFrame) -> DataFrame:
     """(conv, path) of conversations(conv, current) over nodes(conv, id, parent); the longest path where current is unknown or not there."""
     starts = conversations.join(nodes.select("conv", F.col("id").alias("current")), ["conv", "current"], "left_semi").select("conv", F.col("current").alias("leaf"))
@@ -40,9 +58,14 @@ def active_paths(conversations: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def longest_paths(nodes: DataFrame) -> DataFrame:
-    """(conv, path): each conversation's longest path; of equal ones that with the smaller joined ids."""
+    """(conv, path): each conversation's longest path; of equal ones that with the smaller joined ids.
+
+    Only the deepest leaves' paths are built, and those of leaves below a cycle, whose lengths are not known before.
+    """
     inner = nodes.where(F.col("parent").isNotNull()).select("conv", F.col("parent").alias("id")).distinct()
-    leaves = nodes.join(inner, ["conv", "id"], "left_anti").select("conv", F.col("id").alias("leaf"))
+    leaves = kept(_depths(nodes).where("not lost or cyclic").join(inner, ["conv", "id"], "left_anti"))
+    deepest = leaves.where("not cyclic").groupBy("conv").agg(F.max("depth").alias("depth"))
+    leaves = leaves.where("not cyclic").join(deepest, ["conv", "depth"], "left_semi").unionByName(leaves.where("cyclic"), allowMissingColumns=True).select("conv", F.col("id").alias("leaf"))
     order = Window.partitionBy("conv").orderBy(F.desc(F.size("path")), F.array_join("path", "|"))
     return _chains(leaves, nodes).withColumn("_r", F.row_number().over(order)).where("_r = 1").select("conv", "path")
 

@@ -9,7 +9,7 @@ from tesserae.functions import scoring as S
 from tesserae.functions import text as X
 from tesserae.functions.redact import redacted
 from tesserae.operators import canonical, chunks, facts, ingest, jobs, lexical, maintenance, merge, search, tools, trees
-from tesserae.plans.lineage import shared_dir
+from tesserae.plans.lineage import kept, shared_dir
 from tesserae.plans.scope import Scope, active, in_scope
 from tesserae.sources import logs
 from tesserae.sources.store import Store
@@ -570,7 +570,7 @@ def writes(spark: SparkSession, sf_dir: str, batch: int) -> DataFrame:
 @query(f"WITH {WRITES_SQL} SELECT seq, created, key AS canonical_key, replaces::INT AS replaced, false AS replay FROM told WHERE batch = 2")
 def upsert_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What becomes of a third batch of writes onto a store of two."""
-    store = ingest.upsert(ingest.upsert(spark.createDataFrame([], STORE), writes(spark, sf_dir, 0)), writes(spark, sf_dir, 1))
+    store = kept(ingest.upsert(kept(ingest.upsert(spark.createDataFrame([], STORE), writes(spark, sf_dir, 0))), writes(spark, sf_dir, 1)))
     done = merge.write(store, writes(spark, sf_dir, 2))
     return done.outcome.select("seq", "created", "canonical_key", F.size("replaced_ids").alias("replaced"), "replay")
 
@@ -613,9 +613,9 @@ def indexed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     + CASE WHEN regexp_matches(fact, '[0-9]') THEN 0.25 ELSE 0.0 END + CASE WHEN regexp_matches(fact, '[:;]') THEN 0.15 ELSE 0.0 END - CASE WHEN length(fact) < 30 THEN 0.3 ELSE 0.0 END AS score FROM firsts WHERE r = 1),
   best AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, pos) AS rank FROM scored)
   SELECT 'session' AS scope_type, sha256(regexp_replace(transcript, '[\s\p{Z}]+$', '')) AS content_hash, 3650 AS days, 1 AS conversations FROM whole
-  UNION ALL SELECT 'project', sha256(fact), NULL, count(DISTINCT conv_id)::INT FROM best WHERE rank <= 20 GROUP BY fact""".replace("HINT", jobs.HINT.format(jobs.CONVERSATION)))
+  UNION ALL SELECT 'project', sha256(fact), NULL, least(count(DISTINCT conv_id), 61)::INT FROM best WHERE rank <= 20 GROUP BY fact""".replace("HINT", jobs.HINT.format(jobs.CONVERSATION)))
 def import_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations imported into an empty store: transcripts and the facts of the project, with the conversations they come from."""
+    """All conversations imported into an empty store: transcripts and the facts of the project, with the conversations they come from (a row has 64 tags at most)."""
     c, conv = table(spark, sf_dir, "conversations"), F.col("conv_id").cast("string").alias("conv")
     at, first = F.lpad(F.col("turn").cast("string"), 6, "0"), F.min("turn").over(Window.partitionBy("conv_id"))
     nodes = c.select(conv, at.alias("id"), F.when(F.col("turn") > first, F.lpad((F.col("turn") - 1).cast("string"), 6, "0")).alias("parent"), "role", F.col("turn").cast("double").alias("time"), "text")

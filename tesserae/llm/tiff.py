@@ -29,12 +29,16 @@ ROW = WIDTH * SAMPLES
 #: Fixed values of the format: tags and compression schemes.
 IMAGE_WIDTH, IMAGE_LENGTH, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES_PER_PIXEL, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325
 PLAIN, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
+FILL_ORDER = 266
 TYPE_SIZE = {1: 1, 3: 2, 4: 4}
 TYPE_LETTER = {1: "B", 3: "H", 4: "I"}
 CLEAR, STOP, FIRST = 256, 257, 258
 #: (compression, predictor, tiled) that a payload's checksum picks from.
 LAYOUTS = ((DEFLATE, 2, False), (LZW, 1, False), (PACKBITS, 1, False), (DEFLATE, 1, True), (LZW, 2, True), (DEFLATE, 1, False))
 NAMES = {PLAIN: "plain", LZW: "lzw", DEFLATE: "deflate", OLD_DEFLATE: "deflate", PACKBITS: "packbits"}
+#: Bytes that a byte of a scheme can stand for at most, and samples of a page or tile; files that claim more give an error's row.
+MOST_RATIO = {PLAIN: 1, PACKBITS: 64, DEFLATE: 1033, OLD_DEFLATE: 1033, LZW: 4096}
+MOST_PIXELS = 1 << 28
 
 
 class Page(NamedTuple):
@@ -120,14 +124,19 @@ def lzw(data: bytes) -> bytes:
     return bytes(out + (held << pad).to_bytes((bits + pad) >> 3, "big"))
 
 
-def unlzw(data: bytes) -> bytes:
+def unlzw(data: bytes, limit: int = 1 << 62) -> bytes:
+    """The bytes of data, or somewhat more than limit of them."""
     out: list[bytes] = []
+    size = seen = 0
     table: list[bytes] = [bytes([b]) for b in range(256)] + [b"", b""]
     base, width, held, bits, last = table[:], 9, 0, 0, b""
     for k in range(0, len(data), 32):
         part = data[k : k + 32]
         held = held << 8 * len(part) | int.from_bytes(part, "big")
         bits += 8 * len(part)
+        size, seen = size + sum(map(len, out[seen:])), len(out)
+        if size >= limit:
+            break
         while bits >= width:
             bits -= width
             code = held >> bits
@@ -148,7 +157,8 @@ def unlzw(data: bytes) -> bytes:
                 entry = last + last[:1]
             else:
                 raise ValueError("LZW code beyond the table")
-            table.append(last + entry[:1])
+            if n < 4096:
+                table.append(last + entry[:1])
             out.append(entry)
             last = entry
             if n == 510 or n == 1022 or n == 2046:
@@ -235,16 +245,35 @@ def _directories(data: bytes) -> Iterator[dict[int, tuple[int, ...]]]:
         (at,) = struct.unpack_from(f"{order}I", data, at + 2 + 12 * n)
 
 
-def _unpacked(data: bytes, compression: int) -> bytes:
+def _unpacked(data: bytes, compression: int, size: int) -> bytes:
+    """The first size bytes of a strip or tile, without unpacking much more."""
     if compression == PLAIN:
-        return data
+        return data[:size]
     if compression == LZW:
-        return unlzw(data)
-    if compression in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
+        return unlzw(data, size)[:size]
     if compression == PACKBITS:
-        return unpackbits(data)
-    raise ValueError(f"compression {compression} is not supported")
+        return unpackbits(data)[:size]
+    whole = zlib.decompressobj()
+    found = whole.decompress(data, size + 1)
+    if len(found) < size or len(found) == size and not whole.eof:
+        raise ValueError("a strip ends early")
+    return found[:size]
+
+
+def _checked(tags: dict, width: int, height: int, samples: int, across: int, down: int, compression: int, places: tuple, counts: tuple) -> None:
+    """Raises ValueError where a page is larger than its strips can hold or than MOST_PIXELS, before anything is allocated for it."""
+    if compression not in MOST_RATIO:
+        raise ValueError(f"compression {compression} is not supported")
+    if tags.get(FILL_ORDER, (1,))[0] != 1:
+        raise ValueError("only the highest bit first is supported")
+    if min(width, height, samples, across, down) < 1:
+        raise ValueError("a page, strip or tile without size")
+    blocks = -(-height // down) * -(-width // across)
+    if blocks != len(places) or blocks != len(counts):
+        raise ValueError(f"{len(places)} places and {len(counts)} sizes for {blocks} strips or tiles")
+    size = width * height * samples
+    if size > MOST_PIXELS or across * down * samples > MOST_PIXELS or size > sum(counts) * MOST_RATIO[compression]:
+        raise ValueError(f"{width} x {height} pixels are more than {sum(counts)} bytes hold or a page may have")
 
 
 def pages_of(data: bytes) -> Iterator[Page]:
@@ -256,13 +285,13 @@ def pages_of(data: bytes) -> Iterator[Page]:
         if set(tags.get(BITS, (1,))) != {8} or one(PLANAR, 1) != 1:
             raise ValueError("only chunky 8-bit samples are supported")
         across, down = (one(TILE_WIDTH), one(TILE_LENGTH)) if tiled else (width, min(height, one(ROWS_PER_STRIP, height)))
+        places, counts = tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], tags[TILE_COUNTS if tiled else STRIP_COUNTS]
+        _checked(tags, width, height, samples, across, down, compression, places, counts)
         image = np.zeros((height, width, samples), np.uint8)
         spots = ((y, x) for y in range(0, height, down) for x in range(0, width, across))
-        places, counts = tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], tags[TILE_COUNTS if tiled else STRIP_COUNTS]
         for (y, x), place, count in zip(spots, places, counts, strict=True):
             rows = down if tiled else min(down, height - y)
-            block = np.frombuffer(_unpacked(data[place : place + count], compression), np.uint8)
-            block = block[: rows * across * samples].reshape(rows, across, samples)
+            block = np.frombuffer(_unpacked(data[place : place + count], compression, rows * across * samples), np.uint8).reshape(rows, across, samples)
             if predictor == 2:
                 block = np.cumsum(block, axis=1, dtype=np.uint8)
             image[y : y + rows, x : x + across] = block[: height - y, : width - x]
@@ -282,7 +311,7 @@ def pages(files: DataFrame, column: str = "content", key: str = "doc_id") -> Dat
                     if data:
                         for n, p in enumerate(pages_of(bytes(data))):
                             rows.append((k, n, *p[:3], NAMES[p.compression], p.predictor, p.tiled, p.pixels, None))
-                except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
+                except (ValueError, KeyError, IndexError, OverflowError, MemoryError, struct.error, zlib.error) as e:
                     rows.append((k, len(rows), *[None] * 7, str(e)))
                 if rows:
                     yield pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in ("page", "width", "height", "samples", "predictor")}, errors="ignore")

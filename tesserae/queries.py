@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import scoring as S
 from tesserae.functions import text as X
 from tesserae.functions.redact import redacted
-from tesserae.operators import canonical, chunks, facts, ingest, jobs, lexical, maintenance, merge, search, tools, trees
+from tesserae.operators import batches, canonical, chunks, facts, ingest, jobs, lexical, maintenance, merge, search, tools, trees
 from tesserae.plans.lineage import kept, shared_dir
 from tesserae.plans.scope import Scope, active, in_scope
 from tesserae.sources import logs
@@ -623,3 +623,13 @@ def import_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = jobs.import_conversations(spark.createDataFrame([], STORE), spark.createDataFrame([], "key string, memory_id string, seq long"), convs, nodes, NOW, project_path="/imported")
     tags = F.size(F.filter("tags", lambda t: t.startswith(jobs.CONV_TAG)))
     return done.store.select("scope_type", "content_hash", F.datediff("expires_at", "created_at").alias("days"), tags.alias("conversations"))
+
+
+@query(over_memories(f""", q AS (SELECT vec_id::VARCHAR AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0),
+  pair AS (SELECT query_id, id, greatest(0.0, least(1.0, (list_dot_product(embedding, v) / (sqrt(list_dot_product(embedding, embedding)) * sqrt(list_dot_product(v, v))) + 1) / 2)) AS s FROM q, (SELECT * FROM memories WHERE {ACTIVE_SQL} AND embedding IS NOT NULL))
+  SELECT query_id, id, round(s, 6) AS semantic, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id)::INT AS rank FROM pair) WHERE rank <= 10"""))
+def search_semantic_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest memories of every fiftieth vector, in one job."""
+    queries = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = batches.nearest(memories(spark, sf_dir, vectors=True).where(active(NOW)), queries, 10)
+    return found.select("query_id", "id", F.round("semantic", 6).alias("semantic"), "rank")

@@ -15,7 +15,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime
 
 from py4j.protocol import Py4JJavaError
@@ -64,6 +64,8 @@ class Snapshot:
     n_rows: int = 0
     n_tokens: int = 0
     n_gone: int = 0
+    #: Folders of (id, at): when rows were shown.
+    accessed: list[str] = field(default_factory=list)
 
 
 class Store:
@@ -136,6 +138,12 @@ class Store:
         """What became of each write of the batch that made this version."""
         return self.spark.read.parquet(snapshot.outcome)
 
+    def accessed(self, snapshot: Snapshot | None = None) -> DataFrame:
+        """(id, last_accessed_at) of the rows that were ever shown."""
+        paths = (snapshot or self.snapshot()).accessed
+        rows = self.spark.read.schema("id string, at timestamp").parquet(*paths) if paths else self.spark.createDataFrame([], "id string, at timestamp")
+        return rows.groupBy("id").agg(F.max("at").alias("last_accessed_at"))
+
     # --- searching ---
 
     def scored(self, query: str, snapshot: Snapshot | None = None) -> DataFrame:
@@ -201,7 +209,8 @@ class Store:
         rows = done.rows if "metadata" in done.rows.columns else done.rows.withColumn("metadata", F.lit(None).cast("map<string,string>"))
         made = {"memories": self._put(folder, "memories", stay.unionByName(rows.select(store.columns)), _part_of_memory(n)), "keys": self._put(folder, "keys", done.keys, _part_of_key(n))}
         done.outcome.withColumn("seq", F.col("seq") - before.top).write.parquet(f"{folder}/outcome")
-        return Snapshot(before.version + 1, n, {t: before.parts.get(t, {}) | made[t] for t in made}, before.batches | batches, f"{folder}/outcome", before.top + top, **self._indexed(before, folder, done))
+        parts = {t: before.parts.get(t, {}) | made[t] for t in made}
+        return replace(before, version=before.version + 1, parts=parts, batches=before.batches | batches, outcome=f"{folder}/outcome", top=before.top + top, **self._indexed(before, folder, done))
 
     def _indexed(self, before: Snapshot, folder: str, done: merge.Written) -> dict:
         """The index's part of the version after a write."""
@@ -223,12 +232,29 @@ class Store:
         found = (s.getPath().getName() for s in self._fs.listStatus(self._path(path)) if s.isDirectory())
         return {n.removeprefix("_bucket="): f"{path}/{n}" for n in found if n.startswith("_bucket=")}
 
+    def touch(self, ids: DataFrame, at: datetime) -> Snapshot:
+        """The version after rows ids(id) were shown: a small file beside the rows, none of which is written again; many of them become one."""
+        folder = f"{self.root}/data/{uuid.uuid4().hex}"
+        ids.select("id", F.lit(at).cast("timestamp").alias("at")).distinct().write.parquet(f"{folder}/accessed")
+        for k in range(TRIES):
+            before = self.snapshot()
+            paths = [*before.accessed, f"{folder}/accessed"]
+            if len(paths) > GENERATIONS:
+                whole = self.accessed(replace(before, accessed=paths)).withColumnRenamed("last_accessed_at", "at")
+                whole.write.parquet(f"{folder}/whole-{k}")
+                paths = [f"{folder}/whole-{k}"]
+            try:
+                return self.commit(replace(before, version=before.version + 1, accessed=paths, outcome=None))
+            except Conflict:
+                continue
+        raise Conflict(f"{TRIES} versions were made meanwhile")
+
     def vacuum(self, keep: int = 10) -> int:
         """Deletes all but the newest versions, and data folders that none of these names; how many folders went. No writer may be at work."""
         known = self.versions()
         for v in known[:-keep]:
             self._fs.delete(self._path(self._manifest(v)), False)
-        named = {p for v in known[-keep:] for s in [self.snapshot(v)] for p in [*(x for t in [*s.parts.values(), *s.terms] for x in t.values()), *s.gone, *filter(None, [s.outcome])]}
+        named = {p for v in known[-keep:] for s in [self.snapshot(v)] for p in [*(x for t in [*s.parts.values(), *s.terms] for x in t.values()), *s.gone, *s.accessed, *filter(None, [s.outcome])]}
         top = self._path(f"{self.root}/data")
         gone = [s.getPath() for s in self._fs.listStatus(top) if not any(f"/{s.getPath().getName()}/" in p for p in named)] if self._fs.exists(top) else []
         for p in gone:

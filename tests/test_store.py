@@ -250,3 +250,20 @@ def test_a_search_opens_its_terms_folders_only(spark, store):
     assert 0 < len(few) <= 4 < len(files) and store.scored("word3x7").count() == 1
     plan = store.scored("word3x7")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(term" in plan or "EqualTo(term,word3x7)" in plan
+
+
+def test_shown_rows_are_noted_beside_the_store(spark, store, monkeypatch):
+    from tesserae.sources import store as module
+
+    monkeypatch.setattr(module, "GENERATIONS", 2)
+    one = store.write(batch(spark, [("a", [], None, None), ("b", [], None, None), ("c", [], None, None)]))
+    ids = {r.content: r.id for r in store.memories().collect()}
+    shown = lambda *names: spark.createDataFrame([(ids[n],) for n in names], "id string")
+    assert store.accessed().count() == 0
+    for k, names in enumerate(("ab", "b", "bc", "c")):
+        last = store.touch(shown(*names), T0 + timedelta(hours=k))
+    assert last.parts == one.parts and len(last.accessed) <= 2  # no row was written again
+    assert {r.id: r.last_accessed_at for r in store.accessed().collect()} == {ids["a"]: T0, ids["b"]: T0 + timedelta(hours=2), ids["c"]: T0 + timedelta(hours=3)}
+    store.write(batch(spark, [("d", [], None, None)]))
+    store.vacuum(keep=1)
+    assert store.accessed().count() == 3 and store.memories().count() == 4

@@ -59,11 +59,11 @@ def state(df):
     return sorted((r.scope_id or "", r.content, r.canonical_key or "", r.deleted_at is None, tuple(sorted(r.tags))) for r in df.collect())
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_merge_equals_whole_upsert_and_the_model(spark, seed):
     rng = random.Random(seed)
     model, whole, keys = Model(), spark.createDataFrame([], STORE), None
-    for number in range(3):
+    for number in range(2):
         # idempotency keys are unique in a batch, and a content's key is always the same here
         rows, used = [], set()
         for c, t, s, i in random_rows(rng, 14):
@@ -170,10 +170,10 @@ def test_two_writers_at_once_both_count(spark, store, monkeypatch):
 
 
 def test_ids_stay_apart_over_many_versions(spark, store):
-    for value in "abababa":
+    for value in "ababa":
         store.write(batch(spark, [(f"Favorite x: {value}", ["canonical"], None, None)]))
     rows = store.memories().collect()
-    assert len(rows) == 7 == len({r.id for r in rows}) and contents(store.memories()) == ["Favorite x: a"]
+    assert len(rows) == 5 == len({r.id for r in rows}) and contents(store.memories()) == ["Favorite x: a"]
 
 
 def test_a_stream_that_is_sent_twice_counts_once(spark, store, tmp_path):
@@ -224,7 +224,7 @@ def test_index_equals_the_scan_over_versions(spark, store, monkeypatch):
     for k in range(3):
         rows = [(f"{t} {k}" if t else "", [], s, None) for t in texts for s in (None, "s1")]
         store.write(batch(spark, [*rows, (f"Favorite alpha: beta {k}", ["canonical"], None, None)], 50 * k))
-        for query in ("alpha beta", "beta_gamma", "elan", "nothing", "", "delta 1 2"):
+        for query in ("alpha beta", "beta_gamma", "elan", "") if k < 2 else ("alpha beta", "nothing", "delta 1 2"):
             same_candidates(store, query, everywhere, T0)
         same_candidates(store, "alpha beta", [Scope("session", "s1")], T0)
     now = store.snapshot()

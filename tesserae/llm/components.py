@@ -21,7 +21,7 @@ FEW, ROWS = 16, 200_000
 SMALL = 50_000
 
 
-def _few(rows: DataFrame, total: int) -> DataFrame:
+def few(rows: DataFrame, total: int) -> DataFrame:
     """rows in partitions of some size, however many partitions a shuffle has: many rounds of nearly empty ones cost more than the work."""
     return rows.coalesce(max(FEW, total // ROWS))
 
@@ -33,17 +33,17 @@ def _joined(rows: DataFrame, low: DataFrame, total: int) -> DataFrame:
 
 def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = _few(both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")), total).select("u", F.least("m", "u").alias("m"), "n")
+    low = few(both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")), total).select("u", F.least("m", "u").alias("m"), "n")
     out = _joined(both.where("v > u"), low, total).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return _few(_few(out.where("u <> v"), total).distinct(), total)
+    return few(few(out.where("u <> v"), total).distinct(), total)
 
 
 def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = _few(down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), total)
+    low = few(down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), total)
     joined = _joined(down, low, total).select(F.col("v").alias("u"), F.col("m").alias("v"))
     out = joined.union(low.select("u", F.col("m").alias("v")))
-    return _few(_few(out.where("u <> v"), total).distinct(), total)
+    return few(few(out.where("u <> v"), total).distinct(), total)
 
 
 def _stars(edges: DataFrame) -> bool:
@@ -59,9 +59,9 @@ def roots(edges: DataFrame) -> DataFrame:
     """
     edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     total = edges.count()
-    edges = _few(edges, total)
+    edges = few(edges, total)
     while not _stars(edges):
-        edges = _few(cut(_small_star(_large_star(edges, total), total)), total)
+        edges = few(cut(_small_star(_large_star(edges, total), total)), total)
     return edges.select("u", F.col("v").alias("root"))
 
 
@@ -75,9 +75,9 @@ def across(rows: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """
     counts = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
     main = counts.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("c").alias("n")).where("parts > 1").drop("parts")
-    open_ = cut(spread_join(rows, main, "key", rows.count()))
-    if facts is not None:
-        open_ = cut(open_.join(facts, "id"))
+    total = rows.count()
+    open_ = few(spread_join(rows, main, "key", total), total)
+    open_ = cut(open_ if facts is None else few(open_.join(facts, "id"), total))
     tasks = F.ceil(F.col("n") / BLOCK).cast("int")
     end = lambda x: [F.col("id").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in open_.columns if c not in ("key", "id", "main", "n"))]
     strays = open_.where("root <> main").select("key", F.explode(F.sequence(F.lit(0), tasks - 1)).alias("_salt"), *end("u"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tesserae.functions.redact import redacted
 from tesserae.functions.text import clean_tags, content_hash, trim, written_key
 from tesserae.operators import facts
+from tesserae.plans.lineage import kept
 from tesserae.plans.scope import Scope, in_scope
 
 SESSION_TTL_DAYS = 14
@@ -64,8 +65,9 @@ def upsert(store: DataFrame, batch: DataFrame) -> DataFrame:
     content has been replaced makes a row of its own, which a later write may give a key.
     """
     store, ready, columns = _aligned(store, normalized(batch))
-    _, merged = versions(store.where(F.col("deleted_at").isNull()), ready, columns)
-    return merged.select(*columns).unionByName(store.where(F.col("deleted_at").isNotNull()).select(*columns))
+    live, ready = store.where(F.col("deleted_at").isNull()), kept(ready)
+    _, merged = versions(live, ready, columns)
+    return filled(merged, live, ready).select(*columns).unionByName(store.where(F.col("deleted_at").isNotNull()).select(*columns))
 
 
 def _aligned(store: DataFrame, ready: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -79,50 +81,78 @@ def _aligned(store: DataFrame, ready: DataFrame) -> tuple[DataFrame, DataFrame,
 GROUP = ("scope_type", "scope_id", "canonical_key", "content_hash", "_version")
 
 
+#: Rows of a group that are put in order at once: those of a block of 2 ** BLOCK numbers of seq.
+BLOCK = 14
+
+
+def _scope() -> Column:
+    return F.coalesce("scope_id", F.lit("")).alias("_scope")
+
+
+def _in_order(lists: Column) -> Column:
+    """An array of struct(o, ...), whose other fields may be maps, by o."""
+    return F.array_sort(lists, lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0))
+
+
+def _united(tags: Column) -> Column:
+    """The first tags of an array of struct(o, tags)."""
+    return F.slice(F.array_distinct(F.flatten(F.transform(_in_order(tags), lambda x: x["tags"]))), 1, 64)
+
+
 def versions(live: DataFrame, ready: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(writes, merged): stored and new writes with the GROUP they fall in, and a row for each group.
+    """(writes, merged): stored and new writes with the GROUP they fall in, and a row for each group, both without their contents (see filled).
 
     merged has columns, and of each group _stored (it holds a stored row), _begun and _entry (the writes that made it and that made it
-    its key's version) and _previous (the id of the version before).
+    its key's version) and _previous (the id of the version before). Contents are not sorted and moved with the windows. One content or key
+    may have any number of writes: no frame is read again for each row, and their tags and metadata are merged by blocks of seq.
     """
-    given = "metadata" in columns
-    live = live.select(*columns, F.col("created_at").alias("at"), F.lit(True).alias("_stored"))
+    given, narrow = "metadata" in columns, [c for c in columns if c != "content"]
+    live = live.select(*narrow, F.col("created_at").alias("at"), F.lit(True).alias("_stored"))
     new = ready.withColumns({"id": F.lit(None).cast("string"), "created_at": F.col("at"), "updated_at": F.col("at"), "deleted_at": F.lit(None).cast("timestamp"), "_stored": F.lit(False)})
-    rows = live.unionByName(new.select(*live.columns)).withColumn("_order", F.struct(~F.col("_stored"), "seq"))  # stored rows first, then arrival
-    content = Window.partitionBy("scope_type", F.coalesce("scope_id", F.lit("")), "content_hash").orderBy("_order")
-    known = F.when(F.col("canonical_key").isNotNull(), F.struct("canonical_key", "_order"))
-    earlier = F.last(known, True).over(content.rowsBetween(Window.unboundedPreceding, 0))
-    coming = F.first(known, True).over(content.rowsBetween(0, Window.unboundedFollowing))
+    rows = live.unionByName(new.select(*live.columns)).withColumns({"_order": F.struct(~F.col("_stored"), "seq"), "_scope": _scope()})  # stored rows first, then arrival
+    content = Window.partitionBy("scope_type", "_scope", "content_hash")
+    known, so_far = F.when(F.col("canonical_key").isNotNull(), F.struct("canonical_key", "_order")), (Window.unboundedPreceding, 0)
+    earlier = F.last(known, True).over(content.orderBy("_order").rowsBetween(*so_far))
+    coming = F.last(known, True).over(content.orderBy(F.desc("_order")).rowsBetween(*so_far))  # the next one, by a frame that only grows
     rows = rows.withColumns({"_e": earlier, "_c": coming})
-    key = Window.partitionBy("scope_type", F.coalesce("scope_id", F.lit("")), "_e.canonical_key", F.when(F.col("_e").isNull(), F.col("content_hash"))).orderBy("_order").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_own", F.when(F.col("_e").isNull(), F.col("content_hash")))
+    key = Window.partitionBy("scope_type", "_scope", "_e.canonical_key", "_own").orderBy("_order").rowsBetween(*so_far)
     lives = F.last(F.when(F.col("canonical_key").isNotNull(), F.col("content_hash")), True).over(key) == F.col("content_hash")
     rows = rows.withColumn("_lives", F.coalesce(lives & F.col("_e").isNotNull(), F.lit(False)))
     # a row that gets its key later takes its place in the key's versions only then
     rows = rows.withColumn("canonical_key", F.coalesce("canonical_key", F.when(F.col("_lives"), F.col("_e.canonical_key")), "_c.canonical_key"))
     rows = rows.withColumn("_at", F.when(~F.col("_lives") & F.col("_c").isNotNull(), F.col("_c._order")).otherwise(F.col("_order")))
-    scope = ["scope_type", F.coalesce("scope_id", F.lit("")), F.coalesce("canonical_key", F.lit(""))]
-    by_scope = Window.partitionBy(*scope, F.when(F.col("canonical_key").isNull(), F.col("content_hash"))).orderBy("_at", "_order")
+    rows = rows.withColumns({"_key": F.coalesce("canonical_key", F.lit("")), "_own": F.when(F.col("canonical_key").isNull(), F.col("content_hash"))})
+    scope = ["scope_type", "_scope", "_key", "_own"]  # all that follows is partitioned by these; rows without a key are no group
+    by_scope = Window.partitionBy(*scope).orderBy("_at", "_order")
     changed = (F.col("canonical_key").isNotNull() & ~F.lag("content_hash").over(by_scope).eqNullSafe(F.col("content_hash"))).cast("int")
-    rows = rows.withColumn("_new", changed).withColumn("_version", F.sum("_new").over(by_scope.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_new", changed).withColumn("_version", F.sum("_new").over(by_scope.rowsBetween(*so_far)))
     order, entered = F.col("_order"), F.when(F.col("_at") == F.col("_order"), F.col("at"))
-    merged = rows.groupBy("scope_type", "scope_id", "canonical_key", "content_hash", "_version").agg(
-        F.min_by("id", order).alias("id"), F.min_by("content", order).alias("content"), F.array_sort(F.collect_list(F.struct(order.alias("o"), "tags"))).alias("_tags"),
-        *([F.collect_list(F.struct(order.alias("o"), "metadata")).alias("_metadata")] if given else []),
-        F.max_by("importance", F.when(F.col("importance").isNotNull(), order)).alias("importance"), F.max_by("captured", F.when(F.col("captured").isNotNull(), order)).alias("captured"),
-        F.max_by("source_agent", order).alias("source_agent"), F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"), F.min(entered).alias("_entered"),
-        F.max_by("expires_at", F.when(F.col("expires_at").isNotNull(), order)).alias("expires_at"), F.min("seq").alias("_first"), F.max("seq").alias("seq"),
-        F.bool_or("_stored").alias("_stored"), F.min(order).alias("_begun"), F.min("_at").alias("_entry"),
+    last_of = lambda c, null=False: F.max(F.struct(order.alias("o"), F.col(c)) if null else F.when(F.col(c).isNotNull(), F.struct(order.alias("o"), F.col(c)))).alias(f"_{c}")
+    blocks = rows.groupBy(*scope, *(c for c in GROUP if c not in scope), F.shiftright("seq", BLOCK).alias("_block"), "_stored").agg(
+        F.min(F.struct(order.alias("o"), "id")).alias("_id"), _united(F.collect_list(F.struct(order.alias("o"), "tags"))).alias("tags"),
+        *([merged_metadata(F.transform(_in_order(F.collect_list(F.struct(order.alias("o"), "metadata"))), lambda x: x["metadata"])).alias("metadata")] if given else []),
+        last_of("importance"), last_of("captured"), last_of("source_agent", True), last_of("expires_at"),
+        F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"), F.min(entered).alias("_entered"),
+        F.min("seq").alias("_first"), F.max("seq").alias("seq"), F.min(order).alias("_begun"), F.min("_at").alias("_entry"),
+    )
+    of_block, latest = F.col("_begun").alias("o"), lambda c: F.max(f"_{c}")[c].alias(c)
+    merged = blocks.groupBy(*scope, *(c for c in GROUP if c not in scope)).agg(
+        F.min("_id")["id"].alias("id"), _united(F.collect_list(F.struct(of_block, "tags"))).alias("tags"),
+        *([merged_metadata(F.transform(_in_order(F.collect_list(F.struct(of_block, "metadata"))), lambda x: x["metadata"])).alias("metadata")] if given else []),
+        *map(latest, ("importance", "captured", "source_agent", "expires_at")), F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"), F.min("_entered").alias("_entered"),
+        F.min("_first").alias("_first"), F.max("seq").alias("seq"), F.bool_or("_stored").alias("_stored"), F.min("_begun").alias("_begun"), F.min("_entry").alias("_entry"),
     )
-    later = Window.partitionBy(*scope, F.when(F.col("canonical_key").isNull(), F.col("content_hash"))).orderBy("_version")  # rows without a key are no group
-    merged = merged.withColumns({
-        "tags": F.slice(F.array_distinct(F.flatten(F.transform("_tags", lambda x: x["tags"]))), 1, 64), "importance": F.coalesce("importance", F.lit(0.5)),
-        "id": F.coalesce("id", _row_id()), "deleted_at": F.when(F.col("canonical_key").isNotNull(), F.lead("_entered").over(later)),
-    })
-    merged = merged.withColumn("_previous", F.when(F.col("canonical_key").isNotNull(), F.lag("id").over(later)))
-    if given:  # maps have no order, so the array is put in order by the writes alone
-        in_order = F.array_sort("_metadata", lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0))
-        merged = merged.withColumn("metadata", merged_metadata(F.transform(in_order, lambda x: x["metadata"])))
-    return rows, merged
+    later = Window.partitionBy(*scope).orderBy("_version")
+    merged = merged.withColumns({"importance": F.coalesce("importance", F.lit(0.5)), "id": F.coalesce("id", _row_id()), "deleted_at": F.when(F.col("canonical_key").isNotNull(), F.lead("_entered").over(later))})
+    return rows, merged.withColumn("_previous", F.when(F.col("canonical_key").isNotNull(), F.lag("id").over(later)))
+
+
+def filled(merged: DataFrame, live: DataFrame, ready: DataFrame) -> DataFrame:
+    """merged, of versions(live, ready), with its contents, which move once."""
+    text = lambda df, new: df.select("scope_type", _scope(), "content_hash", "content", F.struct(F.lit(new), "seq").alias("_order"))
+    texts = text(live, False).unionByName(text(ready, True)).groupBy("scope_type", "_scope", "content_hash").agg(F.min_by("content", "_order").alias("content"))
+    return merged.join(texts, ["scope_type", "_scope", "content_hash"])
 
 
 def drop_replays(batch: DataFrame, store: DataFrame, keys: DataFrame) -> DataFrame:

@@ -15,12 +15,20 @@ from pyspark.sql import functions as F
 from tesserae.operators import ingest
 from tesserae.plans.lineage import kept
 
+#: Ids of rows, some 64 bytes each, that are broadcast at most.
+MOST_BROADCAST = 500_000
 #: Rounds after which the closure gives up; a consistent store needs three: a live row of each key, and one of each content and key.
 MOST_ROUNDS = 20
 
 
+def of_ids(rows: DataFrame, ids: DataFrame, how: str, n: int | None = None) -> DataFrame:
+    """rows joined left_semi or left_anti with ids(id), n of them; few of these are sent to the rows, whose contents then stay where they are."""
+    n = ids.count() if n is None else n
+    return rows.join(F.broadcast(ids) if n <= MOST_BROADCAST else ids, "id", how)
+
+
 class Written(NamedTuple):
-    """rows: the touched rows as they are now, and new ones; touched(id): the stored rows they stand for; outcome: one row a write
+    """rows: the touched rows as they are now, and new ones (contents are looked up anew at each use); touched(id): the stored rows they stand for; outcome: one row a write
     (seq, idempotency_key, id, created, redacted, canonical_key, expires_at, replaced_ids, replay); keys: the bindings after the batch."""
 
     rows: DataFrame
@@ -31,7 +39,7 @@ class Written(NamedTuple):
     def store(self, before: DataFrame) -> DataFrame:
         """The whole store after the batch."""
         given = before if "metadata" in before.columns or "metadata" not in self.rows.columns else before.withColumn("metadata", F.lit(None).cast("map<string,string>"))
-        return given.join(self.touched, "id", "left_anti").select(self.rows.columns).unionByName(self.rows)
+        return of_ids(given, self.touched, "left_anti").select(self.rows.columns).unionByName(self.rows)
 
 
 def closure(live: DataFrame, ready: DataFrame) -> DataFrame:
@@ -75,7 +83,8 @@ def write(store: DataFrame, batch: DataFrame, keys: DataFrame | None = None) ->
     fresh = ready.join(again.select("seq"), "seq", "left_anti")
     live = store.where(F.col("deleted_at").isNull())
     touched = kept(closure(live, fresh))
-    writes, merged = ingest.versions(live.join(touched, "id", "left_semi"), fresh, columns)
+    hit = of_ids(live, touched, "left_semi")
+    writes, merged = ingest.versions(hit, fresh, columns)
     merged = kept(merged)
     same = None
     for c in ingest.GROUP:
@@ -91,4 +100,4 @@ def write(store: DataFrame, batch: DataFrame, keys: DataFrame | None = None) ->
     later = ingest.latest_bindings(bound).withColumn("_new", F.lit(True))
     all_keys = keys.withColumn("_new", F.lit(False)).unionByName(later)  # a new binding stands whatever its seq
     latest = all_keys.groupBy("key").agg(F.max_by("memory_id", F.struct("_new", "seq")).alias("memory_id"), F.max_by("seq", F.struct("_new", "seq")).alias("seq"))
-    return Written(merged.select(*columns), touched, outcome, latest)
+    return Written(ingest.filled(merged, hit, fresh).select(*columns), touched, outcome, latest)

@@ -7,17 +7,25 @@ numbers of rows and tokens are counted when rows come and go, so no query scans
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions.text import query_terms, tokens
 from tesserae.operators.lexical import B, K1, LEAST_IDF
+from tesserae.operators.merge import of_ids
 
 SCHEMA = "term string, id string, scope_type string, scope_id string, n int, positions array<int>"
 #: Folders of terms, and tasks that write one folder, so that a frequent term is dealt out.
 BUCKETS, SLICES = 64, 4
-#: Rows that are gone, some 64 bytes each, that are broadcast at most.
-MOST_BROADCAST = 500_000
+#: Rows whose tokens are grouped at once.
+ROWS = 512
+PACKED = "_bucket int, id string, scope_type string, scope_id string, n int, terms array<string>, positions array<array<int>>"
+#: Seed of Spark's xxhash64.
+SEED = 42
 
 
 def bucket(term: Column) -> Column:
@@ -30,11 +38,53 @@ def buckets_of(df: DataFrame, terms: list[str]) -> list[int]:
     return [r[0] for r in spark.createDataFrame([(t,) for t in terms], "term string").select(bucket(F.col("term"))).distinct().collect()]
 
 
-def postings(rows: DataFrame) -> DataFrame:
-    """Postings of rows(id, scope_type, scope_id, content)."""
+def _grouped(part: pa.RecordBatch) -> pa.RecordBatch:
+    """PACKED of rows (id, scope_type, scope_id, tokens): their tokens in order of row, bucket and term."""
+    from xxhash import xxh64_intdigest
+
+    lists = part.column(3)
+    lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    of = np.fromiter((xxh64_intdigest(t, SEED) % BUCKETS for t in names), np.int64, len(names))  # BUCKETS is a power of 2: as bucket, of the unsigned hash
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    place = np.arange(len(code)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    key = (row * BUCKETS + of[code]) * max(1, len(names)) + code
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    packs = key[first] // max(1, len(names))
+    start = np.flatnonzero(np.append(True, packs[1:] != packs[:-1])) if len(packs) else packs
+    packs, ends = packs[start], pa.array(np.append(start, len(first)).astype(np.int32))
+    positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), pa.array(place[order].astype(np.int32)))
+    terms = coded.dictionary.take(pa.array(code[order[first]]))
+    at = pa.array(packs // BUCKETS)
+    columns = [pa.array((packs % BUCKETS).astype(np.int32)), *(part.column(k).take(at) for k in range(3)), pa.array(lengths[packs // BUCKETS].astype(np.int32))]
+    return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(ends, terms), pa.ListArray.from_arrays(ends, positions)], [f.split()[0] for f in PACKED.split(", ")])
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """Postings of rows(id, scope_type, scope_id, content), those of one row and bucket together. Tokens are grouped where their row is and never shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, ROWS):
+                yield _grouped(b.slice(k, ROWS))
+
     cut = rows.select("id", "scope_type", "scope_id", tokens(F.coalesce("content", F.lit(""))).alias("_t"))
-    each = cut.select("id", "scope_type", "scope_id", F.size("_t").alias("n"), F.posexplode("_t").alias("position", "term"))
-    return each.groupBy("term", "id", "scope_type", "scope_id", "n").agg(F.sort_array(F.collect_list("position")).alias("positions")).select("term", "id", "scope_type", "scope_id", "n", "positions")
+    return cut.mapInArrow(run, PACKED)
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    """Postings, with their _bucket, of packed ones."""
+    each = rows.select("_bucket", "id", "scope_type", "scope_id", "n", F.explode(F.arrays_zip("terms", "positions")).alias("_e"))
+    return each.select("_bucket", F.col("_e.terms").alias("term"), "id", "scope_type", "scope_id", "n", F.col("_e.positions").alias("positions"))
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows with a _bucket in the tasks that write it."""
+    return rows.repartition("_bucket", F.pmod(F.xxhash64("id"), F.lit(SLICES)))
 
 
 def counts(rows: DataFrame) -> tuple[int, int]:
@@ -46,7 +96,7 @@ def counts(rows: DataFrame) -> tuple[int, int]:
 def without(found: DataFrame, gone: DataFrame | None, n_gone: int) -> DataFrame:
     if gone is None or n_gone == 0:
         return found
-    return found.join(F.broadcast(gone) if n_gone <= MOST_BROADCAST else gone, "id", "left_anti")
+    return of_ids(found, gone, "left_anti", n_gone)
 
 
 def scored(found: DataFrame, query: str, n_rows: int, n_tokens: int) -> DataFrame:

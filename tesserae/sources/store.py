@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.text import query_terms
 from tesserae.operators import lexical, merge, postings, search
+from tesserae.plans.lineage import kept
 from tesserae.plans.scope import Scope, active, in_scope
 
 MEMORIES = (
@@ -32,6 +33,8 @@ MEMORIES = (
 )
 KEYS = "key string, memory_id string, seq long"
 BUCKETS, TRIES, GENERATIONS = 16, 5, 8
+#: Rows of a part that one task writes, about.
+ROWS = 25_000
 #: Rows of the index that are looked up at once for one that is in sight and not expired.
 FETCHED = 4
 
@@ -178,10 +181,11 @@ class Store:
 
     # --- writing ---
 
-    def _put(self, folder: str, table: str, rows: DataFrame, part: Column) -> dict[str, str]:
-        """Writes rows by part; the parts' folders."""
+    def _put(self, folder: str, table: str, rows: DataFrame, part: Column, name: str, n: int) -> dict[str, str]:
+        """Writes about n rows by part, in as many tasks a part as it takes; name: the column that deals rows out. The parts' folders."""
         path = f"{folder}/{table}"
-        rows.withColumn("_part", part).repartition("_part").write.partitionBy("_part").parquet(path)
+        task = F.pmod(F.xxhash64(name, F.lit("task")), F.lit(1 + n // (self.buckets * ROWS)))
+        rows.withColumn("_part", part).repartition("_part", task).write.partitionBy("_part").parquet(path)
         found = (s.getPath().getName() for s in self._fs.listStatus(self._path(path)) if s.isDirectory())
         return {n.removeprefix("_part="): f"{path}/{n}" for n in found if n.startswith("_part=")}
 
@@ -202,33 +206,34 @@ class Store:
         asked = [r[0] for r in batch.where(F.col("idempotency_key").isNotNull()).select(F.col("idempotency_key").alias("key")).select(_part_of_key(n)).distinct().collect()]  # n at most
         top = batch.agg(F.coalesce(F.max("seq") + 1, F.lit(0))).first()[0]
         done = merge.write(self.memories(before), batch.withColumn("seq", F.col("seq") + before.top), self.keys(before, asked))  # ids hold seq
-        store = self.memories(before)
-        # parts of touched and of new rows; a row keeps its part, since scope and content never change
-        parts = [r[0] for r in done.rows.select(_part_of_memory(n)).distinct().collect()]  # three scope types * n at most
-        stay = self.memories(before, parts=parts).join(done.touched, "id", "left_anti")
         rows = done.rows if "metadata" in done.rows.columns else done.rows.withColumn("metadata", F.lit(None).cast("map<string,string>"))
-        made = {"memories": self._put(folder, "memories", stay.unionByName(rows.select(store.columns)), _part_of_memory(n)), "keys": self._put(folder, "keys", done.keys, _part_of_key(n))}
+        rows, n_touched = kept(rows.select(self.memories(before).columns)), done.touched.count()
+        # parts of touched and of new rows; a row keeps its part, since scope and content never change
+        parts = [r[0] for r in rows.select(_part_of_memory(n)).distinct().collect()]  # three scope types * n at most
+        stay = merge.of_ids(self.memories(before, parts=parts), done.touched, "left_anti", n_touched)
+        new = merge.of_ids(rows, done.touched, "left_anti", n_touched).where(F.col("deleted_at").isNull())
+        dead = merge.of_ids(rows, done.touched, "left_semi", n_touched).where(F.col("deleted_at").isNotNull())
+        index = self._indexed(before, folder, new, dead)
+        made = {"memories": self._put(folder, "memories", stay.unionByName(rows), _part_of_memory(n), "id", index["n_rows"]), "keys": self._put(folder, "keys", done.keys, _part_of_key(n), "key", index["n_rows"])}
         done.outcome.withColumn("seq", F.col("seq") - before.top).write.parquet(f"{folder}/outcome")
         parts = {t: before.parts.get(t, {}) | made[t] for t in made}
-        return replace(before, version=before.version + 1, parts=parts, batches=before.batches | batches, outcome=f"{folder}/outcome", top=before.top + top, **self._indexed(before, folder, done))
+        return replace(before, version=before.version + 1, parts=parts, batches=before.batches | batches, outcome=f"{folder}/outcome", top=before.top + top, **index)
 
-    def _indexed(self, before: Snapshot, folder: str, done: merge.Written) -> dict:
-        """The index's part of the version after a write."""
-        new = done.rows.join(done.touched, "id", "left_anti").where(F.col("deleted_at").isNull())
-        dead = done.rows.join(done.touched, "id", "left_semi").where(F.col("deleted_at").isNotNull())
+    def _indexed(self, before: Snapshot, folder: str, new: DataFrame, dead: DataFrame) -> dict:
+        """The index's part of the version after a write of new rows, and of stored ones that are dead now."""
         (rows, tokens), (less, fewer) = postings.counts(new), postings.counts(dead)
-        terms, gone, n_gone = [*before.terms, self._generation(f"{folder}/terms", postings.postings(new))], list(before.gone), before.n_gone + less
+        terms, gone, n_gone = [*before.terms, self._generation(f"{folder}/terms", postings.unpacked(postings.dealt(postings.packed(new))))], list(before.gone), before.n_gone + less
         if less:
             dead.select("id").write.parquet(f"{folder}/gone")
             gone.append(f"{folder}/gone")
         if len(terms) > GENERATIONS:
-            terms, gone, n_gone = [self._generation(f"{folder}/merged", self._postings(Snapshot(0, before.buckets, terms=terms, gone=gone, n_gone=n_gone)))], [], 0
+            whole = Snapshot(0, before.buckets, terms=terms, gone=gone, n_gone=n_gone)
+            terms, gone, n_gone = [self._generation(f"{folder}/merged", postings.dealt(self._postings(whole).withColumn("_bucket", postings.bucket(F.col("term")))))], [], 0
         return {"terms": terms, "gone": gone, "n_rows": before.n_rows + rows - less, "n_tokens": before.n_tokens + tokens - fewer, "n_gone": n_gone}
 
     def _generation(self, path: str, rows: DataFrame) -> dict[str, str]:
-        """Writes postings by bucket of term, sorted by term; the buckets' folders."""
-        dealt = rows.withColumn("_bucket", postings.bucket(F.col("term"))).repartition("_bucket", F.pmod(F.xxhash64("id"), F.lit(postings.SLICES)))
-        dealt.sortWithinPartitions("_bucket", "term", "id").write.partitionBy("_bucket").parquet(path)
+        """Writes postings that are dealt out by bucket of term, sorted by term; the buckets' folders."""
+        rows.sortWithinPartitions("_bucket", "term", "id").write.partitionBy("_bucket").parquet(path)
         found = (s.getPath().getName() for s in self._fs.listStatus(self._path(path)) if s.isDirectory())
         return {n.removeprefix("_bucket="): f"{path}/{n}" for n in found if n.startswith("_bucket=")}
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_BYTES, OVERLAP_BYTES, MIN_PARENT_BYTES = 4000, 400, 25_000
+#: Texts that are cut at once.
+ROWS = 512
 
 
 def version(chunk_bytes: int = CHUNK_BYTES, overlap_bytes: int = OVERLAP_BYTES) -> str:
@@ -17,39 +19,51 @@ def version(chunk_bytes: int = CHUNK_BYTES, overlap_bytes: int = OVERLAP_BYTES)
 
 def windows(text: str, chunk_bytes: int = CHUNK_BYTES, overlap_bytes: int = OVERLAP_BYTES) -> Iterator[tuple[int, int, int, str]]:
     """(index, start byte, end byte, content); no window splits a character."""
+    raw = text.encode("utf-8", "replace")
+    for index, (start, end) in enumerate(spans(raw, chunk_bytes, overlap_bytes)):
+        yield index, start, end, raw[start:end].decode()
+
+
+def spans(raw: bytes, chunk_bytes: int = CHUNK_BYTES, overlap_bytes: int = OVERLAP_BYTES) -> Iterator[tuple[int, int]]:
+    """(start byte, end byte) of the windows of a text in UTF-8."""
     if chunk_bytes <= 0 or not 0 <= overlap_bytes < chunk_bytes:
         raise ValueError("the overlap must be smaller than the chunk")
-    raw = text.encode("utf-8", "replace")
     inside = lambda k: k < len(raw) and raw[k] & 0xC0 == 0x80
-    start = index = 0
+    start = 0
     while start < len(raw):
         end = min(len(raw), start + chunk_bytes)
         while inside(end):
             end -= 1
         if end <= start:
             raise ValueError("a character is larger than the chunk")
-        yield index, start, end, raw[start:end].decode()
+        yield start, end
         if end == len(raw):
             return
         after = end - overlap_bytes
         while inside(after):
             after += 1
-        start, index = after if after > start else end, index + 1
+        start = after if after > start else end
 
 
-def split(rows: DataFrame, key: str, text: str = "content", chunk_bytes: int = CHUNK_BYTES, overlap_bytes: int = OVERLAP_BYTES, min_bytes: int = 0) -> DataFrame:
-    """(parent_id, chunk_index, start_byte, end_byte, content) of texts longer than min_bytes."""
+def split(rows: DataFrame, key: str, text: str = "content", chunk_bytes: int = CHUNK_BYTES, overlap_bytes: int = OVERLAP_BYTES, min_bytes: int = 0, contents: bool = True) -> DataFrame:
+    """(parent_id, chunk_index, start_byte, end_byte, content) of texts longer than min_bytes; content only with contents."""
     kind = rows.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k, t in zip(b.iloc[:, 0], b.iloc[:, 1]):
-                found = list(windows(t, chunk_bytes, overlap_bytes))
-                if found:
-                    yield pd.DataFrame(found, columns=["chunk_index", "start_byte", "end_byte", "content"]).assign(parent_id=k)
-
+            for k in range(0, b.num_rows, ROWS):
+                part = b.slice(k, ROWS)
+                raw = part.column(1).cast(pa.binary()).to_pylist()
+                found = [(r, n, *span) for r, t in enumerate(raw) for n, span in enumerate(spans(t, chunk_bytes, overlap_bytes))]
+                of, index, start, end = ([x[c] for x in found] for c in range(4))
+                columns = [part.column(0).take(pa.array(of, pa.int32())), *(pa.array(x, pa.int32()) for x in (index, start, end))]
+                if contents:
+                    columns.append(pa.array((raw[r][a:z].decode() for r, _, a, z in found), pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names[: len(columns)])
+
+    names = ["parent_id", "chunk_index", "start_byte", "end_byte", "content"]
     long = rows.where(F.octet_length(text) > min_bytes).select(F.col(key).alias("parent_id"), text)
-    return long.mapInPandas(run, f"chunk_index int, start_byte int, end_byte int, content string, parent_id {kind}").select("parent_id", "chunk_index", "start_byte", "end_byte", "content")
+    return long.mapInArrow(run, f"parent_id {kind}, chunk_index int, start_byte int, end_byte int" + (", content string" if contents else ""))
 
 
 def state(chunks: DataFrame) -> DataFrame:

@@ -335,7 +335,7 @@ def redact_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def chunk_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("text is not null")
-    return chunks.split(docs, "doc_id", "text", 2000, 200).select(F.col("parent_id").alias("doc_id"), "chunk_index", "start_byte", "end_byte")
+    return chunks.split(docs, "doc_id", "text", 2000, 200, contents=False).select(F.col("parent_id").alias("doc_id"), "chunk_index", "start_byte", "end_byte")
 
 
 # --- conversations -------------------------------------------------------------------------------------------------

@@ -1,9 +1,10 @@
-"""Near-dedup by the Jaccard similarity of word shingles: min-hash bands find candidates, exact comparison decides.
+"""Near-dedup by the Jaccard similarity of word shingles: SimHash groups and min-hash bands find candidates, exact comparison decides.
 
 A text is the set of its shingles of SHINGLE words. Two texts are linked if intersection / union of their sets is at
 least SIMILAR; components of links are the groups. Equal sets are one node before any of this.
 
-Candidates share one of BANDS keys, each made of ROWS min-hashes: a pair of similarity 0.8 is missed with a chance of
+Each text of a SimHash group (simhash.grouped: four words, four bits) is a candidate of the group's first text. Further ones, since
+texts of that similarity are often further apart than four bits, share one of BANDS keys, each made of ROWS min-hashes: a pair of similarity 0.8 is missed with a chance of
 (1 - 0.8^7)^36 = 0.0002, a more similar one with less. Each node is first compared with the nearest, by sketch, of the first nodes of its
 buckets; then with the nearest of ASKED nodes of each of its buckets' largest components, if it is not in these itself; at
 last with all nodes of its buckets that are not yet in the same component. So a large group of near copies
@@ -21,6 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm import simhash
 from tesserae.llm.common import cut, map_texts, scratch, spread_join
 from tesserae.llm.components import across, few, roots
 
@@ -91,13 +93,14 @@ def _id(s: np.ndarray) -> int:
 
 
 def marked(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, id, bands) of every row; id: hash of the set."""
+    """(doc_id, id, fp, bands) of every row; id: hash of the set; fp: SimHash fingerprint."""
 
     def columns_of(texts: list[str]) -> list[list]:
         sets = [shingles(t) for t in texts]
-        return [np.array([_id(s) for s in sets], np.uint64).view(np.int64), [band_keys(min_hashes(s)).view(np.int64) for s in sets]]
+        fps = np.array([simhash.fingerprint(t) for t in texts], np.uint64).view(np.int64)
+        return [np.array([_id(s) for s in sets], np.uint64).view(np.int64), fps, [band_keys(min_hashes(s)).view(np.int64) for s in sets]]
 
-    return map_texts(docs, text, {"id": "long", "bands": "array<long>"}, lambda: columns_of)
+    return map_texts(docs, text, {"id": "long", "fp": "long", "bands": "array<long>"}, lambda: columns_of)
 
 
 def sets_of(docs: DataFrame, asked: DataFrame, text: str = "text") -> DataFrame:
@@ -167,6 +170,14 @@ def by_main(of: DataFrame, total: int) -> DataFrame:
     return few(spread_join(strays, chosen, "key", total), total).select("u", F.explode("vs").alias("v"))
 
 
+def by_simhash(rows: DataFrame) -> DataFrame:
+    """(u, v): the sets of SimHash groups of rows(doc_id, id, fp), with that of their group's smallest doc_id."""
+    groups = simhash.grouped(rows.select("doc_id", "id", "fp"))
+    sets = cut(groups.groupBy("id", "component_id").agg(F.min("doc_id").alias("doc_id")))
+    first = sets.groupBy("component_id").agg(F.min(F.when(F.col("doc_id") == F.col("component_id"), F.col("id"))).alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return spread_join(sets, first, "component_id", sets.count()).where("id <> v").select(F.col("id").alias("u"), "v").distinct()
+
+
 def links(rows: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """(u, root) of all ids of rows = marked(docs) but the roots, as in components.roots."""
     spark = rows.sparkSession
@@ -176,10 +187,12 @@ def links(rows: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     chosen = cut(keyed.groupBy("key").agg(F.min(F.col("id").bitwiseXOR(F.col("key"))).alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     total = chosen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shared = cut(few(spread_join(keyed, chosen, "key", total), total).select("key", "id", F.col("rep").bitwiseXOR(F.col("key")).alias("rep")))
-    sets_of(docs, shared.select("id").distinct().join(first, "id"), text).write.parquet(path := scratch(spark, "sets"))
+    near = cut(by_simhash(rows))
+    asked = shared.select("id").union(near.select("u")).union(near.select("v"))
+    sets_of(docs, asked.distinct().join(first, "id"), text).write.parquet(path := scratch(spark, "sets"))
     sets = spark.read.parquet(path)
     facts = sets.drop("grams").withColumn("own", F.lit(0))
-    tried = few(cut(nearest(shared.where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v")), facts)), total)
+    tried = few(cut(nearest(near, facts).union(nearest(shared.where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v")), facts)).distinct()), total)
     found = roots(similar(tried, sets))
     ids = shared.select("key", "id")
     now = lambda: cut(few(ids.join(found.withColumnRenamed("u", "id"), "id", "left"), total).select("key", "id", F.coalesce("root", "id").alias("root")))

@@ -137,15 +137,19 @@ def linked(fps: DataFrame) -> DataFrame:
     return roots(star.select("u", F.col("root").alias("v")).union(more))
 
 
-def components(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row a document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id of its group)."""
-    marked = cut(fingerprints(docs, text))
+def grouped(marked: DataFrame) -> DataFrame:
+    """Rows of marked(doc_id, fp, ...) with component_id, the smallest doc_id of their group."""
     fps = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
     total = marked.count()
     of = cut(fps.join(linked(fps).withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     least = of.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("m"))
     group = spread_join(of, least, "root", total, "m").select("fp", "component_id", "n")
-    return spread_join(marked, group, "fp", total).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return spread_join(marked, group, "fp", total).select(*marked.columns, "component_id")
+
+
+def components(docs: DataFrame, text: str = "text") -> DataFrame:
+    """One row a document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id of its group)."""
+    return grouped(cut(fingerprints(docs, text))).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:

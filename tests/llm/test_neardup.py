@@ -79,3 +79,17 @@ def test_own_shingles_and_sketches_leave_out_no_similar_pair():
         if common >= 0.8 * len(pool):
             assert apart <= neardup.MAX_APART and 9 * common >= 4 * (len(left) + len(right))
         assert apart <= neardup.BANDS * neardup.ROWS and (apart == 0) == (common == len(pool))
+
+
+def test_simhash_groups_are_candidates_of_their_own(spark):
+    """Without any shared band, texts of a SimHash group are still found, if they are similar enough."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    base = [f"w{rng.randint(0, 900)}" for _ in range(400)]
+    texts = [" ".join(base), " ".join([*base[:-1], "other"]), " ".join(f"v{k}" for k in range(400)), "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = neardup.marked(df).withColumn("bands", F.array(F.xxhash64("id"))).cache()
+    ids = {r["doc_id"]: r["id"] for r in rows.collect()}
+    assert [set(r) for r in neardup.by_simhash(rows).collect()] == [{ids[0], ids[1]}]
+    assert {x for r in neardup.links(rows, df).collect() for x in r} == {ids[0], ids[1]}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.functions.bind import let
 from tesserae.functions.text import fact_parts, fact_score
 
 MAX_FACTS = 20
@@ -16,10 +17,13 @@ def candidates(rows: DataFrame, text: str = "text", hint: Column | None = None)
     whole = whole if hint is None else F.concat(hint, F.lit("\n"), whole)
 
     def distinct(parts: Column) -> Column:
-        lowered = F.transform(parts, lambda p: F.lower(p))
-        return F.filter(F.transform(parts, lambda p, i: F.struct(i.alias("pos"), p.alias("fact"), F.array_position(lowered, F.lower(p)).alias("first"))), lambda x: x["first"] == x["pos"] + 1)
+        # in the order of their letters, equal ones stand together; a look-up of each part among all of them grows with the square of a text
+        return let(F.sort_array(F.transform(parts, lambda p, i: F.struct(F.lower(p).alias("low"), i.alias("pos"), p.alias("fact")))), firsts)
 
-    kept = F.get(F.transform(F.array(fact_parts(whole)), distinct), F.lit(0))
+    def firsts(s: Column) -> Column:
+        return F.filter(s, lambda x, i: F.coalesce(F.get(s, i - 1)["low"] != x["low"], F.lit(True)))
+
+    kept = let(fact_parts(whole), distinct)
     return rows.withColumn("_f", F.explode(kept)).select(*rows.columns, "_f.pos", "_f.fact")
 
 

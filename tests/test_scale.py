@@ -1,10 +1,11 @@
 """What keeps the write path, the index and chunks in proportion to their input."""
 
+import time
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from tesserae.operators import chunks, ingest, postings
+from tesserae.operators import chunks, facts, ingest, postings
 
 AT = datetime(2024, 1, 1)
 BATCH = "seq long, at timestamp, idempotency_key string, scope_type string, scope_id string, content string, tags array<string>, importance double, ttl_days int, key string, captured boolean, source_agent string, metadata map<string,string>"
@@ -41,3 +42,14 @@ def test_chunks_without_contents(spark):
     bare, whole = (chunks.split(rows, "doc_id", "text", 20, 5, contents=c) for c in (False, True))
     assert bare.columns == ["parent_id", "chunk_index", "start_byte", "end_byte"]
     assert sorted(map(tuple, bare.collect())) == sorted(r[:4] for r in map(tuple, whole.collect())) == sorted((k, *w[:3]) for k in range(40) for w in chunks.windows("ab🙂cdé " * k, 20, 5))
+
+
+def test_facts_of_a_long_conversation(spark):
+    """Each fact counts once, in time that does not grow with the square of their number."""
+    parts = [f"Line {k % 30_000} of a very long Conversation" for k in range(40_000)] + ["LINE 7 OF A VERY LONG CONVERSATION"]
+    rows = spark.createDataFrame([(1, "\n".join(parts)), (2, "The same sentence here.\nthe same sentence here."), (3, None)], "seq long, text string")
+    begun = time.monotonic()
+    found = facts.candidates(rows).select("seq", "pos", "fact").orderBy("seq", "pos").collect()
+    assert time.monotonic() - begun < 90
+    assert [(r["pos"], r["fact"]) for r in found if r["seq"] == 1] == list(enumerate(parts[:30_000]))
+    assert [(r["pos"], r["fact"]) for r in found if r["seq"] != 1] == [(0, "The same sentence here.")]

@@ -210,8 +210,9 @@ class Memory:
                 rare[key] = ids
         return rare
 
-    def forget(self) -> None:
-        if self.size > REMEMBERED:
+    def forget(self, most: int | None = None) -> None:
+        """Starts anew beyond most bytes, REMEMBERED if not given."""
+        if self.size > (REMEMBERED if most is None else most):
             self.known.clear()
             self.size = 0
 
@@ -264,6 +265,9 @@ class ChunkEncoder:
             return [w.encode() for w in self.v.words_of(chunk.decode())]
         return [x for p in pieces for x in ([self.v.special[p]] if p in self.v.special else map(str.encode, self.v.words_of(p.decode())))]
 
+    def forget(self) -> None:
+        self.memory.forget(0)
+
     def __call__(self, chunks: list[bytes]) -> list[bytes]:
         self.memory.forget()
         known, cut = self.memory.known, list(map(self._cut, chunks))
@@ -273,6 +277,13 @@ class ChunkEncoder:
         return [b"".join([known[w] if w in known else rare[w] for w in words]) for words in cut]
 
 
+def forget(path: str) -> None:
+    """Gives back what this process's encoder remembers: a Python worker lives on after its task, beside those of other stages."""
+    _, e = encoder(path)
+    e.memory.forget(0)
+    e.new.forget()
+
+
 @functools.cache
 def encoder(path: str) -> tuple[Vocabulary, Encoder]:
     """This process's vocabulary and encoder for a tokenizer file."""
@@ -292,10 +303,13 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, e = encoder(path)
-        for b in batches:
-            for k in range(0, b.num_rows, ROWS):
-                part = b.slice(k, ROWS)
-                yield pa.RecordBatch.from_arrays([part.column(0), ids_array(list(e.encode(part.column(1).to_pylist())))], ["doc_id", "ids"])
+        try:
+            for b in batches:
+                for k in range(0, b.num_rows, ROWS):
+                    part = b.slice(k, ROWS)
+                    yield pa.RecordBatch.from_arrays([part.column(0), ids_array(list(e.encode(part.column(1).to_pylist())))], ["doc_id", "ids"])
+        finally:
+            forget(path)
 
     return docs.select("doc_id", text_of(docs, text).alias("_text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
 
@@ -326,4 +340,4 @@ def digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
         return columns_of
 
-    return map_texts(docs, text, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}, start)
+    return map_texts(docs, text, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}, start, lambda: forget(path))

@@ -40,8 +40,8 @@ ROWS = 512
 ARROW = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
 
 
-def map_texts(docs: DataFrame, text: str, fields: dict[str, str], start: Callable[[], Callable[[list[str]], list]]) -> DataFrame:
-    """(doc_id, *fields) of every row: start(), once a task, gives the function from texts to the fields' columns.
+def map_texts(docs: DataFrame, text: str, fields: dict[str, str], start: Callable[[], Callable[[list[str]], list]], end: Callable[[], None] | None = None) -> DataFrame:
+    """(doc_id, *fields) of every row: start(), once a task, gives the function from texts to the fields' columns; end() is called after the task.
 
     doc_id passes through as it is, nulls and large values too; null texts are empty; other columns are not read.
     """
@@ -49,12 +49,16 @@ def map_texts(docs: DataFrame, text: str, fields: dict[str, str], start: Callabl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns_of = start()
-        for b in batches:
-            for k in range(0, b.num_rows, ROWS):
-                part = b.slice(k, ROWS)
-                columns = columns_of(part.column(1).to_pylist())
-                arrays = [pa.array(c, ARROW[t]) for c, t in zip(columns, fields.values())]
-                yield pa.RecordBatch.from_arrays([part.column(0), *arrays], ["doc_id", *fields])
+        try:
+            for b in batches:
+                for k in range(0, b.num_rows, ROWS):
+                    part = b.slice(k, ROWS)
+                    columns = columns_of(part.column(1).to_pylist())
+                    arrays = [pa.array(c, ARROW[t]) for c, t in zip(columns, fields.values())]
+                    yield pa.RecordBatch.from_arrays([part.column(0), *arrays], ["doc_id", *fields])
+        finally:
+            if end is not None:
+                end()
 
     rows = docs.select("doc_id", text_of(docs, text).alias("_text"))
     return rows.mapInArrow(run, ", ".join([f"doc_id {kind}", *(f"{n} {t}" for n, t in fields.items())]))

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -368,3 +369,17 @@ def test_pipeline_by_stages(spark, docs, tmp_path):
     library = Tokenizer.from_file(vocabulary())
     texts = {r["doc_id"]: r["text"] for r in clean.collect()}
     assert all(r["n_tokens"] == len(library.encode(texts[r["doc_id"]], add_special_tokens=False).ids) for r in out)
+
+
+def test_workers_keep_no_words_after_a_task(spark, docs):
+    """A Python worker that has encoded lives on, and gives back what it remembered for its task."""
+    path = vocabulary()
+    for coded in (bpe.digests(docs, path), bpe.encode(docs, path)):
+        assert len(coded.collect()) == docs.count()
+
+        def left(batches):
+            for b in batches:
+                _, e = bpe.encoder(path)
+                yield b.set_column(0, "id", pa.array([len(e.memory.known) + e.memory.size + len(e.new.memory.known) + e.new.memory.size] * b.num_rows, pa.int64()))
+
+        assert {r["id"] for r in spark.range(0, 16, 1, 16).mapInArrow(left, "id long").collect()} == {0}

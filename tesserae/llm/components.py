@@ -2,8 +2,9 @@
 near-dedup needs around it: pairs between the components of a bucket.
 
 Each step is a grouped minimum, with partial minima before the shuffle, and a join on the vertex, in which the edges of a hub
-stay where they are (spread_join) unless there are few edges in all. Each round is written to the shared folder. The number of rounds grows with the
-logarithm of the longest path.
+stay where they are (spread_join). If there are few edges in all, a vertex gathers its neighbours instead and no join is needed: the driver keeps
+something of every plan and task, and a round of few edges weighs on it as much as one of many. Each round is written to the shared folder. The
+number of rounds grows with the logarithm of the longest path.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from tesserae.llm.common import cut, spread_join
 BLOCK = 1000
 #: Partitions of an edge table: at least FEW, of ROWS rows.
 FEW, ROWS = 16, 200_000
-#: Edges that one task could hold altogether.
+#: Edges that one vertex may gather, if there are no more altogether.
 SMALL = 50_000
 
 
@@ -26,30 +27,37 @@ def few(rows: DataFrame, total: int) -> DataFrame:
     return rows.coalesce(max(FEW, total // ROWS))
 
 
-def _joined(rows: DataFrame, low: DataFrame, total: int) -> DataFrame:
-    """rows with their vertex's row of low; few rows need no care for hubs, and plain plans weigh less on the driver."""
-    return rows.join(low.drop("n"), "u") if total <= SMALL else spread_join(rows, low, "u", total)
+def _gathered(edges: DataFrame, total: int) -> DataFrame:
+    """(u, vs, m) of every u of edges(u, v): its neighbours, each once, and the least of them and u itself; for at most SMALL edges."""
+    low = edges.groupBy("u").agg(F.collect_set("v").alias("vs"), F.min("v").alias("m"))
+    return few(low, total).select("u", "vs", F.least("m", "u").alias("m"))
 
 
 def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    if total <= SMALL:
+        larger = F.filter("vs", lambda v: v > F.col("u"))
+        return _gathered(both, total).select(F.explode(larger).alias("u"), F.col("m").alias("v"))  # repeated edges go in the next step
     low = few(both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")), total).select("u", F.least("m", "u").alias("m"), "n")
-    out = _joined(both.where("v > u"), low, total).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    out = spread_join(both.where("v > u"), low, "u", total).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return few(few(out.where("u <> v"), total).distinct(), total)
 
 
 def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = few(down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), total)
-    joined = _joined(down, low, total).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    out = joined.union(low.select("u", F.col("m").alias("v")))
+    if total <= SMALL:
+        out = _gathered(down, total).select(F.explode(F.array_append("vs", F.col("u"))).alias("u"), F.col("m").alias("v"))
+    else:
+        low = few(down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), total)
+        joined = spread_join(down, low, "u", total).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = joined.union(low.select("u", F.col("m").alias("v")))
     return few(few(out.where("u <> v"), total).distinct(), total)
 
 
-def _stars(edges: DataFrame) -> bool:
+def _stars(edges: DataFrame, total: int) -> bool:
     """Whether every vertex has either one edge to a smaller one, or only edges from larger ones."""
     ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty()
+    return few(ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")), total).where("up > 1 or up = 1 and down = 1").isEmpty()
 
 
 def roots(edges: DataFrame) -> DataFrame:
@@ -60,7 +68,7 @@ def roots(edges: DataFrame) -> DataFrame:
     edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     total = edges.count()
     edges = few(edges, total)
-    while not _stars(edges):
+    while not _stars(edges, total):
         edges = few(cut(_small_star(_large_star(edges, total), total)), total)
     return edges.select("u", F.col("v").alias("root"))
 

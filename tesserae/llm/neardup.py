@@ -151,10 +151,11 @@ def _possible(u: str, v: str) -> str:
 
 
 def nearest(pairs: DataFrame, facts: DataFrame) -> DataFrame:
-    """Of each u of pairs(u, v), the possible v whose sketch is nearest; facts: sets without grams, with own."""
+    """Of each u of pairs(u, v, ...), and of each value of any further columns, the possible v whose sketch is nearest; facts: sets without grams, with own."""
     end = lambda c: facts.select(F.col("id").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in facts.columns if x not in ("id", "bands")))
     possible = pairs.distinct().join(end("u"), "u").join(end("v"), "v").where(_possible("u_", "v_"))
-    return possible.groupBy("u").agg(F.min_by("v", F.struct(F.expr(_apart("u_", "v_")), "v")).alias("v"))
+    by = [c for c in pairs.columns if c != "v"]
+    return possible.groupBy(by).agg(F.min_by("v", F.struct(F.expr(_apart("u_", "v_")), "v")).alias("v")).select("u", "v")
 
 
 def by_main(of: DataFrame, total: int) -> DataFrame:
@@ -166,6 +167,7 @@ def by_main(of: DataFrame, total: int) -> DataFrame:
     # each bucket has an order of its own
     drawn = (F.min(F.struct(F.xxhash64("id", "key", F.lit(j)), "id"))["id"] for j in range(ASKED))
     chosen = inside.where("root = main").groupBy("key").agg(F.array_distinct(F.array(*drawn)).alias("vs")).join(main.select("key", "n"), "key")
+    chosen = cut(few(chosen, total))  # else the next join plans all this twice
     strays = inside.where("root <> main").select("key", F.col("id").alias("u"))
     return few(spread_join(strays, chosen, "key", total), total).select("u", F.explode("vs").alias("v"))
 
@@ -192,14 +194,15 @@ def links(rows: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     sets_of(docs, asked.distinct().join(first, "id"), text).write.parquet(path := scratch(spark, "sets"))
     sets = spark.read.parquet(path)
     facts = sets.drop("grams").withColumn("own", F.lit(0))
-    tried = few(cut(nearest(near, facts).union(nearest(shared.where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v")), facts)).distinct()), total)
+    offered = near.select("u", "v", F.lit(0).alias("by")).union(shared.where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"), F.lit(1).alias("by")))
+    tried = few(cut(nearest(offered, facts).distinct()), total)
     found = roots(similar(tried, sets))
     ids = shared.select("key", "id")
     now = lambda: cut(few(ids.join(found.withColumnRenamed("u", "id"), "id", "left"), total).select("key", "id", F.coalesce("root", "id").alias("root")))
 
     of = now()
     unlike = of.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
-    in_question = of.join(unlike, "key", "left_semi").select("id").distinct()
+    in_question = cut(few(of.join(unlike, "key", "left_semi").select("id").distinct(), total))
     grams = sets.select("id", "grams").join(in_question, "id", "left_semi").select("id", F.explode("grams").alias("h"))
     alone = grams.groupBy("h").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).where("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
     facts = cut(few(sets.drop("grams").join(in_question, "id", "left_semi").join(alone, "id", "left"), total).fillna(0, ["own"]))

@@ -143,7 +143,7 @@ def grouped(marked: DataFrame) -> DataFrame:
     total = marked.count()
     of = cut(fps.join(linked(fps).withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     least = of.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("m"))
-    group = spread_join(of, least, "root", total, "m").select("fp", "component_id", "n")
+    group = cut(spread_join(of, least, "root", total, "m").select("fp", "component_id", "n"))  # else the next join plans all this twice
     return spread_join(marked, group, "fp", total).select(*marked.columns, "component_id")
 
 

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from tesserae.llm import neardup
+from tesserae.llm import components, neardup, simhash
 
 
 def plain_set(text):
@@ -93,3 +93,48 @@ def test_simhash_groups_are_candidates_of_their_own(spark):
     ids = {r["doc_id"]: r["id"] for r in rows.collect()}
     assert [set(r) for r in neardup.by_simhash(rows).collect()] == [{ids[0], ids[1]}]
     assert {x for r in neardup.links(rows, df).collect() for x in r} == {ids[0], ids[1]}
+
+
+def components_of(edges):
+    """(vertex, smallest vertex of its component) of all vertices but these themselves."""
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        low, high = sorted((top(a), top(b)))
+        up[high] = low
+    return {(x, top(x)) for x in up if top(x) != x}
+
+
+def test_rounds_over_few_edges_need_neither_joins_nor_broadcasts(spark, monkeypatch):
+    """A driver keeps something of every plan; both ways find the components of chains, hubs, loops and repeated edges."""
+    rng = random.Random(3)
+    edges = [(k, k + 1) for k in range(1, 60)] + [(rng.randint(100, 400), rng.randint(100, 400)) for _ in range(200)] + [(7, 6), (6, 7), (5, 5)]
+    edges += [(1000, k) for k in range(1001, 1300)] + [(3000 - k, 3000) for k in range(300)] + [(-5, -9), (-9, 2_000)]
+    df = spark.createDataFrame(edges, "u long, v long")
+    for small in (components.SMALL, 0):
+        monkeypatch.setattr(components, "SMALL", small)
+        assert {tuple(r) for r in components.roots(df).collect()} == components_of(edges)
+    monkeypatch.undo()
+    once = df.where("u <> v").localCheckpoint()
+    plan = components._small_star(components._large_star(once, len(edges)), len(edges))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") <= 3
+
+
+def test_group_of_a_fingerprint_is_planned_once(spark):
+    """Each plan that a join repeats is kept by the driver once more."""
+    rows = spark.createDataFrame([(k, k % 7) for k in range(40)], "doc_id long, fp long")
+    groups = simhash.grouped(rows)
+    assert groups._jdf.queryExecution().executedPlan().toString().count("Join") <= 3  # those of one spread_join
+    assert groups.count() == 40
+
+
+def test_nearest_keeps_one_candidate_of_each_kind(spark):
+    facts = spark.createDataFrame([(k, 100, 0, *[(1 << k) - 1 if j == 0 else 0 for j in range(neardup.PLANES * neardup.WIDE)]) for k in range(1, 6)], ["id", "size", "own", *(f"b{j}" for j in range(neardup.PLANES * neardup.WIDE))])
+    pairs = spark.createDataFrame([(1, 3, 0), (1, 4, 0), (1, 5, 1), (2, 5, 1), (2, 4, 1)], "u long, v long, by int")
+    assert sorted(map(tuple, neardup.nearest(pairs, facts).collect())) == [(1, 3), (1, 5), (2, 4)]
+    assert sorted(map(tuple, neardup.nearest(pairs.drop("by"), facts).collect())) == [(1, 3), (2, 4)]

@@ -61,8 +61,9 @@ class Snapshot:
     batches: dict[str, int] = field(default_factory=dict)
     outcome: str | None = None
     top: int = 0
-    #: Folders of the index's generations by bucket, and of the ids that are gone; numbers of indexed rows, of their tokens, and of ids that are gone.
+    #: Folders of the index's generations by bucket, of what rows its numbers stand for by range of number, and of the ids that are gone; numbers of indexed rows, of their tokens, and of ids that are gone.
     terms: list[dict[str, str]] = field(default_factory=list)
+    numbers: list[dict[str, str]] = field(default_factory=list)
     gone: list[str] = field(default_factory=list)
     n_rows: int = 0
     n_tokens: int = 0
@@ -152,15 +153,25 @@ class Store:
     def scored(self, query: str, snapshot: Snapshot | None = None) -> DataFrame:
         """(id, scope_type, scope_id, bm25) of all rows of a version, expired ones too, that hold a term of the query."""
         snapshot = snapshot or self.snapshot()
-        terms = list({t for term in query_terms(query) for t in term})
-        asked = {str(b) for b in postings.buckets_of(self.spark.range(1), terms)} if terms else set()
-        return postings.scored(self._postings(snapshot, asked), query, snapshot.n_rows, snapshot.n_tokens)
+        tokens = sorted({t for term in query_terms(query) for t in term})
+        if not tokens or not snapshot.n_rows:
+            return self.spark.createDataFrame([], "id string, scope_type string, scope_id string, bm25 double")
+        asked = {str(b) for b in postings.buckets_of(self.spark.range(1), tokens)}
+        terms, found = postings.hits(postings.unpacked(self._postings(snapshot, asked).where(F.col("term").isin(tokens))), query)
+        ranges = {str(r[0]) for r in found.select(F.shiftright("number", postings.RANGE)).distinct().collect()}  # no more than folders
+        return postings.scored(found.join(self._numbers(snapshot, ranges), "number"), len(terms), snapshot.n_rows, snapshot.n_tokens)
 
     def _postings(self, snapshot: Snapshot, asked: set[str] | None = None) -> DataFrame:
+        """Blocks of postings, those of rows that are gone too."""
         paths = [g[b] for g in snapshot.terms for b in sorted(g) if asked is None or b in asked]
-        found = self.spark.read.schema(postings.SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], postings.SCHEMA)
-        gone = self.spark.read.schema("id string").parquet(*snapshot.gone) if snapshot.gone else None
-        return postings.without(found, gone, snapshot.n_gone)
+        return self.spark.read.schema(postings.SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], postings.SCHEMA)
+
+    def _numbers(self, snapshot: Snapshot, asked: set[str] | None = None, gone: bool = False) -> DataFrame:
+        """postings.NUMBERS of the rows that are not gone, or that are."""
+        paths = [g[r] for g in snapshot.numbers for r in sorted(g) if asked is None or r in asked]
+        rows = self.spark.read.schema(postings.NUMBERS).parquet(*paths) if paths else self.spark.createDataFrame([], postings.NUMBERS)
+        dead = self.spark.read.schema("id string").parquet(*snapshot.gone) if snapshot.gone else self.spark.createDataFrame([], "id string")
+        return merge.of_ids(rows, dead, "left_semi", snapshot.n_gone) if gone else postings.without(rows, dead, snapshot.n_gone)
 
     def candidates(self, query: str, scopes: list[Scope], now: datetime, limit: int = lexical.CANDIDATES, snapshot: Snapshot | None = None) -> DataFrame:
         """(id, bm25) as lexical.candidates gives them by a scan: the best rows in scope that are not expired."""
@@ -186,8 +197,7 @@ class Store:
         path = f"{folder}/{table}"
         task = F.pmod(F.xxhash64(name, F.lit("task")), F.lit(1 + n // (self.buckets * ROWS)))
         rows.withColumn("_part", part).repartition("_part", task).write.partitionBy("_part").parquet(path)
-        found = (s.getPath().getName() for s in self._fs.listStatus(self._path(path)) if s.isDirectory())
-        return {n.removeprefix("_part="): f"{path}/{n}" for n in found if n.startswith("_part=")}
+        return self._folders(path, "_part")
 
     def write(self, batch: DataFrame, stream: str | None = None, number: int | None = None) -> Snapshot:
         """The version after a batch (as for merge.write; seq counts from 0 in each). A batch of a named stream whose number is not new is not written again."""
@@ -220,22 +230,40 @@ class Store:
         return replace(before, version=before.version + 1, parts=parts, batches=before.batches | batches, outcome=f"{folder}/outcome", top=before.top + top, **index)
 
     def _indexed(self, before: Snapshot, folder: str, new: DataFrame, dead: DataFrame) -> dict:
-        """The index's part of the version after a write of new rows, and of stored ones that are dead now."""
-        (rows, tokens), (less, fewer) = postings.counts(new), postings.counts(dead)
-        terms, gone, n_gone = [*before.terms, self._generation(f"{folder}/terms", postings.unpacked(postings.dealt(postings.packed(new))))], list(before.gone), before.n_gone + less
+        """The index's part of the version after a write of new rows, and of stored ones that are dead now. A new row's number is its seq, which no other new row has, then or later."""
+        less, fewer = postings.counts(dead)
+        numbers = [*before.numbers, self._numbered(f"{folder}/numbers", new.select(F.col("seq").alias("number"), "id", "scope_type", "scope_id"))]
+        rows = self._read_all(numbers[-1], postings.NUMBERS).count()
+        own = new.select(F.col("seq").alias("id"), "content").coalesce(1 + rows // postings.ROWS)
+        terms, gone, n_gone = [*before.terms, self._generation(f"{folder}/terms", postings.packed(own))], list(before.gone), before.n_gone + less
+        tokens = self._read_all(terms[-1], postings.SCHEMA).agg(F.coalesce(F.sum("places"), F.lit(0))).first()[0]
         if less:
             dead.select("id").write.parquet(f"{folder}/gone")
             gone.append(f"{folder}/gone")
         if len(terms) > GENERATIONS:
-            whole = Snapshot(0, before.buckets, terms=terms, gone=gone, n_gone=n_gone)
-            terms, gone, n_gone = [self._generation(f"{folder}/merged", postings.dealt(self._postings(whole).withColumn("_bucket", postings.bucket(F.col("term")))))], [], 0
-        return {"terms": terms, "gone": gone, "n_rows": before.n_rows + rows - less, "n_tokens": before.n_tokens + tokens - fewer, "n_gone": n_gone}
-
-    def _generation(self, path: str, rows: DataFrame) -> dict[str, str]:
-        """Writes postings that are dealt out by bucket of term, sorted by term; the buckets' folders."""
-        rows.sortWithinPartitions("_bucket", "term", "id").write.partitionBy("_bucket").parquet(path)
+            whole = Snapshot(0, before.buckets, terms=terms, numbers=numbers, gone=gone, n_gone=n_gone)
+            out = self._numbers(whole, gone=True).select(F.col("number").alias("id"))
+            terms = [self._generation(f"{folder}/merged", postings.repacked(postings.without(postings.unpacked(self._postings(whole)), out, n_gone)))]
+            numbers, gone, n_gone = [self._numbered(f"{folder}/renumbered", self._numbers(whole))], [], 0
+        return {"terms": terms, "numbers": numbers, "gone": gone, "n_rows": before.n_rows + rows - less, "n_tokens": before.n_tokens + tokens - fewer, "n_gone": n_gone}
+
+    def _generation(self, path: str, blocks: DataFrame) -> dict[str, str]:
+        """Writes blocks of postings by bucket of term, sorted by term; the buckets' folders."""
+        blocks.sortWithinPartitions("_bucket", "term").write.options(**postings.WRITTEN).partitionBy("_bucket").parquet(path)
+        return self._folders(path, "_bucket")
+
+    def _numbered(self, path: str, rows: DataFrame) -> dict[str, str]:
+        """Writes what numbers stand for by range of number; the ranges' folders."""
+        rows.withColumn("_range", F.shiftright("number", postings.RANGE)).repartition("_range").sortWithinPartitions("_range", "number").write.options(**postings.WRITTEN).partitionBy("_range").parquet(path)
+        return self._folders(path, "_range")
+
+    def _folders(self, path: str, column: str) -> dict[str, str]:
+        """The folders that partitionBy(column) made, by value."""
         found = (s.getPath().getName() for s in self._fs.listStatus(self._path(path)) if s.isDirectory())
-        return {n.removeprefix("_bucket="): f"{path}/{n}" for n in found if n.startswith("_bucket=")}
+        return {n.removeprefix(f"{column}="): f"{path}/{n}" for n in found if n.startswith(f"{column}=")}
+
+    def _read_all(self, folders: dict[str, str], schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*folders.values()) if folders else self.spark.createDataFrame([], schema)
 
     def touch(self, ids: DataFrame, at: datetime) -> Snapshot:
         """The version after rows ids(id) were shown: a small file beside the rows, none of which is written again; many of them become one."""
@@ -259,7 +287,7 @@ class Store:
         known = self.versions()
         for v in known[:-keep]:
             self._fs.delete(self._path(self._manifest(v)), False)
-        named = {p for v in known[-keep:] for s in [self.snapshot(v)] for p in [*(x for t in [*s.parts.values(), *s.terms] for x in t.values()), *s.gone, *s.accessed, *filter(None, [s.outcome])]}
+        named = {p for v in known[-keep:] for s in [self.snapshot(v)] for p in [*(x for t in [*s.parts.values(), *s.terms, *s.numbers] for x in t.values()), *s.gone, *s.accessed, *filter(None, [s.outcome])]}
         top = self._path(f"{self.root}/data")
         gone = [s.getPath() for s in self._fs.listStatus(top) if not any(f"/{s.getPath().getName()}/" in p for p in named)] if self._fs.exists(top) else []
         for p in gone:

@@ -267,3 +267,28 @@ def test_shown_rows_are_noted_beside_the_store(spark, store, monkeypatch):
     store.write(batch(spark, [("d", [], None, None)]))
     store.vacuum(keep=1)
     assert store.accessed().count() == 3 and store.memories().count() == 4
+
+
+def test_the_index_holds_numbers_for_ids(spark, store, tmp_path):
+    """A posting takes some bytes, not an id of 64 letters, and what a number stands for is looked up in the ranges of hits only."""
+    from tesserae.operators import postings
+
+    rng = random.Random(5)
+    store.write(batch(spark, [(" ".join(rng.choices([f"word{j}" for j in range(900)], k=80)), [], f"s{k % 3}", None) for k in range(600)]))
+    now = store.snapshot()
+    files = [p for g in now.terms for f in g.values() for p in (tmp_path / "store").glob(f"{f.partition('/store/')[2]}/*.parquet")]
+    n = postings.unpacked(store._postings(now)).count()
+    assert n > 40_000 and sum(p.stat().st_size for p in files) < 20 * n
+    assert store._numbers(now).count() == now.n_rows == 600 and now.n_tokens == 48_000
+
+
+def test_tokens_of_long_rows_are_cut_between_rows(spark, monkeypatch):
+    from tesserae.operators import postings
+
+    monkeypatch.setattr(postings, "TOKENS", 10)
+    rows = spark.createDataFrame([(9 - k, " ".join(f"w{j % 4}" for j in range(n))) for k, n in enumerate((3, 25, 0, 6, 4, 1))], "id long, content string").coalesce(1)
+    blocks = postings.packed(rows)
+    got = {(r.id, r.term): (r.n, r.positions) for r in postings.unpacked(blocks).collect()}
+    assert got == {(9 - k, f"w{j}"): (n, list(range(j, n, 4))) for k, n in enumerate((3, 25, 0, 6, 4, 1)) for j in range(min(n, 4))}
+    again = {(r.id, r.term): (r.n, r.positions) for r in postings.unpacked(postings.repacked(postings.unpacked(blocks))).collect()}
+    assert again == got and blocks.agg(F.sum("places")).first()[0] == 39

@@ -26,12 +26,23 @@ def normalized(batch: DataFrame) -> DataFrame:
 
     Contents are redacted and trimmed (empty ones fall out), hashed, given a canonical key and an expiry.
     """
-    rows = batch.withColumn("_r", redacted(F.coalesce("content", F.lit("")))).withColumn("content", trim(F.col("_r.text"))).where("content <> ''")
+    once = {"content": trim(F.col("_r.text")), "_once": F.monotonically_increasing_id()}  # a filter on this stays behind the redaction instead of doing it a second time
+    rows = batch.withColumn("_r", redacted(F.coalesce("content", F.lit("")))).withColumns(once).where("content <> '' and _once >= 0")
     ttl = F.coalesce(F.col("ttl_days"), F.when(F.col("scope_type") == "session", SESSION_TTL_DAYS))
     return rows.withColumns({
         "redacted": F.col("_r.redacted"), "content_hash": content_hash(F.col("content")), "tags": clean_tags(F.coalesce("tags", F.array().cast("array<string>"))),
         "expires_at": F.col("at") + F.make_dt_interval(ttl), "scope_id": F.when(F.col("scope_type") != "global", F.col("scope_id")),
-    }).withColumn("canonical_key", written_key(F.col("content"), F.col("tags"), F.col("key"), F.col("idempotency_key"))).drop("_r", "key")
+    }).withColumn("canonical_key", written_key(F.col("content"), F.col("tags"), F.col("key"), F.col("idempotency_key"))).drop("_r", "_once", "key")
+
+
+#: Ids of rows, some 64 bytes each, that are broadcast at most.
+MOST_BROADCAST = 500_000
+
+
+def few_out(rows: DataFrame, ids: DataFrame, by: str, how: str = "left_anti", n: int | None = None) -> DataFrame:
+    """rows joined left_semi or left_anti with ids(by), n of them; few of these are sent to the rows, whose contents then stay where they are."""
+    n = ids.count() if n is None else n
+    return rows.join(F.broadcast(ids) if n <= MOST_BROADCAST else ids, by, how)
 
 
 def latest_bindings(keys: DataFrame) -> DataFrame:
@@ -150,11 +161,27 @@ def versions(live: DataFrame, ready: DataFrame, columns: list[str]) -> tuple[Dat
 
 def filled(merged: DataFrame, live: DataFrame, ready: DataFrame) -> DataFrame:
     """merged, of versions(live, ready), with its contents, which move once."""
-    text = lambda df, new: df.select("scope_type", _scope(), "content_hash", "content", F.struct(F.lit(new), "seq").alias("_order"))
-    texts = text(live, False).unionByName(text(ready, True)).groupBy("scope_type", "_scope", "content_hash").agg(F.min_by("content", "_order").alias("content"))
+    texts = _texts(live, False).unionByName(_texts(ready, True)).groupBy("scope_type", "_scope", "content_hash").agg(F.min_by("content", "_order").alias("content"))
     return merged.join(texts, ["scope_type", "_scope", "content_hash"])
 
 
+def _texts(df: DataFrame, new: bool) -> DataFrame:
+    return df.select("scope_type", _scope(), "content_hash", "content", F.struct(F.lit(new), "seq").alias("_order"))
+
+
+def dealt(merged: DataFrame, live: DataFrame, ready: DataFrame, by: dict[str, Column]) -> DataFrame:
+    """As filled, in the tasks that by, columns made of scope_type, _scope and content_hash, deals rows out to; by is in the result. This is the only move of the contents, of which one write of each moves."""
+    content = ["scope_type", "_scope", "content_hash"]
+    seqs = ready.select("scope_type", _scope(), "content_hash", "seq")
+    shared = seqs.groupBy(*content).agg(F.min("seq").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    again = kept(seqs.join(shared, content).where("seq > _first").select("seq"))
+    texts = _texts(live, False).unionByName(_texts(few_out(ready, again, "seq"), True))
+    rows = merged.select(*content, F.struct(*(c for c in merged.columns if c not in content)).alias("_row"))
+    both = texts.unionByName(rows, allowMissingColumns=True).withColumns(by).repartition(*by)
+    found = both.groupBy(*by, *content).agg(F.min_by("content", "_order").alias("content"), F.collect_list("_row").alias("_rows"))  # of tasks that are dealt out already
+    return found.select(*by, *content, "content", F.explode("_rows").alias("_row")).select(*by, *content, "content", "_row.*")
+
+
 def drop_replays(batch: DataFrame, store: DataFrame, keys: DataFrame) -> DataFrame:
     """batch without rows whose idempotency key already points to a live row of the same scope and content."""
     targets = latest_bindings(keys).join(store.where(F.col("deleted_at").isNull()).select(F.col("id").alias("memory_id"), F.col("scope_type").alias("_t"), F.col("scope_id").alias("_s"), F.col("content_hash").alias("_h")), "memory_id")

@@ -7,6 +7,7 @@ rows reads four narrow columns of the store.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -15,26 +16,24 @@ from pyspark.sql import functions as F
 from tesserae.operators import ingest
 from tesserae.plans.lineage import kept
 
-#: Ids of rows, some 64 bytes each, that are broadcast at most.
-MOST_BROADCAST = 500_000
 #: Rounds after which the closure gives up; a consistent store needs three: a live row of each key, and one of each content and key.
 MOST_ROUNDS = 20
 
 
 def of_ids(rows: DataFrame, ids: DataFrame, how: str, n: int | None = None) -> DataFrame:
-    """rows joined left_semi or left_anti with ids(id), n of them; few of these are sent to the rows, whose contents then stay where they are."""
-    n = ids.count() if n is None else n
-    return rows.join(F.broadcast(ids) if n <= MOST_BROADCAST else ids, "id", how)
+    """ingest.few_out by id."""
+    return ingest.few_out(rows, ids, "id", how, n)
 
 
 class Written(NamedTuple):
     """rows: the touched rows as they are now, and new ones (contents are looked up anew at each use); touched(id): the stored rows they stand for; outcome: one row a write
-    (seq, idempotency_key, id, created, redacted, canonical_key, expires_at, replaced_ids, replay); keys: the bindings after the batch."""
+    (seq, idempotency_key, id, created, redacted, canonical_key, expires_at, replaced_ids, replay); keys: the bindings after the batch; sources: what ingest.filled makes rows from."""
 
     rows: DataFrame
     touched: DataFrame
     outcome: DataFrame
     keys: DataFrame
+    sources: tuple[DataFrame, DataFrame, DataFrame]
 
     def store(self, before: DataFrame) -> DataFrame:
         """The whole store after the batch."""
@@ -69,23 +68,23 @@ def replays(ready: DataFrame, store: DataFrame, keys: DataFrame) -> DataFrame:
     return bound.drop("key").join(live, "memory_id").where(same).select(F.col("seq"), F.col("memory_id").alias("id"), F.col("_x").alias("expires_at"), F.col("_k").alias("canonical_key"))
 
 
-def write(store: DataFrame, batch: DataFrame, keys: DataFrame | None = None) -> Written:
+def write(store: DataFrame, batch: DataFrame, keys: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] = kept) -> Written:
     """The batch (as for ingest.upsert, seq unique) written to the store; keys(key, memory_id, seq): bindings of idempotency keys so far.
 
     Equals ingest.upsert without the replays. expires_at is the row's after the whole batch. Writes whose content is empty after
-    redaction have no outcome.
+    redaction have no outcome. keep: puts aside what has a row a write, contents too.
     """
     spark = batch.sparkSession
     keys = spark.createDataFrame([], "key string, memory_id string, seq long") if keys is None else keys.select("key", "memory_id", "seq")
     store, ready, columns = ingest._aligned(store, ingest.normalized(batch))
-    ready = kept(ready)
+    ready = keep(ready)
     again = kept(replays(ready, store, keys).join(ready.select("seq", "idempotency_key", "redacted"), "seq"))
-    fresh = ready.join(again.select("seq"), "seq", "left_anti")
+    fresh = ingest.few_out(ready, again.select("seq"), "seq")
     live = store.where(F.col("deleted_at").isNull())
     touched = kept(closure(live, fresh))
     hit = of_ids(live, touched, "left_semi")
     writes, merged = ingest.versions(hit, fresh, columns)
-    merged = kept(merged)
+    merged = keep(merged)
     same = None
     for c in ingest.GROUP:
         equal = F.col(f"w.{c}").eqNullSafe(F.col(f"m.{c}"))
@@ -100,4 +99,4 @@ def write(store: DataFrame, batch: DataFrame, keys: DataFrame | None = None) ->
     later = ingest.latest_bindings(bound).withColumn("_new", F.lit(True))
     all_keys = keys.withColumn("_new", F.lit(False)).unionByName(later)  # a new binding stands whatever its seq
     latest = all_keys.groupBy("key").agg(F.max_by("memory_id", F.struct("_new", "seq")).alias("memory_id"), F.max_by("seq", F.struct("_new", "seq")).alias("seq"))
-    return Written(ingest.filled(merged, hit, fresh).select(*columns), touched, outcome, latest)
+    return Written(ingest.filled(merged, hit, fresh).select(*columns), touched, outcome, latest, (merged, hit, fresh))

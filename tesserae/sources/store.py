@@ -1,9 +1,11 @@
-"""A store of memories in versions: a batch rewrites only the parts it touches, and one rename makes the new version.
+"""A store of memories in versions: a batch writes only its new rows and the ones it touches, and one rename makes the new version.
 
-Below the root, data/<write>/ holds the parts of one write, and versions/<number>.json a manifest that names the folder of each part,
+Below the root, data/<number>-<write>/ holds the parts of one write, and versions/<number>.json a manifest that names the folders of each part,
 of memories by scope type and a hash of scope and content, of idempotency keys by a hash of the key. A write puts its parts into a folder of its own, then
 renames its manifest to the next number; where that number is taken, another writer was first, and the batch is merged anew with
 that version. So readers keep the version they opened, and a writer that dies leaves a folder that no manifest names.
+A row that is written anew is stale in older folders: its id and the number of the write are noted, and readers leave it out there. A part
+of more than GENERATIONS folders, or with many stale rows, is written whole.
 The manifest also holds the last batch of each named stream, so a batch that is sent again changes nothing.
 
 An index of terms (operators.postings) moves with the versions: a write adds a generation with its new rows' postings and the ids of rows
@@ -13,6 +15,7 @@ that it deleted; more than GENERATIONS are merged to one, without what is gone.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
@@ -23,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions.text import query_terms
-from tesserae.operators import lexical, merge, postings, search
+from tesserae.operators import ingest, lexical, merge, postings, search
 from tesserae.plans.lineage import kept
 from tesserae.plans.scope import Scope, active, in_scope
 
@@ -35,6 +38,9 @@ KEYS = "key string, memory_id string, seq long"
 BUCKETS, TRIES, GENERATIONS = 16, 5, 8
 #: Rows of a part that one task writes, about.
 ROWS = 25_000
+STALE = "id string, part string, at long"
+#: The number of the write that made a file.
+WRITE = r".*/data/([0-9]+)-[0-9a-f]+/"
 #: Rows of the index that are looked up at once for one that is in sight and not expired.
 FETCHED = 4
 
@@ -43,8 +49,9 @@ class Conflict(Exception):
     """Another writer made the version first."""
 
 
-def _part_of_memory(buckets: int) -> Column:
-    return F.concat("scope_type", F.lit("-"), F.pmod(F.xxhash64(F.coalesce("scope_id", F.lit("")), "content_hash"), F.lit(buckets)).cast("string"))
+def _part_of_memory(buckets: int, scope: Column | None = None) -> Column:
+    scope = F.coalesce("scope_id", F.lit("")) if scope is None else scope
+    return F.concat("scope_type", F.lit("-"), F.pmod(F.xxhash64(scope, "content_hash"), F.lit(buckets)).cast("string"))
 
 
 def _part_of_key(buckets: int) -> Column:
@@ -57,7 +64,11 @@ class Snapshot:
 
     version: int
     buckets: int
-    parts: dict[str, dict[str, str]] = field(default_factory=dict)
+    parts: dict[str, dict[str, list[str]]] = field(default_factory=dict)
+    #: Folders of STALE rows, how many of them hold for each part, and how many are listed.
+    stale: list[str] = field(default_factory=list)
+    n_stale: dict[str, int] = field(default_factory=dict)
+    n_listed: int = 0
     batches: dict[str, int] = field(default_factory=dict)
     outcome: str | None = None
     top: int = 0
@@ -124,8 +135,15 @@ class Store:
 
     def _read(self, snapshot: Snapshot, table: str, schema: str, parts: Iterable[str] | None = None) -> DataFrame:
         known = snapshot.parts.get(table, {})
-        paths = [known[p] for p in (known if parts is None else sorted(set(parts) & known.keys()))]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        paths = [f for p in (known if parts is None else sorted(set(parts) & known.keys())) for f in known[p]]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(schema).parquet(*paths)
+        if table != "memories" or not snapshot.stale:
+            return rows
+        stale = self.spark.read.schema(STALE).parquet(*snapshot.stale).select(F.col("id").alias("_old"), F.col("at").alias("_later"))  # ingest.MOST_BROADCAST at most
+        made = F.regexp_extract(F.col("_metadata.file_path"), WRITE, 1).cast("long")
+        return rows.withColumn("_made", made).join(F.broadcast(stale), (F.col("id") == F.col("_old")) & (F.col("_made") < F.col("_later")), "left_anti").drop("_made")
 
     def memories(self, snapshot: Snapshot | None = None, scopes: list[Scope] | None = None, parts: Iterable[str] | None = None) -> DataFrame:
         """Rows of a version, deleted ones too; with scopes, only parts of their types are opened."""
@@ -196,7 +214,7 @@ class Store:
         """Writes about n rows by part, in as many tasks a part as it takes; name: the column that deals rows out. The parts' folders."""
         path = f"{folder}/{table}"
         task = F.pmod(F.xxhash64(name, F.lit("task")), F.lit(1 + n // (self.buckets * ROWS)))
-        rows.withColumn("_part", part).repartition("_part", task).write.partitionBy("_part").parquet(path)
+        rows.withColumn("_part", part).repartition("_part", task).write.option("compression", "zstd").partitionBy("_part").parquet(path)
         return self._folders(path, "_part")
 
     def write(self, batch: DataFrame, stream: str | None = None, number: int | None = None) -> Snapshot:
@@ -212,22 +230,58 @@ class Store:
         raise Conflict(f"{TRIES} versions were made meanwhile")
 
     def _merged(self, before: Snapshot, batch: DataFrame, batches: dict[str, int]) -> Snapshot:
-        n, folder = before.buckets, f"{self.root}/data/{uuid.uuid4().hex}"
+        n, version = before.buckets, before.version + 1
+        folder, drafts = f"{self.root}/data/{version:012d}-{uuid.uuid4().hex}", []
+
+        def keep(df: DataFrame) -> DataFrame:
+            """A draft of this write, gone with its end."""
+            drafts.append(f"{folder}/draft/{len(drafts)}")
+            df.write.option("compression", "zstd").parquet(drafts[-1])
+            return self.spark.read.schema(df.schema).parquet(drafts[-1])
+
         asked = [r[0] for r in batch.where(F.col("idempotency_key").isNotNull()).select(F.col("idempotency_key").alias("key")).select(_part_of_key(n)).distinct().collect()]  # n at most
         top = batch.agg(F.coalesce(F.max("seq") + 1, F.lit(0))).first()[0]
-        done = merge.write(self.memories(before), batch.withColumn("seq", F.col("seq") + before.top), self.keys(before, asked))  # ids hold seq
-        rows = done.rows if "metadata" in done.rows.columns else done.rows.withColumn("metadata", F.lit(None).cast("map<string,string>"))
-        rows, n_touched = kept(rows.select(self.memories(before).columns)), done.touched.count()
-        # parts of touched and of new rows; a row keeps its part, since scope and content never change
-        parts = [r[0] for r in rows.select(_part_of_memory(n)).distinct().collect()]  # three scope types * n at most
-        stay = merge.of_ids(self.memories(before, parts=parts), done.touched, "left_anti", n_touched)
-        new = merge.of_ids(rows, done.touched, "left_anti", n_touched).where(F.col("deleted_at").isNull())
-        dead = merge.of_ids(rows, done.touched, "left_semi", n_touched).where(F.col("deleted_at").isNotNull())
+        done = merge.write(self.memories(before), batch.withColumn("seq", F.col("seq") + before.top), self.keys(before, asked), keep)  # ids hold seq
+        (merged, hit, fresh), n_touched = done.sources, done.touched.count()
+        task = F.pmod(F.xxhash64("content_hash", F.lit("task")), F.lit(1 + merged.count() // (n * ROWS)))
+        rows = ingest.dealt(merged, hit, fresh, {"_part": _part_of_memory(n, F.col("_scope")), "_task": task})
+        rows.select("_part", *self.memories(before).columns).write.option("compression", "zstd").partitionBy("_part").parquet(f"{folder}/memories")
+        made = self._folders(f"{folder}/memories", "_part")
+        parts, known = self._placed(before, folder, made, done.touched, n_touched)
+        written = self._read_all(made, MEMORIES)
+        new = merge.of_ids(written, done.touched, "left_anti", n_touched).where(F.col("deleted_at").isNull())
+        dead = merge.of_ids(written, done.touched, "left_semi", n_touched).where(F.col("deleted_at").isNotNull())
         index = self._indexed(before, folder, new, dead)
-        made = {"memories": self._put(folder, "memories", stay.unionByName(rows), _part_of_memory(n), "id", index["n_rows"]), "keys": self._put(folder, "keys", done.keys, _part_of_key(n), "key", index["n_rows"])}
+        keys = {p: [f] for p, f in self._put(folder, "keys", done.keys, _part_of_key(n), "key", index["n_rows"]).items()}
         done.outcome.withColumn("seq", F.col("seq") - before.top).write.parquet(f"{folder}/outcome")
-        parts = {t: before.parts.get(t, {}) | made[t] for t in made}
-        return replace(before, version=before.version + 1, parts=parts, batches=before.batches | batches, outcome=f"{folder}/outcome", top=before.top + top, **index)
+        self._fs.delete(self._path(f"{folder}/draft"), True)
+        parts = {"memories": parts, "keys": before.parts.get("keys", {}) | keys}
+        return replace(before, version=version, parts=parts, batches=before.batches | batches, outcome=f"{folder}/outcome", top=before.top + top, **known, **index)
+
+    def _placed(self, before: Snapshot, folder: str, made: dict[str, str], touched: DataFrame, n_touched: int) -> tuple[dict[str, list[str]], dict]:
+        """The folders of memories' parts after made of them, and what is known of stale rows. A row keeps its part, since scope and content never change."""
+        known, stale, version = before.parts.get("memories", {}), list(before.stale), before.version + 1
+        most = max(1, ingest.MOST_BROADCAST // (3 * before.buckets))  # of three scope types
+        old = kept(merge.of_ids(self.memories(before, parts=made), touched, "left_semi", n_touched).select("id", _part_of_memory(before.buckets).alias("part"), F.lit(version).cast("long").alias("at")))
+        counts = dict(map(tuple, old.groupBy("part").count().collect()))
+        whole = {p for p in made if p in known and (len(known[p]) >= GENERATIONS or before.n_stale.get(p, 0) + counts.get(p, 0) > most)}
+        stayed = {}
+        if whole:
+            stay = merge.of_ids(self.memories(before, parts=whole), touched, "left_anti", n_touched)
+            stayed = self._put(folder, "stayed", stay, _part_of_memory(before.buckets), "id", before.n_rows)
+        parts = known | {p: ([stayed[p]] if p in stayed else [] if p in whole else known.get(p, [])) + [f] for p, f in made.items()}
+        n_stale = {p: x for p in before.n_stale.keys() | counts.keys() if p not in whole and (x := before.n_stale.get(p, 0) + counts.get(p, 0))}
+        n_listed = before.n_listed + sum(x for p, x in counts.items() if p not in whole)
+        if counts.keys() - whole:
+            old.where(~F.col("part").isin(sorted(whole))).repartition(1).write.parquet(f"{folder}/stale")  # at most most a part
+            stale.append(f"{folder}/stale")
+        if len(stale) > GENERATIONS or n_listed > ingest.MOST_BROADCAST:  # those whose rows are in no folder any more go
+            oldest = {p: min(int(re.match(WRITE, f"{f}/")[1]) for f in fs) for p, fs in parts.items()}
+            since = F.create_map(*(F.lit(x) for kv in oldest.items() for x in kv))
+            seen = self.spark.read.schema(STALE).parquet(*stale).where(F.col("at") > since[F.col("part")])
+            seen.repartition(1).write.parquet(f"{folder}/stale-whole")
+            stale, n_listed = [f"{folder}/stale-whole"], sum(n_stale.values())
+        return parts, {"stale": stale, "n_stale": n_stale, "n_listed": n_listed}
 
     def _indexed(self, before: Snapshot, folder: str, new: DataFrame, dead: DataFrame) -> dict:
         """The index's part of the version after a write of new rows, and of stored ones that are dead now. A new row's number is its seq, which no other new row has, then or later."""
@@ -287,7 +341,7 @@ class Store:
         known = self.versions()
         for v in known[:-keep]:
             self._fs.delete(self._path(self._manifest(v)), False)
-        named = {p for v in known[-keep:] for s in [self.snapshot(v)] for p in [*(x for t in [*s.parts.values(), *s.terms, *s.numbers] for x in t.values()), *s.gone, *s.accessed, *filter(None, [s.outcome])]}
+        named = {p for v in known[-keep:] for s in [self.snapshot(v)] for p in [*(f for t in s.parts.values() for fs in t.values() for f in fs), *(x for t in [*s.terms, *s.numbers] for x in t.values()), *s.stale, *s.gone, *s.accessed, *filter(None, [s.outcome])]}
         top = self._path(f"{self.root}/data")
         gone = [s.getPath() for s in self._fs.listStatus(top) if not any(f"/{s.getPath().getName()}/" in p for p in named)] if self._fs.exists(top) else []
         for p in gone:

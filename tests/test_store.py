@@ -292,3 +292,47 @@ def test_tokens_of_long_rows_are_cut_between_rows(spark, monkeypatch):
     assert got == {(9 - k, f"w{j}"): (n, list(range(j, n, 4))) for k, n in enumerate((3, 25, 0, 6, 4, 1)) for j in range(min(n, 4))}
     again = {(r.id, r.term): (r.n, r.positions) for r in postings.unpacked(postings.repacked(postings.unpacked(blocks))).collect()}
     assert again == got and blocks.agg(F.sum("places")).first()[0] == 39
+
+
+# --- what a write costs --------------------------------------------------------------------------------------------
+
+
+def test_a_write_leaves_stored_rows_where_they_are(spark, store, tmp_path):
+    store.write(batch(spark, [(f"note {k}", [], f"s{k % 3}", None) for k in range(60)]))
+    two = store.write(batch(spark, [("note 7", ["more"], "s1", None), ("new", [], None, None)]))
+    own = [f for fs in two.parts["memories"].values() for f in fs if f"/data/{2:012d}-" in f]
+    assert contents(spark.read.parquet(*own).withColumn("deleted_at", F.lit(None))) == ["new", "note 7"]
+    assert store.memories(two).count() == 61 and store.memories(two).where("content = 'note 7'").first().tags == ["more"]
+    assert not list((tmp_path / "store" / "data").glob("*/draft"))  # contents that were put aside meanwhile
+
+
+def test_folders_and_stale_rows_stay_few(spark, store, monkeypatch):
+    """Over many writes that touch the same rows and others, with few folders a part and few stale rows a part and in all."""
+    from tesserae.sources import store as module
+
+    monkeypatch.setattr(module, "GENERATIONS", 2)
+    want = {}
+    for k in range(5):
+        monkeypatch.setattr(ingest, "MOST_BROADCAST", 24 if k == 3 else 500_000)  # one row a part
+        rows = [("a", [f"t{k}"], None, None), (f"b{k % 2}", [f"t{k}"], "s1", None), (f"c{k}", [f"t{k}"], "s1", None), (f"Favorite x: {k}", ["canonical"], None, None)]
+        now = store.write(batch(spark, rows, 100 * k))
+        for content, tags, *_ in rows:
+            want[content] = [*want.get(content, []), *tags]
+        assert {r.content: r.tags for r in store.memories(now).collect()} == want
+        assert store.memories(now).count() == len(want) and store.memories(now).where("deleted_at is not null").count() == k
+        assert len(now.stale) <= 2 and max(map(len, now.parts["memories"].values())) <= 3
+        assert sum(now.n_stale.values()) <= now.n_listed
+    assert contents(store.memories(store.snapshot(4))) == sorted(["a", "b0", "b1", "c0", "c1", "c2", "c3", "Favorite x: 3"])
+
+
+def test_contents_are_redacted_once_and_move_once(spark):
+    rows = [("same " * 50, [], None, None)] * 6 + [("other " * 50, [], "s1", None), ("  ", [], None, None)]
+    ready = ingest.normalized(batch(spark, rows).repartition(3))
+    assert ready._jdf.queryExecution().optimizedPlan().toString().count("Bearer") == 1
+    live, fresh, columns = ingest._aligned(spark.createDataFrame([], STORE), ready.localCheckpoint())
+    _, merged = ingest.versions(live, fresh, columns)
+    got = ingest.dealt(merged, live, fresh, {"_part": F.xxhash64("content_hash") % 2})
+    want = ingest.filled(merged, live, fresh)
+    assert sorted(got.select(columns).collect(), key=lambda r: r.id) == sorted(want.select(columns).collect(), key=lambda r: r.id)
+    moves = [x for x in got._jdf.queryExecution().executedPlan().toString().split("Exchange ")[1:] if "_part" in x.split("\n")[0]]
+    assert len(moves) == 1 and got.count() == 2
